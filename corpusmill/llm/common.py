@@ -65,10 +65,11 @@ def atomic_output(store: pafs.FileSystem, path: str):
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage at a table
-    that every executor can read."""
+    that every executor can read.  Wide columns are compressed before they come
+    here; small row groups bound what a writing task buffers."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "uncompressed").option("parquet.block.size", 8 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -70,12 +70,11 @@ class ExtendibleHash:
 
 
 def write_index(store, path: str, entries: Iterator[tuple[tuple, bytes]], capacity: int) -> None:
-    """Stream the texts to the heap and insert the entries; pages and directory follow."""
-    index, pack = ExtendibleHash(capacity), zstandard.ZstdCompressor(level=1)
+    """Stream the compressed texts to the heap and insert the entries; pages and directory follow."""
+    index = ExtendibleHash(capacity)
     with atomic_output(store, path) as out:
         at = n = 0
-        for entry, text in entries:
-            data = pack.compress(text)
+        for entry, data in entries:
             out.write(data)
             index.insert((*entry, at, len(data)))
             at, n = at + len(data), n + 1
@@ -136,6 +135,7 @@ def _chunks(hash_bits: int, chunk_rows: int):
     mask = (1 << hash_bits) - 1
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
         base = TaskContext.get().partitionId() << 33
         row = base
         for b in batches:
@@ -159,7 +159,7 @@ def _chunks(hash_bits: int, chunk_rows: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array([row + r for r in rep], pa.int64()), pa.array(key, pa.int64()),
                     pa.array([sha[r] for r in rep], pa.string()), pa.array([None if i is None else best[i][0] for i in lead], pa.int64()), pa.array([None if i is None else row + best[i][1] for i in lead], pa.int64()),
-                    pa.array([None if i is None else n[i] for i in lead], pa.int64()), pa.array([None if i is None else texts[i] for i in lead], pa.binary()),
+                    pa.array([None if i is None else n[i] for i in lead], pa.int64()), pa.array([None if i is None else pack(texts[i]) for i in lead], pa.binary()),
                 ], names=["row", "id", "rep", "key", "sha", "best_id", "best_row", "n", "text"])
                 row += len(ids)
 
