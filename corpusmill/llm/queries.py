@@ -5,20 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, packing
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.harmonic_packing(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_tokens")
+
+
 def op8_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.extendible_dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_harmonic_packing": op1_harmonic_packing,
         "op8_extendible_dedup": op8_extendible_dedup,
     }
 
