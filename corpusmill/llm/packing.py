@@ -32,7 +32,7 @@ def cuts(n: int, capacity: int, tail: int) -> list[tuple[int, int]]:
     out = [(capacity, 1)] * (n // capacity)
     rest = n % capacity
     while rest > tail:
-        k = -(-capacity // (rest + 1))  # the least k with capacity // k <= rest
+        k = capacity // (rest + 1) + 1  # the least k with capacity // k <= rest
         size = capacity // k
         out.append((size, k))
         rest -= size

@@ -24,53 +24,70 @@ UNSAFE = re.compile("[^\t-\r -~¡-±´-¸ºº»¿-ɏЀ-ҁҊ-ԯ‐-‧‰-⁞]")
 WORD_END = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+#: A comma or full stop beside another sign, which are one word; elsewhere they are words of their own.
+SIGNS = re.compile(r"[,.](?:(?=[^\w\s]|_)|(?<=[^\w\s][,.])|(?<=_[,.]))")
+
+
+def chunks(text: str) -> list[str]:
+    """Pieces of a normalised text that no word spans, cut at white space, commas and full stops."""
+    return text.split() if SIGNS.search(text) else text.replace(",", " , ").replace(".", " . ").split()
+
+
 class WordTable:
-    """For vocabularies that lower-case, drop white space and mark word ends."""
+    """For vocabularies that lower-case, drop white space and mark word ends.
+
+    The table's keys are chunks(), as no pre-token spans two of them;
+    the pre-tokenizer's pattern then only runs over new entries.  Entries that fell out of use leave the table a generation at a time, so that it
+    holds at most twice ``limit`` of them and the common ones stay."""
 
-    def __init__(self, path: str, limit: int = 250_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 300_000):
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.limit, self.table = limit, {}
+        self.merges = Tokenizer(self.tokenizer.model)  # for words that are normalised and split
+        self.merges.pre_tokenizer = Sequence([Split(Regex("\n"), "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.limit, self.table, self.old = limit, {}, {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
 
     def plain(self, text: str) -> bool:
-        if text.isascii():
-            return "<|" not in text and not UNSAFE.search(text)
-        return not UNSAFE.search(text) and "<|" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text)
+        if UNSAFE.search(text) or "<|" in text:
+            return False
+        return text.isascii() or ("\u0130" not in text and unicodedata.is_normalized("NFC", text))
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """One pass over many new words at once: each word's ids end with a word-end piece."""
-        if len(self.table) + len(words) > self.limit:
-            self.table.clear()
-        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):  # a piece that no word end closes: one word at a time
-            self.table.update((w, self.direct(w)) for w in words)
+    def learn(self, chunks: list[str]) -> None:
+        """One pass over many new entries at once: each word's ids end with a word-end piece."""
+        words = [WORD_END.findall(c) for c in chunks]
+        ids = np.array(self.merges.encode_batch_fast(["\n".join(w for ws in words for w in ws)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+        last = np.cumsum([len(ws) for ws in words])
+        if len(ends) != last[-1] + 1:  # a piece that no word end closes: one entry at a time
+            self.table.update((c, self.direct(c)) for c in chunks)
             return
         raw, at = ids.tobytes(), 0
-        for w, end in zip(words, (ends * 4).tolist(), strict=True):
-            self.table[w] = raw[at:end]
+        for c, end in zip(chunks, (ends[last] * 4).tolist(), strict=True):
+            self.table[c] = raw[at:end]
             at = end
 
-    def encode_batch(self, texts: list[str], group: int = 64) -> list[bytes]:
+    def encode_batch(self, texts: list[str], group: int = 128) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
         for lo in range(0, len(texts), group):
-            part = [WORD_END.findall(t.lower()) if self.plain(t) else None for t in texts[lo : lo + group]]
-            new = {w for words in part if words for w in words if w not in self.table}
-            if new:
-                self.learn(sorted(new))
-                if len(self.table) < len(new) or any(w not in self.table for words in part if words for w in words):
-                    self.learn(sorted({w for words in part if words for w in words if w not in self.table}))
+            part = [chunks(t.lower()) if self.plain(t) else None for t in texts[lo : lo + group]]
+            if len(self.table) > self.limit:
+                self.table, self.old = {}, self.table
+            if new := set().union(*(words for words in part if words)).difference(self.table):
+                back = [w for w in new if w in self.old]
+                self.table.update((w, self.old[w]) for w in back)
+                if new := sorted(new.difference(back)):
+                    self.learn(new)
             get = self.table.__getitem__
             out += [self.direct(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts[lo : lo + group], part, strict=True)]
         return out
