@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, idfiles, packing
+from . import bpe, exact_dedup, idfiles, packing, quality
 
 
 def _tokenizer(name: str) -> str:
@@ -25,6 +25,10 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_tokens")
 
 
+def op5_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.robust_quality(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = idfiles.write_id_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return idfiles.read_id_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -42,6 +46,7 @@ def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
+        "op5_mcd_outliers": op5_mcd_outliers,
         "op7_mixing_coder": op7_mixing_coder,
         "op8_extendible_dedup": op8_extendible_dedup,
         "op10_word_table_bpe": op10_word_table_bpe,
