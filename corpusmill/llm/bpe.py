@@ -1,17 +1,18 @@
 """BPE encoding and decoding through a table of distinct words.
 
 1. Map tasks split the texts into pre-token words, a block of rows at a time.  A
-   block keeps, per row, the positions of its words as numbers into the block's own
-   word list (most frequent first, compressed), and asks for each of its words once:
-   one packed message per block and shard of the word table.
+   block writes a file to the shared folder with the word at each position, as a
+   number into the block's own word list (most frequent first, compressed), and asks
+   for each of its words once: one packed message per block and shard of the word table.
 2. The shard that owns a word by its hash encodes it once, however many blocks ask,
    and answers each block in the order of its question.
-3. Each block meets its answers again by an equi-join on the block, looks up the ids
+3. A block's answers meet again by its number; its task reads its file, looks up the ids
    of every position, and decodes them through the id-to-piece table, whose size is
    that of the vocabulary.
 
 What moves is one word per block and distinct word, not one per occurrence, so a
-word that makes up a third of all text costs no more than any other.
+word that makes up a third of all text costs no more than any other.  A task that runs
+again writes the same files under the same names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import os
 import re
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -28,9 +28,8 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import id_text, rows_of, small_batches, stored, tasks
+from .common import atomic_output, id_text, open_store, rows_of, shared_dir, small_batches, tasks
 from .words import UNSAFE
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -113,38 +112,53 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-BLOCK = "block long, shard int, data binary"
+ASK = "block long, shard int, data binary"
 _NAMES = ["block", "shard", "data"]
 
 
-def _block(number: int, ids: list[int], split: list[list[str]], shards: int) -> pa.RecordBatch:
-    count = Counter(w for words in split for w in words)
-    local = [w for w, _ in count.most_common()]
-    place = {w: i for i, w in enumerate(local)}
-    flat = np.fromiter((place[w] for words in split for w in words), np.uint32, sum(map(len, split)))
-    head = struct.pack("<III", len(ids), len(local), shards) + np.array(ids, "<i8").tobytes() + np.array([len(w) for w in split], "<u4").tobytes()
-    owned: list[list[str]] = [[] for _ in range(shards)]
-    for w in local:
-        owned[zlib.crc32(w.encode()) % shards].append(w)
-    order = np.fromiter((place[w] for words in owned for w in words), np.uint32, len(local))  # answers come in this order
-    body = zstandard.compress(head + np.array([len(o) for o in owned], "<u4").tobytes() + order.astype("<u4").tobytes() + planes(flat), 3)
-    rows = [(number, -1, body)] + [(number, k, pack_words(o)) for k, o in enumerate(owned) if o]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=_NAMES)
+class Numbers(dict):
+    """Numbers keys in order of appearance."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
 
 
-def _split_blocks(tokenizer: str, shards: int, block_chars: int):
+def _write_block(store, path: str, number: int, ids: list[int], places: list[np.ndarray], numbers: Numbers, shards: int) -> pa.RecordBatch:
+    """Write a block's positions to its file; returns its questions."""
+    flat = np.concatenate(places) if places else np.zeros(0, np.uint32)
+    order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")  # frequent words get small numbers
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    owned: list[list[str]] = [[] for _ in range(shards)]
+    asked: list[list[int]] = [[] for _ in range(shards)]
+    for i, w in enumerate(numbers):
+        k = zlib.crc32(w.encode()) % shards
+        owned[k].append(w)
+        asked[k].append(i)
+    answered = rank[np.fromiter((i for a in asked for i in a), np.int64, len(rank))]
+    head = struct.pack("<III", len(ids), len(rank), shards) + np.array(ids, "<i8").tobytes() + np.array([len(p) for p in places], "<u4").tobytes()
+    with atomic_output(store, path) as out:
+        out.write(zstandard.compress(head + np.array([len(o) for o in owned], "<u4").tobytes() + answered.astype("<u4").tobytes() + planes(rank[flat]), 3))
+    rows = [(k, pack_words(o)) for k, o in enumerate(owned) if o] or [(number % shards, pack_words([]))]
+    return pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=_NAMES)
+
+
+def _split_blocks(tokenizer: str, folder: str, shards: int, block_chars: int):
     def run(batches: Iterable[pa.RecordBatch]):
+        store, root = open_store(folder)
         bpe, number = byte_bpe(tokenizer), TaskContext.get().partitionId() << 24
-        ids, split, held = [], [], 0
+        ids, places, numbers, held = [], [], Numbers(), 0
         for doc, text in rows_of(batches):
+            words = bpe.split(text)
             ids.append(doc)
-            split.append(bpe.split(text))
+            places.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
             held += len(text)
             if held >= block_chars:
-                yield _block(number, ids, split, shards)
-                ids, split, held, number = [], [], 0, number + 1
+                yield _write_block(store, f"{root}/{number}.blk", number, ids, places, numbers, shards)
+                ids, places, numbers, held, number = [], [], Numbers(), 0, number + 1
         if ids:
-            yield _block(number, ids, split, shards)
+            yield _write_block(store, f"{root}/{number}.blk", number, ids, places, numbers, shards)
 
     return run
 
@@ -174,13 +188,15 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _join_back(tokenizer: str):
-    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+def _join_back(tokenizer: str, folder: str):
+    def run(answers: pa.Table) -> pa.Table:
+        store, root = open_store(folder)
         bpe = byte_bpe(tokenizer)
         given = dict(zip(answers.column(1).to_pylist(), answers.column(2).to_pylist(), strict=True))
         docs, tokens, encoded, decoded = [], [], [], []
-        for body in blocks.column(2).to_pylist():
-            raw = zstandard.decompress(body)
+        for block in set(answers.column(0).to_pylist()):
+            with store.open_input_file(f"{root}/{block}.blk") as f:
+                raw = zstandard.decompress(f.read())
             n, words, shards = struct.unpack_from("<III", raw)
             doc_ids = np.frombuffer(raw, "<i8", n, 12)
             lengths = np.frombuffer(raw, "<u4", n, 12 + 8 * n).astype(np.int64)
@@ -214,7 +230,7 @@ def _join_back(tokenizer: str):
     return run
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, block_chars: int = 6_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, block_chars: int = 10_000_000) -> DataFrame:
     """Ids of each whole text, and the text that they decode to.
 
     Columns: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded.  Special
@@ -224,9 +240,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = 2 * tasks(spark)
-    staged = stored(id_text(docs, id_col, text_col).mapInArrow(_split_blocks(tokenizer, shards, block_chars), BLOCK), "bpe-blocks")
-    asked = staged.where(F.col("shard") >= 0).repartition(tasks(spark), "shard")
-    answers = asked.mapInArrow(_answer(tokenizer), BLOCK)
-    blocks = staged.where(F.col("shard") < 0)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_back(tokenizer), RESULT)
+    folder = shared_dir(spark, "bpe-blocks")
+    store, root = open_store(folder)
+    store.create_dir(root)
+    asked = id_text(docs, id_col, text_col).mapInArrow(_split_blocks(tokenizer, folder, 2 * tasks(spark), block_chars), ASK)
+    answers = asked.repartition(tasks(spark), "shard").mapInArrow(_answer(tokenizer), ASK)
+    return answers.groupBy("block").applyInArrow(_join_back(tokenizer, folder), RESULT)
