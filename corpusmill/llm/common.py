@@ -58,7 +58,7 @@ def atomic_output(store: pafs.FileSystem, path: str):
     """A stream whose file appears under its name only when it is whole, so that a
     retried or speculative task can only replace it by the same content."""
     temp = f"{path}.{uuid.uuid4().hex[:8]}.part"
-    with store.open_output_stream(temp) as out:
+    with store.open_output_stream(temp, compression=None) as out:
         yield out
     store.move(temp, path)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, idfiles, packing, quality
+from . import bpe, exact_dedup, html_text, idfiles, packing, quality, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -25,6 +25,11 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_tokens")
 
 
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.robust_quality(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -38,6 +43,10 @@ def op8_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.extendible_dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -46,9 +55,11 @@ def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
+        "op3_warc_segments": op3_warc_segments,
         "op5_mcd_outliers": op5_mcd_outliers,
         "op7_mixing_coder": op7_mixing_coder,
         "op8_extendible_dedup": op8_extendible_dedup,
+        "op9_layout_text": op9_layout_text,
         "op10_word_table_bpe": op10_word_table_bpe,
     }
 
