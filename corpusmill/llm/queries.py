@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, idfiles, packing, quality, warc
+from . import bpe, exact_dedup, html_text, idfiles, near_dedup, packing, quality, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -34,6 +34,10 @@ def op5_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.robust_quality(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = idfiles.write_id_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return idfiles.read_id_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_harmonic_packing": op1_harmonic_packing,
         "op3_warc_segments": op3_warc_segments,
         "op5_mcd_outliers": op5_mcd_outliers,
+        "op6_probminhash": op6_probminhash,
         "op7_mixing_coder": op7_mixing_coder,
         "op8_extendible_dedup": op8_extendible_dedup,
         "op9_layout_text": op9_layout_text,
