@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, idfiles, near_dedup, packing, quality, warc
+from . import bpe, exact_dedup, html_text, idfiles, near_dedup, packing, quality, substring_dedup, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -30,6 +30,11 @@ def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.robust_quality(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
         "op3_warc_segments": op3_warc_segments,
+        "op4_two_stage_suffixes": op4_two_stage_suffixes,
         "op5_mcd_outliers": op5_mcd_outliers,
         "op6_probminhash": op6_probminhash,
         "op7_mixing_coder": op7_mixing_coder,
