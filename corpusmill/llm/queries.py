@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, idfiles, near_dedup, packing, quality, substring_dedup, warc
+from . import bpe, exact_dedup, html_text, idfiles, near_dedup, ngram_lm, packing, quality, substring_dedup, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -25,6 +25,10 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_tokens")
 
 
+def op2_elias_fano_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,6 +68,7 @@ def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
+        "op2_elias_fano_trigrams": op2_elias_fano_trigrams,
         "op3_warc_segments": op3_warc_segments,
         "op4_two_stage_suffixes": op4_two_stage_suffixes,
         "op5_mcd_outliers": op5_mcd_outliers,
