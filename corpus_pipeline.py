@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out whole characters only; documents with nothing left go."""
     out = substring_dedup.remove_repeats(docs, whole_chars=True)
-    cut = out.select(F.col("id").alias("cut_id"), F.decode("kept", F.lit("UTF-8")).alias("cut_text"))
+    cut = out.select(F.col("id").alias("cut_id"), F.decode("kept", "UTF-8").alias("cut_text"))
     named = docs.select(*[c for c in docs.columns if c not in ("text", "n_chars")])
     joined = named.join(cut, F.col("doc_id") == F.col("cut_id")).where("cut_text <> ''")
     new = {"text": F.col("cut_text"), "n_chars": F.length("cut_text").cast("long")}
