@@ -245,4 +245,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     store.create_dir(root)
     asked = id_text(docs, id_col, text_col).mapInArrow(_split_blocks(tokenizer, folder, 2 * tasks(spark), block_chars), ASK)
     answers = asked.repartition(tasks(spark), "shard").mapInArrow(_answer(tokenizer), ASK)
-    return answers.groupBy("block").applyInArrow(_join_back(tokenizer, folder), RESULT)
+    return answers.repartition(tasks(spark), "block").groupBy("block").applyInArrow(_join_back(tokenizer, folder), RESULT)

@@ -240,9 +240,11 @@ def _cut_pieces(folder: str, shards: int, width: int, gram: int):
         place: dict[bytes, int] = {}
         least: list[int] = []
         shard: list[int] = []
+        sub: list[int] = []
         what, where, whose = [], [], []
         data, ids = block.data, block.ids.tolist()
-        deal = (mark[rows] * U(shards) >> U(FP_BITS)).tolist()
+        fine = mark[rows] * U(shards) >> U(FP_BITS - 8)  # shard, and one of 256 parts of it
+        deal = fine.tolist()
         for f, c, s, d, k in zip(first[rows].tolist(), count[rows].tolist(), own[rows].tolist(), doc.tolist(), deal, strict=True):
             for lo, hi in ((f, f + c + width - 1),) if s == 1 else ((i, i + width) for i in range(f, f + c)):
                 piece = data[lo:hi]
@@ -250,7 +252,9 @@ def _cut_pieces(folder: str, shards: int, width: int, gram: int):
                 if i is None:
                     i = place[piece] = len(least)
                     least.append(ids[d])
-                    shard.append(k if s == 1 else zlib.crc32(piece) % shards)
+                    k = k if s == 1 else (h := zlib.crc32(piece)) % shards << 8 | h >> 24
+                    shard.append(k >> 8)
+                    sub.append(k & 255)
                 elif ids[d] < least[i]:
                     least[i] = ids[d]
                 what.append(i)
@@ -270,93 +274,113 @@ def _cut_pieces(folder: str, shards: int, width: int, gram: int):
         out = []
         for k in sorted(by):
             mine = by[k]
-            out.append((k, zstandard.compress(struct.pack("<I", len(mine)) + np.array([len(names[i]) for i in mine], "<u4").tobytes() + np.array([least[i] for i in mine], "<i8").tobytes() + b"".join(names[i] for i in mine), 1)))
+            out.append((k, zstandard.compress(struct.pack("<I", len(mine)) + np.array([len(names[i]) for i in mine], "<u4").tobytes() + np.array([least[i] for i in mine], "<i8").tobytes() + bytes(sub[i] for i in mine) + b"".join(names[i] for i in mine), 1)))
         return pa.Table.from_batches([_message(number, out or [(number % shards, zstandard.compress(struct.pack("<I", 0), 1))])])
 
     return run
 
 
-def repeated_windows(data: bytes, lengths: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
-    """Mask of the windows (by first byte) of pieces that follow each other in data which
+def repeated_windows(text: np.ndarray, lengths: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """Mask of the windows (by first byte) of pieces that follow each other in text which
     also stand in a piece with a smaller owner."""
-    text = np.frombuffer(data, np.uint8)
+    out = np.zeros(len(text), bool)
+    window = np.ones(len(text), bool)
     ends = np.cumsum(lengths)
-    window = np.zeros(len(text), bool)
-    piece = np.repeat(np.arange(len(lengths)), lengths)
-    room = ends[piece] - np.arange(len(text))  # bytes to the piece's end
-    window[room >= width] = True
+    for k in range(1, width):  # no window starts in the last bytes of a piece
+        window[ends[lengths >= k] - k] = False
     keys = words8(text)
     sa = suffix_array(text, depth=-(-width // 8) * 8, wanted=window, keys=keys)
-    out = np.zeros(len(text), bool)
     if len(sa):
         same = adjacent_prefixes(keys, sa, width) >= width
         lead = np.flatnonzero(~same)
-        mine = owner[piece[sa]]
+        mine = owner[np.searchsorted(ends, sa, "right")]
         least = np.minimum.reduceat(mine, lead)[np.cumsum(~same) - 1]
         out[sa[least < mine]] = True
     return out
 
 
+def covered_runs(pieces_: list[bytes], owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, end) of the runs of bytes in windows that smaller owners have, in order."""
+    lengths = np.array([len(p) for p in pieces_], np.int64)
+    base = np.concatenate(([0], np.cumsum(lengths)))
+    n = int(base[-1])
+    gone = np.flatnonzero(repeated_windows(np.frombuffer(b"".join(pieces_), np.uint8), lengths, owner, width))
+    mark = np.zeros(n + 1, np.int32)
+    mark[gone] += 1
+    mark[gone + width] -= 1  # windows of one piece end at different bytes, and never beyond it
+    covered = np.concatenate((np.cumsum(mark)[:-1] > 0, [False]))
+    before = np.concatenate(([False], covered[:-1]))
+    before[base] = False  # runs end with their piece
+    begin = np.flatnonzero(covered & ~before)
+    stop = covered.copy()
+    stop[:-1] &= ~covered[1:]
+    stop[base[1:][lengths > 0] - 1] |= covered[base[1:][lengths > 0] - 1]
+    end = np.flatnonzero(stop) + 1
+    of = np.searchsorted(base, begin, "right") - 1
+    return of, begin - base[of], end - base[of]
+
+
+#: Bytes of pieces that are sorted at a time; a shard's parts are put together up to it.
+SORT_BYTES = 1_500_000
+
+
 def _sort_shard(width: int):
     """For each message, the byte ranges of each of its pieces that smaller ids have."""
 
     def run(sent: pa.Table) -> pa.Table:
-        sizes, lengths, owners, data = [], [], [], []
+        sizes, owners, which, least, part = [], [], [], [], []
+        place: dict[bytes, int] = {}  # equal pieces of several blocks are sorted once, under their least id
         for packed in sent.column(2).to_pylist():
             raw = zstandard.decompress(packed)
             n = struct.unpack_from("<I", raw)[0]
             sizes.append(n)
-            lengths.append(np.frombuffer(raw, "<u4", n, 4).astype(np.int64))
-            owners.append(np.frombuffer(raw, "<i8", n, 4 + 4 * n))
-            data.append(raw[4 + 12 * n :])
-        # equal pieces of several blocks are sorted once, under their least id
-        place: dict[bytes, int] = {}
-        which, least = [], []
-        for n, size, owner, d in zip(sizes, lengths, owners, data, strict=True):
-            at = 0
-            for length, o in zip(size.tolist(), owner.tolist(), strict=True):
-                piece = d[at : at + length]
-                at += length
+            ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype(np.int64)) + 4 + 13 * n
+            owner = np.frombuffer(raw, "<i8", n, 4 + 4 * n)
+            owners.append(owner)
+            at = 4 + 13 * n
+            for end, o, k in zip(ends.tolist(), owner.tolist(), raw[4 + 12 * n : at], strict=True):
+                piece = raw[at:end]
+                at = end
                 i = place.setdefault(piece, len(least))
                 if i == len(least):
                     least.append(o)
+                    part.append(k)
                 elif o < least[i]:
                     least[i] = o
                 which.append(i)
-        names, least = list(place), np.array(least, np.int64)
+        names, least, which = list(place), np.array(least, np.int64), np.array(which, np.int64)
+        place.clear()
         plen = np.array([len(p) for p in names], np.int64)
-        gone = repeated_windows(b"".join(names), plen, least, width)
-        base = np.concatenate(([0], np.cumsum(plen)))
-        # runs of covered bytes per piece
-        mark = np.zeros(len(gone) + 1, np.int64)
-        at = np.flatnonzero(gone)
-        mark[: len(gone)] += gone
-        np.add.at(mark, at + width, -1)
-        covered = np.cumsum(mark)[:-1] > 0
-        edge = np.diff(np.concatenate(([0], covered.astype(np.int8), [0])))
-        head = np.zeros(len(gone) + 1, bool)
-        head[base[:-1]] = True  # runs end with their piece
-        begin = np.flatnonzero((edge == 1)[: len(gone)] | (covered & head[: len(gone)]))
-        finish = np.minimum(base[1:][np.searchsorted(base, begin, "right") - 1], np.flatnonzero(edge == -1)[np.searchsorted(np.flatnonzero(edge == -1), begin, "right")]) if len(begin) else begin
-        of = np.searchsorted(base, begin, "right") - 1
+        order = np.argsort(np.array(part, np.uint8), kind="stable")
+        volume, begin = np.bincount(np.array(part, np.int64), plen, 256), np.searchsorted(np.array(part, np.uint8)[order], np.arange(257))
+        found, lo = [], 0
+        while lo < 256:  # equal windows are in the same part
+            hi = lo + 1
+            while hi < 256 and volume[lo : hi + 1].sum() <= SORT_BYTES:
+                hi += 1
+            rows = order[begin[lo] : begin[hi]]
+            if len(rows):
+                of, a, b = covered_runs([names[i] for i in rows.tolist()], least[rows], width)
+                found.append((rows[of], a, b))
+            lo = hi
+        of, start, stop = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(of, kind="stable")
+        of, start, stop = of[order], start[order], stop[order]
         runs_at = np.searchsorted(of, np.arange(len(names) + 1))
         out, at = [], 0
-        which = np.array(which, np.int64)
         for n, owner in zip(sizes, owners, strict=True):
             w = which[at : at + n]
             at += n
             whole = least[w] < owner  # a smaller id of another block has the whole piece
-            count = np.where(whole, 1, runs_at[w + 1] - runs_at[w])
-            start, stop = [], []
-            for i, all_of_it in zip(w.tolist(), whole.tolist(), strict=True):
-                if all_of_it:
-                    start.append(0)
-                    stop.append(plen[i])
-                else:
-                    for r in range(runs_at[i], runs_at[i + 1]):
-                        start.append(begin[r] - base[i])
-                        stop.append(finish[r] - base[i])
-            out.append(zstandard.compress(struct.pack("<II", n, len(start)) + np.array(count, "<u4").tobytes() + np.array(start, "<u4").tobytes() + np.array(stop, "<u4").tobytes(), 1))
+            first, count = runs_at[w], np.where(whole, 0, runs_at[w + 1] - runs_at[w])
+            take = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            at_piece = np.cumsum(count + whole) - count - whole
+            a, b = np.zeros(int((count + whole).sum()), np.int64), np.zeros(int((count + whole).sum()), np.int64)
+            b[at_piece[whole]] = plen[w[whole]]
+            free = np.ones(len(a), bool)
+            free[at_piece[whole]] = False
+            a[free], b[free] = start[take], stop[take]
+            out.append(zstandard.compress(struct.pack("<II", n, len(a)) + (count + whole).astype("<u4").tobytes() + a.astype("<u4").tobytes() + b.astype("<u4").tobytes(), 1))
         return pa.table([sent.column(0), sent.column(1), pa.array(out, pa.binary())], names=_NAMES)
 
     return run
@@ -435,7 +459,7 @@ def char_bounds(text: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 50, gram: int = 20, hot: int = 512, block_bytes: int = 6_000_000, whole_chars: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 50, gram: int = 20, hot: int = 512, block_bytes: int = 4_000_000, whole_chars: bool = False) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, spans (maximal removed runs), kept (the
     remaining bytes, joined).
 
@@ -450,8 +474,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     store, root = open_store(folder)
     store.create_dir(root)
     shards = 4 * tasks(spark)
+    dealt = lambda df, key: df.repartition(tasks(spark), key).groupBy(key)  # noqa: E731  packed rows are small and costly, so partitions are not joined by size
     asked = id_text(docs, id_col, text_col).mapInArrow(_ask(folder, shards, width, gram, block_bytes), _MESSAGE)
-    counted = asked.groupBy("shard").applyInArrow(_count(hot), _MESSAGE)
-    sent = counted.groupBy("block").applyInArrow(_cut_pieces(folder, shards, width, gram), _MESSAGE)
-    judged = sent.groupBy("shard").applyInArrow(_sort_shard(width), _MESSAGE)
-    return judged.groupBy("block").applyInArrow(_merge(folder, whole_chars), RESULT)
+    counted = dealt(asked, "shard").applyInArrow(_count(hot), _MESSAGE)
+    sent = dealt(counted, "block").applyInArrow(_cut_pieces(folder, shards, width, gram), _MESSAGE)
+    judged = dealt(sent, "shard").applyInArrow(_sort_shard(width), _MESSAGE)
+    return dealt(judged, "block").applyInArrow(_merge(folder, whole_chars), RESULT)
