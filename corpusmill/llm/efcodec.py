@@ -17,26 +17,20 @@ U = np.uint64
 
 
 def pack_bits(x: np.ndarray, width: int) -> np.ndarray:
-    """Numbers of width bits one after the other, as bytes."""
+    """Numbers of width (up to 57) bits one after the other, as bytes, and eight more bytes."""
     if not width or not len(x):
-        return np.zeros(0, np.uint8)
+        return np.zeros(8, np.uint8)
     bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - width :]
-    return np.packbits(bits.reshape(-1))
+    return np.concatenate((np.packbits(bits.reshape(-1)), np.zeros(8, np.uint8)))
 
 
 def unpack_bits(raw: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
-    """The numbers at the places at; reads only their bytes."""
+    """The numbers at the places at; reads only the eight bytes that each starts in."""
     if not width:
         return np.zeros(len(at), np.uint64)
     bit = at.astype(np.int64) * width
-    byte, shift = bit >> 3, (bit & 7).astype(np.uint64)
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << U(8)) | raw[np.minimum(byte + k, len(raw) - 1)]
-    nine = raw[np.minimum(byte + 8, len(raw) - 1)].astype(np.uint64)
-    if width > 56:
-        return ((out << shift) | (nine >> (U(8) - shift))) >> U(64 - width)
-    return (out << shift) >> U(64 - width)
+    from_each_byte = np.ndarray((len(raw) - 7,), ">u8", np.ascontiguousarray(raw), strides=(1,))
+    return (from_each_byte[bit >> 3].astype(np.uint64) << (bit & 7).astype(np.uint64)) >> U(64 - width)
 
 
 class EliasFano:
@@ -49,7 +43,7 @@ class EliasFano:
     @classmethod
     def of(cls, x: np.ndarray) -> EliasFano:
         x, n = x.astype(np.uint64), len(x)
-        width = max(0, int(int(x[-1]) // n).bit_length() - 1) if n else 0
+        width = min(57, max(0, int(int(x[-1]) // n).bit_length() - 1)) if n else 0
         high = np.zeros((int(x[-1]) >> width) + n + 1 if n else 0, np.uint8)
         high[(x >> U(width)).astype(np.int64) + np.arange(n)] = 1
         return cls(n, width, pack_bits(x & U((1 << width) - 1), width), np.packbits(high))
@@ -127,7 +121,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         x = np.asarray(x).astype("<u8")
         width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
         out += [struct.pack("<QB", len(x), width), np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
-    return zstandard.compress(b"".join(out), 1)
+    return zstandard.compress(b"".join(out), 3)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:

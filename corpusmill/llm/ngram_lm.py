@@ -57,7 +57,7 @@ SHARES = np.append(10.0 ** (-STEP * np.arange(ABSENT)), 0.0)
 
 def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct values, place of each key among them)."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s = key[order]
     new = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
     place = np.empty(len(key), np.int64)
@@ -209,8 +209,10 @@ class Pairs:
         self.contexts, place = grouped(ctx)
         self.context_word = np.zeros(len(self.contexts), np.int64)
         self.context_word[place] = cv
-        succ = (self.hash[w] << bits) >> U(32)
-        order = np.lexsort((succ, place[: len(v)]))
+        # successors of a context by as many bits as its count calls for; one in 2**14 meets another
+        wide = np.clip(14 + np.ceil(np.log2(np.append(counts, texts) + 1.0)), 16, 32).astype(np.uint64)[v]
+        succ = (self.hash[w] << bits) >> (U(64) - wide)
+        order = np.argsort(place[: len(v)].astype(np.uint64) << U(32) | succ)
         self.v, self.w, self.part, self.succ, self.ctx = v[order], w[order], part[order], succ[order], place[: len(v)][order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -299,7 +301,7 @@ class Triples:
         shard = p.shard_of_context[p.ctx]
         heads, _ = grouped(first.astype(np.uint64))
         heads = heads.astype(np.int64)
-        order = np.lexsort((node[heads], shard[heads]))
+        order = np.argsort(shard[heads].astype(np.uint64) << U(40) | node[heads].astype(np.uint64))
         self.heads = heads[order]  # pairs that are contexts
         number = np.full(len(p.v), -1, np.int64)
         number[self.heads] = np.arange(len(heads))
@@ -413,7 +415,7 @@ def _score(folder: str, shards: int, texts: int, total: int, distinct: int, d1:
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, d2: float = 0.75, d3: float = 0.75, least: int = 2, block_chars: int = 10_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, d2: float = 0.75, d3: float = 0.75, least: int = 2, block_chars: int = 12_000_000) -> DataFrame:
     """Train on the rows whose crc32(id) mod 7 is not 2 and score all rows.
 
     Columns: id, held_out, n_tokens (words and one end), n_known (tokens seen in training),
@@ -429,14 +431,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     store, root = open_store(folder)
     store.create_dir(root)
     shards = 4 * tasks(spark)
+    dealt = lambda df, key: df.repartition(tasks(spark), key).groupBy(key)  # noqa: E731  packed rows are small and costly, so partitions are not joined by size
     asked = id_text(docs, id_col, text_col).mapInArrow(_ask_words(folder, shards, block_chars), _MESSAGE)
-    words = stored(asked.groupBy("shard").applyInArrow(_count_words, COUNTED), "ngram-words")
+    words = stored(dealt(asked, "shard").applyInArrow(_count_words, COUNTED), "ngram-words")
     total, distinct, n1, n2 = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("v"), F.sum("n1"), F.sum("n2")).first())
     d1 = n1 / (n1 + 2 * n2) if n1 else 0.0
     texts = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").where(F.crc32(F.col("id").cast("string").cast("binary")) % 7 != 2).count()
     args = (folder, shards, texts, total)
-    pairs = words.select("block", "shard", "data").groupBy("block").applyInArrow(_ask_pairs(*args), _MESSAGE)
-    answered = pairs.groupBy("shard").applyInArrow(_answer_pairs(folder, d2), _MESSAGE)
-    triples = answered.groupBy("block").applyInArrow(_ask_triples(*args), _MESSAGE)
-    scored = triples.groupBy("shard").applyInArrow(_answer_triples(folder, d3, least), _MESSAGE)
-    return scored.groupBy("block").applyInArrow(_score(*args, distinct, d1, d2), RESULT)
+    pairs = dealt(words.select("block", "shard", "data"), "block").applyInArrow(_ask_pairs(*args), _MESSAGE)
+    answered = dealt(pairs, "shard").applyInArrow(_answer_pairs(folder, d2), _MESSAGE)
+    triples = dealt(answered, "block").applyInArrow(_ask_triples(*args), _MESSAGE)
+    scored = dealt(triples, "shard").applyInArrow(_answer_triples(folder, d3, least), _MESSAGE)
+    return dealt(scored, "block").applyInArrow(_score(*args, distinct, d1, d2), RESULT)
