@@ -22,6 +22,7 @@ share of all tokens are split by their successors' hashes.
 from __future__ import annotations
 
 import mmap
+import struct
 import zlib
 from collections.abc import Iterable
 
@@ -116,12 +117,19 @@ class Tokens:
         self.start[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = True
 
     def dump(self) -> bytes:
-        return pack(self.ids.view(np.uint64), self.lengths, self.words, self.flat)
+        # frequent words get small numbers, which pack better
+        order = np.argsort(-np.bincount(self.flat, minlength=len(self.words)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return pack(self.ids.view(np.uint64), self.lengths, self.words[order], rank[self.flat])
 
     @classmethod
     def load(cls, data: bytes) -> Tokens:
         ids, lengths, words, flat = unpack(data)
-        return cls(ids.view(np.int64), lengths, words, flat)
+        order = np.argsort(words)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls(ids.view(np.int64), lengths, words[order], place[flat.astype(np.int64)])
 
     def count(self, place: np.ndarray, n: int, where: np.ndarray | None = None) -> np.ndarray:
         """Training occurrences of each of n things, by the place of each token's."""
@@ -271,7 +279,7 @@ def _answer_pairs(folder: str, discount: float):
             k, q = place[ctx : ctx + len(m)], slice(at, at + int(g[2].sum()))
             ctx, at = ctx + len(m), q.stop
             twice = many[q] > 0
-            out.append(pack(lo[k], hi[k] - lo[k], code[q], many[q], (node[q] - lo[parent[q]])[twice]))
+            out.append(pack(np.diff(lo[k], prepend=0), hi[k] - lo[k], code[q], many[q], (node[q] - lo[parent[q]])[twice]))
         return _replies(asked, out)
 
     return run
@@ -284,7 +292,7 @@ class Answered:
     """What the shards said about a block's contexts and pairs."""
 
     def __init__(self, data: list[bytes]):
-        got = [x for d in data if (x := unpack(d))]
+        got = [[np.cumsum(x[0]), *x[1:]] for d in data if (x := unpack(d))]
         self.first, self.children, self.code, self.many, place = (np.concatenate([g[i] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64) for i in range(5))
         self.place = np.full(len(self.many), -1, np.int64)
         self.place[self.many > 0] = place
@@ -330,7 +338,7 @@ def _ask_triples(folder: str, shards: int, texts: int, total: int):
         number = answers.column(0)[0].as_py()
         store, root, t, _, p = _block(folder, number, shards, texts, total)
         a = Answered(_joined(answers))
-        _save(store, f"{root}/{number}.two", pack(a.first, a.children, a.code, a.many, a.place[a.many > 0]))
+        _save(store, f"{root}/{number}.two", b"".join(struct.pack("<I", len(d)) + d for d in _joined(answers)))
         q = Triples(t, p, a, shards)
         on = q.triple >= 0
         c = t.count(q.triple[on], len(q.relative), q.token[on])
@@ -383,8 +391,12 @@ def _score(folder: str, shards: int, texts: int, total: int, distinct: int, d1:
     def run(answers: pa.Table) -> pa.Table:
         number = answers.column(0)[0].as_py()
         store, root, t, counts, p = _block(folder, number, shards, texts, total)
-        first, children, code, many, place = (x.astype(np.int64) for x in (unpack(_load(store, f"{root}/{number}.two")) or [np.zeros(0)] * 5))
-        a = Answered([pack(first, children, code, many, place)]) if len(first) else Answered([])
+        two, at, said = _load(store, f"{root}/{number}.two"), 0, []
+        while at < len(two):
+            size = struct.unpack_from("<I", two, at)[0]
+            said.append(two[at + 4 : at + 4 + size])
+            at += 4 + size
+        a = Answered(said)
         q = Triples(t, p, a, shards)
         got = [x for d in _joined(answers) if (x := unpack(d))]
         rest = np.concatenate([g[0] for g in got]).astype(float) / 65535 if got else np.zeros(0)
@@ -392,11 +404,11 @@ def _score(folder: str, shards: int, texts: int, total: int, distinct: int, d1:
         n = max(total, 1)
         p1 = np.where(counts > 0, (counts - d1) / n, max(d1 * distinct, 1.0) / n)
         context_total = np.append(counts, texts).astype(float)
-        types = np.bincount(p.context_word, children.astype(float), len(t.words) + 1)
+        types = np.bincount(p.context_word, a.children.astype(float), len(t.words) + 1)
         back = np.where(context_total > 0, d2 * types / np.maximum(context_total, 1), 1.0)
         back = np.where(types > 0, back, 1.0)
         pair = p.of_token
-        prob = SHARES[code[pair]] + back[p.v[pair]] * p1[p.w[pair]] if len(pair) else np.zeros(0)
+        prob = SHARES[a.code[pair]] + back[p.v[pair]] * p1[p.w[pair]] if len(pair) else np.zeros(0)
         if len(q.token):
             share = np.where(q.triple >= 0, SHARES[code3[np.maximum(q.triple, 0)]] if len(code3) else 0.0, 0.0)
             prob[q.token] = share + rest[q.head] * prob[q.token]
@@ -415,7 +427,7 @@ def _score(folder: str, shards: int, texts: int, total: int, distinct: int, d1:
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, d2: float = 0.75, d3: float = 0.75, least: int = 2, block_chars: int = 12_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, d2: float = 0.75, d3: float = 0.75, least: int = 2, block_chars: int = 15_000_000) -> DataFrame:
     """Train on the rows whose crc32(id) mod 7 is not 2 and score all rows.
 
     Columns: id, held_out, n_tokens (words and one end), n_known (tokens seen in training),

@@ -6,8 +6,9 @@ it also starts in a text with a smaller id.
 1. Every window has a minimiser, the least hash of its ``gram``-byte strings, and neighbouring
    windows with the same one form a piece.  Equal windows have equal minimisers, so only
    pieces whose minimiser is in two texts can matter.  A block of texts keeps its texts in
-   a file in the shared folder and asks for its minimisers, each once, in packed
-   messages to the shards that count them.
+   a file in the shared folder, learns which of them are equal (by 128-bit hashes) to one with
+   a smaller id, whose windows say nothing new, and asks for the other texts'
+   minimisers, each once, in packed messages to the shards that count them.
 2. With the answers each block cuts the pieces that matter out of its texts and sends each
    different piece once, with the least id that has it, to the shard of its minimiser.
    Minimisers in very many texts are dealt out window by window instead, by the
@@ -29,6 +30,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -146,9 +148,12 @@ def _save(store, path: str, data: bytes) -> None:
         out.write(data)
 
 
-def _distinct_marks(block: Block, width: int, gram: int):
-    """The block's pieces, its sorted distinct minimisers, and in how many ids each is (up to 255)."""
+def _distinct_marks(block: Block, copies: bytes, width: int, gram: int):
+    """The pieces of the block's texts but copies, their sorted distinct minimisers, and in how
+    many ids each is (up to 255)."""
     first, count, mark = pieces(block.text, block.edges, width, gram)
+    own = np.frombuffer(copies, np.uint8)[block.doc_of(first)] == 0 if len(first) else np.zeros(0, bool)
+    first, count, mark = first[own], count[own], mark[own]
     rank = np.unique(block.ids, return_inverse=True)[1].astype(np.uint64)  # rows with the same id are one text's
     pair = np.sort((mark << U(24)) | rank[block.doc_of(first)]) if len(first) else mark
     if len(pair):
@@ -158,25 +163,21 @@ def _distinct_marks(block: Block, width: int, gram: int):
     return first, count, mark, of[lead], np.minimum(np.diff(np.append(lead, len(of))), 255)
 
 
-def _ask(folder: str, shards: int, width: int, gram: int, block_bytes: int):
+def _ask_copies(folder: str, shards: int, block_bytes: int):
+    """Write the blocks; ask who has the least id of each text."""
+
     def run(batches: Iterable[pa.RecordBatch]):
         store, root = open_store(folder)
         number = TaskContext.get().partitionId() << 24
         ids, texts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            block = Block.of(ids, texts)
-            _save(store, f"{root}/{number}.txt", block.pack())
-            _, _, _, marks, docs = _distinct_marks(block, width, gram)
-            cut = np.searchsorted(marks, (np.arange(shards + 1, dtype=np.uint64) << U(FP_BITS)) // U(shards))
-            rows = []
-            for k in range(shards):
-                part = slice(cut[k], cut[k + 1])
-                m = marks[part]
-                if len(m):
-                    step = np.diff(np.concatenate((np.zeros(1, np.uint64), m)))
-                    rows.append((k, zstandard.compress(struct.pack("<I", len(m)) + _planes(step, 5) + docs[part].astype(np.uint8).tobytes(), 1)))
-            return _message(number, rows or [(number % shards, zstandard.compress(struct.pack("<I", 0), 1))])
+            _save(store, f"{root}/{number}.txt", Block.of(ids, texts).pack())
+            parts: dict[int, list[bytes]] = {}
+            for doc, t in zip(ids, texts, strict=True):
+                h = xxhash.xxh3_128_digest(t)
+                parts.setdefault(int.from_bytes(h[:4], "little") % shards, []).append(h + struct.pack("<q", doc))
+            return _message(number, [(k, b"".join(x)) for k, x in sorted(parts.items())])
 
         for doc, text in rows_of(batches):
             ids.append(doc)
@@ -191,6 +192,39 @@ def _ask(folder: str, shards: int, width: int, gram: int, block_bytes: int):
     return run
 
 
+def _find_copies(asked: pa.Table) -> pa.Table:
+    """For each text of each message, whether an equal one has a smaller id."""
+    messages = [[(x[i : i + 16], struct.unpack_from("<q", x, i + 16)[0]) for i in range(0, len(x), 24)] for x in asked.column(2).to_pylist()]
+    least: dict[bytes, int] = {}
+    for h, doc in (e for m in messages for e in m):
+        if h not in least or doc < least[h]:
+            least[h] = doc
+    return pa.table([asked.column(0), asked.column(1), pa.array([bytes(doc > least[h] for h, doc in m) for m in messages], pa.binary())], names=_NAMES)
+
+
+def _ask_marks(folder: str, shards: int, copy_shards: int, width: int, gram: int):
+    """Ask for the minimisers of the texts that are no copies."""
+
+    def run(answers: pa.Table) -> pa.Table:
+        store, root = open_store(folder)
+        number = answers.column(0)[0].as_py()
+        block = Block.unpack(_load(store, f"{root}/{number}.txt"))
+        given = {k: iter(x) for k, x in zip(answers.column(1).to_pylist(), answers.column(2).to_pylist(), strict=True)}
+        copies = bytes(next(given[int.from_bytes(xxhash.xxh3_128_digest(block.data[a:b])[:4], "little") % copy_shards]) for a, b in zip(block.edges[:-1].tolist(), block.edges[1:].tolist(), strict=True))
+        _save(store, f"{root}/{number}.cpy", copies)
+        _, _, _, marks, docs = _distinct_marks(block, copies, width, gram)
+        cut = np.searchsorted(marks, (np.arange(shards + 1, dtype=np.uint64) << U(FP_BITS)) // U(shards))
+        rows = []
+        for k in range(shards):
+            m = marks[cut[k] : cut[k + 1]]
+            if len(m):
+                step = np.diff(np.concatenate((np.zeros(1, np.uint64), m)))
+                rows.append((k, zstandard.compress(struct.pack("<I", len(m)) + _planes(step, 5) + docs[cut[k] : cut[k + 1]].astype(np.uint8).tobytes(), 1)))
+        return pa.Table.from_batches([_message(number, rows or [(number % shards, zstandard.compress(struct.pack("<I", 0), 1))])])
+
+    return run
+
+
 def _count(hot: int):
     """Answers 0 for a minimiser in one text, 1 in several, 2 in at least hot, in order of each question."""
 
@@ -226,7 +260,7 @@ def _cut_pieces(folder: str, shards: int, width: int, gram: int):
         store, root = open_store(folder)
         number = answers.column(0)[0].as_py()
         block = Block.unpack(_load(store, f"{root}/{number}.txt"))
-        first, count, mark, marks, _ = _distinct_marks(block, width, gram)
+        first, count, mark, marks, _ = _distinct_marks(block, _load(store, f"{root}/{number}.cpy"), width, gram)
         status = []
         for _, data in sorted(zip(answers.column(1).to_pylist(), answers.column(2).to_pylist(), strict=True)):
             raw = zstandard.decompress(data)
@@ -390,7 +424,7 @@ RESULT = "id long, n_bytes long, n_removed long, spans array<struct<start:long,e
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _merge(folder: str, whole_chars: bool):
+def _merge(folder: str, width: int, whole_chars: bool):
     def run(answers: pa.Table) -> pa.Table:
         store, root = open_store(folder)
         number = answers.column(0)[0].as_py()
@@ -426,6 +460,10 @@ def _merge(folder: str, whole_chars: bool):
             p = np.repeat(p, reps)
             np.add.at(mark, p + start[run_of], 1)
             np.add.at(mark, p + stop[run_of], -1)
+        for d in np.flatnonzero(np.frombuffer(_load(store, f"{root}/{number}.cpy"), np.uint8)).tolist():
+            if block.edges[d + 1] - block.edges[d] >= width:  # a copy of a smaller id's text goes as a whole
+                mark[block.edges[d]] += 1
+                mark[block.edges[d + 1]] -= 1
         gone = np.cumsum(mark)[:-1] > 0
         ids, sizes, removed, spans, kept = block.ids.tolist(), [], [], [], []
         edges = block.edges.tolist()
@@ -475,8 +513,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     store.create_dir(root)
     shards = 4 * tasks(spark)
     dealt = lambda df, key: df.repartition(tasks(spark), key).groupBy(key)  # noqa: E731  packed rows are small and costly, so partitions are not joined by size
-    asked = id_text(docs, id_col, text_col).mapInArrow(_ask(folder, shards, width, gram, block_bytes), _MESSAGE)
+    written = id_text(docs, id_col, text_col).mapInArrow(_ask_copies(folder, tasks(spark), block_bytes), _MESSAGE)
+    copies = dealt(written, "shard").applyInArrow(_find_copies, _MESSAGE)
+    asked = dealt(copies, "block").applyInArrow(_ask_marks(folder, shards, tasks(spark), width, gram), _MESSAGE)
     counted = dealt(asked, "shard").applyInArrow(_count(hot), _MESSAGE)
     sent = dealt(counted, "block").applyInArrow(_cut_pieces(folder, shards, width, gram), _MESSAGE)
     judged = dealt(sent, "shard").applyInArrow(_sort_shard(width), _MESSAGE)
-    return dealt(judged, "block").applyInArrow(_merge(folder, whole_chars), RESULT)
+    return dealt(judged, "block").applyInArrow(_merge(folder, width, whole_chars), RESULT)
