@@ -497,7 +497,7 @@ def char_bounds(text: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 50, gram: int = 20, hot: int = 512, block_bytes: int = 4_000_000, whole_chars: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 50, gram: int = 20, hot: int = 16384, block_bytes: int = 4_000_000, whole_chars: bool = False) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, spans (maximal removed runs), kept (the
     remaining bytes, joined).
 
