@@ -114,14 +114,14 @@ class Level:
         return np.where(found, place, -1)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Unsigned arrays by byte planes of the least width, compressed."""
     out = []
     for x in arrays:
         x = np.asarray(x).astype("<u8")
         width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
         out += [struct.pack("<QB", len(x), width), np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
-    return zstandard.compress(b"".join(out), 3)
+    return zstandard.compress(b"".join(out), level)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:

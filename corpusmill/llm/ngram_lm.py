@@ -121,11 +121,12 @@ class Tokens:
         order = np.argsort(-np.bincount(self.flat, minlength=len(self.words)), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return pack(self.ids.view(np.uint64), self.lengths, self.words[order], rank[self.flat])
+        return pack(self.ids.view(np.uint64), self.lengths, np.diff(self.words[order], prepend=U(0)), rank[self.flat], level=9)
 
     @classmethod
     def load(cls, data: bytes) -> Tokens:
         ids, lengths, words, flat = unpack(data)
+        words = np.cumsum(words, dtype=np.uint64)
         order = np.argsort(words)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))

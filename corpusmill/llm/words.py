@@ -40,15 +40,15 @@ class WordTable:
     the pre-tokenizer's pattern then only runs over new entries.  Entries that fell out of use leave the table a generation at a time, so that it
     holds at most twice ``limit`` of them and the common ones stay."""
 
-    def __init__(self, path: str, limit: int = 300_000):
-        from tokenizers import Regex, Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+    def __init__(self, path: str, limit: int = 800_000):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.merges = Tokenizer(self.tokenizer.model)  # for words that are normalised and split
-        self.merges.pre_tokenizer = Sequence([Split(Regex("\n"), "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.limit, self.table, self.old = limit, {}, {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -64,8 +64,10 @@ class WordTable:
 
     def learn(self, chunks: list[str]) -> None:
         """One pass over many new entries at once: each word's ids end with a word-end piece."""
-        words = [WORD_END.findall(c) for c in chunks]
-        ids = np.array(self.merges.encode_batch_fast(["\n".join(w for ws in words for w in ws)], add_special_tokens=False)[0].ids, "<u4")
+        words = [[c] if c.isalpha() else WORD_END.findall(c) for c in chunks]
+        flat = [w for ws in words for w in ws]
+        parts = self.merges.encode_batch_fast([" ".join(flat[i : i + 500]) for i in range(0, len(flat), 500)], add_special_tokens=False)
+        ids = np.concatenate([np.array(p.ids, "<u4") for p in parts]) if parts else np.zeros(0, "<u4")
         ends = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
         last = np.cumsum([len(ws) for ws in words])
         if len(ends) != last[-1] + 1:  # a piece that no word end closes: one entry at a time
@@ -76,7 +78,7 @@ class WordTable:
             self.table[c] = raw[at:end]
             at = end
 
-    def encode_batch(self, texts: list[str], group: int = 128) -> list[bytes]:
+    def encode_batch(self, texts: list[str], group: int = 500) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
         for lo in range(0, len(texts), group):
