@@ -1 +1 @@
-
+"""DataFrame operators: filters, joins, deduplication, aggregates, windows, sampling, sets, validation."""

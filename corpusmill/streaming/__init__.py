@@ -1 +1 @@
-
+"""Extras over streams."""
