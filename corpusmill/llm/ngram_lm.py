@@ -240,7 +240,8 @@ def _ask_pairs(folder: str, shards: int, texts: int, total: int):
         _save(store, f"{root}/{number}.cnt", pack(counts))
         p = Pairs(t, counts, texts, total, shards)
         c = t.count(p.of_token, len(p.v))
-        context_count = np.append(counts, texts)[p.context_word]
+        # a whole context's count is the sum of its pairs'; only the parts of a split one are told it
+        context_count = np.where(p.split[p.context_word] > 0, np.append(counts, texts)[p.context_word], 0)
         parts = {}
         for k, s in p.shards:
             a, b = p.edge[s.start], p.edge[s.stop]
@@ -266,6 +267,7 @@ def _answer_pairs(folder: str, discount: float):
         seen = count > 0  # pairs that only held-out texts have are asked for, not learnt
         key, count = key[seen], count[seen]
         owner = (key >> U(32)).astype(np.int64)
+        total = np.where(total > 0, total, np.bincount(owner, count, len(contexts)).astype(np.int64))
         share = np.maximum(count - discount, 0) / np.maximum(total[owner], 1)
         path = f"{root}/{asked.column(1)[0].as_py():06d}.l2"
         _save(store, path, Level.of(np.bincount(owner, minlength=len(contexts)), key & U(0xFFFFFFFF), quantise(share)).dump())
