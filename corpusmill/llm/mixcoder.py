@@ -73,9 +73,11 @@ class _Model:
 
     def update(self, n: int, sym: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """hit1: the order-1 guess held where the order-2 guess did not."""
-        self.a[self.w] = np.clip(self.wa + ((np.where(hit2, 65536, 0) - self.wa) >> RATE), LEAST, MOST)
-        b = np.clip(self.wb + ((np.where(hit1, 65536, 0) - self.wb) >> RATE), LEAST, MOST)
-        self.b[self.w] = np.where(hit2, self.wb, b)
+        # towards 65536 on a hit and 0 on a miss; both weights stay within their bounds
+        wa, wb = self.wa, self.wb
+        self.a[self.w] = np.minimum(np.maximum(wa + (((hit2.view(np.uint8).astype(np.int32) << 16) - wa) >> RATE), LEAST), MOST)
+        b = np.minimum(np.maximum(wb + (((hit1.view(np.uint8).astype(np.int32) << 16) - wb) >> RATE), LEAST), MOST)
+        self.b[self.w] = np.where(hit2, wb, b)
         one = np.uint32(1 << 24)
         for t, h, e, hit in ((self.t1, self.h1, self.e1, self.g1 == sym), (self.t2, self.h2, self.e2, hit2)):
             t[h] = np.where(hit, np.minimum(e + one, sym | np.uint32(3 << 24)), np.where(e >= one, e - one, sym))
@@ -97,7 +99,8 @@ def encode(sym: np.ndarray, freq: np.ndarray, block: int) -> tuple[np.ndarray, n
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
     model = _Model(lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, MASK, np.uint64)
-    log, owner, end = np.zeros(len(sym) + 8 * lanes, np.uint32), np.zeros(len(sym) + 8 * lanes, np.uint32), 0
+    size = len(sym) * 2 // 3 + 8 * lanes  # words; grows where ids are hard to tell
+    log, owner, end = np.zeros(size, np.uint32), np.zeros(size, np.uint16 if lanes < 1 << 16 else np.uint32), 0
     at = np.full(lanes, -1, np.int64)
 
     def emit(which: np.ndarray, words: np.ndarray) -> None:
