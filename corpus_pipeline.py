@@ -4,7 +4,8 @@ Quality rules, exact duplicates, near duplicates (one document of each group sta
 repeated passages cut out of the texts, packing.  All but the last return the columns of
 ``documents``, with n_chars brought up to date where a text changes.  A stage is a
 function of (spark, docs, sf_dir); its result is written as Parquet and read again as the
-next one's docs.  A row without an id is in no result.
+next one's docs, so a stage first removes the working files of those before it.  A row
+without an id is in no result.
 """
 
 from __future__ import annotations
@@ -13,36 +14,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
-from corpusmill.llm.common import stored
+from corpusmill.llm.common import release, stored
 
 #: No stage after the first can be told in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows whose id is among verdicts (id, kept)."""
-    ids = verdicts.where("kept").select(F.col("id").alias("kept_id")).distinct()
+    """Rows whose id is among verdicts (id, kept).  The planner can't measure an operator's
+    output beforehand, so it is told not to broadcast it."""
+    ids = verdicts.where("kept").select(F.col("id").alias("kept_id")).distinct().hint("merge")
     return docs.join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark, "pipeline-")
     return _kept(docs, quality.robust_quality(docs))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark, "pipeline-")
     return _kept(docs, exact_dedup.extendible_dedup(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark, "pipeline-")
     return _kept(docs, near_dedup.near_duplicates(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out whole characters only; documents with nothing left go."""
+    release(spark, "pipeline-")
     out = substring_dedup.remove_repeats(docs, whole_chars=True)
     cut = out.select(F.col("id").alias("cut_id"), F.decode("kept", "UTF-8").alias("cut_text"))
     named = docs.select(*[c for c in docs.columns if c not in ("text", "n_chars")])
-    joined = named.join(cut, F.col("doc_id") == F.col("cut_id")).where("cut_text <> ''")
+    joined = named.join(cut.hint("merge"), F.col("doc_id") == F.col("cut_id")).where("cut_text <> ''")
     new = {"text": F.col("cut_text"), "n_chars": F.length("cut_text").cast("long")}
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
@@ -50,6 +56,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    release(spark, "pipeline-")
     return packing.harmonic_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -40,6 +40,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release(spark: SparkSession, keep: str) -> None:
+    """Remove the folders made so far but those whose name starts with keep.  For pipelines whose
+    steps' results have been written elsewhere."""
+    for path in [p for p in _made if "/corpusmill/" in p and not p.rsplit("/", 1)[1].startswith(keep)]:
+        store, at = open_store(path)
+        with contextlib.suppress(FileNotFoundError):
+            store.delete_dir(at)
+        _made.remove(path)
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder's address, and the path in it."""
     return pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)

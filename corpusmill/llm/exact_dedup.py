@@ -209,4 +209,4 @@ def extendible_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reps = staged.where(F.col("rep") == F.col("row")).select("key", "rep", "best_id", "best_row", "n", "text")
     verdicts = reps.repartitionByRange(tasks(spark), "key").mapInArrow(_owner(folder, bucket_capacity), "rep long, keep_id long, keep_row long, group_size long")
     rows = staged.select("row", "id", "rep", "sha")
-    return rows.join(verdicts, "rep").select(F.col("id"), F.col("keep_id"), F.col("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return rows.join(verdicts.hint("merge"), "rep").select(F.col("id"), F.col("keep_id"), F.col("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
