@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
-from corpusmill.llm.common import release, stored
+from corpusmill.llm.common import scratch_scope, stored
 
 #: No stage after the first can be told in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -28,24 +28,24 @@ def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark, "pipeline-")
-    return _kept(docs, quality.robust_quality(docs))
+    with scratch_scope("stage"):
+        return _kept(docs, quality.robust_quality(docs))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark, "pipeline-")
-    return _kept(docs, exact_dedup.extendible_dedup(docs))
+    with scratch_scope("stage"):
+        return _kept(docs, exact_dedup.extendible_dedup(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark, "pipeline-")
-    return _kept(docs, near_dedup.near_duplicates(docs))
+    with scratch_scope("stage"):
+        return _kept(docs, near_dedup.near_duplicates(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out whole characters only; documents with nothing left go."""
-    release(spark, "pipeline-")
-    out = substring_dedup.remove_repeats(docs, whole_chars=True)
+    with scratch_scope("stage"):
+        out = substring_dedup.remove_repeats(docs, whole_chars=True)
     cut = out.select(F.col("id").alias("cut_id"), F.decode("kept", "UTF-8").alias("cut_text"))
     named = docs.select(*[c for c in docs.columns if c not in ("text", "n_chars")])
     joined = named.join(cut.hint("merge"), F.col("doc_id") == F.col("cut_id")).where("cut_text <> ''")
@@ -56,8 +56,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    release(spark, "pipeline-")
-    return packing.harmonic_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+    with scratch_scope("stage"):
+        return packing.harmonic_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

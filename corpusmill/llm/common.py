@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 _made: list[str] = []
+_scope = ""
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -35,19 +36,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         _made.append(base)
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + base
-    path = f"{base.rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/corpusmill/{_scope}{name}-{uuid.uuid4().hex[:12]}"
     _made.append(path)
     return path
 
 
-def release(spark: SparkSession, keep: str) -> None:
-    """Remove the folders made so far but those whose name starts with keep.  For pipelines whose
-    steps' results have been written elsewhere."""
-    for path in [p for p in _made if "/corpusmill/" in p and not p.rsplit("/", 1)[1].startswith(keep)]:
+@contextlib.contextmanager
+def scratch_scope(name: str):
+    """Folders made inside go under the name; those that an earlier scope of the same name made
+    are removed first.  For pipelines whose steps' results have been written elsewhere."""
+    global _scope
+    for path in [p for p in _made if f"/corpusmill/{name}-" in p]:
         store, at = open_store(path)
         with contextlib.suppress(FileNotFoundError):
             store.delete_dir(at)
         _made.remove(path)
+    before, _scope = _scope, f"{name}-"
+    try:
+        yield
+    finally:
+        _scope = before
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
