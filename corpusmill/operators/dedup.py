@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_space
+from ..sources.io import pinned
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -67,11 +68,10 @@ def greedy_drop(df: DataFrame, row: str, pairs: DataFrame, rounds: int = 1000) -
 
     Rows settle in rounds: a row with no earlier neighbour left is kept, and a row with a kept
     earlier neighbour goes.  Each round is two anti-joins over what is not settled; the number
-    of rounds is the longest chain of similar rows.  State is cut at checkpoints, where the
-    session has a folder for them."""
+    of rounds is the longest chain of similar rows.  Each round's state is pinned, which
+    cuts its lineage where the session has a folder for checkpoints."""
     spark = df.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    edges = cut(pairs.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")))
+    edges = pinned(pairs.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")))
     gone = spark.createDataFrame([], f"late {dict(edges.dtypes)['late']}")
     for _ in range(rounds):
         if edges.isEmpty():
@@ -79,9 +79,9 @@ def greedy_drop(df: DataFrame, row: str, pairs: DataFrame, rounds: int = 1000) -
         waiting = edges.select(F.col("late").alias("early")).distinct()
         kept = edges.select("early").distinct().join(waiting, "early", "left_anti")
         lost = edges.join(kept, "early", "left_semi").select("late").distinct()
-        gone = cut(gone.union(lost))
+        gone = pinned(gone.union(lost))
         done = edges.join(lost, "late", "left_anti")  # lost rows wait for nothing
-        edges = cut(done.join(lost.select(F.col("late").alias("early")), "early", "left_anti"))
+        edges = pinned(done.join(lost.select(F.col("late").alias("early")), "early", "left_anti"))
     return df.join(gone.select(F.col("late").alias(row)), row, "left_anti")
 
 

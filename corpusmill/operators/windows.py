@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.io import pinned
+
 
 def ranked(df: DataFrame, label: str, order: list[str], name: str = "rank") -> DataFrame:
     """Places from 1 within each label, in the order of columns, without a task per label.
@@ -20,7 +22,7 @@ def ranked(df: DataFrame, label: str, order: list[str], name: str = "rank") -> D
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.repartitionByRange(n, label, *order).withColumn("_part", F.spark_partition_id())
     w = W.partitionBy("_part", label).orderBy(*order)
-    d = d.withColumn("_place", F.row_number().over(w))
+    d = pinned(d.withColumn("_place", F.row_number().over(w)))
     sizes = d.groupBy("_part", label).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(label).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     b = before.select(F.col("_part").alias("_p"), F.col(label).alias("_l"), "_before")

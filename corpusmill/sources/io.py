@@ -114,13 +114,22 @@ def markdown_table(df: DataFrame) -> str:
     return "\n".join(head + ["| " + " | ".join(r) + " |" for r in rows])
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """df computed once, for plans that read it twice and need the same rows in the same places.
+
+    Range partitions are cut at sampled bounds, which another evaluation may place otherwise.  A
+    reliable checkpoint where the session has a folder for it, else the cache, whose lost parts
+    come again from the same shuffle."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
     """Stable 0-based numbers in the order of columns.
 
     Range partitions are sorted and counted, and a number is a partition's offset and a
     place in it, so no task sees all rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
+    d = pinned(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()))
     part, place = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND((1 << 33) - 1)
     sizes = d.select(part.alias("_part")).groupBy("_part").count().orderBy("_part").collect()  # one row per partition
     offsets, at = [], 0
