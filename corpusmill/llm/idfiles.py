@@ -23,7 +23,7 @@ from .words import word_table
 MANIFEST = "part int, path string, base long, n_docs long, n_ids long, n_bytes long"
 
 
-def write_id_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, file_ids: int = 7_000_000) -> DataFrame:
+def write_id_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, file_ids: int = 4_000_000) -> DataFrame:
     """Write the files; returns their manifest (part, path, base: ids of the partition's
     files before it, n_docs, n_ids, n_bytes) as a stored table.
 

@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMIXRC1\n"
-T_BITS, SLOTS, WINDOW = 18, 4096, 48  # total of the order-0 frequencies; table slots a block; coder window
+T_BITS, SLOTS, WINDOW = 18, 1024, 48  # total of the order-0 frequencies; table slots a block; coder window
 U = np.uint64
 LIMIT, MASK = U(1 << 32), U((1 << WINDOW) - 1)
 LEAST, MOST, RATE = 64, 65536 - 4096, 5  # bounds and adaption of a and b
@@ -54,29 +54,29 @@ class _Model:
     def __init__(self, lanes: int):
         self.t1 = np.zeros(lanes * SLOTS, np.uint32)
         self.t2 = np.zeros(lanes * SLOTS, np.uint32)
-        self.a = np.full(lanes * 32, 16384, np.int32)
-        self.b = np.full(lanes * 32, 16384, np.int32)
+        self.a = np.full(lanes * 32, 16384, np.int64)
+        self.b = np.full(lanes * 32, 16384, np.int64)
         self.p1 = np.zeros(lanes, np.uint32)
         self.p2 = np.zeros(lanes, np.uint32)
         self.base, self.wbase = np.arange(lanes, dtype=np.int64) * SLOTS, np.arange(lanes, dtype=np.int64) * 32
 
     def predict(self, n: int):
+        shift = np.uint32(33 - SLOTS.bit_length())
         p1 = self.p1[:n] * np.uint32(2654435761)
-        self.h1 = self.base[:n] + (p1 >> np.uint32(20))
-        self.h2 = self.base[:n] + ((p1 ^ (self.p2[:n] * np.uint32(2246822519))) * np.uint32(3266489917) >> np.uint32(20))
+        self.h1 = self.base[:n] + (p1 >> shift)
+        self.h2 = self.base[:n] + ((p1 ^ (self.p2[:n] * np.uint32(2246822519))) * np.uint32(3266489917) >> shift)
         self.e1, self.e2 = self.t1[self.h1], self.t2[self.h2]
         self.g1, self.g2 = self.e1 & np.uint32(0xFFFFFF), self.e2 & np.uint32(0xFFFFFF)
         self.w = self.wbase[:n] + ((self.e2 >> np.uint32(24) << np.uint32(3)) | (self.e1 >> np.uint32(24) << np.uint32(1)) | (self.g1 == self.g2))
         self.wa, self.wb = self.a[self.w], self.b[self.w]
-        c1 = self.wa.astype(np.uint64)
-        return c1, c1 + (((65536 - self.wa).astype(np.uint64) * self.wb.astype(np.uint64)) >> U(16))
+        return self.wa.view(np.uint64), (self.wa + (((65536 - self.wa) * self.wb) >> 16)).view(np.uint64)
 
     def update(self, n: int, sym: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """hit1: the order-1 guess held where the order-2 guess did not."""
         # towards 65536 on a hit and 0 on a miss; both weights stay within their bounds
         wa, wb = self.wa, self.wb
-        self.a[self.w] = np.minimum(np.maximum(wa + (((hit2.view(np.uint8).astype(np.int32) << 16) - wa) >> RATE), LEAST), MOST)
-        b = np.minimum(np.maximum(wb + (((hit1.view(np.uint8).astype(np.int32) << 16) - wb) >> RATE), LEAST), MOST)
+        self.a[self.w] = np.minimum(np.maximum(wa + (((hit2.view(np.uint8).astype(np.int64) << 16) - wa) >> RATE), LEAST), MOST)
+        b = np.minimum(np.maximum(wb + (((hit1.view(np.uint8).astype(np.int64) << 16) - wb) >> RATE), LEAST), MOST)
         self.b[self.w] = np.where(hit2, wb, b)
         one = np.uint32(1 << 24)
         for t, h, e, hit in ((self.t1, self.h1, self.e1, self.g1 == sym), (self.t2, self.h2, self.e2, hit2)):
@@ -203,7 +203,7 @@ def decode(words: np.ndarray, sizes: np.ndarray, freq: np.ndarray, count: int, b
     return np.ascontiguousarray(grid.T).reshape(-1)[:count]
 
 
-def block_size(count: int, most: int = 4096) -> int:
+def block_size(count: int, most: int = 1024) -> int:
     """Blocks of a small file are smaller, so that enough of them run in lockstep."""
     return max(256, min(most, count // 256))
 
