@@ -81,11 +81,14 @@ def atomic_output(store: pafs.FileSystem, path: str):
     store.move(temp, path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage at a table
     that every executor can read.  Wide columns are compressed before they come
-    here; small row groups bound what a writing task buffers."""
+    here; small row groups bound what a writing task buffers.  narrow: rows of a few
+    numbers, which a quarter of the tasks write, as each file costs a task more than they do."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(8, tasks(spark) // 4))
     path = shared_dir(spark, name)
     df.write.option("compression", "uncompressed").option("parquet.block.size", 8 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -118,9 +118,9 @@ def mcd_estimates(fit: DataFrame, *, subset: float = 0.75, steps: int = 3, accur
     """One row per group of fit (GROUP and Z columns): n_fit, mean, and the triangle of the
     reweighted scatter.  Sizes of groups are not limited; each step is one pass."""
     by = [*GROUP, "start"]
-    med = stored(fit.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_fit"), *[F.percentile_approx(z, 0.5, accuracy).alias(f"c{i}") for i, z in enumerate(Z)]), "mcd-median")
+    med = stored(fit.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_fit"), *[F.percentile_approx(z, 0.5, accuracy).alias(f"c{i}") for i, z in enumerate(Z)]), "mcd-median", narrow=True)
     mad = fit.join(med, GROUP).groupBy(*GROUP).agg(*[F.percentile_approx(F.abs(F.col(z) - F.col(f"c{i}")), 0.5, accuracy).alias(f"d{i}") for i, z in enumerate(Z)])
-    scale = stored(med.join(mad, GROUP).withColumns({f"d{i}": F.greatest(1.4826 * F.col(f"d{i}"), F.lit(floors[i])) for i in range(P)}), "mcd-scale")
+    scale = stored(med.join(mad, GROUP).withColumns({f"d{i}": F.greatest(1.4826 * F.col(f"d{i}"), F.lit(floors[i])) for i in range(P)}), "mcd-scale", narrow=True)
     units = [(F.col(f"z{i}") - F.col(f"c{i}")) / F.col(f"d{i}") for i in range(P)]
     signs = fit.join(scale, GROUP).withColumns({f"u{i}": u for i, u in enumerate(units)}).withColumn("r2", F.greatest(sum((F.col(f"u{i}") ** 2 for i in range(1, P)), F.col("u0") ** 2), F.lit(1e-9)))
     sign = signs.groupBy(*GROUP).agg(*[F.avg(P * F.col(f"u{i}") * F.col(f"u{j}") / F.col("r2")).alias(f"k{i}{j}") for i in range(P) for j in range(i + 1)])
@@ -130,23 +130,23 @@ def mcd_estimates(fit: DataFrame, *, subset: float = 0.75, steps: int = 3, accur
         for j in range(i + 1):
             diagonal = F.lit(1.0 if i == j else 0.0)
             both = both.withColumn(f"s{i}{j}", F.col(f"d{i}") * F.col(f"d{j}") * F.when(F.col("start") == 0, diagonal).otherwise(F.col(f"k{i}{j}")))
-    params = stored(_cholesky(both.select(*by, "n_fit", *MEAN, *[f"s{i}{j}" for i in range(P) for j in range(i + 1)]), (0.0,) * P), "mcd-start")
+    params = stored(_cholesky(both.select(*by, "n_fit", *MEAN, *[f"s{i}{j}" for i in range(P) for j in range(i + 1)]), (0.0,) * P), "mcd-start", narrow=True)
     # a step: distances, the subset's bound per group and start, and the subset's moments
     for step in range(steps):
         d = _distance(fit.join(params, GROUP)).select(*by, *Z, "n_fit", "d2")
-        bound = stored(d.groupBy(*by).agg(F.percentile_approx("d2", subset, accuracy).alias("bound")), f"mcd-bound{step}")
+        bound = stored(d.groupBy(*by).agg(F.percentile_approx("d2", subset, accuracy).alias("bound")), f"mcd-bound{step}", narrow=True)
         inner = d.join(bound, by).where("d2 <= bound")
         moments = _moments(inner, by, [F.col(z) for z in Z]).drop("n").join(params.select(*by, "n_fit"), by)
-        params = stored(_cholesky(moments, floors), f"mcd-step{step}")
+        params = stored(_cholesky(moments, floors), f"mcd-step{step}", narrow=True)
     least = params.groupBy(*GROUP).agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     raw = params.join(least, by).drop("start", "logdet")
     # make the raw scatter consistent by the median distance, then reweight
     d = _distance(fit.join(raw, GROUP))
     factor = d.groupBy(*GROUP).agg((F.greatest(F.percentile_approx("d2", 0.5, accuracy) / chi2_quantile(0.5, P), F.lit(1.0))).alias("factor"))
-    raw = stored(raw.join(factor, GROUP), "mcd-raw")
+    raw = stored(raw.join(factor, GROUP), "mcd-raw", narrow=True)
     within = _distance(fit.join(raw, GROUP)).where(F.col("d2") <= F.col("factor") * chi2_quantile(0.975, P))
     final = _moments(within, GROUP, [F.col(z) for z in Z]).drop("n").join(raw.select(*GROUP, "n_fit"), GROUP)
-    return stored(_cholesky(final, floors).drop("logdet"), "mcd-final")
+    return stored(_cholesky(final, floors).drop("logdet"), "mcd-final", narrow=True)
 
 
 def robust_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, tail: float = 1e-8, least_rows: int = 50, subset: float = 0.75, steps: int = 3) -> DataFrame:
