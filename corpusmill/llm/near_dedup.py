@@ -10,13 +10,19 @@ signature.
 
 Banding.  Texts that are equal in words are first joined to one representative.  A bucket is
 a band's registers; its hubs are its least id and a few least by hash, which are
-minima that combine before the shuffle.  Members are compared with hubs, never all
-with all, so a bucket with a third of all rows costs its length.
+minima that combine before the shuffle.  Members are first compared with hubs, so that
+a bucket with a third of all rows that are near copies costs its length.
 
 Verification.  Pairs whose signatures agree enough are checked by the exact Jaccard
 similarity of their shingle sets; first those with each bucket's least id, then, for
 texts that these left in different classes, those with the other hubs.  Classes are the
 connected components of the links.
+
+Rest.  Where members of a bucket that are not its hubs are still in different classes, all
+pairs of such texts are found by an exact prefix-filter join: shingles are ordered by how
+many of these texts have them, rarest first, and two texts at the threshold share at
+least l of the first n - ceil(threshold n) + l of their n shingles.  Shingles that many texts
+have are joined in blocks.  So hubs save work and lose no pair that shares a bucket.
 """
 
 from __future__ import annotations
@@ -135,6 +141,37 @@ def _verify(threshold: float):
     return run
 
 
+def _shingled(batches):
+    """(id, s) of packed texts: their distinct shingles."""
+    for b in batches:
+        sets = [shingle_set(zstandard.decompress(t).decode()).view(np.int64) for t in b.column(1).to_pylist()]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "s"])
+
+
+def prefix_pairs(sets: DataFrame, threshold: float, hot: int = 2048) -> DataFrame:
+    """(a, b), a < b, with every pair of sets (id, root, s: array of distinct longs) of different
+    roots whose Jaccard similarity is at least threshold, and others.  hot changes no result.
+
+    A set of n values has n // 10 + 1 as its l; two sets share the lesser l of both."""
+    n = F.size("s")
+    # the similarity of two sets is that of their counts, so rounding must not lengthen ceil()
+    least = F.ceil(n * F.lit(threshold) - F.lit(1e-6)).cast("int")
+    sized = sets.select("id", "root", n.alias("n"), (F.floor(n / 10) + 1).cast("int").alias("l"), least.alias("least"), "s").where("n > 0")
+    values = stored(sized.select("id", "root", "n", "l", (F.col("n") - F.col("least") + F.col("l")).alias("prefix"), F.explode("s").alias("s")), "near-values")
+    counts = values.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # values of one set alone come first and match nothing, so they only use up the prefix
+    held = values.join(counts.hint("merge"), "s").groupBy("id", "root", "n", "l", "prefix").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("v"))
+    length = F.greatest(F.lit(0), F.col("prefix") - (F.col("n") - F.size("v")))
+    first = stored(held.select("id", "root", "n", "l", F.explode(F.slice("v", F.lit(1), length)).alias("v")).select("id", "root", "n", "l", "v.s", F.ceil(F.col("v.f") / hot).cast("int").alias("blocks")), "near-prefixes")
+    left = first.select(F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("l").alias("la"), "s", F.pmod(F.hash("id"), "blocks").alias("block"))
+    right = first.select(F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("l").alias("lb"), "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    sizes = (F.col("na") >= threshold * F.col("nb") - 1e-6) & (F.col("nb") >= threshold * F.col("na") - 1e-6)
+    met = left.hint("merge").join(right, ["s", "block"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sizes)
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("la", "lb")).alias("l")).where("common >= l").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8, bands: int = 24, rows: int = 4, hubs: int = 3, slack: float = 0.2) -> DataFrame:
     """One row per row of docs: id, class_id (least id of its class), class_size (rows), kept
     (the row's id is its class's).
@@ -155,16 +192,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = reps.select("rep", band).select("rep", F.xxhash64("band", "part").alias("bucket"))
     hub = [F.min("rep").alias("h0")] + [F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(k)), "rep"))["rep"].alias(f"h{k}") for k in range(1, hubs + 1)]
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *hub).where("n > 1").drop("n")
-    member = stored(banded.join(buckets, "bucket").drop("bucket"), "near-members", narrow=True)
+    member = stored(banded.join(buckets, "bucket"), "near-members", narrow=True)
     pair = lambda h: member.where(F.col("rep") != F.col(h)).select(F.least("rep", h).alias("a"), F.greatest("rep", h).alias("b"))
     sig = reps.select(F.col("rep").alias("id"), "sig")
     nodes = member.select(F.col("rep").alias("id")).distinct()
     packed = stored(base.join(nodes, "id", "left_semi").select("id", "text").mapInArrow(_pack_text, "id long, packed binary"), "near-texts", narrow=True)
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        signed = pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-        likely = signed.select("a", "b", "sa", "sb").mapInArrow(_alike(threshold - slack), "a long, b long")
-        full = likely.hint("merge").join(packed.select(F.col("id").alias("b"), F.col("packed").alias("tb")), "b").join(packed.select(F.col("id").alias("a"), F.col("packed").alias("ta")), "a")
+    def verified(pairs: DataFrame, name: str, signed: bool = True) -> DataFrame:
+        if signed:
+            both = pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
+            pairs = both.select("a", "b", "sa", "sb").mapInArrow(_alike(threshold - slack), "a long, b long")
+        full = pairs.hint("merge").join(packed.select(F.col("id").alias("b"), F.col("packed").alias("tb")), "b").join(packed.select(F.col("id").alias("a"), F.col("packed").alias("ta")), "a")
         return stored(full.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"), name, narrow=True)
 
     links = verified(pair("h0").distinct(), "near-links0")
@@ -176,6 +214,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = more.distinct().join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     links = links.union(verified(apart, "near-links1"))
     roots = components(links)
+    # texts that share a bucket, are none of its hubs and are in different classes
+    plain = member.where(~F.col("rep").isin(*[F.col(f"h{k}") for k in range(hubs + 1)])).select("rep", "bucket")
+    plain = plain.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "bucket", F.coalesce("root", "rep").alias("root"))
+    mixed = plain.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
+    rest = stored(plain.join(mixed.hint("merge"), "bucket", "left_semi").select(F.col("rep").alias("id"), "root").distinct(), "near-rest", narrow=True)
+    if not rest.isEmpty():
+        sets = packed.join(rest.hint("merge"), "id", "left_semi").mapInArrow(_shingled, "id long, s array<long>")
+        last = verified(prefix_pairs(sets.join(rest.hint("merge"), "id"), threshold), "near-links2", signed=False)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
     classes = reps.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("class_id"))
     out = staged.select("id", "key").join(classes, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))

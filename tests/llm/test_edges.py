@@ -328,6 +328,44 @@ def test_near_duplicates_match_brute_force(spark, sf):
     assert {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(d).collect()} == {k: find(k) for k in keys}
 
 
+def template_family(members, pairs, slots=20, values=3):
+    """Texts of one template with a word of few in each slot, no two of them alike (five slots
+    differ, J <= 0.78), and after them pairs that differ in four slots (J = 0.82)."""
+    r = np.random.default_rng(8)
+    own = np.zeros((0, slots), np.int64)
+    while len(own) < members + 2 * pairs:
+        x = r.integers(0, values, (1, slots))
+        if len(own) >= members:
+            x = np.vstack((x, x))
+            x[1, :4] = (x[1, :4] + 1) % values
+        if ((own[:, None] != x).sum(axis=2) > 4).all():
+            own = np.vstack((own, x))
+    base = [f"w{i}" for i in range(208)]
+    texts = {}
+    for i, x in enumerate(own):
+        w = list(base)
+        w[7:207:10] = [f"v{k}" for k in x]
+        texts[i] = " ".join(w)
+    return texts
+
+
+def test_near_copies_in_a_large_template_family(spark):
+    d = frame(spark, template_family(1200, 40))
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(d).collect()}
+    assert got == {i: i for i in range(1200)} | {i: i - i % 2 for i in range(1200, 1280)}
+
+
+@pytest.mark.parametrize("hot", [1, 7, 2048])
+def test_prefix_pairs_lose_none(spark, hot):
+    r = random.Random(4)
+    base = [list(range(100 * k, 100 * k + n)) for k, n in enumerate((1, 4, 9, 10, 30, 60))]
+    sets = {i: sorted({x if r.random() > 0.08 else r.randrange(10**6) for x in r.choice(base)}) for i in range(150)} | {500: []}
+    rows = [(k, k % 20, v) for k, v in sets.items()]
+    got = {(x["a"], x["b"]) for x in near_dedup.prefix_pairs(spark.createDataFrame(rows, "id long, root long, s array<long>"), 0.8, hot).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and a % 20 != b % 20 and sets[a] and 10 * len({*sets[a]} & {*sets[b]}) >= 8 * len({*sets[a]} | {*sets[b]})}
+    assert want and want <= got
+
+
 def test_signatures_estimate_the_similarity():
     from corpusmill.llm.shingles import mix
 
