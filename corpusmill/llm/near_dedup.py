@@ -1,9 +1,9 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-Signatures.  A text's five-word shingles, weighted by 1 + ln(count), are Poisson processes
-with these rates; each arrival takes a random register, and a register keeps the
-shingle that arrives first.  Two texts' registers agree with the probability Jaccard
-similarity of their weighted shingles.  Arrivals come in order of time, so those after a
+Signatures.  A text's distinct five-word shingles are Poisson processes of rate 1; each
+arrival takes a random register, and a register keeps the shingle that arrives first.  Two
+texts' registers agree with the probability Jaccard similarity, which for equal weights is
+the Jaccard similarity of the sets, however often a passage is repeated.  Arrivals come in order of time, so those after a
 time by which all registers are nearly surely taken are never drawn; a text
 that has registers left by then goes on with twice the time, so the bound changes no
 signature.
@@ -13,8 +13,7 @@ a band's registers; its hubs are its least id and a few least by hash, which are
 minima that combine before the shuffle.  Members are first compared with hubs, so that
 a bucket with a third of all rows that are near copies costs its length.
 
-Verification.  Pairs whose signatures agree enough are checked by the exact Jaccard
-similarity of their shingle sets; first those with each bucket's least id, then, for
+Verification.  All pairs are checked by the exact Jaccard similarity of their shingle sets; first those with each bucket's least id, then, for
 texts that these left in different classes, those with the other hubs.  Classes are the
 connected components of the links.
 
@@ -46,7 +45,7 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(groups: list[np.ndarray], m: int) -> np.ndarray:
-    """m 16-bit registers of each text from its shingle hashes (with repeats); at most 4096 texts.
+    """m 16-bit registers of each text from its shingle hashes (repeats count once); at most 4096 texts.
     Texts without shingles have zeros."""
     out = np.zeros((len(groups), m), np.uint16)
     sizes = np.array([len(g) for g in groups])
@@ -54,10 +53,9 @@ def signatures(groups: list[np.ndarray], m: int) -> np.ndarray:
         return out
     key = np.sort((np.concatenate(groups) >> U(64 - HASH_BITS)) | (np.repeat(np.arange(len(groups), dtype=np.uint64), sizes) << U(HASH_BITS)))
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    weight = 1.0 + np.log(np.diff(np.append(first, len(key))))
     key = key[first]
     doc, element = (key >> U(HASH_BITS)).astype(np.int64), key & U((1 << HASH_BITS) - 1)
-    total = np.bincount(doc, weight, len(groups))
+    total = np.bincount(doc, minlength=len(groups))
     seed = mix(element * U(0x9E3779B97F4A7C15) + U(1))
     # time by which all registers are taken but for one text in e**6
     until = np.divide(m * (np.log(m) + 6.0), total, out=np.zeros(len(groups)), where=total > 0)
@@ -66,14 +64,14 @@ def signatures(groups: list[np.ndarray], m: int) -> np.ndarray:
         chosen = np.zeros(len(groups), bool)
         chosen[todo] = True
         rows = np.flatnonzero(chosen[doc])
-        d, s, w, t, j = doc[rows], seed[rows], weight[rows], np.zeros(len(rows)), 0
+        d, s, t, j = doc[rows], seed[rows], np.zeros(len(rows)), 0
         found = []
         while len(rows):
             j += 1
             x = mix(s + U(j * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
-            t = t - np.log1p(-_uniform(x)) / w
+            t = t - np.log1p(-_uniform(x))
             on = np.flatnonzero(t <= until[d])
-            rows, d, s, w, t, x = rows[on], d[on], s[on], w[on], t[on], x[on]
+            rows, d, s, t, x = rows[on], d[on], s[on], t[on], x[on]
             found.append((t, d * m + (mix(x + U(0x2545F4914F6CDD1D)) % U(m)).astype(np.int64), rows))
         t, place, who = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(-t)  # the earliest arrival is written last
@@ -114,18 +112,6 @@ def _pack_text(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["id", "packed"])
 
 
-def _alike(least: float):
-    """Pairs whose signatures agree in at least the share least."""
-
-    def run(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(b.num_rows, -1) for i in (2, 3)) if b.num_rows else (np.zeros((0, 1)),) * 2
-            keep = pa.array((x == y).mean(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
-
-    return run
-
-
 def _verify(threshold: float):
     def run(batches):
         last: tuple = (None, None)
@@ -172,7 +158,7 @@ def prefix_pairs(sets: DataFrame, threshold: float, hot: int = 2048) -> DataFram
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("la", "lb")).alias("l")).where("common >= l").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8, bands: int = 24, rows: int = 4, hubs: int = 3, slack: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8, bands: int = 24, rows: int = 4, hubs: int = 3) -> DataFrame:
     """One row per row of docs: id, class_id (least id of its class), class_size (rows), kept
     (the row's id is its class's).
 
@@ -194,14 +180,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *hub).where("n > 1").drop("n")
     member = stored(banded.join(buckets, "bucket"), "near-members", narrow=True)
     pair = lambda h: member.where(F.col("rep") != F.col(h)).select(F.least("rep", h).alias("a"), F.greatest("rep", h).alias("b"))
-    sig = reps.select(F.col("rep").alias("id"), "sig")
     nodes = member.select(F.col("rep").alias("id")).distinct()
     packed = stored(base.join(nodes, "id", "left_semi").select("id", "text").mapInArrow(_pack_text, "id long, packed binary"), "near-texts", narrow=True)
 
-    def verified(pairs: DataFrame, name: str, signed: bool = True) -> DataFrame:
-        if signed:
-            both = pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-            pairs = both.select("a", "b", "sa", "sb").mapInArrow(_alike(threshold - slack), "a long, b long")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         full = pairs.hint("merge").join(packed.select(F.col("id").alias("b"), F.col("packed").alias("tb")), "b").join(packed.select(F.col("id").alias("a"), F.col("packed").alias("ta")), "a")
         return stored(full.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"), name, narrow=True)
 
@@ -221,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = stored(plain.join(mixed.hint("merge"), "bucket", "left_semi").select(F.col("rep").alias("id"), "root").distinct(), "near-rest", narrow=True)
     if not rest.isEmpty():
         sets = packed.join(rest.hint("merge"), "id", "left_semi").mapInArrow(_shingled, "id long, s array<long>")
-        last = verified(prefix_pairs(sets.join(rest.hint("merge"), "id"), threshold), "near-links2", signed=False)
+        last = verified(prefix_pairs(sets.join(rest.hint("merge"), "id"), threshold), "near-links2")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
     classes = reps.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("class_id"))
     out = staged.select("id", "key").join(classes, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))

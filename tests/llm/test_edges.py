@@ -355,6 +355,15 @@ def test_near_copies_in_a_large_template_family(spark):
     assert got == {i: i for i in range(1200)} | {i: i - i % 2 for i in range(1200, 1280)}
 
 
+def test_repeated_passages_do_not_hide_near_copies(spark):
+    texts = {}
+    for i in range(30):
+        w = [f"{i}x{k}" for k in range(110)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(w), " ".join([*w, *w[:30] * 200])
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {k: k - k % 2 for k in texts}
+
+
 @pytest.mark.parametrize("hot", [1, 7, 2048])
 def test_prefix_pairs_lose_none(spark, hot):
     r = random.Random(4)
