@@ -5,20 +5,21 @@ of them form a vector.  Per language and source, the minimum-covariance-
 determinant estimate of centre and scatter is found by concentration steps from
 two deterministic starts (per-coordinate medians and deviations; spatial signs):
 the rows are ranked by Mahalanobis distance, centre and scatter are taken anew from
-the closest ``subset`` share, and the start that ends with the smaller determinant
+the closest ``subset`` share until the determinant settles, and the start that ends with the smaller determinant
 wins.  A reweighted estimate from the rows within the usual distance follows,
 and rows beyond the cutoff are rejected.
 
 Every step is a sum or a quantile sketch that combines before its shuffle, so a
 source with a third of all rows costs a task no more than any other; what a step
-yields is one row per group.  Scatter matrices get each coordinate's least variance
-on their diagonal, so groups of equal rows have finite distances.  Groups with fewer
+yields is one row per group.  Pivots of scatter matrices are at least each coordinate's
+least variance, so groups of equal rows have finite distances.  Groups with fewer
 than ``least_rows`` rows take the estimate of their language, and languages with as few
 that of the table.
 """
 
 from __future__ import annotations
 
+from itertools import count
 from math import sqrt
 from statistics import NormalDist
 
@@ -32,8 +33,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 P = 5
 Z = [f"z{i}" for i in range(P)]
-#: Standard deviations below which a coordinate's spread is taken as noise.
-FLOORS = (0.25, 0.10, 0.30, 0.35, 0.30)
+#: Least standard deviations of the coordinates, given the ones before, so that scatter is never singular.
+FLOORS = (0.05, 0.02, 0.05, 0.05, 0.05)
+#: A step that lowers the log determinant by less has settled.
+SETTLED = 1e-3
 
 
 def chi2_quantile(p: float, k: int) -> float:
@@ -93,13 +96,13 @@ def _moments(d: DataFrame, by: list[str], z: list[Column], weight: Column | None
 
 
 def _cholesky(d: DataFrame, floors: tuple[float, ...]) -> DataFrame:
-    """Replace scatter s by the lower triangle l of (s + floors squared) and add its log determinant."""
+    """Replace scatter s by its lower triangle l, whose diagonal is at least floors, and add its log determinant."""
     for i in range(P):
         for j in range(i + 1):
-            c = F.col(f"s{i}{j}") + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))
+            c = F.col(f"s{i}{j}")
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-12))) if i == j else c / F.col(f"l{j}{j}"))
+            d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(max(floors[i] ** 2, 1e-12)))) if i == j else c / F.col(f"l{j}{j}"))
     logdet = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, P)), F.log(F.col("l00"))) * 2
     return d.withColumn("logdet", logdet).drop(*[f"s{i}{j}" for i in range(P) for j in range(i + 1)])
 
@@ -114,7 +117,7 @@ def _distance(d: DataFrame, name: str = "d2") -> DataFrame:
     return d.withColumn(name, sum((F.col(f"y{i}") ** 2 for i in range(1, P)), F.col("y0") ** 2)).drop(*[f"y{i}" for i in range(P)])
 
 
-def mcd_estimates(fit: DataFrame, *, subset: float = 0.75, steps: int = 3, accuracy: int = 2000, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+def mcd_estimates(fit: DataFrame, *, subset: float = 0.75, steps: int | None = None, accuracy: int = 2000, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """One row per group of fit (GROUP and Z columns): n_fit, mean, and the triangle of the
     reweighted scatter.  Sizes of groups are not limited; each step is one pass."""
     by = [*GROUP, "start"]
@@ -132,12 +135,23 @@ def mcd_estimates(fit: DataFrame, *, subset: float = 0.75, steps: int = 3, accur
             both = both.withColumn(f"s{i}{j}", F.col(f"d{i}") * F.col(f"d{j}") * F.when(F.col("start") == 0, diagonal).otherwise(F.col(f"k{i}{j}")))
     params = stored(_cholesky(both.select(*by, "n_fit", *MEAN, *[f"s{i}{j}" for i in range(P) for j in range(i + 1)]), (0.0,) * P), "mcd-start", narrow=True)
     # a step: distances, the subset's bound per group and start, and the subset's moments
-    for step in range(steps):
+    for step in count():
         d = _distance(fit.join(params, GROUP)).select(*by, *Z, "n_fit", "d2")
         bound = stored(d.groupBy(*by).agg(F.percentile_approx("d2", subset, accuracy).alias("bound")), f"mcd-bound{step}", narrow=True)
         inner = d.join(bound, by).where("d2 <= bound")
         moments = _moments(inner, by, [F.col(z) for z in Z]).drop("n").join(params.select(*by, "n_fit"), by)
-        params = stored(_cholesky(moments, floors), f"mcd-step{step}", narrow=True)
+        new = _cholesky(moments, floors)
+        if step:  # a group stays at its last estimate once a step does not improve it
+            old = params.select(*by, *[F.col(c).alias(f"old_{c}") for c in ("n_fit", *MEAN, *CHOL, "logdet")])
+            better = F.col("logdet") < F.col("old_logdet") - SETTLED
+            cols = ("n_fit", *MEAN, *CHOL, "logdet")
+            new = new.join(old, by).select(*by, *[F.when(better, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in cols], better.alias("moved"))
+        else:
+            new = new.withColumn("moved", F.lit(True))
+        now = stored(new, f"mcd-step{step}", narrow=True)
+        params = now.drop("moved")
+        if now.where("moved").isEmpty() or step + 1 == steps:
+            break
     least = params.groupBy(*GROUP).agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     raw = params.join(least, by).drop("start", "logdet")
     # make the raw scatter consistent by the median distance, then reweight
@@ -149,7 +163,7 @@ def mcd_estimates(fit: DataFrame, *, subset: float = 0.75, steps: int = 3, accur
     return stored(_cholesky(final, floors).drop("logdet"), "mcd-final", narrow=True)
 
 
-def robust_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, tail: float = 1e-8, least_rows: int = 50, subset: float = 0.75, steps: int = 3) -> DataFrame:
+def robust_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, tail: float = 1e-3, least_rows: int = 50, subset: float = 0.75, steps: int | None = None) -> DataFrame:
     """One row per row of docs: id, the statistics, base_failed, distance2 (squared
     Mahalanobis distance, null where base_failed) and kept.
 
@@ -157,7 +171,8 @@ def robust_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text is empty text and fails; null language or source count as the empty
     string; repeated rows are rows of their own; rows with a null id are left out.
     An empty table gives an empty result.  tail is the share of rows of a clean,
-    normal group that the cutoff gives up.
+    normal group that the cutoff gives up; steps bounds the concentration steps, which
+    otherwise go on until no determinant falls.
     """
     keep = [F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang_"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_")]
     stats = _vector(text_statistics(docs, id_col, text_col, keep))

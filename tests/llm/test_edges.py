@@ -287,6 +287,25 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[1000 + i] for i in range(30))
 
 
+def test_quality_rejects_an_outlier_of_each_coordinate(spark):
+    r = random.Random(6)
+
+    def prose(n, length=(3, 9)):
+        return ["".join(r.choices("abcdefghij", k=r.randint(*length))) for _ in range(n)]
+
+    texts = {i: " ".join(prose(100 + i % 50)) for i in range(300)}
+    menu = " ".join(prose(3))
+    texts |= {
+        1000: " ".join(prose(5000)), 1001: " ".join(prose(120, (12, 18))), 1002: " ".join(prose(120)) + " " + "#" * 30,
+        1003: " ".join(prose(60)) + "".join(f"\n{menu}\n" + " ".join(prose(6)) for _ in range(9)), 1004: " ".join([*(w := prose(110)), *w[:8]]),
+    }
+    rows = spark.createDataFrame([(k, v, "en", "s") for k, v in texts.items()], "doc_id long, text string, lang string, source string")
+    got = {x["id"]: x for x in quality.robust_quality(rows).collect()}
+    assert not any(x["base_failed"] for x in got.values())
+    assert [k for k in range(1000, 1005) if got[k]["kept"]] == []
+    assert sum(got[i]["kept"] for i in range(300)) >= 297
+
+
 def test_quality_runs_no_python(docs):
     plan = quality.robust_quality(docs, steps=1)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
