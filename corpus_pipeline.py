@@ -28,13 +28,22 @@ def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are judged by a key of what the verdict is about, as rows may share an id."""
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("row_key", F.xxhash64("doc_id", "text", "lang", "source"))
     with scratch_scope("stage"):
-        return _kept(docs, quality.robust_quality(docs))
+        verdicts = quality.robust_quality(keyed, "row_key")
+        keys = verdicts.where("kept").select(F.col("id").alias("row_key")).distinct().hint("merge")
+        return keyed.join(keys, "row_key", "left_semi").select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row kept of a group is named by its id and text, and rows with both equal become one."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    keyed = docs.withColumn("sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower).cast("binary"), 256))
     with scratch_scope("stage"):
-        return _kept(docs, exact_dedup.extendible_dedup(docs))
+        verdicts = exact_dedup.extendible_dedup(docs)
+        kept = verdicts.where("kept").select(F.col("id").alias("doc_id"), F.col("text_sha256").alias("sha")).hint("merge")
+        return keyed.join(kept, ["doc_id", "sha"], "left_semi").dropDuplicates(["doc_id", "sha"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

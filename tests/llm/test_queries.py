@@ -41,6 +41,15 @@ def test_pipeline_stages(spark, sf):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in before.collect()}
 
 
+def test_pipeline_judges_rows_that_share_an_id(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    short = docs.limit(5).selectExpr(*["'too short' AS text" if c == "text" else c for c in docs.columns])
+    judged = corpus_pipeline.quality_rules(spark, docs.unionByName(docs).unionByName(short), sf)
+    assert judged.where("text = 'too short'").count() == 0
+    once = corpus_pipeline.exact_duplicates(spark, docs.unionByName(docs), sf)
+    assert once.count() == once.selectExpr("lower(text) AS t").distinct().count() == once.select("doc_id").distinct().count()
+
+
 def test_pipeline_on_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
