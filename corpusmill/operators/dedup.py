@@ -68,7 +68,7 @@ def greedy_drop(df: DataFrame, row: str, pairs: DataFrame, rounds: int = 1000) -
 
     Rows settle in rounds: a row with no earlier neighbour left is kept, and a row with a kept
     earlier neighbour goes.  Each round is two anti-joins over what is not settled; the number
-    of rounds is the longest chain of similar rows.  Each round's state is pinned, which
+    of rounds is the longest chain of similar rows; a longer one than rounds is an error.  Each round's state is pinned, which
     cuts its lineage where the session has a folder for checkpoints."""
     spark = df.sparkSession
     edges = pinned(pairs.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")))
@@ -82,6 +82,9 @@ def greedy_drop(df: DataFrame, row: str, pairs: DataFrame, rounds: int = 1000) -
         gone = pinned(gone.union(lost))
         done = edges.join(lost, "late", "left_anti")  # lost rows wait for nothing
         edges = pinned(done.join(lost.select(F.col("late").alias("early")), "early", "left_anti"))
+    else:
+        if not edges.isEmpty():
+            raise RuntimeError(f"similar rows did not settle in {rounds} rounds")
     return df.join(gone.select(F.col("late").alias(row)), row, "left_anti")
 
 
