@@ -17,27 +17,32 @@ Verification.  All pairs are checked by the exact Jaccard similarity of their sh
 texts that these left in different classes, those with the other hubs.  Classes are the
 connected components of the links.
 
-Rest.  Where members of a bucket that are not its hubs are still in different classes, all
-pairs of such texts are found by an exact prefix-filter join: shingles are ordered by how
-many of these texts have them, rarest first, and two texts at the threshold share at
-least l of the first n - ceil(threshold n) + l of their n shingles.  Shingles that many texts
-have are joined in blocks.  So hubs save work and lose no pair that shares a bucket.
+Rest.  Buckets whose members are in different classes after that are compared whole, within workers and
+in cells of bounded size: a bucket is cut into blocks, every two of which meet.  A pair is looked at in
+the first bucket that it shares; where its classes differ and at least half of its registers
+agree, its similarity is counted exactly through the cell's inverted index.  Registers of two texts
+at 0.8 agree with chance 0.8 each, so fewer than 48 of 96 agree with a chance under 6e-10, a
+small part of the chance (3e-6) of sharing no bucket at all.  Only links that
+connect classes leave a cell, so the links told are fewer than the members.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, small_batches, stored
+from .common import id_text, small_batches, stored, tasks
 from .components import components
 from .shingles import U, jaccard, mix, shingle_set, shingles, word_hashes, words_of
 
 HASH_BITS = 52  # of a shingle's hash within a group of texts
+SLACK = 0.3  # pairs with a share of registers alike that is lower by more than the threshold are not verified
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -127,35 +132,127 @@ def _verify(threshold: float):
     return run
 
 
-def _shingled(batches):
-    """(id, s) of packed texts: their distinct shingles."""
+def _bands(sig: np.ndarray, rows: int, count: int) -> list[np.ndarray]:
+    """The first ``count`` bands of each row of sig as one number, equal where the registers are."""
+    parts = [np.ascontiguousarray(sig[:, k * rows : (k + 1) * rows]) for k in range(count)]
+    if rows in (1, 2, 4):
+        return [x.view(f"u{2 * rows}").ravel() for x in parts]
+    return [np.unique(x, axis=0, return_inverse=True)[1].ravel() for x in parts]
+
+
+def _candidates(cell: pa.Table, rows: int, least: int):
+    """(a, array of b): pairs of a cell's members that are to be verified.  They have different roots, at
+    least so many registers alike, and no earlier band in common, as those met in its bucket."""
+    n = cell.num_rows
+    root, block = cell["root"].to_numpy(), cell["block"].to_numpy()
+    low, high = cell["i"][0].as_py(), cell["j"][0].as_py()
+    x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    if (root == root[0]).all() or not len(x) or not len(y):
+        return
+    sig = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint16).reshape(n, -1)
+    bands = _bands(sig, rows, cell["band"][0].as_py())
+    columns = [np.ascontiguousarray(c) for c in sig.T]
+    for lo in range(0, len(x), 256):
+        part = x[lo : lo + 256]
+        ok = root[part][:, None] != root[y]
+        if low == high:
+            ok &= part[:, None] < y
+        for c in bands:
+            ok &= c[part][:, None] != c[y]
+        if ok.any():
+            alike = np.zeros(ok.shape, np.uint16)
+            for c in columns:
+                alike += c[part][:, None] == c[y]
+            ok &= alike >= least
+            for r in np.flatnonzero(ok.any(axis=1)):
+                yield part[r], y[ok[r]]
+
+
+def _cells(batches, keys=("bucket", "i", "j")):
+    """Tables of the rows of one cell each, from batches sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        ends = [*(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        if held and any(held[-1].column(k)[-1] != b.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        lo = 0
+        for hi in ends[:-1]:
+            yield pa.Table.from_batches([*held, b.slice(lo, hi - lo)])
+            held, lo = [], hi
+        held.append(b.slice(lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _wanted(rows: int, least: int):
+    """(rep, bucket) of members that have a pair to be verified in the bucket."""
+
+    def run(batches):
+        for cell in _cells(batches):
+            hit = np.zeros(cell.num_rows, bool)
+            for a, b in _candidates(cell, rows, least):
+                hit[a] = hit[b] = True
+            if hit.any():
+                yield from cell.select(["rep", "bucket"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return run
+
+
+def cell_links(sets: list[np.ndarray], pairs, threshold: float) -> list[tuple[int, int]]:
+    """Links that connect all of those pairs (a, array of b) whose Jaccard similarity is at least threshold."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), size)[np.argsort(code, kind="stable")]  # members by value
+    count = np.bincount(code)
+    first, ends = np.cumsum(count) - count, np.cumsum(size)
+    label, out = np.arange(n), []
+    for a, b in pairs:
+        b = b[label[b] != label[a]]
+        if not len(b):
+            continue
+        own = code[ends[a] - size[a] : ends[a]]
+        k = count[own]
+        at = np.arange(k.sum()) + np.repeat(first[own] - (np.cumsum(k) - k), k)
+        common = np.bincount(owner[at], minlength=n)[b]
+        for x in b[common / (size[a] + size[b] - common) >= threshold]:
+            if label[a] != label[x]:
+                out.append((a, x))
+                label[label == label[x]] = label[a]
+    return out
+
+
+def _linked(rows: int, least: int, threshold: float):
+    def run(batches):
+        for cell in _cells(batches):
+            links = cell_links([np.frombuffer(s, np.uint64) for s in cell["s"].to_pylist()], _candidates(cell, rows, least), threshold)
+            if links:
+                rep = cell["rep"].to_numpy()
+                x, y = rep[[a for a, _ in links]], rep[[b for _, b in links]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _set_bytes(batches):
+    """(rep, s) of packed texts: their distinct shingles as 64-bit numbers."""
     for b in batches:
-        sets = [shingle_set(zstandard.decompress(t).decode()).view(np.int64) for t in b.column(1).to_pylist()]
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "s"])
-
-
-def prefix_pairs(sets: DataFrame, threshold: float, hot: int = 2048) -> DataFrame:
-    """(a, b), a < b, with every pair of sets (id, root, s: array of distinct longs) of different
-    roots whose Jaccard similarity is at least threshold, and others.  hot changes no result.
-
-    A set of n values has n // 10 + 1 as its l; two sets share the lesser l of both."""
-    n = F.size("s")
-    # the similarity of two sets is that of their counts, so rounding must not lengthen ceil()
-    least = F.ceil(n * F.lit(threshold) - F.lit(1e-6)).cast("int")
-    sized = sets.select("id", "root", n.alias("n"), (F.floor(n / 10) + 1).cast("int").alias("l"), least.alias("least"), "s").where("n > 0")
-    values = stored(sized.select("id", "root", "n", "l", (F.col("n") - F.col("least") + F.col("l")).alias("prefix"), F.explode("s").alias("s")), "near-values")
-    counts = values.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    # values of one set alone come first and match nothing, so they only use up the prefix
-    held = values.join(counts.hint("merge"), "s").groupBy("id", "root", "n", "l", "prefix").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("v"))
-    length = F.greatest(F.lit(0), F.col("prefix") - (F.col("n") - F.size("v")))
-    first = stored(held.select("id", "root", "n", "l", F.explode(F.slice("v", F.lit(1), length)).alias("v")).select("id", "root", "n", "l", "v.s", F.ceil(F.col("v.f") / hot).cast("int").alias("blocks")), "near-prefixes")
-    left = first.select(F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("l").alias("la"), "s", F.pmod(F.hash("id"), "blocks").alias("block"))
-    right = first.select(F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("l").alias("lb"), "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    sizes = (F.col("na") >= threshold * F.col("nb") - 1e-6) & (F.col("nb") >= threshold * F.col("na") - 1e-6)
-    met = left.hint("merge").join(right, ["s", "block"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sizes)
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("la", "lb")).alias("l")).where("common >= l").select("a", "b")
+        sets = [shingle_set(zstandard.decompress(t).decode()).tobytes() for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "s"])
+
+
+def _dealt(members: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Members of buckets dealt into cells (bucket, i, j) and sorted by them: a bucket is cut into blocks of
+    about ``most`` in weight, and every two blocks of it meet in one cell.  So a cell's size is
+    bounded, whatever its bucket's, and every two members of a bucket meet."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"))
+    d = members.join(sizes.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+    return d.repartition(tasks(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8, bands: int = 24, rows: int = 4, hubs: int = 3) -> DataFrame:
@@ -175,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = staged.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "sig")).alias("r"))
     reps = stored(texts.select("key", F.col("r.id").alias("rep"), F.col("r.sig").alias("sig")), "near-representatives", narrow=True)
     band = F.posexplode(F.array(*[F.substring("sig", 2 * rows * i + 1, 2 * rows) for i in range(bands)])).alias("band", "part")
-    banded = reps.select("rep", band).select("rep", F.xxhash64("band", "part").alias("bucket"))
+    banded = reps.select("rep", band).select("rep", F.xxhash64("band", "part").alias("bucket"), F.col("band").cast("int").alias("band"))
     hub = [F.min("rep").alias("h0")] + [F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(k)), "rep"))["rep"].alias(f"h{k}") for k in range(1, hubs + 1)]
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *hub).where("n > 1").drop("n")
     member = stored(banded.join(buckets, "bucket"), "near-members", narrow=True)
@@ -196,15 +293,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = more.distinct().join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     links = links.union(verified(apart, "near-links1"))
     roots = components(links)
-    # texts that share a bucket, are none of its hubs and are in different classes
-    plain = member.where(~F.col("rep").isin(*[F.col(f"h{k}") for k in range(hubs + 1)])).select("rep", "bucket")
-    plain = plain.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "bucket", F.coalesce("root", "rep").alias("root"))
-    mixed = plain.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
-    rest = stored(plain.join(mixed.hint("merge"), "bucket", "left_semi").select(F.col("rep").alias("id"), "root").distinct(), "near-rest", narrow=True)
+    # buckets whose members are still in different classes: all their pairs, in cells
+    rooted = member.select("rep", "bucket", "band").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "bucket", "band", F.coalesce("root", "rep").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
+    rest = rooted.join(mixed.hint("merge"), "bucket", "left_semi").join(reps.select("rep", "sig").hint("merge"), "rep")
+    rest = stored(rest.select("bucket", "rep", "root", "band", "sig"), "near-rest", narrow=True)
     if not rest.isEmpty():
-        sets = packed.join(rest.hint("merge"), "id", "left_semi").mapInArrow(_shingled, "id long, s array<long>")
-        last = verified(prefix_pairs(sets.join(rest.hint("merge"), "id"), threshold), "near-links2")
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
+        least = ceil(m * (threshold - SLACK))
+        wanted = _dealt(rest, F.lit(1), 2048).mapInArrow(_wanted(rows, least), "rep long, bucket long").distinct()
+        wanted = stored(wanted.join(rest.hint("merge"), ["rep", "bucket"]), "near-wanted", narrow=True)
+        sets = packed.withColumnRenamed("id", "rep").join(wanted.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInArrow(_set_bytes, "rep long, s binary")
+        full = wanted.join(sets.hint("merge"), "rep")
+        last = _dealt(full, F.length("s") + 8192, 2048 * 8192).mapInArrow(_linked(rows, least, threshold), "a long, b long")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(stored(last, "near-links2", narrow=True)))
     classes = reps.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("class_id"))
     out = staged.select("id", "key").join(classes, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))

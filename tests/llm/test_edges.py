@@ -11,7 +11,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusmill.llm import bpe, exact_dedup, html_text, idfiles, near_dedup, ngram_lm, packing, quality, substring_dedup, warc
@@ -383,15 +385,34 @@ def test_repeated_passages_do_not_hide_near_copies(spark):
     assert got == {k: k - k % 2 for k in texts}
 
 
-@pytest.mark.parametrize("hot", [1, 7, 2048])
-def test_prefix_pairs_lose_none(spark, hot):
+@pytest.mark.parametrize("most", [1, 7, 2048])
+def test_every_two_members_of_a_bucket_meet_once(spark, most):
+    d = spark.createDataFrame([(k % 3, k) for k in range(60)], "bucket long, rep long")
+
+    def run(batches):
+        for cell in near_dedup._cells(batches):
+            x = cell.to_pylist()
+            pairs = [(a["rep"], b["rep"]) for a in x for b in x if a["rep"] != b["rep"] and (a["block"], b["block"]) == (a["i"], a["j"]) and (a["i"] < a["j"] or a["rep"] < b["rep"])]
+            yield pa.RecordBatch.from_pylist([{"a": min(p), "b": max(p)} for p in pairs], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    met = [tuple(r) for r in near_dedup._dealt(d, F.lit(1), most).mapInArrow(run, "a long, b long").collect()]
+    assert sorted(met) == [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3]
+
+
+def test_cell_links_lose_none():
     r = random.Random(4)
     base = [list(range(100 * k, 100 * k + n)) for k, n in enumerate((1, 4, 9, 10, 30, 60))]
-    sets = {i: sorted({x if r.random() > 0.08 else r.randrange(10**6) for x in r.choice(base)}) for i in range(150)} | {500: []}
-    rows = [(k, k % 20, v) for k, v in sets.items()]
-    got = {(x["a"], x["b"]) for x in near_dedup.prefix_pairs(spark.createDataFrame(rows, "id long, root long, s array<long>"), 0.8, hot).collect()}
-    want = {(a, b) for a in sets for b in sets if a < b and a % 20 != b % 20 and sets[a] and 10 * len({*sets[a]} & {*sets[b]}) >= 8 * len({*sets[a]} | {*sets[b]})}
-    assert want and want <= got
+    sets = [sorted({x if r.random() > 0.08 else r.randrange(10**6) for x in r.choice(base)}) for i in range(150)]
+    links = near_dedup.cell_links([np.array(s, np.uint64) for s in sets], [(a, np.arange(a + 1, 150)) for a in range(149)], 0.8)
+    want = {(a, b) for a in range(150) for b in range(a) if 10 * len({*sets[a]} & {*sets[b]}) >= 8 * len({*sets[a]} | {*sets[b]})}
+
+    def classes(pairs):
+        label = list(range(150))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i in range(150) if label[i] == x) for x in label}
+
+    assert want and classes(links) == classes(want) and len(links) == 150 - len(classes(want))
 
 
 def test_signatures_estimate_the_similarity():
