@@ -29,7 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import atomic_output, id_text, open_store, rows_of, shared_dir, small_batches, tasks
+from .common import atomic_output, id_text, live_with, open_store, own_cache, rows_of, shared_dir, small_batches, tasks
 from .words import UNSAFE
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -86,6 +86,7 @@ _made: dict[str, ByteBPE] = {}
 
 
 def byte_bpe(path: str) -> ByteBPE:
+    own_cache("pieces", _made.clear)
     if path not in _made:
         _made[path] = ByteBPE(path)
     return _made[path]
@@ -245,4 +246,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     store.create_dir(root)
     asked = id_text(docs, id_col, text_col).mapInArrow(_split_blocks(tokenizer, folder, 2 * tasks(spark), block_chars), ASK)
     answers = asked.repartition(tasks(spark), "shard").mapInArrow(_answer(tokenizer), ASK)
-    return answers.repartition(tasks(spark), "block").groupBy("block").applyInArrow(_join_back(tokenizer, folder), RESULT)
+    return live_with(answers.repartition(tasks(spark), "block").groupBy("block").applyInArrow(_join_back(tokenizer, folder), RESULT), folder)

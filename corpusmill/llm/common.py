@@ -1,8 +1,8 @@
 """Shared plumbing of the training-data operators.
 
 Shared folder: every intermediate table or file lives under the folder the
-session names in ``spark.checkpoint.dir``; only where that is unset (tests,
-local runs) is a temporary one made and set.  Files are reached with
+session names in ``spark.checkpoint.dir``; only where that is unset on a local
+master (tests) is a temporary one made and set, elsewhere that is an error.  Files are reached with
 ``pyarrow.fs``, so the folder may be any store that it opens.
 """
 
@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -22,40 +23,56 @@ from pyspark.sql import functions as F
 #: What counts as white space between words, as a Java and Python character class.
 SPACE = r"\x20\x09-\x0D"
 
-_made: list[str] = []
-_scope = ""
+#: Folders of this driver, and what shows whether a plan can still read one.
+_made: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share; removed when the driver ends."""
+    """A fresh folder that driver and executors share; removed when no plan can read it any
+    more (live_with()), at the latest when the driver ends."""
+    sweep()
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="corpusmill-")
         sc.setCheckpointDir(base)
-        _made.append(base)
+        _made[base] = None
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + base
-    path = f"{base.rstrip('/')}/corpusmill/{_scope}{name}-{uuid.uuid4().hex[:12]}"
-    _made.append(path)
+    path = f"{base.rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex[:12]}"
+    _made[path] = None
     return path
 
 
-@contextlib.contextmanager
-def scratch_scope(name: str):
-    """Folders made inside go under the name; those that an earlier scope of the same name made
-    are removed first.  For pipelines whose steps' results have been written elsewhere."""
-    global _scope
-    for path in [p for p in _made if f"/corpusmill/{name}-" in p]:
-        store, at = open_store(path)
-        with contextlib.suppress(FileNotFoundError):
-            store.delete_dir(at)
-        _made.remove(path)
-    before, _scope = _scope, f"{name}-"
-    try:
-        yield
-    finally:
-        _scope = before
+def live_with(df: DataFrame, *paths: str) -> DataFrame:
+    """df, a scan or the result of a function over Arrow batches; paths may go when neither it nor
+    a plan made from it is left.  What all such plans share is held weakly: the scan's list
+    of files, or the function."""
+    plan = df._jdf.queryExecution().analyzed()
+    scan = plan.getClass().getSimpleName() == "LogicalRelation"
+    shared = plan.relation().location() if scan else plan.functionExpr().func()
+    for path in paths:
+        _made[path] = df.sparkSession._jvm.java.lang.ref.WeakReference(shared)
+    return df
+
+
+def sweep(spark: SparkSession | None = None) -> None:
+    """Remove folders that no plan can read any more; with spark, collect garbage first."""
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
+    for path, held in list(_made.items()):
+        if held is not None and held.get() is None:
+            _remove(path)
+
+
+def _remove(path: str) -> None:
+    _made.pop(path, None)
+    store, at = open_store(path)
+    with contextlib.suppress(FileNotFoundError):
+        store.delete_dir(at)
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -65,10 +82,9 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 @atexit.register
 def _remove_made() -> None:
-    for path in _made:
+    for path in list(_made):
         with contextlib.suppress(Exception):
-            store, at = open_store(path)
-            store.delete_dir(at)
+            _remove(path)
 
 
 @contextlib.contextmanager
@@ -81,17 +97,30 @@ def atomic_output(store: pafs.FileSystem, path: str):
     store.move(temp, path)
 
 
-def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, narrow: bool = False, *folders: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage at a table
     that every executor can read.  Wide columns are compressed before they come
     here; small row groups bound what a writing task buffers.  narrow: rows of a few
-    numbers, which a quarter of the tasks write, as each file costs a task more than they do."""
+    numbers, which a quarter of the tasks write, as each file costs a task more than they do.
+    folders are of use only to readers of the table and go with it."""
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(max(8, tasks(spark) // 4))
     path = shared_dir(spark, name)
     df.write.option("compression", "uncompressed").option("parquet.block.size", 8 << 20).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return live_with(spark.read.schema(df.schema).parquet(path), path, *folders)
+
+
+#: How to empty the caches of the operators that this worker process has run.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def own_cache(name: str, clear: Callable[[], None]) -> None:
+    """Called by a task that is about to fill its operator's cache.  A worker process serves one operator
+    after the other; the caches of those before are emptied, so that they don't add up."""
+    for other in [k for k in _caches if k != name]:
+        _caches.pop(other)()
+    _caches[name] = clear
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

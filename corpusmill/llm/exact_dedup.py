@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import atomic_output, id_text, open_store, shared_dir, small_batches, stored, tasks
+from .common import atomic_output, id_text, live_with, open_store, shared_dir, small_batches, stored, tasks
 
 ENTRY = struct.Struct("<QqqqqQI")  # key, representative, best id, best row, rows, heap offset, heap length
 HEAD = struct.Struct("<QQIIH")  # directory offset, pages offset, buckets, entries, global depth
@@ -207,6 +207,6 @@ def extendible_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     store, at = open_store(folder)
     store.create_dir(at)
     reps = staged.where(F.col("rep") == F.col("row")).select("key", "rep", "best_id", "best_row", "n", "text")
-    verdicts = reps.repartitionByRange(tasks(spark), "key").mapInArrow(_owner(folder, bucket_capacity), "rep long, keep_id long, keep_row long, group_size long")
+    verdicts = live_with(reps.repartitionByRange(tasks(spark), "key").mapInArrow(_owner(folder, bucket_capacity), "rep long, keep_id long, keep_row long, group_size long"), folder)
     rows = staged.select("row", "id", "rep", "sha")
     return rows.join(verdicts.hint("merge"), "rep").select(F.col("id"), F.col("keep_id"), F.col("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -64,7 +64,7 @@ def write_id_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             yield flush()
 
     rows = id_text(docs, id_col, text_col).repartitionByRange(tasks(spark), "id").sortWithinPartitions("id")
-    manifest = stored(rows.mapInArrow(run, MANIFEST), "idfiles-manifest")
+    manifest = stored(rows.mapInArrow(run, MANIFEST), "idfiles-manifest", False, folder)
     return manifest.withColumn("folder", F.lit(folder))
 
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import atomic_output, id_text, open_store, rows_of, shared_dir, small_batches, stored, tasks
+from .common import atomic_output, id_text, live_with, open_store, rows_of, shared_dir, small_batches, stored, tasks
 from .efcodec import Level, U, pack, unpack
 from .shingles import mix, word_hashes, words_of
 
@@ -457,4 +457,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answered = dealt(pairs, "shard").applyInArrow(_answer_pairs(folder, d2), _MESSAGE)
     triples = dealt(answered, "block").applyInArrow(_ask_triples(*args), _MESSAGE)
     scored = dealt(triples, "shard").applyInArrow(_answer_triples(folder, d3, least), _MESSAGE)
-    return dealt(scored, "block").applyInArrow(_score(*args, distinct, d1, d2), RESULT)
+    return live_with(dealt(scored, "block").applyInArrow(_score(*args, distinct, d1, d2), RESULT), folder)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import own_cache
+
 SIZE = 5
 U = np.uint64
 
@@ -37,6 +39,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    own_cache("word hashes", _hashes.clear)
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 

@@ -35,7 +35,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import atomic_output, id_text, open_store, rows_of, shared_dir, small_batches, tasks
+from .common import atomic_output, id_text, live_with, open_store, rows_of, shared_dir, small_batches, tasks
 from .suffixes import adjacent_prefixes, suffix_array, words8
 
 U = np.uint64
@@ -519,4 +519,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counted = dealt(asked, "shard").applyInArrow(_count(hot), _MESSAGE)
     sent = dealt(counted, "block").applyInArrow(_cut_pieces(folder, shards, width, gram), _MESSAGE)
     judged = dealt(sent, "shard").applyInArrow(_sort_shard(width), _MESSAGE)
-    return dealt(judged, "block").applyInArrow(_merge(folder, width, whole_chars), RESULT)
+    return live_with(dealt(judged, "block").applyInArrow(_merge(folder, width, whole_chars), RESULT), folder)

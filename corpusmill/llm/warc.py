@@ -209,7 +209,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                     yield from flush()
         yield from flush()
 
-    return stored(d.mapInArrow(run, "folder string, path string, kind string, records long"), "warc-manifest")
+    return stored(d.mapInArrow(run, "folder string, path string, kind string, records long"), "warc-manifest", False, folder)
 
 
 def _scan(want_segments: bool):

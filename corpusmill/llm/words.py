@@ -14,6 +14,8 @@ import unicodedata
 
 import numpy as np
 
+from .common import own_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters on which re's and the tokenizers' classes agree: ASCII, Latin-1 without
@@ -40,7 +42,7 @@ class WordTable:
     the pre-tokenizer's pattern then only runs over new entries.  Entries that fell out of use leave the table a generation at a time, so that it
     holds at most twice ``limit`` of them and the common ones stay."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
@@ -100,6 +102,7 @@ _tables: dict[str, WordTable] = {}
 
 def word_table(path: str) -> WordTable:
     """One table a worker process, kept between its tasks."""
+    own_cache("word table", _tables.clear)
     if path not in _tables:
         _tables[path] = WordTable(path)
     return _tables[path]
