@@ -4,8 +4,12 @@ Quality rules, exact duplicates, near duplicates (one document of each group sta
 repeated passages cut out of the texts, packing.  All but the last return the columns of
 ``documents``, with n_chars brought up to date where a text changes.  A stage is a
 function of (spark, docs, sf_dir); its result is written as Parquet and read again as the
-next one's docs, so a stage first removes the working files of those before it.  A row
-without an id is in no result.
+next one's docs.
+
+Rows without an id are in no result.  Each row is judged for itself, also where rows share
+an id: of rows with equal texts one stays, and rows with one id and different texts are
+different documents.  Null texts count as empty ones and fail the quality rules.  Columns
+besides those of ``documents`` pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -14,59 +18,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
-from corpusmill.llm.common import scratch_scope, stored
+from corpusmill.llm.common import stored, sweep
+from corpusmill.sources.io import with_row_id
 
-#: No stage after the first can be told in SQL; tests hold run() against brute force.
+#: No stage can be told in SQL as a whole; tests/llm holds run() against plain Python.
 ORACLE_SQL = None
 
+ROW = "_pipeline_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number that names each row, in the order of ids.  It is the id itself, unless rows
+    share one; then rows are numbered in the order of id and text, in a stored table."""
+    docs = docs.where(F.col("doc_id").isNotNull())
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if shared.isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    order = F.xxhash64("text").alias(f"{ROW}_order")
+    return stored(with_row_id(docs.select("*", order), ["doc_id", f"{ROW}_order"], ROW), "pipeline-numbered").drop(f"{ROW}_order")
+
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows whose id is among verdicts (id, kept).  The planner can't measure an operator's
-    output beforehand, so it is told not to broadcast it."""
-    ids = verdicts.where("kept").select(F.col("id").alias("kept_id")).distinct().hint("merge")
-    return docs.join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi")
+def _kept(docs: DataFrame, rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows that verdicts (id, kept) keep.  The planner can't measure an operator's output
+    beforehand, so it is told not to broadcast it."""
+    keep = verdicts.where("kept").select(F.col("id").alias(ROW)).hint("merge")
+    return rows.join(keep, ROW, "left_semi").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are judged by a key of what the verdict is about, as rows may share an id."""
-    keyed = docs.where("doc_id IS NOT NULL").withColumn("row_key", F.xxhash64("doc_id", "text", "lang", "source"))
-    with scratch_scope("stage"):
-        verdicts = quality.robust_quality(keyed, "row_key")
-        keys = verdicts.where("kept").select(F.col("id").alias("row_key")).distinct().hint("merge")
-        return keyed.join(keys, "row_key", "left_semi").select(*docs.columns)
+    rows = _numbered(docs)
+    return _kept(docs, rows, quality.robust_quality(rows, ROW))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row kept of a group is named by its id and text, and rows with both equal become one."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    keyed = docs.withColumn("sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower).cast("binary"), 256))
-    with scratch_scope("stage"):
-        verdicts = exact_dedup.extendible_dedup(docs)
-        kept = verdicts.where("kept").select(F.col("id").alias("doc_id"), F.col("text_sha256").alias("sha")).hint("merge")
-        return keyed.join(kept, ["doc_id", "sha"], "left_semi").dropDuplicates(["doc_id", "sha"]).select(*docs.columns)
+    rows = _numbered(docs)
+    return _kept(docs, rows, exact_dedup.extendible_dedup(rows, ROW))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with scratch_scope("stage"):
-        return _kept(docs, near_dedup.near_duplicates(docs))
+    rows = _numbered(docs)
+    return _kept(docs, rows, near_dedup.near_duplicates(rows, ROW))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out whole characters only; documents with nothing left go."""
-    with scratch_scope("stage"):
-        out = substring_dedup.remove_repeats(docs, whole_chars=True)
-    cut = out.select(F.col("id").alias("cut_id"), F.decode("kept", "UTF-8").alias("cut_text"))
-    named = docs.select(*[c for c in docs.columns if c not in ("text", "n_chars")])
-    joined = named.join(cut.hint("merge"), F.col("doc_id") == F.col("cut_id")).where("cut_text <> ''")
-    new = {"text": F.col("cut_text"), "n_chars": F.length("cut_text").cast("long")}
+    rows = _numbered(docs)
+    out = substring_dedup.remove_repeats(rows, ROW, whole_chars=True)
+    cut = out.select(F.col("id").alias(ROW), F.decode("kept", "UTF-8").alias(f"{ROW}_text"))
+    named = rows.select(ROW, *[c for c in docs.columns if c not in ("text", "n_chars")])
+    joined = named.join(cut.hint("merge"), ROW).where(F.col(f"{ROW}_text") != "")
+    new = {"text": F.col(f"{ROW}_text"), "n_chars": F.length(f"{ROW}_text").cast("long")}
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    with scratch_scope("stage"):
-        return packing.harmonic_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.harmonic_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -82,4 +90,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        sweep(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
