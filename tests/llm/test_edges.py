@@ -298,8 +298,8 @@ def test_quality_rejects_an_outlier_of_each_coordinate(spark):
     texts = {i: " ".join(prose(100 + i % 50)) for i in range(300)}
     menu = " ".join(prose(3))
     texts |= {
-        1000: " ".join(prose(5000)), 1001: " ".join(prose(120, (12, 18))), 1002: " ".join(prose(120)) + " " + "#" * 30,
-        1003: " ".join(prose(60)) + "".join(f"\n{menu}\n" + " ".join(prose(6)) for _ in range(9)), 1004: " ".join([*(w := prose(110)), *w[:8]]),
+        1000: " ".join(prose(20000)), 1001: " ".join(prose(120, (12, 18))), 1002: " ".join(prose(120)) + " " + "#" * 30,
+        1003: " ".join(prose(60)) + "".join(f"\n{menu}\n" + " ".join(prose(6)) for _ in range(9)), 1004: " ".join([*(w := prose(110)), *w[:8]]) + f"\n{menu}" * 2,
     }
     rows = spark.createDataFrame([(k, v, "en", "s") for k, v in texts.items()], "doc_id long, text string, lang string, source string")
     got = {x["id"]: x for x in quality.robust_quality(rows).collect()}
@@ -308,6 +308,68 @@ def test_quality_rejects_an_outlier_of_each_coordinate(spark):
     assert sum(got[i]["kept"] for i in range(300)) >= 297
 
 
+def plain_mcd(z):
+    """Squared distances of the rows of z by a plain concentration from two starts."""
+    floors, n = np.array(quality.FLOORS), len(z)
+
+    def distance(m, s):
+        low = np.zeros((5, 5))
+        for i in range(5):
+            for j in range(i + 1):
+                c = s[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(c, floors[i] ** 2)) if i == j else c / low[j, j]
+        return (np.linalg.solve(low, (z - m).T) ** 2).sum(axis=0), 2 * np.log(np.diag(low)).sum()
+
+    centre = np.median(z, axis=0)
+    scale = np.maximum(1.4826 * np.median(abs(z - centre), axis=0), floors)
+    u = (z - centre) / scale
+    u /= np.maximum(np.linalg.norm(u, axis=1), 1e-9)[:, None]
+    best = (np.inf, None)
+    for start in (np.diag(scale**2), np.outer(scale, scale) * (5 * u.T @ u / n)):
+        d, det = distance(centre, start)[0], np.inf
+        while True:
+            near = z[np.argsort(d, kind="stable")[: int(np.ceil(0.75 * n))]]
+            after, now = distance(near.mean(axis=0), np.cov(near.T, bias=True))
+            if now >= det - quality.SETTLED:
+                break
+            d, det = after, now
+        best = min(best, (det, d), key=lambda x: x[0])
+    d = best[1]
+    within = z[d <= max(np.median(d) / quality.chi2_quantile(0.5, 5), 1) * quality.chi2_quantile(0.975, 5)]
+    return distance(within.mean(axis=0), np.cov(within.T, bias=True))[0]
+
+
+def test_quality_is_that_of_a_plain_estimate(spark):
+    r = random.Random(9)
+    texts = {}
+    for i in range(1200):
+        w = words(int(2 ** r.uniform(4, 9)), i).split(" ")
+        if i % 10 == 0:
+            w = ["#" * r.randrange(1, 9) + x if r.random() < 0.3 else x for x in w]
+        if i % 9 == 0:
+            w += ["\n" + " ".join(w[:4])] * r.randrange(1, 6)
+        if i % 31 == 0:
+            w = [x * r.randrange(1, 4) for x in w]
+        texts[i] = " ".join(w)
+    # two sources with enough rows, one language whose small sources are enough together, and a few others
+    place = lambda i: ("en", "a") if i < 700 else ("fr", "b") if i < 1100 else ("de", str(i % 9)) if i < 1190 else ("es", "c")
+    rows = spark.createDataFrame([(k, v, *place(k)) for k, v in texts.items()], "doc_id long, text string, lang string, source string")
+    got = {x["id"]: x for x in quality.robust_quality(rows).collect()}
+    z = {i: (math.log1p(n), math.log((c + 100) / (n + 20)), math.log1p(100 * s / max(c, 1)), math.log1p(10 * d / max(1, sum(bool(x.split()) for x in texts[i].split("\n")))), math.log1p(10 * q / max(n, 1))) for i, (n, c, s, d, q, _) in ((i, base_statistics(t)) for i, t in texts.items())}
+    cutoff, seen = quality.chi2_quantile(1 - 1e-5, 5), Counter()
+    for level, lo, hi in ((0, 0, 700), (0, 700, 1100), (1, 1100, 1190), (3, 1190, 1200)):
+        own = [i for i in range(lo, hi) if not got[i]["base_failed"]]
+        assert {got[i]["level"] for i in own} == {level}
+        if level == 3:
+            assert all(got[i]["kept"] and got[i]["distance2"] is None for i in own)
+            continue
+        for i, d in zip(own, plain_mcd(np.array([z[i] for i in own])), strict=True):
+            assert math.isclose(got[i]["distance2"], d, rel_tol=0.3, abs_tol=0.5), (i, d, got[i])
+            assert abs(d - cutoff) < 6 or got[i]["kept"] == (d <= cutoff)
+            seen[bool(d <= cutoff)] += 1
+    assert seen[False] > 50 and seen[True] > 800
+
+
 def test_quality_runs_no_python(docs):
     plan = quality.robust_quality(docs, steps=1)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
