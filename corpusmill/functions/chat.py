@@ -15,14 +15,23 @@ from pyspark.sql import types as T
 
 from .text import WS, strip, text
 
+# The template's strings.  Fixed values.
 START, END = "<|im_start|>", "<|im_end|>"
 EMPTY_THINK = "<think>\n\n</think>\n\n"
+TOOLS_BEFORE = "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"
+TOOLS_AFTER = "\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{\"name\": <function-name>, \"arguments\": <args-json-object>}\n</tool_call>"
 IGNORE = -100
 
 
-def gather_turns(long: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text") -> DataFrame:
-    """conv_id, messages: turns in order; one conversation is one row, so its turns are bounded by it."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), text(content).alias("content"))))
+def unit(key: Column, seed: int) -> Column:
+    """A draw from [0, 1) by md5 of seed and key, which any engine gives alike."""
+    hexed = F.substr(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), F.lit(1), F.lit(8))
+    return F.conv(hexed, 16, 10).cast("long") / F.lit(4294967296.0)
+
+
+def gather_turns(long: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", extra: list[str] | None = None) -> DataFrame:
+    """conv_id, messages: turns in order, with the extra columns; one conversation is one row, so its turns are bounded by it."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), text(content).alias("content"), *(extra or []))))
     return long.groupBy(F.col(conv).alias("conv_id")).agg(parts.alias("messages"))
 
 
@@ -43,10 +52,28 @@ def _between(c: Column, sign: str = "\n") -> Column:
     return F.regexp_replace(c, f"^[{sign}]+|[{sign}]+$", "")
 
 
-def render(messages: Column, generation_prompt: bool = False, open_thinking: bool = False) -> Column:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _calls(calls: pd.Series) -> pd.Series:
+    """The calls of each turn (a JSON list or null) as the template writes them; arguments that are no string are JSON."""
+
+    def turn(raw: str | None) -> str:
+        found = [c.get("function") or c for c in (json.loads(raw) if raw else [])]
+        args = lambda a: a if isinstance(a, str) else json.dumps(a, ensure_ascii=False)
+        return "\n".join(f'<tool_call>\n{{"name": "{c["name"]}", "arguments": {args(c.get("arguments"))}}}\n</tool_call>' for c in found)
+
+    return calls.map(lambda xs: [turn(x) for x in xs])
+
+
+def render(messages: Column, generation_prompt: bool = False, open_thinking: bool = False, full: bool = False) -> Column:
     """The chat template for system, user, assistant and tool turns without declared tools.
 
-    Assistant turns carry their thoughts in think tags; neighbouring tool turns share one user block."""
+    Assistant turns carry their thoughts in think tags; neighbouring tool turns share one user block.
+    full: messages also have reasoning_content (thoughts beside the content, which is left whole then)
+    and tool_calls (a JSON list)."""
+    roles = F.transform(messages, lambda m: m["role"])
+    if full:  # a Python function can't stand within a lambda
+        calls = _calls(F.transform(messages, lambda m: m["tool_calls"]))
+        messages = F.zip_with(messages, calls, lambda m, c: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["reasoning_content"].alias("beside"), c.alias("called")))
 
     def turn(m: Column, i: Column) -> Column:
         role, content = m["role"], text(m["content"])
@@ -55,9 +82,14 @@ def render(messages: Column, generation_prompt: bool = False, open_thinking: boo
         before = F.regexp_replace(F.substring_index(content, "</think>", 1), "\n+$", "")
         thoughts = F.when(has, F.regexp_replace(F.substring_index(before, "<think>", -1), "^\n+", "")).otherwise("")
         answer = F.when(has, F.regexp_replace(F.substring_index(content, "</think>", -1), "^\n+", "")).otherwise(content)
+        called = F.lit("")
+        if full:
+            beside, said = m["beside"], m["called"]
+            thoughts, answer = F.coalesce(beside, thoughts), F.when(beside.isNull(), answer).otherwise(content)
+            called = F.when(said == "", F.lit("")).otherwise(F.concat(F.when(answer == "", F.lit("")).otherwise(F.lit("\n")), said))
         plain = F.concat(F.lit(START), role, F.lit("\n"), content, F.lit(END + "\n"))
-        assistant = F.concat(F.lit(START + "assistant\n<think>\n"), _between(thoughts), F.lit("\n</think>\n\n"), F.regexp_replace(answer, "^\n+", ""), F.lit(END + "\n"))
-        other = lambda k: F.coalesce(F.get(messages, k)["role"] != "tool", F.lit(True))
+        assistant = F.concat(F.lit(START + "assistant\n<think>\n"), _between(thoughts), F.lit("\n</think>\n\n"), F.regexp_replace(answer, "^\n+", ""), called, F.lit(END + "\n"))
+        other = lambda k: F.coalesce(F.get(roles, k) != "tool", F.lit(True))
         tool = F.concat(F.when(other(i - 1), F.lit(START + "user")).otherwise(""), F.lit("\n<tool_response>\n"), content, F.lit("\n</tool_response>"), F.when(other(i + 1), F.lit(END + "\n")).otherwise(""))
         return F.when(role.isin("user", "system"), plain).when(role == "assistant", assistant).when(role == "tool", tool).otherwise("")
 
@@ -73,10 +105,7 @@ def _tools_header(tools: pd.Series, system: pd.Series) -> pd.Series:
         if not t:
             return None
         lines = "".join("\n" + json.dumps(x, ensure_ascii=False) for x in json.loads(t))
-        return (
-            START + "system\n" + (s + "\n\n" if s else "") + "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"
-            + lines + "\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{\"name\": <function-name>, \"arguments\": <args-json-object>}\n</tool_call>" + END + "\n"
-        )
+        return START + "system\n" + (s + "\n\n" if s else "") + TOOLS_BEFORE + lines + TOOLS_AFTER + END + "\n"
 
     return pd.Series([one(t, s) for t, s in zip(tools, system, strict=True)], dtype=object)
 
@@ -91,8 +120,8 @@ def render_with_tools(messages: Column, tools: Column) -> Column:
 
 def add_system_prompt(messages: Column, key: Column, prompts: list[str], share: float = 0.2, seed: int = 0) -> Column:
     """A system turn, drawn by the key's hash, before share of the conversations that have none."""
-    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    prompt = F.element_at(F.array(*map(F.lit, prompts)), (F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(len(prompts))) + 1).cast("int"))
+    draw = unit(key, seed)
+    prompt = F.element_at(F.array(*map(F.lit, prompts)), (F.floor(unit(key, seed + 1) * len(prompts)) + 1).cast("int"))
     none = F.get(messages, F.lit(0))["role"] != "system"
     turn = F.named_struct(F.lit("turn"), F.lit(-1).cast("long"), F.lit("role"), F.lit("system"), F.lit("content"), prompt)
     return F.when(none & (draw < share), F.concat(F.array(turn), messages)).otherwise(messages)
@@ -100,8 +129,7 @@ def add_system_prompt(messages: Column, key: Column, prompts: list[str], share:
 
 def drop_empty_think(rendered: Column, key: Column, kept: float = 0.2, seed: int = 0) -> Column:
     """Empty thoughts leave all but kept of the texts, drawn by the key's hash."""
-    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return F.when(draw > kept, F.replace(rendered, F.lit(EMPTY_THINK), F.lit(""))).otherwise(rendered)
+    return F.when(unit(key, seed) > kept, F.replace(rendered, F.lit(EMPTY_THINK), F.lit(""))).otherwise(rendered)
 
 
 _CALL = r"(?s)<tool_call>(.*?)</tool_call>"
@@ -133,28 +161,30 @@ def pad(ids: Column, length: int, filler: int) -> Column:
     return F.concat(kept, F.array_repeat(F.lit(filler).cast("int"), F.lit(length) - F.size(kept)))
 
 
-def supervision_mask(begin: list[int], end: list[int], max_length: int):
-    """A UDF on ARRAY<INT>: ids from after each begin marker through the next end marker, IGNORE elsewhere."""
-
-    @F.pandas_udf("array<int>")
-    def run(ids: pd.Series) -> pd.Series:
-        def one(x) -> list[int]:
-            x, out, at = list(x), [IGNORE] * len(x), 0
-            while at < len(x):
-                if x[at : at + len(begin)] != begin:
-                    at += 1
-                    continue
-                first = at + len(begin)
-                last = next((k for k in range(first, len(x)) if x[k : k + len(end)] == end), None)
-                stop = len(x) if last is None else last + len(end)
-                for k in range(first, min(stop, max_length, len(x))):
-                    out[k] = x[k]
-                at = stop
-            return out
-
-        return ids.map(lambda x: one(x if x is not None else []))
-
-    return run
+def supervision_mask(ids: Column, begin: list[int], end: list[int], max_length: int) -> Column:
+    """Ids from after each begin marker through the next end marker, IGNORE elsewhere; a span that
+    nothing ends goes to the end.
+
+    The markers' places are found first; one pass over these pairs them, as a marker may lie within
+    another or within a span; the mask asks which spans hold a position."""
+    ids = F.coalesce(ids, F.array().cast("array<int>"))
+    at = lambda m, i: F.slice(ids, i + 1, F.lit(len(m))) == F.array(*map(F.lit, m))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ids) - 1, F.lit(0))), lambda i: at(begin, i) | at(end, i))
+    span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    # start: of the open span, or -1; free: the first position that no marker has used
+    start = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("free"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
+
+    def step(s: Column, i: Column) -> Column:
+        opens = (s["start"] < 0) & at(begin, i) & (i >= s["free"])
+        closes = (s["start"] >= 0) & at(end, i) & (i >= s["start"])
+        first, last = (i + len(begin)).cast("int"), (i + len(end)).cast("int")
+        return F.struct(
+            F.when(opens, first).when(closes, F.lit(-1)).otherwise(s["start"]).alias("start"), F.when(opens, first).when(closes, last).otherwise(s["free"]).alias("free"),
+            F.when(closes, F.concat(s["spans"], F.array(span(s["start"], last)))).otherwise(s["spans"]).alias("spans"),
+        )
+
+    spans = F.aggregate(places, start, step, lambda s: F.when(s["start"] >= 0, F.concat(s["spans"], F.array(span(s["start"], F.size(ids))))).otherwise(s["spans"]))
+    return F.transform(ids, lambda x, i: F.when((i < max_length) & F.exists(spans, lambda p: (p["a"] <= i) & (i < p["b"])), x).otherwise(F.lit(IGNORE)))
 
 
 def valid_labels(labels: Column) -> Column:

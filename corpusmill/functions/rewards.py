@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .chat import parse_tool_calls
 from .text import repetition_penalty, strip, text
 
-#: Arguments that a call of each tool must have.
+#: Arguments that a call of each tool must have.  Fixed values.
 REQUIRED = {
     "calculate_math": ["expression"], "unit_converter": ["value", "from_unit", "to_unit"], "get_current_weather": ["location"],
     "get_current_time": [], "get_exchange_rate": ["from_currency", "to_currency"], "translate_text": ["text", "target_language"],
@@ -140,6 +140,11 @@ _FUNCTIONS = {"sqrt": math.sqrt, "sin": math.sin, "cos": math.cos, "tan": math.t
 def arithmetic(expression: str) -> float | int:
     """Value of an arithmetic expression; anything else is a ValueError.  Nothing is evaluated as code."""
 
+    def bounded(v):
+        if isinstance(v, int) and v.bit_length() > 4096 or isinstance(v, complex):
+            raise ValueError("result too large")
+        return v
+
     def value(node):
         match node:
             case ast.Expression(body=body):
@@ -150,7 +155,7 @@ def arithmetic(expression: str) -> float | int:
                 x, y = value(a), value(b)
                 if isinstance(op, ast.Pow) and (abs(y) > 1000 or abs(x) > 1e6):
                     raise ValueError("power too large")
-                return _OPS[type(op)](x, y)
+                return bounded(_OPS[type(op)](x, y))
             case ast.UnaryOp(op=op, operand=a) if type(op) in _OPS:
                 return _OPS[type(op)](value(a))
             case ast.Call(func=ast.Attribute(value=ast.Name(id="math"), attr=f) | ast.Name(id=f), args=args, keywords=[]) if callable(_FUNCTIONS.get(f)):

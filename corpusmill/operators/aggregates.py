@@ -91,15 +91,22 @@ def chance_band(n: Column, classes: int, z: float = 1.96) -> Column:
 
 
 def binomial_p(a_only: int, b_only: int) -> float:
-    """Exact two-sided p of a split of disagreements, in whole numbers until the last division."""
+    """Exact two-sided p of a split of disagreements.
+
+    Up to 1000 of them it is a quotient of whole numbers.  From there on the tail is added up from its
+    largest term down until terms no longer count, some multiple of sqrt(n) of them."""
     n, k = a_only + b_only, min(a_only, b_only)
     if not n:
         return 1.0
-    tail, term = 0, 1
-    for i in range(k + 1):
-        tail += term
-        term = term * (n - i) // (i + 1)
-    return min(1.0, 2 * tail / 2**n) if n < 1000 else min(1.0, math.exp(math.log(2) + math.log(tail) - n * math.log(2)))
+    if n <= 1000:
+        return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+    total, term, i = 0.0, 1.0, k
+    while i >= 0 and term > total * 1e-17:
+        total += term
+        term *= i / (n - i + 1)
+        i -= 1
+    largest = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    return min(1.0, 2 * total * math.exp(largest))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -2,33 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_space
 from ..sources.io import pinned
 
 
+def _digest(c: Column | str) -> Column:
+    """What a key is grouped by: a shuffle moves 32 bytes a row, however long the text is."""
+    return F.sha2((F.col(c) if isinstance(c, str) else c).cast("string").cast("binary"), 256)
+
+
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key.
+    """The first row of each key; of rows that tie on order too, one.
 
     The first order value of a key is a minimum that combines before the shuffle, so a key
     with a third of all rows is no hot task; a window would gather its rows."""
-    first = df.groupBy(F.col(key).alias("_first_key")).agg(F.min(order).alias("_first"))
-    return df.join(first, F.col(key).eqNullSafe(F.col("_first_key")) & (F.col(order) == F.col("_first"))).drop("_first_key", "_first")
+    d = df.withColumn("_digest", _digest(key))
+    first = d.groupBy(F.col("_digest").alias("_first_key")).agg(F.min(order).alias("_first"))
+    won = d.join(first, F.col("_digest").eqNullSafe(F.col("_first_key")) & F.col(order).eqNullSafe(F.col("_first")))
+    return won.dropDuplicates(["_digest", "_first"]).drop("_first_key", "_first", "_digest")
 
 
 def drop_contradictions(df: DataFrame, text_col: str, label: str) -> DataFrame:
     """D3: no copy of a text that stands under more than one label."""
-    d = df.withColumn("_key", norm_space(text_col))
+    d = df.withColumn("_key", _digest(norm_space(text_col)))
     bad = d.groupBy("_key").agg(F.min(label).alias("_a"), F.max(label).alias("_b")).where("_a <> _b").select("_key")
     return d.join(bad, "_key", "left_anti").drop("_key")
 
 
 def merge_groups(df: DataFrame, key: str, label: str, order: str) -> DataFrame:
-    """One row, the first, of each key whose rows agree on the label."""
-    g = df.groupBy(key).agg(F.min(label).alias("_a"), F.max(label).alias("_b"), F.min(order).alias("_first")).where("_a <=> _b")
-    return df.join(g.select(key, F.col("_first").alias(order)), [key, order], "left_semi")
+    """One row, the first, of each key whose rows agree on the label; rows with an empty key go."""
+    d = df.where(F.col(key) != "").withColumn("_digest", _digest(key))
+    g = d.groupBy("_digest").agg(F.min(label).alias("_a"), F.max(label).alias("_b"), F.min(order).alias("_first")).where("_a <=> _b")
+    won = d.join(g.select("_digest", F.col("_first").alias(order)), ["_digest", order], "left_semi")
+    return won.dropDuplicates(["_digest", order]).drop("_digest")
+
+
+def gram_classes(df: DataFrame, row: str, grams: str, block: list[str] | None = None) -> DataFrame:
+    """(row, rep): rows with equal, non-empty gram sets (and equal block columns) have the least of them as rep.
+
+    A group of equal texts, however large, takes part in a similarity join as one row."""
+    d = df.where(F.size(grams) > 0).select(F.col(row).alias("row"), *(block or []), _digest(F.to_json(F.array_sort(grams))).alias("_digest"))
+    d = pinned(d)
+    first = d.groupBy("_digest", *(block or [])).agg(F.min("row").alias("rep"))
+    same = F.col("d._digest") == F.col("f._digest")
+    for c in block or []:
+        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}"))
+    return d.alias("d").join(first.alias("f"), same).select("row", "rep")
 
 
 def similar_pairs(df: DataFrame, row: str, grams: str, threshold: float, other: DataFrame | None = None, block: list[str] | None = None) -> DataFrame:
@@ -38,7 +60,8 @@ def similar_pairs(df: DataFrame, row: str, grams: str, threshold: float, other:
     share one of the first size - ceil(threshold size) + 1 of each.  Candidates that their
     sizes rule out never leave the join.  With other, pairs are between the two tables;
     else a < b by the order of row.  block: columns that must agree, such as the label.
-    Empty sets are similar to nothing."""
+    Empty sets are similar to nothing.  Rows with equal sets are paired one by one here;
+    similar_classes() takes them together first."""
     block = block or []
     left = df.select(F.col(row).alias("row"), F.col(grams).alias("g"), *block)
     right = left if other is None else other.select(F.col(row).alias("row"), F.col(grams).alias("g"), *block)
@@ -63,6 +86,14 @@ def similar_pairs(df: DataFrame, row: str, grams: str, threshold: float, other:
     return full.select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def similar_classes(df: DataFrame, row: str, grams: str, threshold: float, block: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): similar_pairs() between rows that represent their equals, and (row, rep) of all
+    rows that have grams."""
+    members = pinned(gram_classes(df, row, grams, block))
+    reps = df.join(members.where("row = rep").select(F.col("row").alias(row)), row, "left_semi")
+    return similar_pairs(pinned(reps.select(row, grams, *(block or []))), row, grams, threshold, block=block), members
+
+
 def greedy_drop(df: DataFrame, row: str, pairs: DataFrame, rounds: int = 1000) -> DataFrame:
     """Rows that survive when each row in order goes if it is similar to a kept one before it.
 
@@ -89,12 +120,19 @@ def greedy_drop(df: DataFrame, row: str, pairs: DataFrame, rounds: int = 1000) -
 
 
 def drop_near_duplicates(df: DataFrame, row: str, grams: str, threshold: float = 0.85, block: list[str] | None = None) -> DataFrame:
-    """Greedy, in the order of row, within the block; rows without grams go."""
-    d = df.where(F.size(grams) > 0)
-    return greedy_drop(d, row, similar_pairs(d, row, grams, threshold, block=block))
+    """Greedy, in the order of row, within the block; rows without grams go.
+
+    A later row with an earlier one's grams goes whatever becomes of the earlier one, and decides
+    over no other row, so only the first of equal rows is asked."""
+    pairs, members = similar_classes(df, row, grams, threshold, block)
+    reps = df.join(members.where("row = rep").select(F.col("row").alias(row)), row, "left_semi")
+    return greedy_drop(reps, row, pairs)
 
 
 def drop_similar_to(df: DataFrame, row: str, grams: str, external: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Rows similar to no external one."""
-    hit = similar_pairs(df, row, grams, threshold, other=external).select(F.col("a").alias(row)).distinct()
-    return df.join(hit, row, "left_anti")
+    """Rows similar to no external one.  Equal rows are compared once, on either side."""
+    members = pinned(gram_classes(df, row, grams))
+    mine = df.join(members.where("row = rep").select(F.col("row").alias(row)), row, "left_semi")
+    theirs = gram_classes(external, row, grams).where("row = rep").select(F.col("row").alias(row))
+    hit = similar_pairs(mine, row, grams, threshold, other=external.join(theirs, row, "left_semi")).select(F.col("a").alias("rep")).distinct()
+    return df.join(members.join(hit, "rep", "left_semi").select(F.col("row").alias(row)), row, "left_anti")

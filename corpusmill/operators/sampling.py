@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.io import with_row_id
+from ..sources.io import pinned, with_row_id
 from .windows import ranked
 
 
@@ -34,10 +34,13 @@ def sample_per_group(df: DataFrame, group: str, key: str, k: int, seed: int) ->
 
 
 def drop_bottom(df: DataFrame, score: str, tie: str, share: float) -> DataFrame:
-    """Without the int(n share) rows of least (score, tie)."""
-    d = with_row_id(df, [score, tie], "_row")
-    n = df.agg(F.floor(F.count(F.lit(1)) * share).alias("_cut"))
-    return d.join(F.broadcast(n)).where(F.col("_row") >= F.col("_cut")).drop("_row", "_cut")
+    """Without the int(n share) rows of least (score, tie); rows that tie on both with the first kept stay.
+
+    Only the two columns are sorted; rows are then compared with the one at the cut."""
+    d = pinned(df)  # the score may be costly, and the order is found in three passes
+    cut = int(d.count() * share)
+    bound = with_row_id(d.select(score, tie), [score, tie], "_row").where(F.col("_row") == cut).select(F.struct(score, tie).alias("_bound"))
+    return d.join(F.broadcast(bound), F.struct(score, tie) >= F.col("_bound")).drop("_bound")  # one row
 
 
 def refill(kept: DataFrame, pool: DataFrame, key: str, want: int) -> DataFrame:

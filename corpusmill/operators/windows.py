@@ -31,8 +31,12 @@ def ranked(df: DataFrame, label: str, order: list[str], name: str = "rank") -> D
 
 
 def round_robin(df: DataFrame, label: str, order: list[str], labels: list[str]) -> DataFrame:
-    """Position from 0 such that each run of len(labels) rows has every label once; the classes must be equal."""
+    """Position from 0 such that each run of len(labels) rows has every label once; an error unless the
+    classes are equal."""
     ord_ = F.coalesce(*[F.when(F.col(label) == x, F.lit(i)) for i, x in enumerate(labels)])
+    sizes = df.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"), F.max("n"), F.count(F.lit(1)), F.count_if(~F.coalesce(F.col("l").isin(*labels), F.lit(False)))).first()
+    if sizes[2] and (sizes[0] != sizes[1] or sizes[2] != len(labels) or sizes[3]):
+        raise ValueError(f"classes are not equal: {sizes[2]} of {len(labels)} labels, {sizes[3]} unknown, from {sizes[0]} to {sizes[1]} rows")
     return ranked(df, label, order, "_rank").withColumn("position", (F.col("_rank") - 1) * len(labels) + ord_).drop("_rank")
 
 
@@ -54,16 +58,26 @@ def cursor_split(df: DataFrame, label: str, order: list[str], sizes: list[tuple[
 
 
 def adjacent(points: DataFrame, size: str, value: str, curve: str | None = None) -> DataFrame:
-    """Each point with the next larger one of its curve."""
+    """Each point with the next larger one of its curve; a curve is a few aggregated points."""
     w = W.partitionBy(curve if curve else F.lit(0)).orderBy(size)
     return points.withColumn("next_size", F.lead(size).over(w)).withColumn("next_value", F.lead(value).over(w)).where("next_size IS NOT NULL")
 
 
 def running_best(df: DataFrame, step: str, loss: str, run: str | None = None) -> DataFrame:
-    """is_best where the loss is strictly under all before it."""
-    w = W.partitionBy(run if run else F.lit(0)).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
-    best = F.min(loss).over(w)
-    return df.withColumn("is_best", best.isNull() | (F.col(loss) < best))
+    """is_best where the loss is strictly under all before it.
+
+    Rows are dealt by range of (run, step); what a run's earlier partitions had as their least
+    loss is one row each, so a run with a third of all rows is no hot task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.withColumn("_run", F.col(run) if run else F.lit(0))
+    d = pinned(d.repartitionByRange(n, "_run", step).withColumn("_part", F.spark_partition_id()))
+    parts = d.groupBy("_part", "_run").agg(F.min(loss).alias("_least"))
+    earlier = F.min("_least").over(W.partitionBy("_run").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    b = parts.select(F.col("_part").alias("_p"), F.col("_run").alias("_r"), earlier.alias("_earlier"))
+    own = F.min(loss).over(W.partitionBy("_part", "_run").orderBy(step).rowsBetween(W.unboundedPreceding, -1))
+    d = d.withColumn("_own", own).join(b, (F.col("_part") == F.col("_p")) & F.col("_run").eqNullSafe(F.col("_r")))
+    best = F.least("_own", "_earlier")  # nulls are passed over
+    return d.withColumn("is_best", best.isNull() | (F.col(loss) < best)).drop("_run", "_part", "_own", "_p", "_r", "_earlier")
 
 
 def saturation(steps: DataFrame, size: str, next_size: str, p: str, alpha: float = 0.05) -> DataFrame:
@@ -83,9 +97,10 @@ def group_advantage(df: DataFrame, group: str, reward: str, epsilon: float = 1e-
 
 
 def latest(df: DataFrame, key: str, priority: list[str]) -> DataFrame:
-    """The row of each key with the greatest priority, later columns breaking ties."""
+    """The row of each key with the greatest priority, later columns breaking ties, and after them the others."""
     others = [c for c in df.columns if c != key]
-    top = df.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*priority)).alias("_r"))
+    ties = [c for c in others if c not in priority and "map<" not in dict(df.dtypes)[c]]  # maps have no order
+    top = df.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*priority, *ties)).alias("_r"))
     return top.select(key, "_r.*")
 
 

@@ -1,4 +1,4 @@
-"""Queries over conversations and fixed question rows, and their SQL."""
+"""Queries over conversations, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chat as C
-from ..functions import mcq as M
 from ..functions import rewards as R
 from ..functions import text as X
-from ..operators import filters, validation, windows
+from ..operators import windows
+from . import questions
 from .curation import table
 
 
@@ -31,7 +31,7 @@ def last_query(s, d):
 
 def system_prompts(s, d):
     m = C.add_system_prompt(F.col("messages"), F.col("conv_id"), ["You are a helpful AI assistant.", "Answer briefly."])
-    return conversations(s, d).select("conv_id", (F.size(m) - F.size("messages")).alias("added"), (m[0]["role"] == "system").alias("has_system"))
+    return conversations(s, d).select("conv_id", (F.size(m) - F.size("messages")).alias("added"), (m[0]["role"] == "system").alias("has_system"), F.when(F.size(m) > F.size("messages"), m[0]["content"]).alias("prompt"))
 
 
 def think_removed(s, d):
@@ -39,6 +39,22 @@ def think_removed(s, d):
     return conversations(s, d).select("conv_id", (F.length(r) - F.length(C.drop_empty_think(r, F.col("conv_id")))).alias("removed"))
 
 
+def conversation_render_full(s, d):
+    """X29 with thoughts and calls that come beside the content, and tool turns."""
+    turn = F.col("turn")
+    calls = F.concat(F.lit('[{"name": "calculate_math", "arguments": {"expression":"'), turn.cast("string"), F.lit('+1"}}, {"function": {"name":"get_current_time","arguments":"{}"}}]'))
+    x = table(s, d, "conversations").withColumn("role", F.when(turn % 5 == 4, "tool").otherwise(F.col("role")))
+    x = x.withColumns({"reasoning_content": F.when(turn % 3 == 0, F.concat(F.lit("\nthought "), turn.cast("string"), F.lit("\n"))), "tool_calls": F.when(turn % 4 == 1, calls)})
+    m = C.gather_turns(x, extra=["reasoning_content", "tool_calls"])
+    return m.select("conv_id", F.md5(C.render(F.col("messages"), full=True)).alias("rendered_md5"))
+
+
+def tools_header(s, d):
+    x = conversations(s, d)
+    tools = F.concat(F.lit('[{"name":"tool'), F.col("conv_id").cast("string"), F.lit('","parameters":{"n":'), F.size("messages").cast("string"), F.lit("}}]"))
+    return x.select("conv_id", F.md5(C.render_with_tools(F.col("messages"), tools)).alias("rendered_md5"))
+
+
 def role_runs(s, d):
     return windows.neighbours(table(s, d, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "opens", "closes")
 
@@ -88,173 +104,13 @@ def token_arrays(s, d):
     return x.select("conv_id", "turn", F.size(C.pad(F.col("ids"), 64, 0)).alias("n_padded"), F.size(C.shifted(F.col("ids"))["x"]).alias("n_shifted"), F.size(C.banned_tokens(F.col("ids"), 3)).alias("n_banned"), F.size(C.valid_labels(F.col("ids"))).alias("n_labels"))
 
 
-# ------------------------------------------------------------ fixed question rows
-
-OPTIONS = "A. 胃酸分泌减少\nB. 慢性失血\nC. 脾脏肿大\nD. 妊娠\nE. 溶血"
-_GOOD = "慢性失血使铁丢失增多，是小细胞低色素性贫血最常见的原因。"
-MCQ_ROWS = [
-    # id, question, options, answer, explanation, reason (null: passes)
-    ("good", "小细胞低色素性贫血最常见的原因是", OPTIONS, "B", _GOOD, None),
-    ("lower", "小细胞低色素性贫血最常见的原因是", OPTIONS, " b ", _GOOD, None),
-    ("missing", "", OPTIONS, "B", _GOOD, "missing_or_incomplete_fields"),
-    ("four", "贫血最常见的原因是", "A. 一\nB. 二\nC. 三\nD. 四", "B", _GOOD, "invalid_options_format"),
-    ("twice", "贫血最常见的原因是", "A. 一\nA. 二\nC. 三\nD. 四\nE. 五", "B", _GOOD, "invalid_options_format"),
-    ("letter", "贫血最常见的原因是", OPTIONS, "F", _GOOD, "answer_not_in_options"),
-    ("negative", "关于贫血，错误的是", OPTIONS, "B", _GOOD, "negative_question"),
-    ("except", "下列除铁以外均可", OPTIONS, "B", _GOOD, "negative_question"),
-    ("combo", "贫血最常见的原因是", OPTIONS.replace("溶血", "以上均是"), "B", _GOOD, "combination_options"),
-    ("visual", "如图所示，贫血最常见的原因是", OPTIONS, "B", _GOOD, "visual_or_table_dependency"),
-    ("html", "贫血<br>最常见的原因是", OPTIONS, "B", _GOOD, "garbled_or_html"),
-    ("cut", "贫血最常见的原因，", OPTIONS, "B", _GOOD, "question_truncated"),
-    ("short", "贫血最常见的原因是", OPTIONS, "B", "慢性失血。", "explanation_missing_or_empty"),
-    ("conflict", "贫血最常见的原因是", OPTIONS, "B", "慢性失血（C对），是小细胞低色素性贫血最常见的原因。", "explanation_answer_conflict"),
-    ("absent", "贫血最常见的原因是", OPTIONS, "B", "血红蛋白合成减少是这类贫血的主要机制之一。", "answer_absent_from_explanation"),
-    ("negated", "贫血最常见的原因是", OPTIONS, "B", "单纯慢性失血时一般不会出现黄疸等溶血表现的情况", "knowledge_negative_statement"),
-]
-
-
-def _mcq(s) -> DataFrame:
-    return s.createDataFrame([r[:5] for r in MCQ_ROWS], "id string, question string, options string, answer string, explanation string")
-
-
-def mcq_screen(s, d):
-    x = _mcq(s)
-    return x.select("id", M.screen("question", "options", "answer", "explanation").alias("reason"))
-
-
-CHOICES = [
-    ("答案：B", "B"), ("故选 C", "C"), ("**D**", "D"), ("a", "A"), ("选A或者B", None), ("AB", None), ("A/B", None), ("F", None), ("A\nB", None), ("A。答案是B", None),
-    ("A. 铁缺乏", "A"), ("选项A不正确", None), ("", None), (None, None),
-]
-
-
-def mcq_choice(s, d):
-    x = s.createDataFrame([(i, r[0]) for i, r in enumerate(CHOICES)], "id int, raw string")
-    return x.select("id", M.extract_choice("raw", F.array(*map(F.lit, M.LETTERS))).alias("choice"))
-
-
-DEPARTMENTS = ["内科", "外科", "儿科"]
-LABEL_TEXTS = [("答案：儿科。", "儿科"), ("内科或者外科", None), ("内科内科", None), ("内科", "内科"), ("建议 外科 就诊", "外科"), ("皮肤科", None), (None, None)]
-
-
-def label_parse(s, d):
-    x = s.createDataFrame([(i, r[0]) for i, r in enumerate(LABEL_TEXTS)], "id int, raw string")
-    return x.select("id", M.parse_label("raw", DEPARTMENTS).alias("label"))
-
-
-OPTION_TEXTS = [("A. 一\nB、二\nA: 三\nx", 2, "三"), ("", 0, None), ("a. 小写\nC 丙", 1, None)]
-
-
-def options_lenient(s, d):
-    x = s.createDataFrame([(i, r[0]) for i, r in enumerate(OPTION_TEXTS)], "id int, raw string").select("id", M.parse_options("raw").alias("o"))
-    return x.select("id", F.size("o").alias("n"), F.try_element_at("o", F.lit("A")).alias("a"))
-
-
-ANSWERS = [("正确答案：铁缺乏（B）。", "B", "铁缺乏"), ("正确答案: 铁缺乏 (B)。解析：因为缺铁", "B", "铁缺乏"), ("B", None, None)]
-
-
-def answer_text_parse(s, d):
-    x = s.createDataFrame([(i, r[0]) for i, r in enumerate(ANSWERS)], "id int, raw string")
-    return x.select("id", M.parse_answer_text("raw").alias("r")).select("id", "r.*")
-
-
-JUDGED = [("（B对），高血压危象（A错）、尿毒症（C错）。", "B", "A,C"), ("A对，B错", "A", "B"), ("维生素A对视觉有益", "", "")]
-
-
-def judged_letters(s, d):
-    x = s.createDataFrame([(i, r[0]) for i, r in enumerate(JUDGED)], "id int, e string").select("id", M.judged_letters("e").alias("j"))
-    return x.select("id", F.array_join("j.right", ",").alias("right"), F.array_join("j.wrong", ",").alias("wrong"))
-
-
-def mcq_records(s, d) -> DataFrame:
-    x = _mcq(s).where(F.col("id").isin("good", "lower")).select("id", X.strip("question").alias("question"), M.parse_options_strict("options").alias("options"), F.upper(X.strip("answer")).alias("answer"), X.strip("explanation").alias("explanation"))
-    x = x.withColumn("answer_text", F.element_at("options", F.col("answer"))).withColumn("concise_knowledge", M.extract_knowledge("explanation", F.col("answer"), F.col("options"))["knowledge"])
-    return x.withColumn("target_text", M.compose_target(F.col("answer_text"), F.col("concise_knowledge")))
-
-
-def mcq_targets(s, d):
-    return mcq_records(s, d).select("id", "target_text", F.md5(M.format_prompt(F.col("question"), F.col("options"))).alias("prompt_md5"), M.build_target("answer_text", F.col("options"), F.col("answer"), F.col("explanation")).alias("full_target"))
-
-
-def record_problems(s, d):
-    good = mcq_records(s, d)
-    bad = good.where("id = 'good'")
-    cases = {
-        "no_options": bad.withColumn("options", F.map_filter("options", lambda k, v: k != "E")),
-        "wrong_text": bad.withColumn("answer_text", F.lit("x")),
-        "marker": bad.withColumn("target_text", F.concat("target_text", F.lit("故选（B）"))),
-        "empty": bad.withColumn("explanation", F.lit("")),
-    }
-    out = good
-    for name, c in cases.items():
-        out = out.unionByName(c.withColumn("id", F.lit(name)))
-    return validation.record_problems(out)
-
-
-RESPONSES = [
-    ('<think>a</think> b <tool_call>{"name": "calculate_math", "arguments": {"expression": "1+2"}}</tool_call>', "b", "a", 1),
-    ("thoughts</think> answer", "answer", "thoughts", 0),
-    ("plain <tool_call>{broken</tool_call>", "plain <tool_call>{broken</tool_call>", None, 0),
-]
-
-
-def response_parse(s, d):
-    x = s.createDataFrame([(i, r[0]) for i, r in enumerate(RESPONSES)], "id int, raw string").select("id", C.parse_response("raw").alias("r"))
-    return x.select("id", "r.content", "r.reasoning", F.size("r.tool_calls").alias("n_calls"))
-
-
-SUMS = [("1+2*3", "7"), ("(2^10)÷4", "256.0"), ("math.sqrt(16)", "4.0"), ("__import__('os')", None), (None, None)]
-
-
-def safe_arithmetic(s, d):
-    x = s.createDataFrame([(i, r[0]) for i, r in enumerate(SUMS)], "id int, e string")
-    return x.select("id", R.evaluate_arithmetic("e").alias("result"))
-
-
-TRUTHS = [("The total is 1,234.50 yuan.", ["1234.5", "yuan", "7"], 2), ("nothing", ["x1"], 0), ("v1.5 and 1.5", ["1.5"], 1)]
-
-
-def verified_truths(s, d):
-    x = s.createDataFrame([(i, t, g) for i, (t, g, _) in enumerate(TRUTHS)], "id int, t string, g array<string>")
-    return x.select("id", F.size(R.verified_truths("t", F.col("g"))).alias("n_verified"))
-
-
-AGENT = [
-    ([f'<tool_call>{{"name": "calculate_math", "arguments": {{"expression": "1+2"}}}}</tool_call>', "The answer is 3."], ["3"], False, 3.0),
-    (["a plain answer without any tools"], ["3"], False, 0.5),
-    (["<tool_call>{\"name\": \"unknown\", \"arguments\": {}}</tool_call>", "3"], ["3"], True, -1.5),
-]
-
-
-def agent_reward(s, d):
-    x = s.createDataFrame([(i, t, g, u) for i, (t, g, u, _) in enumerate(AGENT)], "id int, turns array<string>, gt array<string>, unfinished boolean")
-    return x.select("id", R.agent_reward(F.col("turns"), F.col("gt"), F.array(F.lit("calculate_math")), F.col("unfinished")).alias("reward"))
-
-
-MASKED = [([1, 5, 6, 2, 1, 7, 2, 9], [-100, 5, 6, 2, -100, 7, 2, -100]), ([3, 4], [-100, -100]), ([1, 8], [-100, 8])]
-
-
-def supervision(s, d):
-    x = s.createDataFrame([(i, r[0]) for i, r in enumerate(MASKED)], "id int, ids array<int>")
-    return x.select("id", F.array_join(C.supervision_mask([1], [2], 100)("ids").cast("array<string>"), ",").alias("labels"))
-
-
-def closed_domain(s, d):
-    x = s.createDataFrame([(0, " 内科 "), (1, "外科"), (2, "皮肤科"), (3, None)], "id int, label string")
-    return filters.closed_domain(x, "label", {k: k for k in DEPARTMENTS})
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
-
-
 QUERIES = {f.__name__: f for f in (
     conversation_valid, conversation_render, last_query, system_prompts, think_removed, role_runs, held_out_turns, rep_penalty, rule_reward, group_advantage, gae,
-    latest_turn, objectives, token_arrays, mcq_screen, mcq_choice, label_parse, options_lenient, answer_text_parse, judged_letters, mcq_targets, record_problems,
-    response_parse, safe_arithmetic, verified_truths, agent_reward, supervision, closed_domain,
+    latest_turn, objectives, token_arrays, conversation_render_full, tools_header,
 )}
 
+#: functions.chat.unit() in SQL.
+_UNIT = "(('0x' || substr(md5('{seed}:' || conv_id), 1, 8))::BIGINT / 4294967296.0)"
 _REWARD = r"""
     WITH a AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\p{Z}]') AS k FROM conversations),
     g AS (SELECT *, list_transform(range(1, len(k) - 1), lambda i: k[i] || chr(1) || k[i + 1] || chr(1) || k[i + 2]) AS g FROM a),
@@ -283,17 +139,33 @@ ORACLES = {
             (least(exp(p1 - q1) * n, greatest(least(exp(p1 - q1), 1.2), 0.8) * n) + least(exp(p2 - q2) * n, greatest(least(exp(p2 - q2), 1.2), 0.8) * n) + n) / 3 AS clipped,
             (least(exp(p1 - q1), 5) * n * p1 + least(exp(p2 - q2), 5) * n * p2 - n * n / 4) / 3 AS capped,
             (exp(q1 - p1) - (q1 - p1) - 1 + exp(q2 - p2) - (q2 - p2) - 1) / 3 AS kl, (-n - n / 2 - n / 4) / 3 AS mean_score, 0.001 * (0.1 + 0.45 * (1 + cos(pi() * turn / 10))) AS rate FROM r""",
-    "mcq_screen": _values([(r[0], r[5]) for r in MCQ_ROWS], "id, reason"),
-    "mcq_choice": _values([(i, r[1]) for i, r in enumerate(CHOICES)], "id, choice"),
-    "label_parse": _values([(i, r[1]) for i, r in enumerate(LABEL_TEXTS)], "id, label"),
-    "options_lenient": _values([(i, *r[1:]) for i, r in enumerate(OPTION_TEXTS)], "id, n, a"),
-    "answer_text_parse": _values([(i, *r[1:]) for i, r in enumerate(ANSWERS)], "id, letter, answer_text"),
-    "judged_letters": _values([(i, *r[1:]) for i, r in enumerate(JUDGED)], 'id, "right", wrong'),
-    "record_problems": _values([("no_options", "options_incomplete"), ("wrong_text", "answer_text_differs"), ("wrong_text", "target_not_by_template"), ("marker", "target_not_by_template"), ("marker", "target_has_marker"), ("marker", "target_has_letter"), ("empty", "question_or_explanation_empty")], "id, problem"),
-    "response_parse": _values([(i, *r[1:]) for i, r in enumerate(RESPONSES)], "id, content, reasoning, n_calls"),
-    "safe_arithmetic": _values([(i, r[1]) for i, r in enumerate(SUMS)], "id, result"),
-    "verified_truths": _values([(i, r[2]) for i, r in enumerate(TRUTHS)], "id, n_verified"),
-    "agent_reward": _values([(i, r[3]) for i, r in enumerate(AGENT)], "id, reward").replace("SELECT *", "SELECT id, reward::DOUBLE AS reward"),
-    "supervision": _values([(i, ",".join(map(str, r[1]))) for i, r in enumerate(MASKED)], "id, labels"),
-    "closed_domain": _values([(0, "内科"), (1, "外科")], "id, label"),
+    "conversation_render_full": r"""
+        WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'tool' ELSE role END AS role, text, lag(CASE WHEN turn % 5 = 4 THEN 'tool' ELSE role END) OVER w AS prior, lead(CASE WHEN turn % 5 = 4 THEN 'tool' ELSE role END) OVER w AS nxt
+            FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        r AS (SELECT conv_id, turn, CASE
+            WHEN role = 'assistant' THEN '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || CASE WHEN turn % 3 = 0 THEN 'thought ' || turn ELSE '' END || chr(10) || '</think>' || chr(10) || chr(10) || ltrim(text, chr(10))
+                || CASE WHEN turn % 4 = 1 THEN CASE WHEN text <> '' THEN chr(10) ELSE '' END || '<tool_call>' || chr(10) || '{"name": "calculate_math", "arguments": {"expression": "' || turn || '+1"}}' || chr(10) || '</tool_call>' || chr(10) || '<tool_call>' || chr(10) || '{"name": "get_current_time", "arguments": {}}' || chr(10) || '</tool_call>' ELSE '' END || '<|im_end|>' || chr(10)
+            WHEN role = 'tool' THEN CASE WHEN prior IS DISTINCT FROM 'tool' THEN '<|im_start|>user' ELSE '' END || chr(10) || '<tool_response>' || chr(10) || text || chr(10) || '</tool_response>' || CASE WHEN nxt IS DISTINCT FROM 'tool' THEN '<|im_end|>' || chr(10) ELSE '' END
+            ELSE '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) END AS x FROM t)
+        SELECT conv_id, md5(string_agg(x, '' ORDER BY turn)) AS rendered_md5 FROM r GROUP BY 1""",
+    "tools_header": r"""
+        SELECT conv_id, md5('<|im_start|>system' || chr(10) || CASE WHEN arg_min(role, turn) = 'system' THEN arg_min(text, turn) || chr(10) || chr(10) ELSE '' END || '# Tools' || chr(10) || chr(10) || 'You may call one or more functions to assist with the user query.' || chr(10) || chr(10)
+            || 'You are provided with function signatures within <tools></tools> XML tags:' || chr(10) || '<tools>' || chr(10) || '{"name": "tool' || conv_id || '", "parameters": {"n": ' || count(*) || '}}' || chr(10) || '</tools>' || chr(10) || chr(10)
+            || 'For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:' || chr(10) || '<tool_call>' || chr(10) || '{"name": <function-name>, "arguments": <args-json-object>}' || chr(10) || '</tool_call><|im_end|>' || chr(10)
+            || coalesce(string_agg('<|im_start|>' || role || chr(10) || CASE WHEN role = 'assistant' THEN '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) || ltrim(text, chr(10)) ELSE text END || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (role <> 'system' OR turn <> first), '')) AS rendered_md5
+        FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) GROUP BY 1""",
+    "system_prompts": f"""
+        WITH c AS (SELECT conv_id, arg_min(role, turn) <> 'system' AND {_UNIT.format(seed=0)} < 0.2 AS added, arg_min(role, turn) AS first, CASE WHEN {_UNIT.format(seed=1)} < 0.5 THEN 'You are a helpful AI assistant.' ELSE 'Answer briefly.' END AS prompt FROM conversations GROUP BY 1)
+        SELECT conv_id, added::INT AS added, added OR first = 'system' AS has_system, CASE WHEN added THEN prompt END AS prompt FROM c""",
+    "think_removed": f"SELECT conv_id, (CASE WHEN {_UNIT.format(seed=0)} > 0.2 THEN 19 * count(*) FILTER (role = 'assistant') ELSE 0 END)::INT AS removed FROM conversations GROUP BY 1",
+    "gae": _REWARD + """, n AS (SELECT conv_id, row_number() OVER w - 1 AS step, reward, coalesce(lead(reward) OVER w, 0) AS after FROM rw WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        d AS (SELECT conv_id, step, reward + 0.9 * 0.5 * after - 0.5 * reward AS delta FROM n)
+        SELECT x.conv_id, x.step, sum(pow(0.9 * 0.8, y.step - x.step) * y.delta) AS advantage FROM d x JOIN d y ON x.conv_id = y.conv_id AND y.step >= x.step GROUP BY 1, 2""",
+    "token_arrays": """
+        WITH c AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations),
+        g AS (SELECT *, list_filter(range(1, n - 1), lambda i: substring(text, i, 2) = substring(text, n - 1, 2)) AS hits FROM c)
+        SELECT conv_id, turn, 64 AS n_padded, greatest(n - 1, 0)::INT AS n_shifted, CASE WHEN n < 3 THEN 0 ELSE len(list_distinct(list_transform(hits, lambda i: substring(text, i + 2, 1)))) END::INT AS n_banned, n::INT AS n_labels FROM g""",
 }
+
+QUERIES |= questions.QUERIES
+ORACLES |= questions.ORACLES

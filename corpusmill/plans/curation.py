@@ -140,7 +140,10 @@ def bigram_counts(s, d):
 
 
 def neardup_pairs(s, d):
-    return dedup.similar_pairs(_grams(docs(s, d)), "doc_id", "grams", 0.85).select("a", "b", "similarity")
+    """Pairs of texts that represent their equals in bigrams, and each other member with its representative."""
+    pairs, members = dedup.similar_classes(_grams(docs(s, d)), "doc_id", "grams", 0.85)
+    equal = members.where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"), F.lit(1.0).alias("similarity"))
+    return pairs.select("a", "b", "similarity").union(equal)
 
 
 def neardup_greedy(s, d):
@@ -162,11 +165,20 @@ _PAIRS = f"""
           UNION ALL SELECT doc_id, lang, t FROM t WHERE length(t) = 1),
     n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
     c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
-    p AS (SELECT a, b, c / (x.n + y.n - c) AS similarity FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)"""
+    p AS (SELECT a, b, c / (x.n + y.n - c) AS similarity FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b),
+    s AS (SELECT doc_id, string_agg(g, chr(1) ORDER BY g) AS s FROM g GROUP BY 1),
+    m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM s)"""
+#: Rows in order, each of which goes if an earlier one that stayed is similar to it.
+_GREEDY = """,
+    e AS (SELECT b AS late, list(a) AS early, row_number() OVER (ORDER BY b) AS i FROM p WHERE similarity >= 0.85 {where} GROUP BY b),
+    w(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+        SELECT w.i + 1, CASE WHEN len(list_filter(early, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, late) ELSE gone END FROM w JOIN e ON e.i = w.i + 1),
+    z AS (SELECT unnest(gone) AS doc_id FROM (SELECT gone FROM w ORDER BY i DESC LIMIT 1))
+    SELECT doc_id{columns} FROM documents WHERE doc_id IN (SELECT doc_id FROM n) AND doc_id NOT IN (SELECT doc_id FROM z)"""
 
 
 def reservoir_per_group(s, d):
-    return sampling.sample_per_group(docs(s, d), "lang", "doc_id", 50, 7).select("doc_id", "lang")
+    return sampling.sample_per_group(docs(s, d).select("doc_id", "lang"), "lang", "doc_id", 50, 7).select("doc_id", "lang")
 
 
 def seeded_sample(s, d):
@@ -174,15 +186,15 @@ def seeded_sample(s, d):
 
 
 def seeded_shuffle(s, d):
-    return sampling.shuffled(docs(s, d), "doc_id", 7).select("doc_id", "position")
+    return sampling.shuffled(docs(s, d).select("doc_id"), "doc_id", 7).select("doc_id", "position")
 
 
 def epoch_batches(s, d):
-    return sampling.batches(docs(s, d), "doc_id", 7, 1, 16, skip=3).select("doc_id", "batch")
+    return sampling.batches(docs(s, d).select("doc_id"), "doc_id", 7, 1, 16, skip=3).select("doc_id", "batch")
 
 
 def _drawn(s, d):
-    return docs(s, d).withColumn("draw", sampling.draw("doc_id", 7))
+    return docs(s, d).select("doc_id", "lang", sampling.draw("doc_id", 7).alias("draw"))
 
 
 def balanced_split(s, d):
@@ -190,13 +202,13 @@ def balanced_split(s, d):
 
 
 def interleaved(s, d):
-    x = windows.cursor_split(_drawn(s, d), "lang", ["draw", "doc_id"], [("train", 30)])
+    x = windows.cursor_split(_drawn(s, d), "lang", ["draw", "doc_id"], [("train", 15)])
     return windows.round_robin(x, "lang", ["draw", "doc_id"], LANGS).select("doc_id", "lang", "position")
 
 
 def nested_prefixes(s, d):
     x = interleaved(s, d)
-    return windows.nested_prefixes(x, "position", [20, 60, 120], len(LANGS)).select("size", "doc_id")
+    return windows.nested_prefixes(x, "position", [20, 40, 60], len(LANGS)).select("size", "doc_id")
 
 
 def pinned_refill(s, d):
@@ -276,14 +288,28 @@ ORACLES = {
             (CASE WHEN length(l) < 3 THEN 1 ELSE len(list_distinct({SQL_BIGRAMS.format(t='l')})) END)::INT AS n_long,
             (CASE WHEN l = '' THEN 0 WHEN length(l) < 3 THEN 1 ELSE len(list_distinct({SQL_BIGRAMS.format(t='l')})) END)::INT AS n_curated,
             (CASE WHEN length(r) < 2 THEN 1 ELSE len(list_distinct({SQL_BIGRAMS.format(t='r')})) END)::INT AS n_raw FROM t""",
-    "neardup_pairs": _PAIRS + " SELECT a, b, similarity::DOUBLE AS similarity FROM p WHERE similarity >= 0.85",
+    "neardup_pairs": _PAIRS + """ SELECT a, b, similarity::DOUBLE AS similarity FROM p JOIN m x ON x.doc_id = a AND x.rep = a JOIN m y ON y.doc_id = b AND y.rep = b WHERE similarity >= 0.85
+        UNION ALL SELECT rep, doc_id, 1.0 FROM m WHERE rep <> doc_id""",
+    "neardup_greedy": _PAIRS.replace("WITH", "WITH RECURSIVE", 1) + _GREEDY.format(where="", columns=""),
+    "neardup_in_label": _PAIRS.replace("WITH", "WITH RECURSIVE", 1) + _GREEDY.format(where="AND (SELECT lang FROM documents WHERE doc_id = a) IS NOT DISTINCT FROM (SELECT lang FROM documents WHERE doc_id = b)", columns=", lang"),
+    "neardup_external": f"""
+        WITH t AS (SELECT 'd' AS k, doc_id AS id, {SQL_NORM} AS t FROM documents UNION ALL SELECT 'b', item_id, {SQL_NORM} FROM benchmark),
+        g AS (SELECT k, id, unnest(list_distinct({SQL_BIGRAMS.format(t="t")})) AS g FROM t WHERE length(t) >= 2 UNION ALL SELECT k, id, t FROM t WHERE length(t) = 1),
+        n AS (SELECT k, id, count(*) AS n FROM g GROUP BY 1, 2),
+        c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.k = 'd' AND y.k = 'b' GROUP BY 1, 2)
+        SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT a FROM c JOIN n x ON x.k = 'd' AND x.id = a JOIN n y ON y.k = 'b' AND y.id = b WHERE c / (x.n + y.n - c) >= 0.5)""",
+    "merged_groups": r"""
+        WITH t AS (SELECT doc_id, quality, lower(regexp_replace(nfc_normalize(text), '[^\p{L}\p{M}\p{N}_]+', '', 'g')) AS k FROM documents JOIN labels USING (doc_id)),
+        g AS (SELECT k, min(doc_id) AS doc_id FROM t WHERE k <> '' GROUP BY 1 HAVING min(quality) IS NOT DISTINCT FROM max(quality))
+        SELECT doc_id, quality FROM g JOIN t USING (doc_id)""",
+    "sentence_counts": "SELECT doc_id, " + ", ".join(f"len(list_filter(regexp_extract_all(coalesce(text, ''), '[^{signs}]*[{signs}]|[^{signs}]+$'), lambda x: regexp_replace(x, '[{SQL_WS}]+', '', 'g') <> ''))::INT AS {name}" for name, signs in (("n_sentences", "。！？!?"), ("n_clauses", "，、；;：:,"))) + " FROM documents",
     "reservoir_per_group": f"SELECT doc_id, lang FROM (SELECT doc_id, lang, {_RANK} AS r FROM documents) WHERE r <= 50",
     "seeded_sample": f"SELECT doc_id FROM documents ORDER BY {_DRAW}, doc_id LIMIT 40",
     "seeded_shuffle": f"SELECT doc_id, row_number() OVER (ORDER BY {_DRAW}, doc_id) - 1 AS position FROM documents",
     "epoch_batches": "SELECT doc_id, batch FROM (SELECT doc_id, ((row_number() OVER (ORDER BY md5(concat('7:1:', doc_id::VARCHAR)), doc_id) - 1) // 16)::BIGINT AS batch FROM documents) WHERE batch >= 3",
     "balanced_split": f"SELECT doc_id, lang, CASE WHEN r <= 10 THEN 'test' WHEN r <= 20 THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, lang, {_RANK} AS r FROM documents) WHERE r <= 50",
-    "interleaved": f"SELECT doc_id, lang, (r - 1) * 4 + {_ORD} AS position FROM (SELECT doc_id, lang, {_RANK} AS r FROM documents) WHERE r <= 30",
-    "nested_prefixes": f"WITH p AS (SELECT doc_id, (r - 1) * 4 + {_ORD} AS position FROM (SELECT doc_id, lang, {_RANK} AS r FROM documents) WHERE r <= 30) SELECT size, doc_id FROM p, (VALUES (20), (60), (120)) AS v(size) WHERE position < size",
+    "interleaved": f"SELECT doc_id, lang, (r - 1) * 4 + {_ORD} AS position FROM (SELECT doc_id, lang, {_RANK} AS r FROM documents) WHERE r <= 15",
+    "nested_prefixes": f"WITH p AS (SELECT doc_id, (r - 1) * 4 + {_ORD} AS position FROM (SELECT doc_id, lang, {_RANK} AS r FROM documents) WHERE r <= 15) SELECT size, doc_id FROM p, (VALUES (20), (40), (60)) AS v(size) WHERE position < size",
     "pinned_refill": "SELECT doc_id FROM (SELECT doc_id, 0 AS prio FROM labels WHERE quality = 1 AND toxic = 1 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 1)) ORDER BY prio, doc_id LIMIT 60",
     "sequential_ids": "SELECT doc_id, printf('doc_%05d', row_number() OVER (ORDER BY doc_id)) AS id FROM documents",
     "rank_by_hash": f"SELECT doc_id, lang, {_RANK} AS rank FROM documents",

@@ -193,6 +193,8 @@ _C = _P + """, g AS (SELECT t.l AS truth, q.l AS predicted FROM (VALUES ('good')
     tp AS (SELECT truth AS label, sum(n) FILTER (predicted = truth) AS tp, sum(n) AS actual FROM m GROUP BY 1),
     sc AS (SELECT label, coalesce((tp / nullif(called, 0))::DOUBLE, 0) AS precision, coalesce((tp / nullif(actual, 0))::DOUBLE, 0) AS recall, coalesce((2 * tp / nullif(called + actual, 0))::DOUBLE, 0) AS f1
            FROM tp JOIN (SELECT predicted AS label, sum(n) AS called FROM m GROUP BY 1) USING (label))"""
+_MCNEMAR = """CASE WHEN a_only + b_only = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(a_only, b_only) + 1),
+            lambda i: exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2))))) END AS p"""
 _CURVE = _P + ", c AS (SELECT size, doc_id, CASE WHEN d2 >= 0.6 / size THEN 'good' ELSE 'bad' END = truth AS r FROM p, (VALUES (1), (2), (4), (8)) v(size))"
 
 QUERIES = {f.__name__: f for f in (
@@ -224,6 +226,15 @@ ORACLES = {
     "distinct_check": r"SELECT count(*) AS n, count(DISTINCT regexp_replace(text, '[\s\p{Z}]+', '', 'g')) AS n_distinct, count(*) = count(DISTINCT regexp_replace(text, '[\s\p{Z}]+', '', 'g')) AS unique FROM documents",
     "max_tokens": _P + " SELECT doc_id % 3 AS split, max(n_tokens) AS max_value FROM p GROUP BY 1",
     "adjacent_points": _CURVE + ", q AS (SELECT size, avg(r::INT) AS accuracy FROM c GROUP BY 1) SELECT * FROM (SELECT size, accuracy, lead(size) OVER (ORDER BY size) AS next_size, lead(accuracy) OVER (ORDER BY size) AS next_value FROM q) WHERE next_size IS NOT NULL",
+    "run_pairs": _CURVE + """, v AS (SELECT x.size, count(*) FILTER (x.r AND NOT y.r) AS a_only, count(*) FILTER (NOT x.r AND y.r) AS b_only FROM c x JOIN c y ON y.size = x.size * 2 AND x.doc_id = y.doc_id GROUP BY 1)
+        SELECT size, a_only, b_only, """ + _MCNEMAR + " FROM v",
+    "saturation": _CURVE + """, v AS (SELECT x.size, count(*) FILTER (x.r AND NOT y.r) AS a_only, count(*) FILTER (NOT x.r AND y.r) AS b_only FROM c x JOIN c y ON y.size = x.size * 2 AND x.doc_id = y.doc_id GROUP BY 1),
+        q AS (SELECT size, """ + _MCNEMAR + """ FROM v), f AS (SELECT max(size * 2) FILTER (p < 0.05) AS last, min(size) FILTER (p >= 0.05) AS flat FROM q)
+        SELECT CASE WHEN flat IS NOT NULL THEN coalesce(last, flat) END AS saturation_size, flat AS first_flat_size FROM f""",
+    "split_balance": """
+        WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('7:', doc_id::VARCHAR)), doc_id) AS r FROM documents),
+        c AS (SELECT CASE WHEN r <= 10 THEN 'test' WHEN r <= 20 THEN 'val' ELSE 'train' END AS split, lang, count(*) AS n FROM r WHERE r <= 50 GROUP BY 1, 2)
+        SELECT split, sum(n)::BIGINT AS n, min(n) = max(n) AND count(*) = 4 AS balanced, sum(n) % 4 = 0 AS whole FROM c GROUP BY 1""",
     "running_best": _P + ", l AS (SELECT doc_id, 1 - d2 AS loss, min(1 - d2) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM p) SELECT doc_id, best IS NULL OR loss < best AS is_best FROM l",
     "argmax_label": _P + " SELECT doc_id, CASE WHEN d2 >= 0.3 THEN 'good' ELSE 'bad' END AS best FROM p",
     "verdicts": _P + " SELECT source, CASE WHEN avg((b = truth)::INT) > 0.5 + 1.96 * sqrt(0.25 / count(*)) THEN 'beats_random' ELSE 'not_distinguishable' END AS verdict FROM p GROUP BY 1",

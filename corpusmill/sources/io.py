@@ -119,8 +119,14 @@ def pinned(df: DataFrame) -> DataFrame:
 
     Range partitions are cut at sampled bounds, which another evaluation may place otherwise.  A
     reliable checkpoint where the session has a folder for it, else the cache, whose lost parts
-    come again from the same shuffle."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    come again from the same shuffle.  A checkpoint counts its rows and then writes them, so
+    they are cached until it is there."""
+    held = df.persist()
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        return held
+    out = held.checkpoint()
+    held.unpersist()
+    return out
 
 
 def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
