@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_grams
+from ..sources.io import with_row_id
 
 
 def exclude(df: DataFrame, key: str, *sources: DataFrame) -> DataFrame:
@@ -46,6 +47,17 @@ def strict_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return d.where(checked).drop("_in_a", "_in_b")
 
 
+def zip_rows(a: DataFrame, b: DataFrame, key: str, order_a: list[str], order_b: list[str]) -> DataFrame:
+    """The rows of a and b in their orders side by side, columns of b prefixed b_; an error where the
+    keys at a place differ or one side ends first."""
+    left = with_row_id(a, order_a, "place")
+    right = with_row_id(b, order_b, "place").select("place", *[F.col(c).alias(f"b_{c}") for c in b.columns])
+    d = left.withColumn("_in_a", F.lit(True)).join(right.withColumn("_in_b", F.lit(True)), "place", "full_outer")
+    same = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull() & F.col(key).eqNullSafe(F.col(f"b_{key}"))
+    checked = F.when(same, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("rows differ at place "), F.col("place").cast("string"))).cast("boolean"))
+    return d.where(checked).drop("_in_a", "_in_b", f"b_{key}")
+
+
 def locked_join(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows of a with ``intact``: b has the key and all columns are equal, nulls too."""
     right = b.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_there"))

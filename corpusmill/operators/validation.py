@@ -69,6 +69,25 @@ def same_settings(a: dict, b: dict, keys: list[str]) -> list[str]:
     return [k for k in keys if a.get(k) != b.get(k) or k not in a or k not in b]
 
 
+def comparison_gate(a: DataFrame, b: DataFrame, locked: DataFrame, key: str, content: list[str], settings: tuple[dict, dict], keys: list[str], digests: dict[str, tuple[str | None, str | None]]) -> DataFrame:
+    """V5: (check, ok, detail) of what must hold before two runs over a locked set are compared: settings are
+    there and equal; digests (found, expected) of data and weights agree; each run has every locked
+    key once and no other, with the locked content."""
+    rows = [(f"setting {k}", k not in same_settings(*settings, keys), f"{settings[0].get(k)!r}, {settings[1].get(k)!r}") for k in keys]
+    rows += [(f"digest {k}", found is not None and found == wanted, "") for k, (found, wanted) in digests.items()]
+    out = a.sparkSession.createDataFrame(rows, "check string, ok boolean, detail string")
+    text = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
+    kept = locked.select(F.col(key).alias("_key"), text.alias("_locked"))
+    for name, run in (("first", a), ("second", b)):
+        own = run.groupBy(F.col(key).alias("_run_key")).agg(F.count(F.lit(1)).alias("n"), F.min(text).alias("_text"))
+        d = kept.join(own, F.col("_key").eqNullSafe(F.col("_run_key")), "full_outer")
+        lacks, more = F.count_if(F.col("n").isNull()), F.count_if(F.col("_locked").isNull())
+        twice, differ = F.count_if(F.col("n") > 1), F.count_if(F.col("_text") != F.col("_locked"))
+        checks = F.array(*[F.struct(F.lit(f"{name} run {what}").alias("check"), (n == 0).alias("ok"), n.cast("string").alias("detail")) for what, n in (("covers the set", lacks), ("has no other rows", more), ("has no row twice", twice), ("has the locked content", differ))])
+        out = out.union(d.agg(checks.alias("c")).select(F.explode("c").alias("c")).select("c.*"))
+    return out
+
+
 def fingerprint(df: DataFrame) -> tuple[int, str]:
     """V6: rows and an order-free digest; equal for equal reruns."""
     cols = sorted(df.columns)

@@ -57,6 +57,11 @@ def cursor_split(df: DataFrame, label: str, order: list[str], sizes: list[tuple[
     return d.withColumn("split", split).where("split IS NOT NULL").drop("_rank")
 
 
+def share_sizes(wanted: list[tuple[str, int]], labels: int) -> list[tuple[str, int]]:
+    """Rows per label for cursor_split(): the first split's total divided upwards, later ones' downwards, at least one."""
+    return [(name, max(1, -(-n // labels) if i == 0 else n // labels)) for i, (name, n) in enumerate(wanted)]
+
+
 def adjacent(points: DataFrame, size: str, value: str, curve: str | None = None) -> DataFrame:
     """Each point with the next larger one of its curve; a curve is a few aggregated points."""
     w = W.partitionBy(curve if curve else F.lit(0)).orderBy(size)

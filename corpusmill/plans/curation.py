@@ -170,7 +170,7 @@ _PAIRS = f"""
     m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM s)"""
 #: Rows in order, each of which goes if an earlier one that stayed is similar to it.
 _GREEDY = """,
-    e AS (SELECT b AS late, list(a) AS early, row_number() OVER (ORDER BY b) AS i FROM p WHERE similarity >= 0.85 {where} GROUP BY b),
+    e AS MATERIALIZED (SELECT b AS late, list(a) AS early, row_number() OVER (ORDER BY b) AS i FROM p WHERE similarity >= 0.85 {where} GROUP BY b),
     w(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
         SELECT w.i + 1, CASE WHEN len(list_filter(early, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, late) ELSE gone END FROM w JOIN e ON e.i = w.i + 1),
     z AS (SELECT unnest(gone) AS doc_id FROM (SELECT gone FROM w ORDER BY i DESC LIMIT 1))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, curation, evaluation
+from . import chat, curation, evaluation, scans
 
-PLANS = (curation, evaluation, chat)
+PLANS = (curation, evaluation, chat, scans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

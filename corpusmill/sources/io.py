@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,17 +103,54 @@ def write_rows(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def manifest(**aggregates: DataFrame) -> str:
-    """One JSON document of small aggregates, a list of rows each."""
-    return json.dumps({k: [r.asDict(recursive=True) for r in d.collect()] for k, d in aggregates.items()}, ensure_ascii=False, default=str, sort_keys=True)
+    """One JSON document of small aggregates, a list of rows each; an error beyond MOST_ROWS."""
+    return json.dumps({k: [r.asDict(recursive=True) for r in _few(d)] for k, d in aggregates.items()}, ensure_ascii=False, default=str, sort_keys=True)
+
+
+#: Rows that a report or manifest may have of one table.
+MOST_ROWS = 10_000
+
+
+def _few(df: DataFrame) -> list:
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"over {MOST_ROWS} rows are no aggregate for a report")
+    return rows
+
+
+def report(title: str, sections: dict[str, DataFrame | str], notes: list[str] | None = None) -> str:
+    """A Markdown report: a title, then a heading for each section with its table or text, then notes."""
+    parts = [f"# {title}"]
+    for name, body in sections.items():
+        parts.append(f"## {name}\n\n{body if isinstance(body, str) else markdown_table(body)}")
+    if notes:
+        parts.append("\n".join(f"- {n}" for n in notes))
+    return "\n\n".join(parts) + "\n"
 
 
 def markdown_table(df: DataFrame) -> str:
     """A small result as a Markdown table; cells are escaped by functions.text.table_cell."""
     from ..functions.text import table_cell
 
-    rows = df.select(*[table_cell(c).alias(c) for c in df.columns]).collect()
+    rows = df.select(*[table_cell(c).alias(c) for c in df.columns])
     head = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(head + ["| " + " | ".join(r) + " |" for r in rows])
+    return "\n".join(head + ["| " + " | ".join(r) + " |" for r in _few(rows)])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for files that driver and executors share, under the session's checkpoint folder;
+    a temporary one only on a local master.  It goes when the driver ends."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return path.toString()
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -151,6 +190,7 @@ def read_eval_runs(spark: SparkSession, runs: dict[str, tuple[str, str]]) -> Dat
     out = None
     for name, (summary, report) in runs.items():
         s = spark.read.option("multiLine", True).json(summary).select(F.col("num_train").cast("long").alias("train_size"))
+        s = s.agg(F.when(F.count(F.lit(1)) == 1, F.first("train_size")).otherwise(F.raise_error(F.lit("a summary is one object")).cast("long")).alias("train_size"))
         p = spark.read.option("multiLine", True).json(report).select(F.explode("predictions").alias("p")).select("p.*")
         d = p.join(F.broadcast(s)).withColumn("run", F.lit(name))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
