@@ -1,15 +1,17 @@
 """Adaptive context-mixing range coder for token ids.
 
-A file's ids are cut into blocks that are coded independently.  The probability
-of an id is the mixture of three predictions,
+A file's ids are cut into blocks that are coded independently: tables, weights and predictions start
+afresh in each, and nothing but a block's words, the number of digits of an id and the
+block's length is needed to decode it.  The probability of an id is the mixture of three predictions,
 
     P(id) = a [id = order-2 guess] + (1 - a) b [id = order-1 guess] + (1 - a)(1 - b) P0(id),
 
 where the guesses come from tables hashed by the last two ids and the last id,
 with a confidence from 0 to 3 each, and a and b are learned per pair of
-confidences.  Tables and weights start afresh in every block.  P0, the order-0
-prediction, is the file's own histogram and stands in its header.  The interval
-of each id drives a range coder (48-bit window, 16-bit words, exact carries).
+confidences.  P0, the order-0 prediction, writes an id as digits of 16: each digit has
+a distribution of its own under the digits before it, which moves towards what it
+sees, fast at first.  It learns from the ids that the guesses missed.  The interval
+of each step drives a range coder (48-bit window, 16-bit words, exact carries).
 
 The blocks of a file are coded in lockstep, one lane of a numpy vector each, so
 that no Python code runs per id.  Every block has its own CRC-32, which decoding
@@ -23,29 +25,39 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMIXRC1\n"
-T_BITS, SLOTS, WINDOW = 18, 1024, 48  # total of the order-0 frequencies; table slots a block; coder window
+MAGIC = b"CMIXRC2\n"
+WINDOW, BLOCK = 48, 8192  # coder window; ids a block
+SLOTS = 4096  # of each guess table of a block
 U = np.uint64
 LIMIT, MASK = U(1 << 32), U((1 << WINDOW) - 1)
 LEAST, MOST, RATE = 64, 65536 - 4096, 5  # bounds and adaption of a and b
+TOTAL = 1 << 15  # of a digit's distribution
+NODES = 1 + 16 + 256 + 4096  # distributions of a block; those of a fifth and later digit share the last ones
+#: How slowly a distribution moves, by how often it has been used: a share of 2 ** -rate each time.
+RATES = np.array([1, 2, 2, 3, 3, 3, *[4] * 10, *[5] * 16, 6], np.int16)
+#: Where a distribution moves to, by digit: the lower bounds of an interval that is the digit's but for the
+#: least share of each other one, which is over what rounding down takes away.
+GAP = 70
+TOWARDS = np.array([[j * GAP + (TOTAL - 16 * GAP) * (j > d) for j in range(16)] for d in range(16)], np.int16)
 
 
-def quantise(counts: np.ndarray, bits: int = T_BITS) -> np.ndarray:
-    """Frequencies of at least 1 that add up to 2**bits."""
-    total = 1 << bits
-    if len(counts) > total // 2:
-        raise ValueError("too many distinct ids for one file")
-    f = np.maximum(1, (counts.astype(float) / counts.sum() * (total - len(counts))).astype(np.int64) + 1)
-    order = np.argsort(-f, kind="stable")
-    gap = total - int(f.sum())
-    while gap:
-        for i in order:
-            step = gap if gap > 0 else max(gap, 1 - int(f[i]))
-            f[i] += step
-            gap -= step
-            if not gap:
-                break
-    return f
+class _Digits:
+    """The order-0 prediction of all lanes: lower bounds of each digit's interval, and uses."""
+
+    def __init__(self, lanes: int, digits: int):
+        self.bounds = np.tile(np.arange(16, dtype=np.int16) * (TOTAL // 16), (lanes * NODES, 1))
+        self.uses = np.zeros(lanes * NODES, np.uint8)
+        self.digits = digits
+
+    def node(self, lane: np.ndarray, place: int, prefix: np.ndarray) -> np.ndarray:
+        if place < 4:
+            return lane * NODES + ((16**place - 1) // 15 + prefix)
+        return lane * NODES + (273 + ((prefix * 2654435761 + place) >> 7 & 4095))
+
+    def learn(self, node: np.ndarray, row: np.ndarray, digit: np.ndarray) -> None:
+        used = self.uses[node]
+        self.bounds[node] = row + ((TOWARDS[digit] - row) >> RATES[used][:, None])
+        self.uses[node] = np.minimum(used + np.uint8(1), np.uint8(len(RATES) - 1))
 
 
 class _Model:
@@ -89,17 +101,20 @@ def _lanes(count: int, block: int) -> tuple[int, int]:
     return -(-count // block), count - (count - 1) // block * block
 
 
-def encode(sym: np.ndarray, freq: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+def digits_of(top: int) -> int:
+    """Digits of 16 that the ids up to top have; four at least."""
+    return max(4, -(-int(top).bit_length() // 4))
+
+
+def encode(ids: np.ndarray, block: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
     """(16-bit words of all blocks one after the other, words of each block)."""
-    lanes, last = _lanes(len(sym), block)
-    cum = np.concatenate(([0], np.cumsum(freq))).astype(np.uint64)
-    freq = freq.astype(np.uint64)
+    lanes, last = _lanes(len(ids), block)
     grid = np.zeros(lanes * block, np.uint32)
-    grid[: len(sym)] = sym
+    grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    model = _Model(lanes)
+    model, order0 = _Model(lanes), _Digits(lanes, digits)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, MASK, np.uint64)
-    size = len(sym) * 2 // 3 + 8 * lanes  # words; grows where ids are hard to tell
+    size = len(ids) + 8 * lanes  # words; grows where ids are hard to tell
     log, owner, end = np.zeros(size, np.uint32), np.zeros(size, np.uint16 if lanes < 1 << 16 else np.uint32), 0
     at = np.full(lanes, -1, np.int64)
 
@@ -112,6 +127,28 @@ def encode(sym: np.ndarray, freq: np.ndarray, block: int) -> tuple[np.ndarray, n
         at[which] = np.arange(end, end + k)
         end += k
 
+    def carry(which: np.ndarray) -> None:
+        """A carry waits in a lane's low until the lane puts a word out; there is never a second one."""
+        over = which[low[which] > MASK]
+        if len(over):
+            log[at[over]] += 1
+            low[over] &= MASK
+
+    def put(which: np.ndarray, start: np.ndarray, width: np.ndarray, bits: int) -> None:
+        r = rng[which] >> U(bits)
+        low[which] += r * start
+        now = r * width
+        rng[which] = now
+        small = which[now < LIMIT]
+        while len(small):
+            carry(small)
+            x = low[small]
+            emit(small, x >> U(32))
+            low[small] = (x << U(16)) & MASK
+            y = rng[small] << U(16)
+            rng[small] = y
+            small = small[y < LIMIT]
+
     for step in range(block):
         n = lanes if step < last else lanes - 1
         if not n:
@@ -120,31 +157,25 @@ def encode(sym: np.ndarray, freq: np.ndarray, block: int) -> tuple[np.ndarray, n
         c1, c2 = model.predict(n)
         hit2 = model.g2 == s
         hit1 = ~hit2 & (model.g1 == s)
-        lo, r = low[:n], rng[:n] >> U(16)
         start = np.where(hit2, U(0), np.where(hit1, c1, c2))
         width = np.where(hit2, c1, np.where(hit1, c2 - c1, U(65536) - c2))
-        lo += r * start
-        rn = r * width
+        put(np.arange(n), start, width, 16)
         miss = np.flatnonzero(~(hit2 | hit1))
-        ms = s[miss]
-        r = rn[miss] >> U(T_BITS)
-        lo[miss] += r * cum[ms]
-        rn[miss] = r * freq[ms]
-        over = np.flatnonzero(lo > MASK)
-        if len(over):
-            log[at[over]] += 1
-            lo[over] &= MASK
-        small = np.flatnonzero(rn < LIMIT)
-        while len(small):
-            x = lo[small]
-            emit(small, x >> U(32))
-            lo[small] = (x << U(16)) & MASK
-            y = rn[small] << U(16)
-            rn[small] = y
-            small = small[y < LIMIT]
-        rng[:n] = rn
+        if len(miss):
+            ms, prefix, first = s[miss].astype(np.int64), np.zeros(len(miss), np.int64), np.arange(len(miss)) * 16
+            for place in range(digits):
+                digit = (ms >> (4 * (digits - 1 - place))) & 15
+                node = order0.node(miss, place, prefix)
+                row = order0.bounds[node]
+                flat = np.append(row.ravel(), np.int16(0))
+                lo, hi = flat[first + digit].astype(np.int64), flat[first + digit + 1].astype(np.int64)
+                hi[digit == 15] = TOTAL
+                put(miss, lo.view(np.uint64), (hi - lo).view(np.uint64), 15)
+                order0.learn(node, row, digit)
+                prefix = prefix * 16 + digit
         model.update(n, s, hit2, hit1)
     every = np.arange(lanes)
+    carry(every)
     for shift in (32, 16, 0):
         emit(every, (low >> U(shift)) & U(0xFFFF))
     log, owner = log[:end], owner[:end]
@@ -156,81 +187,72 @@ def encode(sym: np.ndarray, freq: np.ndarray, block: int) -> tuple[np.ndarray, n
     return words.astype("<u2"), np.bincount(owner, minlength=lanes).astype(np.uint32)
 
 
-def decode(words: np.ndarray, sizes: np.ndarray, freq: np.ndarray, count: int, block: int) -> np.ndarray:
+def decode(words: np.ndarray, sizes: np.ndarray, count: int, block: int, digits: int) -> np.ndarray:
     lanes, last = _lanes(count, block)
-    cum = np.concatenate(([0], np.cumsum(freq))).astype(np.uint64)
-    slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
-    freq = freq.astype(np.uint64)
     words = np.concatenate((words, np.zeros(8, words.dtype))).astype(np.uint64)
     at = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))[:-1]
     code = (words[at] << U(32)) | (words[at + 1] << U(16)) | words[at + 2]
     at = at + 3
     rng = np.full(lanes, MASK, np.uint64)
-    model = _Model(lanes)
+    model, order0 = _Model(lanes), _Digits(lanes, digits)
     grid = np.zeros((block, lanes), np.uint32)
-    top = U((1 << T_BITS) - 1)
+
+    def take(which: np.ndarray, r: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        code[which] -= r * start
+        now = r * width
+        rng[which] = now
+        small = which[now < LIMIT]
+        while len(small):
+            p = at[small]
+            code[small] = (code[small] << U(16)) | words[np.minimum(p, len(words) - 1)]
+            at[small] = p + 1
+            y = rng[small] << U(16)
+            rng[small] = y
+            small = small[y < LIMIT]
+
     for step in range(block):
         n = lanes if step < last else lanes - 1
         if not n:
             break
         c1, c2 = model.predict(n)
         co, r = code[:n], rng[:n] >> U(16)
-        b1, b2 = r * c1, r * c2
-        hit2 = co < b1
-        miss_all = co >= b2
+        hit2 = co < r * c1
+        miss_all = co >= r * c2
         hit1 = ~(hit2 | miss_all)
         s = np.where(hit2, model.g2, model.g1)
-        rn = np.where(hit2, b1, np.where(hit1, b2 - b1, r * (U(65536) - c2)))
-        co -= np.where(hit2, U(0), np.where(hit1, b1, b2))
+        take(np.arange(n), r, np.where(hit2, U(0), np.where(hit1, c1, c2)), np.where(hit2, c1, np.where(hit1, c2 - c1, U(65536) - c2)))
         miss = np.flatnonzero(miss_all)
-        r = rn[miss] >> U(T_BITS)
-        c = co[miss]
-        ms = slot[np.minimum(c // r, top)]
-        s[miss] = ms
-        co[miss] = c - r * cum[ms]
-        rn[miss] = r * freq[ms]
-        small = np.flatnonzero(rn < LIMIT)
-        while len(small):
-            p = at[small]
-            co[small] = (co[small] << U(16)) | words[np.minimum(p, len(words) - 1)]
-            at[small] = p + 1
-            y = rn[small] << U(16)
-            rn[small] = y
-            small = small[y < LIMIT]
-        rng[:n] = rn
+        if len(miss):
+            prefix, first = np.zeros(len(miss), np.int64), np.arange(len(miss)) * 16
+            for place in range(digits):
+                node = order0.node(miss, place, prefix)
+                row = order0.bounds[node]
+                r = rng[miss] >> U(15)
+                target = np.minimum(code[miss] // r, U(TOTAL - 1)).astype(np.int16)
+                digit = (row[:, 1:] <= target[:, None]).sum(axis=1)
+                flat = np.append(row.ravel(), np.int16(0))
+                lo, hi = flat[first + digit].astype(np.int64), flat[first + digit + 1].astype(np.int64)
+                hi[digit == 15] = TOTAL
+                take(miss, r, lo.view(np.uint64), (hi - lo).view(np.uint64))
+                order0.learn(node, row, digit)
+                prefix = prefix * 16 + digit
+            s[miss] = prefix
         grid[step, :n] = s
         model.update(n, s, hit2, hit1)
     return np.ascontiguousarray(grid.T).reshape(-1)[:count]
 
 
-def block_size(count: int, most: int = 1024) -> int:
-    """Blocks of a small file are smaller, so that enough of them run in lockstep."""
-    return max(256, min(most, count // 256))
-
-
-def pack_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int | None = None) -> bytes:
+def pack_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A whole file: documents (ids and token counts), their token ids one after the other."""
-    n = len(ids)
-    block = block or block_size(n)
+    n, digits = len(ids), digits_of(ids.max()) if len(ids) else 4
     if n:
-        top = int(ids.max())
-        counts = np.bincount(ids) if top < 1 << 22 else None
-        alphabet = np.flatnonzero(counts).astype(np.uint32) if counts is not None else np.unique(ids)
-        place = np.zeros(top + 1, np.uint32) if counts is not None else None
-        if place is not None:
-            place[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
-            sym, freq = place[ids], quantise(counts[alphabet])
-        else:
-            sym = np.searchsorted(alphabet, ids).astype(np.uint32)
-            freq = quantise(np.bincount(sym))
-        words, sizes = encode(sym, freq, block)
+        words, sizes = encode(ids, block, digits)
         sums = np.array([zlib.crc32(ids[i : i + block].astype("<u4").tobytes()) for i in range(0, n, block)], np.uint32)
     else:
-        alphabet = freq = sizes = sums = np.zeros(0, np.uint32)
+        sizes = sums = np.zeros(0, np.uint32)
         words = np.zeros(0, "<u2")
     head = zlib.compress(b"".join((
-        struct.pack("<QQII", len(doc_ids), n, block, len(alphabet)), np.asarray(doc_ids, "<i8").tobytes(), np.asarray(lengths, "<u4").tobytes(),
-        alphabet.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), sums.astype("<u4").tobytes(),
+        struct.pack("<QQII", len(doc_ids), n, block, digits), np.asarray(doc_ids, "<i8").tobytes(), np.asarray(lengths, "<u4").tobytes(), sizes.astype("<u4").tobytes(), sums.astype("<u4").tobytes(),
     )), 6)
     return MAGIC + struct.pack("<II", len(head), zlib.crc32(head)) + head + words.tobytes()
 
@@ -243,7 +265,7 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if zlib.crc32(data[16 : 16 + size]) != crc:
         raise ValueError("damaged header")
     head = zlib.decompress(data[16 : 16 + size])
-    docs, n, block, symbols = struct.unpack_from("<QQII", head)
+    docs, n, block, digits = struct.unpack_from("<QQII", head)
     blocks, at = -(-n // block), 24
 
     def take(count: int, kind: str) -> np.ndarray:
@@ -252,10 +274,10 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at += out.nbytes
         return out
 
-    doc_ids, lengths, alphabet, freq, sizes, sums = take(docs, "<i8"), take(docs, "<u4"), take(symbols, "<u4"), take(symbols, "<u4"), take(blocks, "<u4"), take(blocks, "<u4")
+    doc_ids, lengths, sizes, sums = take(docs, "<i8"), take(docs, "<u4"), take(blocks, "<u4"), take(blocks, "<u4")
     if not n:
         return doc_ids, lengths, np.zeros(0, np.uint32)
-    ids = alphabet[decode(np.frombuffer(data, "<u2", offset=16 + size), sizes, freq, n, block)]
+    ids = decode(np.frombuffer(data, "<u2", offset=16 + size), sizes, n, block, digits)
     for k in range(blocks):
         if zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) != sums[k]:
             raise ValueError(f"damaged block {k}")

@@ -513,7 +513,7 @@ def test_mixing_coder_round_trips_and_finds_damage():
     from corpusmill.llm import mixcoder as m
 
     rng = np.random.default_rng(1)
-    for ids in (np.zeros(0), np.ones(1), np.zeros(5000), np.arange(3000) * 7919, rng.zipf(1.5, 20000) % 50000, np.tile(np.arange(50), 200)):
+    for ids in (np.zeros(0), np.ones(1), np.zeros(5000), np.arange(3000) * 7919, np.arange(150_000) * 17, rng.integers(0, 2**32, 900), rng.zipf(1.5, 20000) % 50000, np.tile(np.arange(50), 200)):
         ids = ids.astype(np.uint32)
         data = m.pack_file(np.array([3]), np.array([len(ids)]), ids)
         assert (m.unpack_file(data)[2] == ids).all()
@@ -526,6 +526,22 @@ def test_mixing_coder_round_trips_and_finds_damage():
             m.unpack_file(bytes(broken))
 
 
+def test_each_block_is_decoded_alone_and_its_order_0_adapts():
+    from corpusmill.llm import mixcoder as m
+
+    rng = np.random.default_rng(2)
+    # ids of two parts of the vocabulary by turns: what one block learns is no use to the next
+    ids = np.concatenate([rng.permutation(49_000)[:300][rng.integers(0, 300, 2000)] for _ in range(4)]).astype(np.uint32)
+    words, sizes = m.encode(ids, 2000, 4)
+    ends = np.cumsum(sizes)
+    for k in range(4):
+        assert (m.decode(words[ends[k] - sizes[k] : ends[k]], sizes[k : k + 1], 2000, 2000, 4) == ids[2000 * k : 2000 * k + 2000]).all()
+    assert 16 * len(words) < 0.85 * len(ids) * np.log2(49_000)
+    same = np.concatenate([ids[:2000]] * 2)
+    one, two = m.encode(same, 2000, 4)[1]
+    assert one == two  # reset
+
+
 def test_byte_bpe(docs, repeated, empty):
     t = Tokenizer.from_file(BYTE)
     rows = bpe.encode_decode(docs, BYTE, block_chars=3000).collect()
