@@ -1,16 +1,16 @@
 """Adaptive context-mixing range coder for token ids.
 
 A file's ids are cut into blocks that are coded independently: tables, weights and predictions start
-afresh in each, and nothing but a block's words, the number of digits of an id and the
-block's length is needed to decode it.  The probability of an id is the mixture of three predictions,
+afresh in each, and nothing but a block's words, its length and the
+largest id is needed to decode it.  The probability of an id is the mixture of three predictions,
 
     P(id) = a [id = order-2 guess] + (1 - a) b [id = order-1 guess] + (1 - a)(1 - b) P0(id),
 
 where the guesses come from tables hashed by the last two ids and the last id,
 with a confidence from 0 to 3 each, and a and b are learned per pair of
-confidences.  P0, the order-0 prediction, writes an id as digits of 16: each digit has
-a distribution of its own under the digits before it, which moves towards what it
-sees, fast at first.  It learns from the ids that the guesses missed.  The interval
+confidences.  P0, the order-0 prediction, writes an id as digits of 6, 5 and 5 bits (5 more for
+ids beyond): each digit has a distribution of its own under the digits before it, which moves
+towards what it sees, fast at first.  It learns from the ids that the guesses missed.  The interval
 of each step drives a range coder (48-bit window, 16-bit words, exact carries).
 
 The blocks of a file are coded in lockstep, one lane of a numpy vector each, so
@@ -32,32 +32,61 @@ U = np.uint64
 LIMIT, MASK = U(1 << 32), U((1 << WINDOW) - 1)
 LEAST, MOST, RATE = 64, 65536 - 4096, 5  # bounds and adaption of a and b
 TOTAL = 1 << 15  # of a digit's distribution
-NODES = 1 + 16 + 256 + 4096  # distributions of a block; those of a fifth and later digit share the last ones
+SHARED = 2048  # distributions of a block's third digit; a later digit has as many, found by hash
 #: How slowly a distribution moves, by how often it has been used: a share of 2 ** -rate each time.
-RATES = np.array([1, 2, 2, 3, 3, 3, *[4] * 10, *[5] * 16, 6], np.int16)
-#: Where a distribution moves to, by digit: the lower bounds of an interval that is the digit's but for the
-#: least share of each other one, which is over what rounding down takes away.
-GAP = 70
-TOWARDS = np.array([[j * GAP + (TOTAL - 16 * GAP) * (j > d) for j in range(16)] for d in range(16)], np.int16)
+RATES = np.array([1, 2, 2, 3, 3, 3, *[4] * 10, 5], np.int16)
+#: Where a distribution moves to has this least share for each digit, which is over what rounding down takes away.
+GAP = 34
 
 
-class _Digits:
-    """The order-0 prediction of all lanes: lower bounds of each digit's interval, and uses."""
-
-    def __init__(self, lanes: int, digits: int):
-        self.bounds = np.tile(np.arange(16, dtype=np.int16) * (TOTAL // 16), (lanes * NODES, 1))
-        self.uses = np.zeros(lanes * NODES, np.uint8)
-        self.digits = digits
+def widths_of(top: int) -> list[int]:
+    """Bits of the digits of ids up to top, the first digit first; 16 bits at least."""
+    return [6, 5, 5] + [5] * max(0, -(-(int(top).bit_length() - 16) // 5))
 
-    def node(self, lane: np.ndarray, place: int, prefix: np.ndarray) -> np.ndarray:
-        if place < 4:
-            return lane * NODES + ((16**place - 1) // 15 + prefix)
-        return lane * NODES + (273 + ((prefix * 2654435761 + place) >> 7 & 4095))
 
-    def learn(self, node: np.ndarray, row: np.ndarray, digit: np.ndarray) -> None:
-        used = self.uses[node]
-        self.bounds[node] = row + ((TOWARDS[digit] - row) >> RATES[used][:, None])
-        self.uses[node] = np.minimum(used + np.uint8(1), np.uint8(len(RATES) - 1))
+class _Digits:
+    """The order-0 prediction, digit by digit, for all lanes.  A distribution is the lower bounds of its
+    digits' intervals; the first is always 0, and the uses are counted in its place."""
+
+    def __init__(self, lanes: int, widths: list[int]):
+        self.widths, self.nodes, self.tables, self.towards = widths, [], [], []
+        for place, bits in enumerate(widths):
+            size, nodes = 1 << bits, (1, 64)[place] if place < 2 else SHARED
+            even = np.arange(size, dtype=np.int16) * np.int16(TOTAL // size)
+            self.nodes.append(nodes)
+            self.tables.append(np.tile(even, (lanes * nodes, 1)))
+            towards = np.arange(size)[None, :] * GAP + (TOTAL - size * GAP) * (np.arange(size)[None, :] > np.arange(size)[:, None])
+            self.towards.append(towards.astype(np.int16))
+
+    def begin(self, lane: np.ndarray) -> None:
+        self.lane, self.prefix, self.place, self.order = lane, np.zeros(len(lane), np.int64), 0, np.arange(len(lane))
+
+    def predict(self) -> np.ndarray:
+        """Lower bounds of the next digit's intervals, a row for each lane; uses come first."""
+        k = self.place
+        if k == 0:
+            self.node = self.lane
+        else:
+            own = self.prefix if k < 3 else self.prefix * 2654435761 + k >> 9 & (SHARED - 1)
+            self.node = self.lane * self.nodes[k] + own
+        self.row = self.tables[k][self.node]
+        return self.row
+
+    def learn(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower bound and width of the digit's interval, before its distribution moves."""
+        k, row = self.place, self.row
+        size = 1 << self.widths[k]
+        flat, at = row.ravel(), self.order * size + digit
+        lo, hi = flat[at].astype(np.uint64), flat[np.minimum(at + 1, len(flat) - 1)].astype(np.uint64)
+        lo[digit == 0] = 0
+        hi[digit == size - 1] = TOTAL
+        used = row[:, 0]
+        moved = row + ((self.towards[k][digit] - row) >> RATES[used][:, None])
+        moved[:, 0] = np.minimum(used + np.int16(1), np.int16(len(RATES) - 1))
+        self.tables[k][self.node] = moved
+        self.prefix = (self.prefix << self.widths[k]) + digit
+        self.place += 1
+        return lo, hi - lo
 
 
 class _Model:
@@ -90,9 +119,9 @@ class _Model:
         self.a[self.w] = np.minimum(np.maximum(wa + (((hit2.view(np.uint8).astype(np.int64) << 16) - wa) >> RATE), LEAST), MOST)
         b = np.minimum(np.maximum(wb + (((hit1.view(np.uint8).astype(np.int64) << 16) - wb) >> RATE), LEAST), MOST)
         self.b[self.w] = np.where(hit2, wb, b)
-        one = np.uint32(1 << 24)
+        one, short = np.uint32(1 << 24), sym & np.uint32(0xFFFFFF)  # ids beyond 24 bits are never guessed
         for t, h, e, hit in ((self.t1, self.h1, self.e1, self.g1 == sym), (self.t2, self.h2, self.e2, hit2)):
-            t[h] = np.where(hit, np.minimum(e + one, sym | np.uint32(3 << 24)), np.where(e >= one, e - one, sym))
+            t[h] = np.where(hit, np.minimum(e + one, short | np.uint32(3 << 24)), np.where(e >= one, e - one, short))
         self.p2[:n] = self.p1[:n]
         self.p1[:n] = sym
 
@@ -101,18 +130,13 @@ def _lanes(count: int, block: int) -> tuple[int, int]:
     return -(-count // block), count - (count - 1) // block * block
 
 
-def digits_of(top: int) -> int:
-    """Digits of 16 that the ids up to top have; four at least."""
-    return max(4, -(-int(top).bit_length() // 4))
-
-
-def encode(ids: np.ndarray, block: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
+def encode(ids: np.ndarray, block: int, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(16-bit words of all blocks one after the other, words of each block)."""
     lanes, last = _lanes(len(ids), block)
     grid = np.zeros(lanes * block, np.uint32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    model, order0 = _Model(lanes), _Digits(lanes, digits)
+    model, order0 = _Model(lanes), _Digits(lanes, widths)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, MASK, np.uint64)
     size = len(ids) + 8 * lanes  # words; grows where ids are hard to tell
     log, owner, end = np.zeros(size, np.uint32), np.zeros(size, np.uint16 if lanes < 1 << 16 else np.uint32), 0
@@ -134,12 +158,12 @@ def encode(ids: np.ndarray, block: int, digits: int) -> tuple[np.ndarray, np.nda
             log[at[over]] += 1
             low[over] &= MASK
 
-    def put(which: np.ndarray, start: np.ndarray, width: np.ndarray, bits: int) -> None:
-        r = rng[which] >> U(bits)
-        low[which] += r * start
-        now = r * width
-        rng[which] = now
-        small = which[now < LIMIT]
+    def settle(which: np.ndarray, lo: np.ndarray, r: np.ndarray) -> None:
+        """Words that are certain leave; lo and r are the lanes' low and range, and are changed."""
+        small = np.flatnonzero(r < LIMIT)
+        low[which] = lo
+        rng[which] = r
+        small = which[small]
         while len(small):
             carry(small)
             x = low[small]
@@ -149,6 +173,7 @@ def encode(ids: np.ndarray, block: int, digits: int) -> tuple[np.ndarray, np.nda
             rng[small] = y
             small = small[y < LIMIT]
 
+    all_lanes = np.arange(lanes)
     for step in range(block):
         n = lanes if step < last else lanes - 1
         if not n:
@@ -159,20 +184,26 @@ def encode(ids: np.ndarray, block: int, digits: int) -> tuple[np.ndarray, np.nda
         hit1 = ~hit2 & (model.g1 == s)
         start = np.where(hit2, U(0), np.where(hit1, c1, c2))
         width = np.where(hit2, c1, np.where(hit1, c2 - c1, U(65536) - c2))
-        put(np.arange(n), start, width, 16)
-        miss = np.flatnonzero(~(hit2 | hit1))
+        r = rng[:n] >> U(16)
+        lo, r = low[:n] + r * start, r * width
+        missed = ~(hit2 | hit1)
+        settle(all_lanes[:n], lo, r)
+        miss = np.flatnonzero(missed)
         if len(miss):
-            ms, prefix, first = s[miss].astype(np.int64), np.zeros(len(miss), np.int64), np.arange(len(miss)) * 16
-            for place in range(digits):
-                digit = (ms >> (4 * (digits - 1 - place))) & 15
-                node = order0.node(miss, place, prefix)
-                row = order0.bounds[node]
-                flat = np.append(row.ravel(), np.int16(0))
-                lo, hi = flat[first + digit].astype(np.int64), flat[first + digit + 1].astype(np.int64)
-                hi[digit == 15] = TOTAL
-                put(miss, lo.view(np.uint64), (hi - lo).view(np.uint64), 15)
-                order0.learn(node, row, digit)
-                prefix = prefix * 16 + digit
+            ms, left = s[miss].astype(np.int64), sum(widths)
+            order0.begin(miss)
+            lo, r = low[miss], rng[miss]
+            for place, bits in enumerate(widths):
+                left -= bits
+                order0.predict()
+                first, wide = order0.learn((ms >> left) & ((1 << bits) - 1))
+                r >>= U(15)
+                lo += r * first
+                r *= wide
+                if place % 2 or not left:  # the range has room for two digits
+                    settle(miss, lo, r)
+                    if left:
+                        lo, r = low[miss], rng[miss]
         model.update(n, s, hit2, hit1)
     every = np.arange(lanes)
     carry(every)
@@ -187,21 +218,20 @@ def encode(ids: np.ndarray, block: int, digits: int) -> tuple[np.ndarray, np.nda
     return words.astype("<u2"), np.bincount(owner, minlength=lanes).astype(np.uint32)
 
 
-def decode(words: np.ndarray, sizes: np.ndarray, count: int, block: int, digits: int) -> np.ndarray:
+def decode(words: np.ndarray, sizes: np.ndarray, count: int, block: int, widths: list[int]) -> np.ndarray:
     lanes, last = _lanes(count, block)
     words = np.concatenate((words, np.zeros(8, words.dtype))).astype(np.uint64)
     at = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))[:-1]
     code = (words[at] << U(32)) | (words[at + 1] << U(16)) | words[at + 2]
     at = at + 3
     rng = np.full(lanes, MASK, np.uint64)
-    model, order0 = _Model(lanes), _Digits(lanes, digits)
+    model, order0 = _Model(lanes), _Digits(lanes, widths)
     grid = np.zeros((block, lanes), np.uint32)
 
-    def take(which: np.ndarray, r: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        code[which] -= r * start
-        now = r * width
-        rng[which] = now
-        small = which[now < LIMIT]
+    def settle(which: np.ndarray, co: np.ndarray, r: np.ndarray) -> None:
+        code[which] = co
+        rng[which] = r
+        small = which[np.flatnonzero(r < LIMIT)]
         while len(small):
             p = at[small]
             code[small] = (code[small] << U(16)) | words[np.minimum(p, len(words) - 1)]
@@ -210,6 +240,7 @@ def decode(words: np.ndarray, sizes: np.ndarray, count: int, block: int, digits:
             rng[small] = y
             small = small[y < LIMIT]
 
+    all_lanes = np.arange(lanes)
     for step in range(block):
         n = lanes if step < last else lanes - 1
         if not n:
@@ -220,23 +251,23 @@ def decode(words: np.ndarray, sizes: np.ndarray, count: int, block: int, digits:
         miss_all = co >= r * c2
         hit1 = ~(hit2 | miss_all)
         s = np.where(hit2, model.g2, model.g1)
-        take(np.arange(n), r, np.where(hit2, U(0), np.where(hit1, c1, c2)), np.where(hit2, c1, np.where(hit1, c2 - c1, U(65536) - c2)))
+        settle(all_lanes[:n], co - r * np.where(hit2, U(0), np.where(hit1, c1, c2)), r * np.where(hit2, c1, np.where(hit1, c2 - c1, U(65536) - c2)))
         miss = np.flatnonzero(miss_all)
         if len(miss):
-            prefix, first = np.zeros(len(miss), np.int64), np.arange(len(miss)) * 16
-            for place in range(digits):
-                node = order0.node(miss, place, prefix)
-                row = order0.bounds[node]
-                r = rng[miss] >> U(15)
-                target = np.minimum(code[miss] // r, U(TOTAL - 1)).astype(np.int16)
-                digit = (row[:, 1:] <= target[:, None]).sum(axis=1)
-                flat = np.append(row.ravel(), np.int16(0))
-                lo, hi = flat[first + digit].astype(np.int64), flat[first + digit + 1].astype(np.int64)
-                hi[digit == 15] = TOTAL
-                take(miss, r, lo.view(np.uint64), (hi - lo).view(np.uint64))
-                order0.learn(node, row, digit)
-                prefix = prefix * 16 + digit
-            s[miss] = prefix
+            order0.begin(miss)
+            co, r = code[miss], rng[miss]
+            for place in range(len(widths)):
+                row = order0.predict()
+                r >>= U(15)
+                target = np.minimum(co // r, U(TOTAL - 1)).astype(np.int16)
+                first, wide = order0.learn((row[:, 1:] <= target[:, None]).sum(axis=1))
+                co -= r * first
+                r *= wide
+                if place % 2 or place + 1 == len(widths):
+                    settle(miss, co, r)
+                    if place + 1 < len(widths):
+                        co, r = code[miss], rng[miss]
+            s[miss] = order0.prefix
         grid[step, :n] = s
         model.update(n, s, hit2, hit1)
     return np.ascontiguousarray(grid.T).reshape(-1)[:count]
@@ -244,15 +275,15 @@ def decode(words: np.ndarray, sizes: np.ndarray, count: int, block: int, digits:
 
 def pack_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A whole file: documents (ids and token counts), their token ids one after the other."""
-    n, digits = len(ids), digits_of(ids.max()) if len(ids) else 4
+    n, top = len(ids), int(ids.max()) if len(ids) else 0
     if n:
-        words, sizes = encode(ids, block, digits)
+        words, sizes = encode(ids, block, widths_of(top))
         sums = np.array([zlib.crc32(ids[i : i + block].astype("<u4").tobytes()) for i in range(0, n, block)], np.uint32)
     else:
         sizes = sums = np.zeros(0, np.uint32)
         words = np.zeros(0, "<u2")
     head = zlib.compress(b"".join((
-        struct.pack("<QQII", len(doc_ids), n, block, digits), np.asarray(doc_ids, "<i8").tobytes(), np.asarray(lengths, "<u4").tobytes(), sizes.astype("<u4").tobytes(), sums.astype("<u4").tobytes(),
+        struct.pack("<QQII", len(doc_ids), n, block, top), np.asarray(doc_ids, "<i8").tobytes(), np.asarray(lengths, "<u4").tobytes(), sizes.astype("<u4").tobytes(), sums.astype("<u4").tobytes(),
     )), 6)
     return MAGIC + struct.pack("<II", len(head), zlib.crc32(head)) + head + words.tobytes()
 
@@ -265,7 +296,7 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if zlib.crc32(data[16 : 16 + size]) != crc:
         raise ValueError("damaged header")
     head = zlib.decompress(data[16 : 16 + size])
-    docs, n, block, digits = struct.unpack_from("<QQII", head)
+    docs, n, block, top = struct.unpack_from("<QQII", head)
     blocks, at = -(-n // block), 24
 
     def take(count: int, kind: str) -> np.ndarray:
@@ -277,7 +308,7 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc_ids, lengths, sizes, sums = take(docs, "<i8"), take(docs, "<u4"), take(blocks, "<u4"), take(blocks, "<u4")
     if not n:
         return doc_ids, lengths, np.zeros(0, np.uint32)
-    ids = decode(np.frombuffer(data, "<u2", offset=16 + size), sizes, n, block, digits)
+    ids = decode(np.frombuffer(data, "<u2", offset=16 + size), sizes, n, block, widths_of(top))
     for k in range(blocks):
         if zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) != sums[k]:
             raise ValueError(f"damaged block {k}")

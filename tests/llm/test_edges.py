@@ -532,13 +532,13 @@ def test_each_block_is_decoded_alone_and_its_order_0_adapts():
     rng = np.random.default_rng(2)
     # ids of two parts of the vocabulary by turns: what one block learns is no use to the next
     ids = np.concatenate([rng.permutation(49_000)[:300][rng.integers(0, 300, 2000)] for _ in range(4)]).astype(np.uint32)
-    words, sizes = m.encode(ids, 2000, 4)
+    words, sizes = m.encode(ids, 2000, [6, 5, 5])
     ends = np.cumsum(sizes)
     for k in range(4):
-        assert (m.decode(words[ends[k] - sizes[k] : ends[k]], sizes[k : k + 1], 2000, 2000, 4) == ids[2000 * k : 2000 * k + 2000]).all()
+        assert (m.decode(words[ends[k] - sizes[k] : ends[k]], sizes[k : k + 1], 2000, 2000, [6, 5, 5]) == ids[2000 * k : 2000 * k + 2000]).all()
     assert 16 * len(words) < 0.85 * len(ids) * np.log2(49_000)
     same = np.concatenate([ids[:2000]] * 2)
-    one, two = m.encode(same, 2000, 4)[1]
+    one, two = m.encode(same, 2000, [6, 5, 5])[1]
     assert one == two  # reset
 
 
