@@ -26,7 +26,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMIXRC2\n"
-WINDOW, BLOCK = 48, 8192  # coder window; ids a block
+WINDOW, BLOCK = 48, 6144  # coder window; ids a block
 SLOTS = 4096  # of each guess table of a block
 U = np.uint64
 LIMIT, MASK = U(1 << 32), U((1 << WINDOW) - 1)
