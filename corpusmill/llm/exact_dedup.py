@@ -14,8 +14,9 @@
 4. Each chunk's rows take the verdict of their representative by an equi-join;
    no key of that join has more rows than a chunk.
 
-An owner's file is written under a temporary name and renamed when whole; a
-retried owner only replaces it by the same bytes.
+An owner's file is written under a temporary name and renamed when whole.  A retried owner may
+meet its entries in another order and so write other bytes; its classes and verdicts are
+the same, and only the task that wrote a file reads it.
 """
 
 from __future__ import annotations
