@@ -212,8 +212,41 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return stored(d.mapInArrow(run, "folder string, path string, kind string, records long"), "warc-manifest", False, folder)
 
 
+#: What damaged archives and foreign records raise.
+DAMAGE = (ValueError, KeyError, IndexError, zlib.error)
+
+
+def _sound(stream, path: str) -> Iterator[tuple[dict[str, str] | None, bytes]]:
+    """(headers, block) of the records of an archive; (None, what is wrong) for one that can't be read.
+    Nothing can be found after a damaged gzip member, so it is the last."""
+    found = members(stream)
+    while True:
+        try:
+            raw = next(found)
+        except StopIteration:
+            return
+        except DAMAGE as e:
+            yield None, f"{path}: {e}".encode()
+            return
+        try:
+            yield parse_record(raw)
+        except DAMAGE as e:
+            yield None, f"{path}: {e}".encode()
+
+
+def _whole_row(h: dict[str, str], block: bytes) -> tuple | None:
+    """The row of a record that is no segment; null for other kinds."""
+    uri = h.get("warc-target-uri")
+    if h["warc-type"] == "response":
+        return response_row(page_of(h["warc-record-id"]), uri, h.get("warc-payload-digest"), block)
+    if h["warc-type"] == "revisit":
+        length = re.search(rb"\r\ncontent-length:\s*(\d+)", block, re.I)
+        return page_of(h["warc-record-id"]), uri, "revisit", page_of(h["warc-refers-to"]), int(length[1]) if length else None, h["warc-payload-digest"].removeprefix("sha1:"), None, None
+    return None
+
+
 def _scan(want_segments: bool):
-    """Segments, or the rows of whole records, of the archives of a manifest."""
+    """Segments, or the rows of whole records and of what can't be read, of the archives of a manifest."""
 
     def run(batches):
         schema = _SEGMENT if want_segments else _FIELDS
@@ -222,23 +255,22 @@ def _scan(want_segments: bool):
             for folder, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 store, _ = open_store(folder)
                 with store.open_input_stream(path, compression=None) as f:
-                    for raw in members(f):
-                        h, block = parse_record(raw)
-                        kind, number = h["warc-type"], h.get("warc-segment-number")
-                        if want_segments != bool(number):
-                            continue
-                        uri = h.get("warc-target-uri")
-                        if number:
-                            total = h.get("warc-segment-total-length")
-                            rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), int(number), int(total) if total else None, uri, h.get("warc-payload-digest"), block))
-                        elif kind == "response":
-                            rows.append(response_row(page_of(h["warc-record-id"]), uri, h.get("warc-payload-digest"), block))
-                        elif kind == "revisit":
-                            length = re.search(rb"\r\ncontent-length:\s*(\d+)", block, re.I)
-                            rows.append((page_of(h["warc-record-id"]), uri, "revisit", page_of(h["warc-refers-to"]), int(length[1]) if length else None, h["warc-payload-digest"].removeprefix("sha1:"), None, None))
-                        else:
-                            continue
-                        size += len(block)
+                    for h, block in _sound(f, path):
+                        row, problem = None, None if h else block.decode()
+                        try:
+                            number = h and h.get("warc-segment-number")
+                            if h and want_segments and number:
+                                total = h.get("warc-segment-total-length")
+                                row = h.get("warc-segment-origin-id", h["warc-record-id"]), int(number), int(total) if total else None, h.get("warc-target-uri"), h.get("warc-payload-digest"), block
+                            elif h and not want_segments and not number:
+                                row = _whole_row(h, block)
+                        except DAMAGE as e:
+                            problem = f"{path}: {e}"
+                        if problem and not want_segments:
+                            row = None, None, None, None, None, None, None, problem
+                        if row:
+                            rows.append(row)
+                            size += len(block)
                         if size >= 4 << 20:
                             yield _table(rows, schema)
                             rows, size = [], 0
@@ -251,7 +283,12 @@ def _scan(want_segments: bool):
 def _join_segments(t: pa.Table) -> pa.Table:
     segments, totals, uris, digests, blocks = (t.column(i).to_pylist() for i in range(1, 6))
     block, problem = reassemble(list(zip(segments, totals, blocks, strict=True)))
-    row = response_row(page_of(t.column(0)[0].as_py()), uris[0], next((d for d in digests if d), None), block, problem)
+    origin = t.column(0)[0].as_py()
+    try:
+        page = page_of(origin)
+    except DAMAGE:
+        page, block, problem = None, None, f"foreign record {origin}"
+    row = response_row(page, uris[0], next((d for d in digests if d), None), block, problem)
     return pa.Table.from_batches([_table([row], _FIELDS)])
 
 
@@ -259,8 +296,10 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     """One row per response or revisit record: page_id, target_uri, record_type, refers_to,
     payload_bytes, payload_digest (base32 SHA-1), payload (null for revisits), and
     problem (null; else what is wrong with the record, whose payload is then null
-    or does not fit its digest).  An empty manifest gives no rows."""
-    files = manifest.select("folder", "path").repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4)
-    whole = files.mapInArrow(_scan(False), ROW)
+    or does not fit its digest).  A record or archive that can't be read gives a row with nothing
+    but its problem, and a segment that is lost with it one for its page.  An empty manifest gives no rows.
+    Archives of continuations alone are read for segments only."""
+    files = manifest.select("folder", "path", "kind").repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4)
+    whole = files.where("kind <> 'more'").mapInArrow(_scan(False), ROW)
     joined = files.mapInArrow(_scan(True), SEGMENT).groupBy("origin").applyInArrow(_join_segments, ROW)
     return whole.unionByName(joined)

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusmill.llm import bpe, exact_dedup, html_text, idfiles, near_dedup, ngram_lm, packing, quality, substring_dedup, warc
+from corpusmill.llm import bpe, common, exact_dedup, html_text, idfiles, near_dedup, ngram_lm, packing, quality, substring_dedup, warc
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, id string, row int, rep int, key string, n int, block string, shard string, data binary, kept string"
@@ -181,6 +181,28 @@ def test_warc(docs, empty):
     assert warc.read_archives(warc.write_archives(empty, "doc_id", "source", "text")).count() == 0
 
 
+def test_damaged_archives_give_problems(spark):
+    texts = {i: f"<p>{i}</p>" * (200 if i % 2 else 3) for i in range(12)}
+    manifest = warc.write_archives(frame(spark, texts).repartition(1), "doc_id", "source", "text", segment_bytes=700)
+    main, more = (next(r for r in manifest.collect() if r["kind"] == kind) for kind in ("main", "more"))
+    store, _ = common.open_store(main["folder"])
+
+    def spoil(path, change):
+        with store.open_input_file(path) as f:
+            raw = f.read()
+        with store.open_output_stream(path, compression=None) as f:
+            f.write(change(raw))
+
+    foreign = warc.record("response", "<urn:uuid:none>", b"HTTP/1.1 200 OK\r\n\r\nx")
+    spoil(main["path"], lambda raw: raw + foreign + b"\x1f\x8b junk")
+    spoil(more["path"], lambda raw: raw[:-40])
+    rows = warc.read_archives(manifest).collect()
+    good = {r["page_id"]: r["payload"] for r in rows if r["problem"] is None}
+    assert all(good[i] == texts[i].encode() for i in good) and set(range(0, 12, 2)) <= set(good)
+    assert sorted(r["page_id"] for r in rows if r["page_id"] is not None) == list(range(12)) and len(good) < 12
+    assert sum(r["page_id"] is None for r in rows) == 2
+
+
 def test_warc_damage():
     block = warc.HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"payload" * 10, 16)
     assert warc.http_payload(block)[0] == b"payload" * 10
