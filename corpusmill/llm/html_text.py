@@ -2,8 +2,11 @@
 
 A tokenizer and tree builder with implied tags (head and body, list items,
 paragraphs, table sections, rows and cells, options, definition lists) make a tree; a
-renderer walks it.  It leaves out what a browser does not show, and emits all
-the rest: blocks start on lines of their own, paragraphs, headings, lists and
+renderer walks it.  It leaves out what a browser does not show, by its own rules for elements and by
+the page's styles as cascade.py reads them: display takes an element with all that is in it,
+visibility is inherited and may come back further down.  It emits all the rest, also the text of
+drawings, what objects have for want of their data, a select's options, and values (or else
+placeholders) of fields: blocks start on lines of their own, paragraphs, headings, lists and
 tables are set off by an empty line, list items have their bullet or number and
 indent by depth, ``pre`` keeps its spacing, and table cells are padded to their columns.
 
@@ -21,6 +24,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .cascade import VISIBILITY, Cascade, on_screen
 from .common import id_text, rows_of, small_batches
 
 TOKEN = re.compile(
@@ -35,7 +39,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 RCDATA = frozenset("title textarea".split())
 HEAD = frozenset("base basefont bgsound link meta noframes script style template title".split())
-HIDDEN = frozenset("area audio base basefont canvas datalist embed frame frameset head iframe link meta noembed noframes noscript object param rp script source style svg template title track video".split())
+HIDDEN = frozenset("annotation annotation-xml area audio base basefont canvas datalist embed frame frameset head iframe link meta noembed noframes noscript param rp script source style template title track video".split())
+#: Of drawings: elements that show nothing themselves; text is shown in ``text`` alone.
+SVG_HIDDEN = frozenset("clippath defs desc filter lineargradient marker mask metadata pattern radialgradient symbol".split())
+SVG_TEXT = frozenset("text tspan textpath a".split())
+#: Types of fields that show their value as text, and those of buttons.
+FIELDS = frozenset("date datetime-local email month number search tel text time url week".split())
+BUTTONS = frozenset("submit button reset".split())
 BLOCK = frozenset("address article aside blockquote body center details dd dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table ul xmp tr caption thead tbody tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl table blockquote pre listing hr figure fieldset".split())
 CLOSES_P = BLOCK - frozenset("html body dd dt li option optgroup tr caption thead tbody tfoot legend".split()) | frozenset("li dd dt".split())
@@ -49,16 +59,16 @@ IMPLIED = {
 }
 IMPLIED |= {f"h{i}": IMPLIED["h1"] for i in range(2, 7)}
 SCOPE = frozenset("html body table td th caption button object template".split())
-NOT_SHOWN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-RULE = re.compile(r"([^{}]++)\{([^{}]*+)\}")
-SIMPLE = re.compile(r"^([a-z][a-z0-9]*)?([.#]?)([\w-]*)$", re.I)
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "name")
+    """An element; shown: it has a box, seen: its own text is visible (styled() sets both)."""
+
+    __slots__ = ("attrs", "kids", "name", "seen", "shown")
 
     def __init__(self, name: str, attrs: dict | None = None):
         self.name, self.attrs, self.kids = name, attrs or {}, []
+        self.shown = self.seen = True
 
 
 def parse(text: str) -> tuple[Node, list[str]]:
@@ -172,7 +182,8 @@ def parse(text: str) -> tuple[Node, list[str]]:
             close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+>?", re.I).search(text, at)
             inner, at = (text[at : close.start()], close.end()) if close else (text[at:], end)
             if name == "style":
-                styles.append(inner)
+                if attrs.get("type", "").strip().lower() in ("", "text/css") and on_screen(attrs.get("media", "")):
+                    styles.append(inner)
             elif name == "textarea":
                 node.kids.append(html.unescape(inner))
             elif name == "xmp":
@@ -180,40 +191,35 @@ def parse(text: str) -> tuple[Node, list[str]]:
         elif name == "plaintext":
             node.kids.append(text[at:])
             at = end
-        elif name not in VOID and parent is not head:
+        elif name not in VOID and parent is not head and not (m[0].endswith("/>") and (opened["svg"] or opened["math"])):
             push(node)
         elif name == "template":
             push(node)
     return root, styles
 
 
-def hidden_selectors(styles: list[str]) -> list[tuple[str, str, str]]:
-    """(tag, kind, name) of the simple selectors that some rule does not show."""
-    out = []
-    for css in styles:
-        for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-            if NOT_SHOWN.search(body):
-                for s in selectors.split(","):
-                    if (m := SIMPLE.match(s.strip())) and (m[1] or m[3]) and bool(m[2]) == bool(m[3]):
-                        out.append(((m[1] or "").lower(), m[2], m[3]))
-    return out
-
-
-def shown(node: Node, rules: list[tuple[str, str, str]]) -> bool:
-    a = node.attrs
-    if node.name in HIDDEN:
-        return False
-    if a:
-        if "hidden" in a or (node.name == "input" and a.get("type", "").lower() == "hidden"):
-            return False
-        if "style" in a and NOT_SHOWN.search(a["style"]):
-            return False
-    if node.name == "dialog" and "open" not in a:
-        return False
-    for tag, kind, name in rules:
-        if (not tag or tag == node.name) and (not kind or (name in a.get("class", "").split() if kind == "." else a.get("id") == name)):
-            return False
-    return True
+def styled(root: Node, styles: list[str]) -> None:
+    """Sets shown and seen of the elements from the root down; below what is not shown they are
+    not set."""
+    cascade, none = Cascade(styles), frozenset()
+    stack = [(root, True, False, none, none)]
+    while stack:
+        node, visible, drawing, above, parent = stack.pop()
+        name, a = node.name, node.attrs
+        display, visibility = None, None
+        if a or cascade.steps:
+            display, visibility, above, parent = cascade.look(name, a, above, parent)
+        drawing = drawing and name != "foreignobject" or name == "svg"
+        if name in HIDDEN or drawing and name in SVG_HIDDEN or name == "input" and a.get("type", "").strip().lower() == "hidden":
+            node.shown = False
+        elif display is not None:
+            node.shown = display != "none"
+        else:
+            node.shown = not ("hidden" in a or name == "dialog" and "open" not in a)
+        if node.shown:
+            visible = VISIBILITY.get(visibility, visible)
+            node.seen = visible and (not drawing or name in SVG_TEXT)
+            stack += [(k, visible, drawing, above, parent) for k in node.kids if not isinstance(k, str)]
 
 
 def width(s: str) -> int:
@@ -278,40 +284,40 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def _table(node: Node, rules, depth: int) -> list[str]:
+def _table(node: Node, depth: int) -> list[str]:
     """Rows of cells, each column padded to its widest line; what is outside rows comes before."""
     out, grid, spans = [], [], {}
     rows = []
     for kid in node.kids:
         if isinstance(kid, str):
-            out += _lines([kid], rules, depth + 1)
-        elif not shown(kid, rules) or kid.name == "colgroup":
+            out += _lines([kid], depth + 1, node.seen)
+        elif not kid.shown or kid.name == "colgroup":
             continue
         elif kid.name in ("tbody", "thead", "tfoot"):
-            rows += [(kid.name, r) for r in kid.kids if isinstance(r, Node) and r.name == "tr" and shown(r, rules)]
+            rows += [(kid.name, r) for r in kid.kids if isinstance(r, Node) and r.name == "tr" and r.shown]
             if stray := [r for r in kid.kids if not (isinstance(r, Node) and r.name == "tr")]:
-                out += _lines(stray, rules, depth + 1)
+                out += _lines(stray, depth + 1, kid.seen)
         elif kid.name == "tr":
             rows.append(("tbody", kid))
         else:
-            out += _lines([kid], rules, depth + 1)
+            out += _lines([kid], depth + 1, node.seen)
     rows = [r for k in ("thead", "tbody", "tfoot") for s, r in rows if s == k]
     for y, row in enumerate(rows):
         cells, x = {}, 0
         for cell in row.kids:
             if isinstance(cell, Node) and cell.name in ("td", "th"):
-                if not shown(cell, rules):
+                if not cell.shown:
                     continue
                 while spans.get(x, 0) > y:
                     x += 1
                 cols, down = (min(1000, int(v)) if (v := cell.attrs.get(k, "1").strip()).isdigit() and int(v) else 1 for k in ("colspan", "rowspan"))
-                cells[x] = (_lines(cell.kids, rules, depth + 1), cols)
+                cells[x] = (_lines(cell.kids, depth + 1, cell.seen), cols)
                 for k in range(cols):
                     if down > 1:
                         spans[x + k] = y + down
                 x += cols
-            elif isinstance(cell, str) or shown(cell, rules):
-                out += _lines([cell], rules, depth + 1)
+            elif isinstance(cell, str) or cell.shown:
+                out += _lines([cell], depth + 1, row.seen)
         grid.append(cells)
     sizes: dict[int, int] = {}
     for cells in grid:
@@ -333,8 +339,8 @@ def _table(node: Node, rules, depth: int) -> list[str]:
     return out
 
 
-def _lines(kids: list, rules, depth: int) -> list[str]:
-    text = render_nodes(kids, rules, depth)
+def _lines(kids: list, depth: int, seen: bool) -> list[str]:
+    text = render_nodes(kids, depth, seen)
     return text.split("\n") if text else []
 
 
@@ -342,12 +348,13 @@ def _lines(kids: list, rules, depth: int) -> list[str]:
 TABLE_DEPTH = 20
 
 
-def render_nodes(kids: list, rules, depth: int = 0) -> str:
+def render_nodes(kids: list, depth: int = 0, seen: bool = True) -> str:
+    """Text of nodes whose parent's own text is seen or not."""
     page = Page()
-    stack: list[tuple] = [("kids", iter(kids), False)]
+    stack: list[tuple] = [("kids", iter(kids), False, seen)]
     lists: list[list] = []
     while stack:
-        kind, it, pre = stack[-1]
+        kind, it, pre, seen = stack[-1]
         kid = next(it, None) if kind == "kids" else None
         if kid is None:
             stack.pop()
@@ -355,31 +362,37 @@ def render_nodes(kids: list, rules, depth: int = 0) -> str:
                 it()
             continue
         if isinstance(kid, str):
-            page.pre(kid) if pre else page.text(kid)
+            if seen:
+                page.pre(kid) if pre else page.text(kid)
             continue
         name = kid.name
-        if not shown(kid, rules):
+        if not kid.shown:
             continue
+        seen = kid.seen
         if name == "br":
             page.newline()
             continue
         if name == "input":
-            if kid.attrs.get("type", "").lower() in ("submit", "button", "reset") and kid.attrs.get("value"):
-                page.text(f" {kid.attrs['value']} ")
+            sort = kid.attrs.get("type", "").strip().lower() or "text"
+            value = kid.attrs.get("value") or (kid.attrs.get("placeholder") if sort not in BUTTONS else "")
+            if seen and value and (sort in BUTTONS or sort in FIELDS):
+                page.text(f" {value} ")
             continue
         inner = kid.kids
+        if name == "textarea" and not any(inner) and kid.attrs.get("placeholder"):
+            inner = [kid.attrs["placeholder"]]
         if name == "details" and "open" not in kid.attrs:
             inner = [k for k in inner if isinstance(k, Node) and k.name == "summary"][:1]
         if name == "table" and depth < TABLE_DEPTH:
             page.block(2)
-            for line in _table(kid, rules, depth):
+            for line in _table(kid, depth):
                 if line:
                     page._open()
                     page.line.append(line)
                 page.newline()
             page.block(2)
             continue
-        block = name in BLOCK or name in ("td", "th")
+        block = name in BLOCK or name in ("td", "th", "text")
         want = 0 if not block else 2 if name in SPACED and not (name in ("ul", "ol", "menu", "dir") and lists) else 1
         before = (page.prefix, page.first)
         if block:
@@ -393,12 +406,12 @@ def render_nodes(kids: list, rules, depth: int = 0) -> str:
             if lists:
                 lists[-1][1] += 1
             mark = f"{lists[-1][1]}. " if lists and lists[-1][0] == "1" else "- "
-            page.first, page.prefix = page.prefix + mark, page.prefix + " " * len(mark)
+            page.first, page.prefix = page.prefix + mark if seen else None, page.prefix + " " * len(mark)
         elif name == "dd":
             page.prefix += "    "
         elif name == "blockquote":
             page.prefix += "> "
-        elif name == "hr":
+        elif name == "hr" and seen:
             page._open()
             page.line.append("---")
 
@@ -410,18 +423,18 @@ def render_nodes(kids: list, rules, depth: int = 0) -> str:
             if name in ("li", "dd", "blockquote"):
                 page.prefix, page.first = before[0], None
 
-        stack.append(("after", after, pre))
-        if name == "q":
+        stack.append(("after", after, pre, seen))
+        if name == "q" and seen:
             page.text('"')
-        stack.append(("kids", iter([*inner, '"'] if name == "q" else inner), pre or name in ("pre", "textarea", "listing", "xmp", "plaintext")))
+        stack.append(("kids", iter([*inner, '"'] if name == "q" else inner), pre or name in ("pre", "textarea", "listing", "xmp", "plaintext"), seen))
     return page.done()
 
 
 def html_text(source: str) -> str:
     """All visible text of a page; the empty string of an empty page."""
     root, styles = parse(source.replace("\x00", ""))
-    rules = hidden_selectors(styles)
-    return render_nodes(root.kids, rules) if shown(root, rules) else ""
+    styled(root, styles)
+    return render_nodes(root.kids, 0, root.seen) if root.shown else ""
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

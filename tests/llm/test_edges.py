@@ -633,8 +633,30 @@ def test_html(page, text):
     assert html_text.html_text(page) == text
 
 
+@pytest.mark.parametrize(("css", "body", "text"), [
+    ("@media print{.m{display:none}}", "<p class=m>x", "x"), ("@media (max-width:600px){p{display:none}}", "<p>x", "x"),
+    ("@media screen and (min-width: 50em){p{display:none}}", "<p>x</p>y", "y"), ("@media (400px<=width<=2000px){p{display:none}}", "<p>x</p>y", "y"),
+    ("@media not print{p{display:none}}", "<p>x</p>y", "y"), ("@media (unheard-of){p{display:none}}", "<p>x", "x"),
+    (".a{display:none}.a{display:block}", "<p class=a>x", "x"), (".a{display:block}.a{display:none}", "<p class=a>x</p>y", "y"),
+    ("#i{display:none}.a{display:block}", "<p class=a id=i>x</p>y", "y"), (".a{display:none!important}", "<p class=a style='display:block'>x</p>y", "y"),
+    ("@layer b{#i{display:none}}.a{display:block}", "<p class=a id=i>x", "x"), (".a{visibility:hidden}.b{visibility:visible}", "<div class=a>x<p>y<b class=b>z</b></p></div>", "z"),
+    (".a{display:none}", "<div class=a><p style='display:block'>x</p></div>y", "y"), ("div.x>p{display:none}", "<div class=x><p>a</p><b><p>b</p></b></div>", "b"),
+    (".y p{display:none}", "<div class=y><b><p>c</p></b></div><p>d", "d"), ("p+p,a:hover{display:none}", "<p>c<p><a>d</a>", "c\n\nd"),
+    ("[data-x='1']{display:none}", "<i data-x=1>a</i><i data-x=2>b</i>", "b"), ("/* } */ .q{content:'}';display:none}", "<i class=q>l</i>m", "m"),
+    ("", "<p hidden style='display:block'>x", "x"), ("li{visibility:hidden}", "<ol><li>a<li style='visibility:visible'>b</ol>", "2. b"),
+    ("", "<svg><defs><text>n</text></defs><title>t</title><path d=x /><text>one <tspan>two</tspan></text>z</svg>w", "one two\nw"),
+    ("", "<object data=x><param name=a>f</object>", "f"), ("", "<input value=v><input placeholder=h><input type=password value=s><input type=hidden value=q>", "v h"),
+    (".a .b,.a > .c", "<p class=a>x", "x"), ("p{display:none", "<p>x</p>y", "y"),
+])
+def test_html_styles(css, body, text):
+    assert html_text.html_text(f"<style>{css}</style>{body}") == text
+    assert html_text.html_text(f"<style media=print>{css}</style><i>{text.split()[-1]}</i>") == text.split()[-1]
+
+
 def test_html_damaged_pages_take_linear_time():
-    for page in ('<a "' * 20000, "<" * 50000, "<!--" * 20000, "<div>" * 30000, "<table>" * 3000 + "x", "<li>" * 20000, "<a b='" * 20000, "<style>" + "a{" * 20000):
+    nested = "<style>" + "".join(f".a .b{i}{{display:none}}" for i in range(300)) + "</style>" + "<div class='b a'>" * 20000
+    for page in (nested, "<style>" + "/*" * 50000, "<style>" + "[x" * 50000, "<style>@media " + "(" * 50000 + "{", "<style>p{display:" + "a " * 50000 + "1}", "<style>p" + " > " * 20000 + "{display:none}",
+                 '<a "' * 20000, "<" * 50000, "<!--" * 20000, "<div>" * 30000, "<table>" * 3000 + "x", "<li>" * 20000, "<a b='" * 20000, "<style>" + "a{" * 20000):
         html_text.html_text(page)
 
 
