@@ -33,20 +33,42 @@ def unpack_bits(raw: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     return (from_each_byte[bit >> 3].astype(np.uint64) << (bit & 7).astype(np.uint64)) >> U(64 - width)
 
 
+#: Each byte of a word one; the top bit of each; place of the k-th one bit of a byte, at 8 * byte + k.
+ONES, TOPS = U(0x0101010101010101), U(0x8080808080808080)
+IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8).reshape(-1)
+#: One bits between two entries of the select directory, as a power of two.
+SAMPLE = 6
+
+
+def select_in_words(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th (from 0) one bit, from the least bit, of each 64-bit word."""
+    x = words - ((words >> U(1)) & U(0x5555555555555555))
+    x = (x & U(0x3333333333333333)) + ((x >> U(2)) & U(0x3333333333333333))
+    upto = ((x + (x >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * ONES  # one bits up to and with each byte
+    at = ((((k * ONES | TOPS) - upto) & TOPS) >> U(7)) * ONES >> U(56) << U(3)  # bytes whose sum is at most k
+    before = (upto << U(8)) >> at & U(0xFF)
+    return at + IN_BYTE[((words >> at & U(0xFF)) << U(3)) + k - before]
+
+
 class EliasFano:
-    """A monotone sequence; at(i) gives values, find(value, lo, hi) successors in ranges."""
+    """A monotone sequence; at(i) gives values, find(value, lo, hi) successors in ranges.
+
+    The high bits stay as they are mapped.  A select directory, made at the first read, has the one
+    bits before each word and the word of every 64th one bit: some 1.5 bits a value.  A read
+    looks between two of the latter and then into one word."""
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
         self.n, self.width, self.low, self.high = n, width, low, high
-        self._ones: np.ndarray | None = None
+        self._before: np.ndarray | None = None
+        self._sample = self._words = None
 
     @classmethod
     def of(cls, x: np.ndarray) -> EliasFano:
         x, n = x.astype(np.uint64), len(x)
         width = min(57, max(0, int(int(x[-1]) // n).bit_length() - 1)) if n else 0
-        high = np.zeros((int(x[-1]) >> width) + n + 1 if n else 0, np.uint8)
+        high = np.zeros(-(-((int(x[-1]) >> width) + n + 1) // 64) * 64 if n else 0, np.uint8)
         high[(x >> U(width)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, width, pack_bits(x & U((1 << width) - 1), width), np.packbits(high))
+        return cls(n, width, pack_bits(x & U((1 << width) - 1), width), np.packbits(high, bitorder="little"))
 
     def dump(self) -> bytes:
         return struct.pack("<QIQQ", self.n, self.width, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
@@ -57,11 +79,30 @@ class EliasFano:
         at += 28
         return cls(n, width, raw[at : at + low], raw[at + low : at + low + high]), at + low + high
 
+    def _directory(self) -> None:
+        self._words = np.ndarray((len(self.high) // 8,), "<u8", np.ascontiguousarray(self.high))
+        ones = np.cumsum(np.bitwise_count(self._words), dtype=np.uint32 if self.n < 1 << 32 else np.uint64)
+        self._sample = np.append(np.searchsorted(ones, np.arange(0, self.n, 1 << SAMPLE, dtype=ones.dtype), "right"), max(0, len(ones) - 1)).astype(np.uint32)
+        self._before = np.concatenate((np.zeros(1, ones.dtype), ones))
+
     def at(self, i: np.ndarray) -> np.ndarray:
-        if self._ones is None:
-            self._ones = np.flatnonzero(np.unpackbits(self.high)).astype(np.uint64)
+        if self._before is None:
+            self._directory()
         i = np.asarray(i, np.int64)
-        return ((self._ones[i] - i.astype(np.uint64)) << U(self.width)) | unpack_bits(self.low, self.width, i)
+        group = i >> SAMPLE
+        # The word is the last one with at most i one bits before it; most often the first or second.
+        word, last = self._sample[group], self._sample[group + 1]
+        rows = np.flatnonzero(self._before[word + 1] <= i)
+        if len(rows):
+            lo, hi, want = word[rows] + 1, last[rows], i[rows]
+            while (lo < hi).any():
+                mid = (lo + hi) >> 1
+                later = self._before[mid + 1] <= want
+                lo, hi = np.where(later, np.minimum(mid + 1, hi), lo), np.where(later, hi, mid)
+            word[rows] = lo
+        ones_before = self._before[word].astype(np.uint64)
+        place = word.astype(np.uint64) * U(64) + select_in_words(self._words[word], i.astype(np.uint64) - ones_before)
+        return ((place - i.astype(np.uint64)) << U(self.width)) | unpack_bits(self.low, self.width, i)
 
     def find(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """First place in lo..hi whose value is at least value; hi if none is."""

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusmill.llm import bpe, common, exact_dedup, html_text, idfiles, near_dedup, ngram_lm, packing, quality, substring_dedup, warc
+from corpusmill.llm import bpe, common, efcodec, exact_dedup, html_text, idfiles, near_dedup, ngram_lm, packing, quality, substring_dedup, warc
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, id string, row int, rep int, key string, n int, block string, shard string, data binary, kept string"
@@ -664,3 +664,30 @@ def test_html_frame(docs, repeated, empty):
     rows = html_text.extract_text(docs, "doc_id", "text").collect()
     assert {r["page_id"]: r["text"] for r in rows} == {k: html_text.html_text(v or "") for k, v in TEXTS.items()}
     assert html_text.extract_text(repeated, "doc_id", "text").count() == 2 * len(TEXTS) and html_text.extract_text(empty, "doc_id", "text").count() == 0
+
+
+# ------------------------------------------------------------ monotone sequences
+
+
+def test_elias_fano_reads_and_successors():
+    r = np.random.default_rng(3)
+    dense, sparse = np.arange(5000), np.sort(r.integers(0, 1 << 50, 700))
+    bursts = np.sort(np.concatenate([r.integers(0, 1 << 44, 50), (1 << 43) + np.arange(3000), np.full(200, 7)]))
+    for x in ([], [0], [1 << 56], [0] * 300, dense, dense * 64, sparse, bursts):
+        x = np.asarray(x, np.uint64)
+        raw = np.frombuffer(b"\x00" * 3 + efcodec.EliasFano.of(x).dump(), np.uint8)  # not aligned
+        e, end = efcodec.EliasFano.load(raw, 3)
+        assert end == len(raw) and (e.at(np.arange(len(x))) == x).all()
+        if len(x):
+            i = r.integers(0, len(x), 2000)
+            lo, hi = np.maximum(i - 20, 0), np.minimum(i + 20, len(x))
+            v = x[i] + r.integers(0, 3, 2000).astype(np.uint64)
+            assert (e.at(i) == x[i]).all() and (e.find(v, lo, hi) == np.clip(np.searchsorted(x, v), lo, hi)).all()
+
+
+def test_select_in_words():
+    r = np.random.default_rng(4)
+    for word in [1, 1 << 63, (1 << 64) - 1, *map(int, r.integers(1, 1 << 63, 200, dtype=np.uint64))]:
+        places = [b for b in range(64) if word >> b & 1]
+        got = efcodec.select_in_words(np.full(len(places), word, np.uint64), np.arange(len(places), dtype=np.uint64))
+        assert got.tolist() == places
