@@ -38,6 +38,8 @@ ONES, TOPS = U(0x0101010101010101), U(0x8080808080808080)
 IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8).reshape(-1)
 #: One bits between two entries of the select directory, as a power of two.
 SAMPLE = 6
+#: Values read at a time, so that what lies between the steps stays in a processor's cache.
+CHUNK = 1 << 14
 
 
 def select_in_words(words: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -85,13 +87,15 @@ class EliasFano:
         self._sample = np.append(np.searchsorted(ones, np.arange(0, self.n, 1 << SAMPLE, dtype=ones.dtype), "right"), max(0, len(ones) - 1)).astype(np.uint32)
         self._before = np.concatenate((np.zeros(1, ones.dtype), ones))
 
-    def at(self, i: np.ndarray) -> np.ndarray:
+    def _places(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each one bit among the high bits, its word)."""
         if self._before is None:
             self._directory()
-        i = np.asarray(i, np.int64)
         group = i >> SAMPLE
-        # The word is the last one with at most i one bits before it; most often the first or second.
+        # The word is the last one with at most i one bits before it; most often among the first three.
         word, last = self._sample[group], self._sample[group + 1]
+        word += self._before[word + 1] <= i
+        word += self._before[word + 1] <= i
         rows = np.flatnonzero(self._before[word + 1] <= i)
         if len(rows):
             lo, hi, want = word[rows] + 1, last[rows], i[rows]
@@ -100,21 +104,50 @@ class EliasFano:
                 later = self._before[mid + 1] <= want
                 lo, hi = np.where(later, np.minimum(mid + 1, hi), lo), np.where(later, hi, mid)
             word[rows] = lo
-        ones_before = self._before[word].astype(np.uint64)
-        place = word.astype(np.uint64) * U(64) + select_in_words(self._words[word], i.astype(np.uint64) - ones_before)
+        bits = self._words[word]
+        return (word.astype(np.uint64) << U(6)) + select_in_words(bits, (i - self._before[word]).astype(np.uint64)), bits
+
+    def _values(self, i: np.ndarray, place: np.ndarray) -> np.ndarray:
         return ((place - i.astype(np.uint64)) << U(self.width)) | unpack_bits(self.low, self.width, i)
 
-    def find(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """First place in lo..hi whose value is at least value; hi if none is."""
+    def at(self, i: np.ndarray) -> np.ndarray:
+        i = np.asarray(i, np.int64)
+        out = np.empty(len(i), np.uint64)
+        for k in range(0, len(i), CHUNK):
+            part = i[k : k + CHUNK]
+            out[k : k + CHUNK] = self._values(part, self._places(part)[0])
+        return out
+
+    def pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at i and at i + 1, the second's place being the next one bit, most often of the same word."""
+        i = np.asarray(i, np.int64)
+        first, second = np.empty(len(i), np.uint64), np.empty(len(i), np.uint64)
+        for k in range(0, len(i), CHUNK):
+            part = i[k : k + CHUNK]
+            place, bits = self._places(part)
+            first[k : k + CHUNK] = self._values(part, place)
+            rest = bits >> (place & U(63)) & ~U(1)
+            following = place + np.bitwise_count((rest & (~rest + U(1))) - U(1))
+            rows = np.flatnonzero(rest == 0)
+            if len(rows):
+                following[rows] = self._places(part[rows] + 1)[0]
+            second[k : k + CHUNK] = self._values(part + 1, following)
+        return first, second
+
+    def find(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first place in lo..hi whose value is at least value, hi if none is; whether the two are equal)."""
         lo, hi = lo.astype(np.int64).copy(), hi.astype(np.int64).copy()
+        equal = np.zeros(len(lo), bool)
         rows = np.flatnonzero(lo < hi)
         while len(rows):
             mid = (lo[rows] + hi[rows]) >> 1
-            less = self.at(mid) < value[rows]
+            have, want = self.at(mid), value[rows]
+            less = have < want
             lo[rows[less]] = mid[less] + 1
             hi[rows[~less]] = mid[~less]
+            equal[rows] |= have == want
             rows = rows[lo[rows] < hi[rows]]
-        return lo
+        return lo, equal
 
 
 class Level:
@@ -142,17 +175,16 @@ class Level:
 
     def range(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parent = np.asarray(parent, np.int64)
-        return self.pointers.at(parent).astype(np.int64), self.pointers.at(parent + 1).astype(np.int64)
+        lo, hi = self.pointers.pairs(parent)
+        return lo.astype(np.int64), hi.astype(np.int64)
 
     def search(self, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Node of each (parent, child number), or -1."""
         lo, hi = self.range(parent)
         known = child < self.span
         value = np.asarray(parent).astype(np.uint64) * U(self.span) + np.minimum(child, self.span - 1).astype(np.uint64)
-        place = self.children.find(value, lo, hi)
-        found = known & (place < hi)
-        found[found] = self.children.at(place[found]) == value[found]
-        return np.where(found, place, -1)
+        place, equal = self.children.find(value, lo, hi)
+        return np.where(known & equal, place, -1)
 
 
 def pack(*arrays: np.ndarray, level: int = 3) -> bytes:

@@ -682,7 +682,12 @@ def test_elias_fano_reads_and_successors():
             i = r.integers(0, len(x), 2000)
             lo, hi = np.maximum(i - 20, 0), np.minimum(i + 20, len(x))
             v = x[i] + r.integers(0, 3, 2000).astype(np.uint64)
-            assert (e.at(i) == x[i]).all() and (e.find(v, lo, hi) == np.clip(np.searchsorted(x, v), lo, hi)).all()
+            place, equal = e.find(v, lo, hi)
+            assert (e.at(i) == x[i]).all() and (place == np.clip(np.searchsorted(x, v), lo, hi)).all()
+            assert (equal == ((place < hi) & (x[np.minimum(place, len(x) - 1)] == v))).all()
+            j = np.arange(len(x) - 1)
+            first, second = e.pairs(j)
+            assert (first == x[:-1]).all() and (second == x[1:]).all()
 
 
 def test_select_in_words():
