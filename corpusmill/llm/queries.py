@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, idfiles, near_dedup, ngram_lm, packing, quality, substring_dedup, warc
+from . import bpe, exact_dedup, html_text, idfiles, importance, near_dedup, ngram_lm, packing, pu_quality, quality, substring_dedup, vector_codes, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -65,6 +65,21 @@ def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_partial_distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.col("books_sha256").alias("codebooks_sha256"))
+
+
+def op12_csr_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pu_quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
@@ -77,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_extendible_dedup": op8_extendible_dedup,
         "op9_layout_text": op9_layout_text,
         "op10_word_table_bpe": op10_word_table_bpe,
+        "op11_partial_distance_codes": op11_partial_distance_codes,
+        "op12_csr_importance": op12_csr_importance,
+        "op13_positive_unlabelled": op13_positive_unlabelled,
     }
 
 
@@ -84,8 +102,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """op11 in SQL, a round at a time: every part against every entry of its codebook."""
+    ctes = [
+        "kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings"
+        " WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, label, k AS part, list_slice(v, k * len(v) // {parts} + 1, (k + 1) * len(v) // {parts}) AS x FROM kept, range({parts}) r(k))",
+        f"b0 AS MATERIALIZED (SELECT part, x AS c, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))",
+    ]
+    distance = "list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for k in range(rounds + 1):
+        ctes.append(f"n{k} AS (SELECT p.vec_id, p.label, p.part, p.x, min({distance} * {entries} + b.entry) AS n FROM p JOIN b{k} b USING (part) GROUP BY ALL)")
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT vec_id, label, part, x, n // {entries} AS d, n % {entries} AS e FROM n{k})")
+        if k < rounds:
+            ctes.append(f"m{k} AS (SELECT part, e AS entry, list(m ORDER BY j) AS c FROM (SELECT part, e, j, CAST(floor(sum(x[j]) / count(*)) AS BIGINT) AS m FROM a{k}, range(1, (SELECT max(len(x)) + 1 FROM p)) r(j) GROUP BY ALL) GROUP BY ALL)")
+            ctes.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m USING (part, entry))")
+    ctes.append(f"s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})")
+    ctes.append(f"coded AS (SELECT vec_id, label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label)")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, s"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_partial_distance_codes": _codes_sql(),
         "op8_extendible_dedup": f"""
             WITH d AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
             SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,

@@ -17,7 +17,7 @@ from corpusmill.llm.common import stored, sweep
 
 def test_names_and_oracles():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(names)
 
 
