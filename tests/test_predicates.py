@@ -102,3 +102,27 @@ def test_form_score_bounds(spark):
     d = spark.createDataFrame([("问题是什么呢请回答", "第一段。\n第二段。", 200), ("", None, 0)], "q string, a string, n int")
     scores = [r[0] for r in d.select(X.form_score("q", "a", F.col("n"))).collect()]
     assert 0.7 < scores[0] <= 1.0 and scores[1] == pytest.approx(0.3 * 0.4 + 0.1 * 0.8)
+
+
+@pytest.mark.parametrize(
+    ("raw", "clean"),
+    [
+        ("高血压（A对，为本题正确答案）常见于老年人。", "高血压常见于老年人"),
+        ("（E对BCD错）该药可降压（见说明）", "该药可降压（见说明）"),
+        ("外（里（A错）层）留下（（B对））", "外（里层）留下（）"),
+        ("（正确）应用广泛", "应用广泛"),
+        ("开口（A对没有合上", "开口（A对没有合上"),
+        ("A对，该药有效，B错；故本题答案为C", "该药有效"),
+        ("本题考查的是因此该药有效", "该药有效"),
+        ("为本题正确选项", ""),
+        (None, ""),
+    ],
+)
+def test_cleaned_fragments(spark, raw, clean):
+    assert spark.createDataFrame([(raw,)], "t string").select(mcq.clean_fragment("t")).first()[0] == clean
+
+
+def test_judged_letters_in_brackets_and_alone(spark):
+    rows = [("（A对，B错，见上），C正确；( D 错误)；E错误", [["A", "C"], ["B", "D", "E"]]), ("A型 对（X错）B错了，", [[], []]), ("", [[], []])]
+    got = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(mcq.judged_letters("t").alias("j")).collect()
+    assert [[r["j"]["right"], r["j"]["wrong"]] for r in got] == [w for _, w in rows]
