@@ -105,17 +105,20 @@ def _tools_header(tools: pd.Series, system: pd.Series) -> pd.Series:
         if not t:
             return None
         lines = "".join("\n" + json.dumps(x, ensure_ascii=False) for x in json.loads(t))
-        return START + "system\n" + (s + "\n\n" if s else "") + TOOLS_BEFORE + lines + TOOLS_AFTER + END + "\n"
+        return START + "system\n" + ("" if s is None else s + "\n\n") + TOOLS_BEFORE + lines + TOOLS_AFTER + END + "\n"
 
     return pd.Series([one(t, s) for t, s in zip(tools, system, strict=True)], dtype=object)
 
 
-def render_with_tools(messages: Column, tools: Column) -> Column:
-    """X29 with declared tools (a JSON list): their header takes in a leading system turn."""
+def render_with_tools(messages: Column, tools: Column, generation_prompt: bool = False, open_thinking: bool = False, full: bool = False) -> Column:
+    """X29 with declared tools (a JSON list): their header takes in a leading system turn.  The other arguments are
+    those of render(): the turns' calls and thoughts, and the opening of the answer that is to come."""
     first = F.get(messages, F.lit(0))
-    system = F.when(first["role"] == "system", first["content"])
+    system = F.when(first["role"] == "system", text(first["content"]))
     rest = F.when(first["role"] == "system", F.slice(messages, F.lit(2), F.greatest(F.size(messages) - 1, F.lit(0)))).otherwise(messages)
-    return F.when(text(tools) == "", render(messages)).otherwise(F.concat(_tools_header(tools, system), render(rest)))
+    declared = text(tools) != ""
+    turns = render(F.when(declared, rest).otherwise(messages), generation_prompt, open_thinking, full)
+    return F.when(declared, F.concat(_tools_header(tools, system), turns)).otherwise(turns)
 
 
 def add_system_prompt(messages: Column, key: Column, prompts: list[str], share: float = 0.2, seed: int = 0) -> Column:

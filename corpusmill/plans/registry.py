@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, curation, evaluation, scans
+from . import chat, curation, evaluation, scans, training
 
-PLANS = (curation, evaluation, chat, scans)
+PLANS = (curation, evaluation, chat, scans, training)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
