@@ -39,14 +39,25 @@ def think_removed(s, d):
     return conversations(s, d).select("conv_id", (F.length(r) - F.length(C.drop_empty_think(r, F.col("conv_id")))).alias("removed"))
 
 
-def conversation_render_full(s, d):
-    """X29 with thoughts and calls that come beside the content, and tool turns."""
+def _with_calls(s, d) -> DataFrame:
+    """Conversations with thoughts and calls beside the content, and tool turns."""
     turn = F.col("turn")
     calls = F.concat(F.lit('[{"name": "calculate_math", "arguments": {"expression":"'), turn.cast("string"), F.lit('+1"}}, {"function": {"name":"get_current_time","arguments":"{}"}}]'))
     x = table(s, d, "conversations").withColumn("role", F.when(turn % 5 == 4, "tool").otherwise(F.col("role")))
     x = x.withColumns({"reasoning_content": F.when(turn % 3 == 0, F.concat(F.lit("\nthought "), turn.cast("string"), F.lit("\n"))), "tool_calls": F.when(turn % 4 == 1, calls)})
-    m = C.gather_turns(x, extra=["reasoning_content", "tool_calls"])
-    return m.select("conv_id", F.md5(C.render(F.col("messages"), full=True)).alias("rendered_md5"))
+    return C.gather_turns(x, extra=["reasoning_content", "tool_calls"])
+
+
+def conversation_render_full(s, d):
+    """X29 with thoughts and calls that come beside the content, and tool turns."""
+    return _with_calls(s, d).select("conv_id", F.md5(C.render(F.col("messages"), full=True)).alias("rendered_md5"))
+
+
+def conversation_render_tools(s, d):
+    """X29 with all at once: declared tools, calls, thoughts, tool turns and the opening of an answer."""
+    tools = F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit('[{"name":"tool'), F.col("conv_id").cast("string"), F.lit('"}]')))
+    m = C.render_with_tools(F.col("messages"), tools, generation_prompt=True, open_thinking=True, full=True)
+    return _with_calls(s, d).select("conv_id", F.md5(m).alias("rendered_md5"))
 
 
 def tools_header(s, d):
@@ -106,7 +117,7 @@ def token_arrays(s, d):
 
 QUERIES = {f.__name__: f for f in (
     conversation_valid, conversation_render, last_query, system_prompts, think_removed, role_runs, held_out_turns, rep_penalty, rule_reward, group_advantage, gae,
-    latest_turn, objectives, token_arrays, conversation_render_full, tools_header,
+    latest_turn, objectives, token_arrays, conversation_render_full, conversation_render_tools, tools_header,
 )}
 
 #: functions.chat.unit() in SQL.
@@ -118,6 +129,20 @@ _REWARD = r"""
     rw AS (SELECT conv_id, turn, (CASE WHEN length(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) BETWEEN 20 AND 800 THEN 0.5 ELSE -0.5 END - penalty)::DOUBLE AS reward
            FROM pen JOIN conversations USING (conv_id, turn, text) WHERE role = 'assistant')"""
 
+#: Turns as the template writes them, with thoughts, calls and tool turns.
+_FULL = r"""
+        WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'tool' ELSE role END AS role, text, lag(CASE WHEN turn % 5 = 4 THEN 'tool' ELSE role END) OVER w AS prior, lead(CASE WHEN turn % 5 = 4 THEN 'tool' ELSE role END) OVER w AS nxt
+            FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        r AS (SELECT conv_id, turn, CASE
+            WHEN role = 'assistant' THEN '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || CASE WHEN turn % 3 = 0 THEN 'thought ' || turn ELSE '' END || chr(10) || '</think>' || chr(10) || chr(10) || ltrim(text, chr(10))
+                || CASE WHEN turn % 4 = 1 THEN CASE WHEN text <> '' THEN chr(10) ELSE '' END || '<tool_call>' || chr(10) || '{"name": "calculate_math", "arguments": {"expression": "' || turn || '+1"}}' || chr(10) || '</tool_call>' || chr(10) || '<tool_call>' || chr(10) || '{"name": "get_current_time", "arguments": {}}' || chr(10) || '</tool_call>' ELSE '' END || '<|im_end|>' || chr(10)
+            WHEN role = 'tool' THEN CASE WHEN prior IS DISTINCT FROM 'tool' THEN '<|im_start|>user' ELSE '' END || chr(10) || '<tool_response>' || chr(10) || text || chr(10) || '</tool_response>' || CASE WHEN nxt IS DISTINCT FROM 'tool' THEN '<|im_end|>' || chr(10) ELSE '' END
+            ELSE '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) END AS x FROM t)"""
+_HEAD = r"""'<|im_start|>system' || chr(10) || CASE WHEN arg_min(CASE WHEN turn % 5 = 4 THEN 'tool' ELSE role END, turn) = 'system' THEN arg_min(text, turn) || chr(10) || chr(10) ELSE '' END || '# Tools' || chr(10) || chr(10)
+            || 'You may call one or more functions to assist with the user query.' || chr(10) || chr(10) || 'You are provided with function signatures within <tools></tools> XML tags:' || chr(10) || '<tools>' || chr(10)"""
+_AFTER_TOOLS = r"""chr(10) || '</tools>' || chr(10) || chr(10) || 'For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:' || chr(10) || '<tool_call>' || chr(10)
+            || '{"name": <function-name>, "arguments": <args-json-object>}' || chr(10) || '</tool_call><|im_end|>' || chr(10)"""
+
 ORACLES = {
     "conversation_valid": r"""
         WITH n AS (SELECT conv_id, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
@@ -139,15 +164,10 @@ ORACLES = {
             (least(exp(p1 - q1) * n, greatest(least(exp(p1 - q1), 1.2), 0.8) * n) + least(exp(p2 - q2) * n, greatest(least(exp(p2 - q2), 1.2), 0.8) * n) + n) / 3 AS clipped,
             (least(exp(p1 - q1), 5) * n * p1 + least(exp(p2 - q2), 5) * n * p2 - n * n / 4) / 3 AS capped,
             (exp(q1 - p1) - (q1 - p1) - 1 + exp(q2 - p2) - (q2 - p2) - 1) / 3 AS kl, (-n - n / 2 - n / 4) / 3 AS mean_score, 0.001 * (0.1 + 0.45 * (1 + cos(pi() * turn / 10))) AS rate FROM r""",
-    "conversation_render_full": r"""
-        WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'tool' ELSE role END AS role, text, lag(CASE WHEN turn % 5 = 4 THEN 'tool' ELSE role END) OVER w AS prior, lead(CASE WHEN turn % 5 = 4 THEN 'tool' ELSE role END) OVER w AS nxt
-            FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-        r AS (SELECT conv_id, turn, CASE
-            WHEN role = 'assistant' THEN '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || CASE WHEN turn % 3 = 0 THEN 'thought ' || turn ELSE '' END || chr(10) || '</think>' || chr(10) || chr(10) || ltrim(text, chr(10))
-                || CASE WHEN turn % 4 = 1 THEN CASE WHEN text <> '' THEN chr(10) ELSE '' END || '<tool_call>' || chr(10) || '{"name": "calculate_math", "arguments": {"expression": "' || turn || '+1"}}' || chr(10) || '</tool_call>' || chr(10) || '<tool_call>' || chr(10) || '{"name": "get_current_time", "arguments": {}}' || chr(10) || '</tool_call>' ELSE '' END || '<|im_end|>' || chr(10)
-            WHEN role = 'tool' THEN CASE WHEN prior IS DISTINCT FROM 'tool' THEN '<|im_start|>user' ELSE '' END || chr(10) || '<tool_response>' || chr(10) || text || chr(10) || '</tool_response>' || CASE WHEN nxt IS DISTINCT FROM 'tool' THEN '<|im_end|>' || chr(10) ELSE '' END
-            ELSE '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) END AS x FROM t)
-        SELECT conv_id, md5(string_agg(x, '' ORDER BY turn)) AS rendered_md5 FROM r GROUP BY 1""",
+    "conversation_render_full": _FULL + " SELECT conv_id, md5(string_agg(x, '' ORDER BY turn)) AS rendered_md5 FROM r GROUP BY 1",
+    "conversation_render_tools": _FULL + f""", f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM r JOIN conversations c USING (conv_id, turn))
+        SELECT conv_id, md5(CASE WHEN conv_id % 3 > 0 THEN {_HEAD} || '{{"name": "tool' || conv_id || '"}}' || {_AFTER_TOOLS} || coalesce(string_agg(x, '' ORDER BY turn) FILTER (role <> 'system' OR turn <> first OR turn % 5 = 4), '') ELSE string_agg(x, '' ORDER BY turn) END
+            || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10)) AS rendered_md5 FROM f GROUP BY conv_id""",
     "tools_header": r"""
         SELECT conv_id, md5('<|im_start|>system' || chr(10) || CASE WHEN arg_min(role, turn) = 'system' THEN arg_min(text, turn) || chr(10) || chr(10) ELSE '' END || '# Tools' || chr(10) || chr(10) || 'You may call one or more functions to assist with the user query.' || chr(10) || chr(10)
             || 'You are provided with function signatures within <tools></tools> XML tags:' || chr(10) || '<tools>' || chr(10) || '{"name": "tool' || conv_id || '", "parameters": {"n": ' || count(*) || '}}' || chr(10) || '</tools>' || chr(10) || chr(10)
