@@ -10,15 +10,21 @@ Rows without an id are in no result.  Each row is judged for itself, also where
 an id: of rows with equal texts one stays, and rows with one id and different texts are
 different documents.  Null texts count as empty ones and fail the quality rules.  Columns
 besides those of ``documents`` pass through all stages but the last.
+
+Where the session names a folder in ``corpusmill.ledger``, run() keeps every stage's result there and a later run over
+the same files with the same code reads the stages that are done, so a driver that died goes on where it was.
 """
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
 from corpusmill.llm.common import stored, sweep
+from corpusmill.operators import stages as ledger
 from corpusmill.sources.io import with_row_id
 
 #: No stage can be told in SQL as a whole; tests/llm holds run() against plain Python.
@@ -86,9 +92,28 @@ STAGES = [
 ]
 
 
+LEDGER = "corpusmill.ledger"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    if folder := spark.conf.get(LEDGER, ""):
+        return resume(spark, docs, sf_dir, folder).result
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
         sweep(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def resume(spark: SparkSession, docs: DataFrame, sf_dir: str, folder: str) -> ledger.Run:
+    """The stages over docs, a scan of files, with a ledger in folder; which of them were read is in the result."""
+
+    def after_a_sweep(stage):
+        def run_stage(before: DataFrame) -> DataFrame:
+            sweep(spark)
+            return stage(spark, before, sf_dir)
+
+        return run_stage
+
+    code = ledger.code_fingerprint("corpusmill", sys.modules[__name__])
+    return ledger.run_stages(spark, folder, docs, [(n, after_a_sweep(f)) for n, f in STAGES], fingerprint=ledger.files_fingerprint(spark, docs), code=code)
