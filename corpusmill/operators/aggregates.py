@@ -6,12 +6,17 @@ Everything is a sum, count, minimum or maximum that combines before its shuffle.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.io import pinned
+
 INVALID = "INVALID"
 
 
@@ -146,9 +151,51 @@ def whiten(df: DataFrame, value: str, mask: str, name: str = "whitened", epsilon
     return df.join(F.broadcast(m)).withColumn(name, F.when(F.col(mask) == 0, 0.0).otherwise((F.col(value) - F.col("_m")) / F.sqrt(F.col("_v") + epsilon) * F.col(mask))).drop("_m", "_v")
 
 
+#: Bins into which a pass of median() divides what is left of a group's range, and rows of a range that are few enough to sort.
+MEDIAN_BINS, MEDIAN_FEW = 1024, 10_000
+
+
+def _median_bin() -> Column:
+    """The bin of _v within lo..hi: by sign where the range has both, by logarithm where it is wide, else in equal parts.
+    The ends have bins of their own, so each pass leaves less."""
+    v, lo, hi = F.col("_v"), F.col("lo"), F.col("hi")
+    near = lambda c: F.greatest(F.least(c, F.lit(8e307)), F.lit(-8e307))
+    share = lambda f: F.try_divide(near(f(v)) / 2 - near(f(lo)) / 2, near(f(hi)) / 2 - near(f(lo)) / 2)
+    part = F.when((lo > 0) & (hi / 4 > lo), share(F.log)).when((hi < 0) & (lo / 4 < hi), share(lambda x: -F.log(-x))).otherwise(share(lambda x: x))
+    inner = F.least(F.greatest(F.floor(F.coalesce(part, F.lit(0.0)) * MEDIAN_BINS), F.lit(0)), F.lit(MEDIAN_BINS - 1)) + 1
+    sign = F.when(v < 0, 1).when(v == 0, 2).otherwise(3)
+    return F.when(v == lo, 0).when(v == hi, MEDIAN_BINS + 1).when((lo < 0) & (hi > 0), sign).otherwise(inner)
+
+
 def median(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Exact, by interpolation."""
-    return df.groupBy(*(by or [])).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    """Exact, the mean of both middle values where a group has an even number; NaN is above all numbers.
+
+    A pass counts each group's rows in bins of the range in which the middle lies, with each bin's least and greatest
+    value, and the bin that holds it is the next range; bins combine before the shuffle, so no task sees a
+    group's values.  Ranges shrink to values that occur until one is left or few rows are, which are sorted.  Groups
+    without values are null."""
+    by = by or []
+    d = pinned(df.select(*by, F.col(value).cast("double").alias("_v")))
+    same = lambda x, y: reduce(and_, [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in by], F.lit(True))
+    keys = lambda x: [F.col(f"{x}.{c}").alias(c) for c in by]
+    groups = d.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    state = pinned(groups.withColumns({"below": F.lit(0).cast("long"), "inside": F.col("n")}))
+    middle = F.floor((F.col("n") - 1) / 2)
+    open_ = (F.col("lo") < F.col("hi")) & (F.col("inside") > MEDIAN_FEW)
+    while not (wide := state.where(open_)).isEmpty():
+        x = d.alias("d").join(wide.alias("s"), same("d", "s")).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+        bins = x.select(*keys("d"), "n", "below", _median_bin().alias("bin"), "_v").groupBy(*by, "n", "below", "bin").agg(F.count(F.lit(1)).alias("inside"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        before = F.coalesce(F.sum("inside").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # MEDIAN_BINS + 2 rows a group at most
+        bins = bins.withColumn("below", F.col("below") + before).where((F.col("below") <= middle) & (middle < F.col("below") + F.col("inside")))
+        state = pinned(bins.select(*by, "n", "lo", "hi", "below", "inside").unionByName(state.where(~F.coalesce(open_, F.lit(False)))))
+    left = d.alias("d").join(state.alias("s"), same("d", "s")).where((F.col("_v") >= F.col("lo")) & ((F.col("lo") < F.col("hi")) | (F.col("_v") > F.col("hi"))))
+    few = F.array_sort(F.collect_list(F.when(F.col("_v") <= F.col("hi"), F.col("_v"))))  # MEDIAN_FEW values at most
+    rest = left.groupBy(*keys("d")).agg(few.alias("few"), F.min(F.when(F.col("_v") > F.col("hi"), F.col("_v"))).alias("next"))
+    place = (middle - F.col("below")).cast("int")
+    at = lambda i: F.when(i >= F.col("inside"), F.col("next")).otherwise(F.when(F.col("lo") < F.col("hi"), F.get("few", i)).otherwise(F.col("lo")))
+    lower = F.when(F.col("n") > 0, at(place))
+    out = state.alias("s").join(rest.alias("r"), same("s", "r"), "left")
+    return out.select(*keys("s"), F.when(F.col("n") % 2 == 0, lower / 2 + at(place + 1) / 2).otherwise(lower).alias("median"))
 
 
 def distinct_check(df: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions.chat import gather_turns
 from ..operators import aggregates, joins, validation, windows
 from ..sources import io
+from ..sources.io import pinned
 from .curation import SQL_STRIP, docs, table
 
 
@@ -50,12 +51,13 @@ def scan_tolerant(s, d):
 
 
 def scan_first_texts(s, d):
-    """The texts of the first twelve lines of a file, of which every third is damaged."""
+    """The texts of the first half of the lines of several files, of which every third is damaged."""
     path = io.scratch(s, "first") + "/rows"
-    x = gather_turns(table(s, d, "conversations")).orderBy("conv_id")
+    x = gather_turns(table(s, d, "conversations"))
     line = F.to_json(F.struct(F.col("messages").alias("conversations")))
-    x.coalesce(1).sortWithinPartitions("conv_id").select(F.when(F.col("conv_id") % 3 == 2, F.lit("{")).otherwise(line).alias("value")).write.text(path)
-    return io.first_texts(s, path, 12).select(_md5("text"))
+    x = x.select("conv_id", F.when(F.col("conv_id") % 3 == 2, F.lit("{")).otherwise(line).alias("value"))
+    x.repartitionByRange(5, "conv_id").sortWithinPartitions("conv_id").select("value").write.text(path)
+    return io.first_texts(s, path, x.count() // 2).select(_md5("text"))
 
 
 def _csv(s, d, df: DataFrame, name: str) -> str:
@@ -89,13 +91,15 @@ def scan_questions(s, d):
 
 
 def scan_digests(s, d):
-    """Digests of a file of ids, found again and missed."""
+    """Digests of sixteen files of ids, found again, missed and found changed."""
     path = io.scratch(s, "digests") + "/rows"
-    docs(s, d).select("doc_id").coalesce(1).sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string").alias("value")).write.text(path)
-    x = io.file_digests(s, path + "/*.txt")
+    x = docs(s, d).select("doc_id", (F.col("doc_id") % 16).alias("k"))
+    x.repartition("k").sortWithinPartitions("k", "doc_id").select("k", F.col("doc_id").cast("string").alias("value")).write.partitionBy("k").text(path)
+    x = pinned(io.file_digests(s, path + "/*/*.txt"))
     name = F.element_at(F.split("path", "/"), -1)
-    expected = x.select(name.alias("name"), "sha256").union(x.select(F.lit("missing.txt"), "sha256")).union(x.select(name, F.lit("0")))
-    ok = io.check_digests(x, expected).agg(F.count_if("ok").alias("found"), F.count_if(~F.col("ok")).alias("failed"))
+    at = x.select(F.concat_ws("/", F.element_at(F.split("path", "/"), -2), name).alias("path"), "sha256")
+    expected = at.select(F.col("path").alias("name"), "sha256").union(at.select(F.concat("path", F.lit("?")), "sha256")).union(at.select("path", F.lit("0")))
+    ok = io.check_digests(at.withColumn("path", F.replace("path", F.lit("/"), F.lit("|"))), expected.withColumn("name", F.replace("name", F.lit("/"), F.lit("|")))).agg(F.count_if("ok").alias("found"), F.count_if(~F.col("ok")).alias("failed"))
     return x.select("md5", "sha256", "length").crossJoin(F.broadcast(ok))  # one row
 
 
@@ -163,11 +167,13 @@ ORACLES = {
     "scan_tolerant": "SELECT doc_id % 7 < 2 AS malformed, CASE WHEN doc_id % 7 >= 2 THEN lang END AS lang, count(*) AS n, sum(CASE WHEN doc_id % 7 >= 2 THEN doc_id END)::BIGINT AS ids FROM documents GROUP BY 1, 2",
     "scan_first_texts": """
         WITH c AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (text <> '') AS t, row_number() OVER (ORDER BY conv_id) AS line FROM conversations GROUP BY 1)
-        SELECT md5(t) AS text_md5 FROM c WHERE line <= 12 AND conv_id % 3 <> 2 AND t <> ''""",
+        SELECT md5(t) AS text_md5 FROM c WHERE line <= (SELECT count(*) // 2 FROM c) AND conv_id % 3 <> 2 AND t <> ''""",
     "scan_csv": "SELECT doc_id, lang, md5('\"a\", ' || coalesce(text, '')) AS text_md5 FROM documents",
     "scan_labelled": "SELECT doc_id, source, lang AS label FROM documents WHERE lang IN ('en', 'fr', 'de')",
     "scan_questions": f"SELECT chr((97 + doc_id % 3)::INT) AS source, (doc_id % 3)::INT AS ord, md5(q) AS text_md5, count(*) AS n FROM (SELECT doc_id, {SQL_STRIP} AS q FROM documents WHERE doc_id % 11 <> 0) WHERE q <> '' GROUP BY 1, 2, 3",
-    "scan_digests": "SELECT md5(t) AS md5, sha256(t) AS sha256, strlen(t) AS length, 1 AS found, 2 AS failed FROM (SELECT string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id) || chr(10) AS t FROM documents)",
+    "scan_digests": """
+        SELECT md5(t) AS md5, sha256(t) AS sha256, strlen(t) AS length, count(*) OVER () AS found, 2 * count(*) OVER () AS failed
+        FROM (SELECT string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id) || chr(10) AS t FROM documents GROUP BY doc_id % 16)""",
     "scan_guard": "SELECT count(*) AS n, true AS refused FROM documents",
     "scan_manifest": "SELECT l.label, count(doc_id) AS n, true AS reported FROM (VALUES ('en'), ('fr'), ('xx')) l(label) LEFT JOIN documents ON lang = l.label GROUP BY 1",
     "scan_eval_runs": "SELECT 'run' || quality AS run, count(*) OVER (PARTITION BY quality) AS train_size, doc_id, toxic FROM labels",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chat as C
+from ..functions import decoding as D
 from ..functions import text as X
-from ..operators import dedup, filters, stages, training
+from ..operators import dedup, filters, scans, stages, training
 from ..sources.io import scratch
 from .curation import SQL_NORM, docs, table
 
@@ -74,7 +75,26 @@ def resumed_stages(s, d):
     return again.result.select("lang", "n", F.lit(sum(x.reused for x in again.stages)).cast("long").alias("stages_read"))
 
 
-QUERIES = {f.__name__: f for f in (pretraining_rows, finetuning_rows, finetuning_tool_rows, preference_rows, rollout_prompts, agent_rows, resumed_stages)}
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def next_tokens(s, d):
+    """Letters as tokens, scored by how often a document has them; what its last letters hold is seen, one is banned."""
+    t = F.lower(X.text("text"))
+    x = docs(s, d).select("doc_id", F.array(*[F.log1p((F.length(t) - F.length(F.translate(t, c, ""))).cast("double")) - 1.5 for c in LETTERS]).alias("scores"), F.substr(t, F.greatest(F.length(t) - 19, F.lit(1)), F.lit(20)).alias("tail"))
+    seen = F.filter(F.array(*[F.when(F.contains("tail", F.lit(c)), k) for k, c in enumerate(LETTERS)]), lambda i: i.isNotNull())
+    pick = lambda **o: D.choose_token(F.col("scores"), seen, F.array((F.col("doc_id") % 26).cast("int")), C.unit(F.col("doc_id"), 5), penalty=1.3, **o)
+    x = x.select("doc_id", pick(top_k=12, top_p=0.8).alias("drawn"), pick(top_k=0, top_p=1.0, greedy=True).alias("best"))
+    return x.select("doc_id", "drawn.token", "drawn.probability", "drawn.candidates", F.col("best.token").alias("best_token"))
+
+
+def long_advantages(s, d):
+    """W9 along all documents of a language: a sequence has a third of all rows."""
+    x = docs(s, d).select("doc_id", "lang", (F.col("n_chars") % 97 / 97).alias("reward"), (F.col("n_chars") % 89 / 89).alias("value"))
+    return scans.long_advantages(x, "lang", "doc_id", "reward", "value", 0.9, 0.8).select("doc_id", "advantage")
+
+
+QUERIES = {f.__name__: f for f in (pretraining_rows, finetuning_rows, finetuning_tool_rows, preference_rows, rollout_prompts, agent_rows, resumed_stages, next_tokens, long_advantages)}
 
 _UNIT = "(('0x' || substr(md5('{seed}:' || conv_id), 1, 8))::BIGINT / 4294967296.0)"
 _THOUGHTS = "'<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10)"
@@ -93,4 +113,18 @@ ORACLES = {
     "resumed_stages": f"""
         WITH k AS (SELECT doc_id, lang, {SQL_NORM} AS k FROM documents), f AS (SELECT arg_min(lang, doc_id) AS lang FROM k WHERE length(k) >= 8 GROUP BY k)
         SELECT lang, count(*) AS n, 3::BIGINT AS stages_read FROM f GROUP BY lang""",
+    "next_tokens": f"""
+        WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t, {_UNIT.format(seed=5).replace("conv_id", "doc_id")} AS u FROM documents),
+        s AS (SELECT doc_id, u, k AS id, (ln(1 + length(t) - length(replace(t, chr(97 + k::INT), ''))) - 1.5) / 0.85 AS s, contains(right(t, 20), chr(97 + k::INT)) AS seen FROM t, range(26) r(k)),
+        p AS (SELECT doc_id, u, id, CASE WHEN NOT seen THEN s WHEN s > 0 THEN s / 1.3 ELSE s * 1.3 END AS s FROM s WHERE id <> doc_id % 26),
+        k AS (SELECT *, max(s) OVER w AS top, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, id) AS place FROM p WINDOW w AS (PARTITION BY doc_id)),
+        e AS (SELECT *, exp(s - top) AS e FROM k QUALIFY s >= max(s) FILTER (place = 12) OVER (PARTITION BY doc_id)),
+        m AS (SELECT *, sum(e) OVER (PARTITION BY doc_id ORDER BY place) / sum(e) OVER (PARTITION BY doc_id) AS mass FROM e),
+        c AS (SELECT *, coalesce(lag(mass) OVER (PARTITION BY doc_id ORDER BY place), 0) AS before FROM m QUALIFY before <= 0.8),
+        q AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id) AS q, sum(e) OVER (PARTITION BY doc_id ORDER BY id) / sum(e) OVER (PARTITION BY doc_id) AS reached FROM c)
+        SELECT doc_id, arg_min(id, id) FILTER (reached > u)::INT AS token, arg_min(q, id) FILTER (reached > u) AS probability, count(*)::INT AS candidates, arg_min(id, place)::INT AS best_token FROM q GROUP BY doc_id""",
+    "long_advantages": """
+        WITH n AS (SELECT doc_id, lang, n_chars % 97 / 97 AS r, n_chars % 89 / 89 AS v, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
+        d AS (SELECT n.*, r - v + 0.9 * coalesce(lead(v) OVER (PARTITION BY lang ORDER BY i), 0) AS delta FROM n)
+        SELECT x.doc_id, sum(pow(0.9 * 0.8, y.i - x.i) * y.delta) AS advantage FROM d x JOIN d y ON y.lang IS NOT DISTINCT FROM x.lang AND y.i BETWEEN x.i AND x.i + 150 GROUP BY x.doc_id""",
 }

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,14 +45,37 @@ def read_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return d.withColumn("malformed", F.col("_corrupt").isNotNull()).drop("_corrupt")
 
 
+def first_lines(spark: SparkSession, path: str, lines: int) -> DataFrame:
+    """(file, line, value) of the first lines, files in the order of their names, lines numbered from 0 over all.
+
+    Files are taken in that order, twice as many each time, until they have enough lines, so a corpus is not
+    read for its first lines.  Each split's lines are counted where they are; a split's place, file and offset, tells how
+    many lines come before it, and a line's own place within its split is known to its task.  Nothing is sorted
+    but the splits that begin within the first lines, of which there are at most that many."""
+    files = sorted(spark.read.text(path).inputFiles())
+    take = 1
+    while True:
+        some = files[:take]
+        d = spark.read.text(some) if some else spark.createDataFrame([], "value string")
+        meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")] if some else [F.lit("").alias("file"), F.lit(0).cast("long").alias("split")]
+        d = d.select("value", *meta, F.monotonically_increasing_id().alias("mid"))
+        splits = d.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("least"))
+        starts = splits.withColumn("start", F.sum("n").over(W.orderBy("file", "split")) - F.col("n"))  # a row a split
+        starts = pinned(starts)
+        if take >= len(files) or starts.agg(F.sum("n")).first()[0] >= lines:
+            break
+        take *= 2
+    near = starts.where(F.col("start") < lines).select(F.col("file").alias("_file"), F.col("split").alias("_split"), "least", "start")
+    d = d.join(F.broadcast(near), (F.col("file") == F.col("_file")) & (F.col("split") == F.col("_split")))  # at most ``lines`` rows
+    return d.withColumn("line", F.col("start") + F.col("mid") - F.col("least")).where(F.col("line") < lines).select("file", "line", "value")
+
+
 def first_texts(spark: SparkSession, path: str, lines: int = 10_000) -> DataFrame:
     """The joined, non-empty contents of the conversations of the first lines; lines are
     counted before malformed ones are passed over."""
-    d = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    d = d.orderBy("file", "line").limit(lines)
     c = F.from_json("value", CONVERSATION)["conversations"]
     contents = F.filter(F.transform(c, lambda m: m["content"]), lambda x: text(x) != "")
-    return d.select("file", "line", F.array_join(contents, "\n").alias("text")).where("text <> ''")
+    return first_lines(spark, path, lines).select("file", "line", F.array_join(contents, "\n").alias("text")).where("text <> ''")
 
 
 def read_csv_rows(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "UTF-8") -> DataFrame:
@@ -83,10 +112,36 @@ def read_questions(spark: SparkSession, sources: list[tuple[str, str, str]]) ->
     return out
 
 
+#: Bytes of a file that a task has in memory while it is digested.
+CHUNK = 1 << 20
+#: Stores whose files a worker opens by itself; files of others come through Spark, whole, up to its 2 GB a row.
+STREAMED = ("file", "hdfs", "s3", "s3a", "gs")
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, md5, sha256, length) of whole files; fetching them is not the engine's work."""
-    d = spark.read.format("binaryFile").load(path)
-    return d.select("path", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), "length")
+    """(path, md5, sha256, length) of whole files; fetching them is not the engine's work.
+
+    Files are dealt out one by one and go through a task in chunks, however long they are."""
+    listed = spark.read.format("binaryFile").load(path)
+    names = [(x,) for x in listed.inputFiles() if x.split(":", 1)[0] in STREAMED]  # as addresses; empty files too
+    whole = listed.where(~F.substring_index("path", ":", 1).isin(*STREAMED)).select("path", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), "length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                md5, sha256, length = hashlib.md5(usedforsecurity=False), hashlib.sha256(), 0
+                store, at = pafs.FileSystem.from_uri(quote(name.replace("s3a:", "s3:", 1), safe="%/:@=&+,;!$()*~'"))
+                with store.open_input_stream(at, compression=None) as stream:
+                    while chunk := stream.read(CHUNK):
+                        md5.update(chunk)
+                        sha256.update(chunk)
+                        length += len(chunk)
+                shown = unquote(name).replace("file:///", "file:/", 1)  # as Spark writes paths
+                yield pa.RecordBatch.from_pydict({"path": [shown], "md5": [md5.hexdigest()], "sha256": [sha256.hexdigest()], "length": [length]})
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spark.createDataFrame(names, "address string").repartition(n, "address")
+    return dealt.mapInArrow(run, "path string, md5 string, sha256 string, length long").unionByName(whole)
 
 
 def check_digests(digests: DataFrame, expected: DataFrame) -> DataFrame:
