@@ -122,9 +122,9 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, md5, sha256, length) of whole files; fetching them is not the engine's work.
 
     Files are dealt out one by one and go through a task in chunks, however long they are."""
-    listed = spark.read.format("binaryFile").load(path)
-    names = [(x,) for x in listed.inputFiles() if x.split(":", 1)[0] in STREAMED]  # as addresses; empty files too
-    whole = listed.where(~F.substring_index("path", ":", 1).isin(*STREAMED)).select("path", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), "length")
+    found = spark.read.format("binaryFile").load(path).inputFiles()  # addresses; of empty files too
+    names = [(x,) for x in found if x.split(":", 1)[0] in STREAMED]
+    others = [unquote(x) for x in found if x.split(":", 1)[0] not in STREAMED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,7 +141,11 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = spark.createDataFrame(names, "address string").repartition(n, "address")
-    return dealt.mapInArrow(run, "path string, md5 string, sha256 string, length long").unionByName(whole)
+    out = dealt.mapInArrow(run, "path string, md5 string, sha256 string, length long")
+    if others:
+        whole = spark.read.format("binaryFile").load(others)
+        out = out.unionByName(whole.select("path", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), "length"))
+    return out
 
 
 def check_digests(digests: DataFrame, expected: DataFrame) -> DataFrame:
