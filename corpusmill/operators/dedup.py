@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +58,14 @@ def gram_classes(df: DataFrame, row: str, grams: str, block: list[str] | None =
     return d.alias("d").join(first.alias("f"), same).select("row", "rep")
 
 
+def _prefixes(d: DataFrame, freq: DataFrame, threshold: float, block: list[str]) -> DataFrame:
+    """(row, block, size, gram) of the rarest size - ceil(threshold size) + 1 grams of each row (row, g)."""
+    x = d.select("row", *block, F.size("g").alias("size"), F.explode("g").alias("gram")).join(freq, "gram")
+    ordered = x.groupBy("row", *block, "size").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("o"))
+    keep = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9).cast("int") + 1
+    return ordered.select("row", *block, "size", F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select("row", *block, "size", F.col("p.gram").alias("gram"))
+
+
 def similar_pairs(df: DataFrame, row: str, grams: str, threshold: float, other: DataFrame | None = None, block: list[str] | None = None) -> DataFrame:
     """(a, b, similarity) of rows whose gram sets have at least the Jaccard similarity.
 
@@ -68,14 +81,8 @@ def similar_pairs(df: DataFrame, row: str, grams: str, threshold: float, other:
     every = left if other is None else left.unionByName(right)
     freq = every.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
 
-    def prefixes(d: DataFrame) -> DataFrame:
-        x = d.select("row", *block, F.size("g").alias("size"), F.explode("g").alias("gram")).join(freq, "gram")
-        ordered = x.groupBy("row", *block, "size").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("o"))
-        keep = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9).cast("int") + 1
-        return ordered.select("row", *block, "size", F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select("row", *block, "size", F.col("p.gram").alias("gram"))
-
-    p = prefixes(left)
-    q = (p if other is None else prefixes(right)).select(*[F.col(c).alias(f"_{c}") for c in ("row", "size", *block)], "gram")
+    p = _prefixes(left, freq, threshold, block)
+    q = (p if other is None else _prefixes(right, freq, threshold, block)).select(*[F.col(c).alias(f"_{c}") for c in ("row", "size", *block)], "gram")
     lean = (F.least("size", "_size") >= F.greatest("size", "_size") * threshold - 1e-9) & (F.lit(True) if other is not None else F.col("row") < F.col("_row"))
     for c in block:
         lean = lean & F.col(c).eqNullSafe(F.col(f"_{c}"))
@@ -94,39 +101,127 @@ def similar_classes(df: DataFrame, row: str, grams: str, threshold: float, block
     return similar_pairs(pinned(reps.select(row, grams, *(block or []))), row, grams, threshold, block=block), members
 
 
-def greedy_drop(df: DataFrame, row: str, pairs: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Rows that survive when each row in order goes if it is similar to a kept one before it.
-
-    Rows settle in rounds: a row with no earlier neighbour left is kept, and a row with a kept
-    earlier neighbour goes.  Each round is two anti-joins over what is not settled; the number
-    of rounds is the longest chain of similar rows; a longer one than rounds is an error.  Each round's state is pinned, which
-    cuts its lineage where the session has a folder for checkpoints."""
-    spark = df.sparkSession
-    edges = pinned(pairs.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")))
-    gone = spark.createDataFrame([], f"late {dict(edges.dtypes)['late']}")
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+#: Edges of a component, or of all of them, that one task settles by itself.
+SMALL_COMPONENT = 200_000
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of edges (late, early; late > early): root is the least node of a component.
+
+    Alternating stars: in turn every larger and every smaller neighbour of a node is linked to the least node around
+    it, until nothing changes; the number of rounds grows with the logarithm of a component's longest path.  A least
+    neighbour is a minimum that combines before its shuffle."""
+    links = pinned(edges.select(F.col("late").alias("u"), F.col("early").alias("v")).distinct())
+    sign = lambda x: tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = None
+    while (now := sign(links)) != before:
+        before = now
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        around = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = pinned(around.union(least.select("u", F.col("m").alias("v"))).distinct())
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select("v", "v").distinct())
+
+
+def _settle(edges: DataFrame) -> DataFrame:
+    """(late) of rows that go: whole components are dealt to tasks, which go through their edges in order and hold the
+    rows of one component that went."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = dict(edges.dtypes)["late"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, gone = None, set()
+        for b in batches:
+            out = []
+            for root, late, early in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if root != of:
+                    of, gone = root, set()
+                if late not in gone and early not in gone:
+                    gone.add(late)
+                    out.append(late)
+            yield pa.RecordBatch.from_arrays([pa.array(out, b.column(1).type)], names=["late"])
+
+    dealt = edges.select("root", "late", "early").repartition(n, "root").sortWithinPartitions("root", "late", "early")
+    return dealt.mapInArrow(run, f"late {kind}")
+
+
+def _settle_in_rounds(edges: DataFrame) -> DataFrame:
+    """(late) of rows that go, for components of any size: a row with no earlier neighbour left is kept, and a row with a
+    kept earlier neighbour goes.  Each round is two anti-joins over what is not settled; there are as many as
+    links in the longest chain, and each settles the least row of every component at least."""
+    gone = edges.select("late").limit(0)
+    while not edges.isEmpty():
         waiting = edges.select(F.col("late").alias("early")).distinct()
         kept = edges.select("early").distinct().join(waiting, "early", "left_anti")
         lost = edges.join(kept, "early", "left_semi").select("late").distinct()
         gone = pinned(gone.union(lost))
         done = edges.join(lost, "late", "left_anti")  # lost rows wait for nothing
         edges = pinned(done.join(lost.select(F.col("late").alias("early")), "early", "left_anti"))
+    return gone
+
+
+def greedy_drop(df: DataFrame, row: str, pairs: DataFrame, small: int = SMALL_COMPONENT) -> DataFrame:
+    """Rows that survive when each row in order goes if it is similar to a kept one before it.
+
+    What becomes of a row depends on its component of similar rows alone.  Components of up to small edges are
+    settled in one pass, each within a task; larger ones in rounds over all tasks.  Few pairs in all are one pass."""
+    edges = pinned(pairs.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")).distinct())
+    if edges.count() <= small:
+        gone = _settle(edges.withColumn("root", F.lit(0)))
     else:
-        if not edges.isEmpty():
-            raise RuntimeError(f"similar rows did not settle in {rounds} rounds")
+        rooted = pinned(edges.join(components(edges).withColumnRenamed("node", "late"), "late"))
+        sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        large = sizes.where(F.col("n") > small).select("root")
+        gone = _settle(rooted.join(large, "root", "left_anti")).union(_settle_in_rounds(pinned(rooted.join(large, "root", "left_semi").select("late", "early"))))
     return df.join(gone.select(F.col("late").alias(row)), row, "left_anti")
 
 
+#: Rounds in which the first rows of their prefixes remove what is similar to them before pairs are made.
+LEADING_ROUNDS = 3
+
+
+def _led(df: DataFrame, row: str, grams: str, threshold: float, block: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(kept, open) rows of df (row, grams, block): those sure to be kept, and those not yet settled.
+
+    A row that is the first in all buckets of its prefix grams has no similar row before it, so it is kept, and every
+    row that is similar to it goes.  A family of k similar rows then costs k comparisons and not k * k / 2.  Where
+    buckets hold rows that are not similar, a round settles little, so there are a few and the rest is left open."""
+    rows = pinned(df.select(F.col(row).alias("row"), F.col(grams).alias("g"), *block))
+    freq = rows.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
+    p = pinned(_prefixes(rows, freq, threshold, block))
+    kept, left = rows.limit(0), rows
+    for _ in range(LEADING_ROUNDS):
+        here = p.join(left.select("row"), "row", "left_semi")
+        first = here.groupBy("gram", *block).agg(F.min("row").alias("first"))
+        same = reduce(and_, [F.col(f"h.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ["gram", *block]])
+        # a bucket with many rows that go meets only its first one
+        met = here.alias("h").join(first.alias("f"), same).select(F.col("h.row").alias("row"), "first")
+        leads = pinned(met.groupBy("row").agg(F.max(F.col("first") < F.col("row")).alias("waits")).where("NOT waits").select("row"))
+        seen = met.where("first < row").join(leads.withColumnRenamed("row", "first"), "first", "left_semi").distinct()
+        own = left.select("row", "g").join(seen, "row").join(left.select(F.col("row").alias("first"), F.col("g").alias("h")), "first")
+        common = F.size(F.array_intersect("g", "h"))
+        gone = pinned(own.where(common / (F.size("g") + F.size("h") - common) >= threshold).select("row").distinct())
+        kept = kept.union(left.join(leads, "row", "left_semi"))
+        left = pinned(left.join(leads.union(gone), "row", "left_anti"))
+        if gone.isEmpty():
+            break
+    return kept, left
+
+
 def drop_near_duplicates(df: DataFrame, row: str, grams: str, threshold: float = 0.85, block: list[str] | None = None) -> DataFrame:
     """Greedy, in the order of row, within the block; rows without grams go.
 
     A later row with an earlier one's grams goes whatever becomes of the earlier one, and decides
-    over no other row, so only the first of equal rows is asked."""
-    pairs, members = similar_classes(df, row, grams, threshold, block)
+    over no other row, so only the first of equal rows is asked.  Of these, rows that lead their prefixes settle
+    what is similar to them; pairs are made of the rest alone, as nothing similar to a kept row is left."""
+    block = block or []
+    members = pinned(gram_classes(df, row, grams, block))
     reps = df.join(members.where("row = rep").select(F.col("row").alias(row)), row, "left_semi")
-    return greedy_drop(reps, row, pairs)
+    kept, left = _led(reps, row, grams, threshold, block)
+    rest = greedy_drop(left, "row", similar_pairs(left, "row", "g", threshold, block=block))
+    return df.join(kept.select("row").union(rest.select("row")).withColumnRenamed("row", row), row, "left_semi")
 
 
 def drop_similar_to(df: DataFrame, row: str, grams: str, external: DataFrame, threshold: float = 0.85) -> DataFrame:

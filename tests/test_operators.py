@@ -79,13 +79,12 @@ def test_banned_ngrams(spark):
     assert d.select(chat.banned_tokens(F.col("ids"), 0)).first()[0] == []
 
 
-def test_greedy_drop_raises_when_rounds_are_used_up(spark):
+def test_greedy_drop_in_one_pass_and_in_rounds(spark):
     from corpusmill.operators.dedup import greedy_drop
 
     rows, pairs = spark.range(5).withColumnRenamed("id", "row"), spark.createDataFrame([(i, i + 1) for i in range(4)], "a long, b long")
     assert sorted(r["row"] for r in greedy_drop(rows, "row", pairs).collect()) == [0, 2, 4]
-    with pytest.raises(RuntimeError):
-        greedy_drop(rows, "row", pairs, rounds=1)
+    assert sorted(r["row"] for r in greedy_drop(rows, "row", pairs, small=1).collect()) == [0, 2, 4]
 
 
 def test_near_duplicates_are_greedy(spark):
