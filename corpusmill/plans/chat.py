@@ -109,10 +109,13 @@ def objectives(s, d):
 
 
 def token_arrays(s, d):
-    """X34-X36, F22 over the turns' code points."""
+    """X34-X36, F22 over the turns' code points, as text; every third label is ignored."""
     ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c))
     x = table(s, d, "conversations").select("conv_id", "turn", ids.alias("ids"))
-    return x.select("conv_id", "turn", F.size(C.pad(F.col("ids"), 64, 0)).alias("n_padded"), F.size(C.shifted(F.col("ids"))["x"]).alias("n_shifted"), F.size(C.banned_tokens(F.col("ids"), 3)).alias("n_banned"), F.size(C.valid_labels(F.col("ids"))).alias("n_labels"))
+    labels = F.transform("ids", lambda t, i: F.when(i % 3 == 0, F.lit(C.IGNORE)).otherwise(t))
+    pair = C.shifted(F.col("ids"))
+    arrays = {"padded": C.pad(F.col("ids"), 300, 0), "x": pair["x"], "y": pair["y"], "banned": C.banned_tokens(F.col("ids"), 3), "labels": C.valid_labels(labels)}
+    return x.select("conv_id", "turn", *[F.array_join(a.cast("array<string>"), " ").alias(k) for k, a in arrays.items()])
 
 
 QUERIES = {f.__name__: f for f in (
@@ -182,9 +185,11 @@ ORACLES = {
         d AS (SELECT conv_id, step, reward + 0.9 * 0.5 * after - 0.5 * reward AS delta FROM n)
         SELECT x.conv_id, x.step, sum(pow(0.9 * 0.8, y.step - x.step) * y.delta) AS advantage FROM d x JOIN d y ON x.conv_id = y.conv_id AND y.step >= x.step GROUP BY 1, 2""",
     "token_arrays": """
-        WITH c AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations),
-        g AS (SELECT *, list_filter(range(1, n - 1), lambda i: substring(text, i, 2) = substring(text, n - 1, 2)) AS hits FROM c)
-        SELECT conv_id, turn, 64 AS n_padded, greatest(n - 1, 0)::INT AS n_shifted, CASE WHEN n < 3 THEN 0 ELSE len(list_distinct(list_transform(hits, lambda i: substring(text, i + 2, 1)))) END::INT AS n_banned, n::INT AS n_labels FROM g""",
+        WITH c AS (SELECT conv_id, turn, list_transform(range(1, length(text) + 1), lambda i: unicode(substring(text, i, 1))) AS ids, length(text) AS n FROM conversations),
+        g AS (SELECT *, list_filter(range(1, n - 1), lambda i: ids[i] = ids[n - 1] AND ids[i + 1] = ids[n]) AS hits FROM c)
+        SELECT conv_id, turn, array_to_string(list_transform(range(1, 301), lambda i: coalesce(ids[i], 0)), ' ') AS padded, array_to_string(list_slice(ids, 1, n - 1), ' ') AS x, array_to_string(list_slice(ids, 2, n), ' ') AS y,
+            CASE WHEN n < 3 THEN '' ELSE array_to_string(list_sort(list_distinct(list_transform(hits, lambda i: ids[i + 2]))), ' ') END AS banned,
+            array_to_string(list_transform(list_filter(range(0, n), lambda i: i % 3 <> 0), lambda i: ids[i + 1]), ' ') AS labels FROM g""",
 }
 
 QUERIES |= questions.QUERIES

@@ -130,9 +130,10 @@ def scan_eval_runs(s, d):
     for q in (0, 1):
         part = x.where(F.col("quality") == q)
         part.agg(F.count(F.lit(1)).alias("num_train")).coalesce(1).write.json(f"{folder}/{q}/summary")
-        part.agg(F.collect_list(F.struct("doc_id", "toxic")).alias("predictions")).coalesce(1).write.json(f"{folder}/{q}/report")
+        lists = part.groupBy(F.floor(F.col("doc_id") / 1000)).agg(F.collect_list(F.struct("doc_id", "toxic")).alias("predictions"))  # 1000 ids each
+        lists.select("predictions").write.json(f"{folder}/{q}/report")
         runs[f"run{q}"] = (f"{folder}/{q}/summary", f"{folder}/{q}/report")
-    return io.read_eval_runs(s, runs).select("run", "train_size", "doc_id", "toxic")
+    return io.read_eval_runs(s, runs, lines=True).select("run", "train_size", "doc_id", "toxic")
 
 
 def zipped(s, d):

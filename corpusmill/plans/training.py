@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import chat as C
 from ..functions import decoding as D
 from ..functions import text as X
-from ..operators import dedup, filters, scans, stages, training
+from ..operators import dedup, filters, scans, stages, training, vocabulary
 from ..sources.io import scratch
 from .curation import SQL_NORM, docs, table
 
@@ -58,7 +58,7 @@ def agent_rows(s, d):
     x = C.gather_turns(table(s, d, "conversations").withColumn("tools", declared), extra=["tools"])
     truth = F.array(F.substring_index(F.try_element_at("messages", F.lit(-1))["content"], " ", 1))
     out = training.agent_rows(x.withColumn("truths", truth), "messages", "tools", "truths")
-    return out.select("conv_id", F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])).alias("turns"), "tools", "gt")
+    return out.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "|").alias("turns"), "tools", F.array_join("gt", "|").alias("gt"))
 
 
 def resumed_stages(s, d):
@@ -75,6 +75,18 @@ def resumed_stages(s, d):
     return again.result.select("lang", "n", F.lit(sum(x.reused for x in again.stages)).cast("long").alias("stages_read"))
 
 
+def merge_counts(s, d):
+    """What the first 200 merges of a public vocabulary find in the documents."""
+    path = _tokens().path
+    return vocabulary.merge_counts(vocabulary.word_counts(docs(s, d), "text", path), path, 200)
+
+
+def piece_counts(s, d):
+    """Pieces of a public vocabulary over the documents."""
+    path = _tokens().path
+    return vocabulary.piece_counts(vocabulary.word_counts(docs(s, d), "text", path), path)
+
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -94,7 +106,7 @@ def long_advantages(s, d):
     return scans.long_advantages(x, "lang", "doc_id", "reward", "value", 0.9, 0.8).select("doc_id", "advantage")
 
 
-QUERIES = {f.__name__: f for f in (pretraining_rows, finetuning_rows, finetuning_tool_rows, preference_rows, rollout_prompts, agent_rows, resumed_stages, next_tokens, long_advantages)}
+QUERIES = {f.__name__: f for f in (pretraining_rows, finetuning_rows, finetuning_tool_rows, preference_rows, rollout_prompts, agent_rows, resumed_stages, merge_counts, piece_counts, next_tokens, long_advantages)}
 
 _UNIT = "(('0x' || substr(md5('{seed}:' || conv_id), 1, 8))::BIGINT / 4294967296.0)"
 _THOUGHTS = "'<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10)"
@@ -108,8 +120,8 @@ ORACLES = {
             || CASE WHEN opened THEN '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) ELSE {_THOUGHTS} END AS prompt, '' AS answer FROM c""",
     "agent_rows": """
         WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
-        SELECT conv_id, coalesce(list(role || ':' || text ORDER BY turn) FILTER (i < n), []) AS turns, '[{"name": "t' || arg_max(length(text), turn) FILTER (role = 'system') || '"}]' AS tools,
-            [split_part(arg_max(text, turn), ' ', 1)] AS gt FROM t GROUP BY conv_id""",
+        SELECT conv_id, coalesce(string_agg(role || ':' || text, '|' ORDER BY turn) FILTER (i < n), '') AS turns, '[{"name": "t' || arg_max(length(text), turn) FILTER (role = 'system') || '"}]' AS tools,
+            split_part(arg_max(text, turn), ' ', 1) AS gt FROM t GROUP BY conv_id""",
     "resumed_stages": f"""
         WITH k AS (SELECT doc_id, lang, {SQL_NORM} AS k FROM documents), f AS (SELECT arg_min(lang, doc_id) AS lang FROM k WHERE length(k) >= 8 GROUP BY k)
         SELECT lang, count(*) AS n, 3::BIGINT AS stages_read FROM f GROUP BY lang""",

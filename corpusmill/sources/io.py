@@ -244,13 +244,16 @@ def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFr
     return d.withColumn("_part", part).join(F.broadcast(o), "_part").withColumn(name, place + F.col("_offset")).drop("_mid", "_part", "_offset")
 
 
-def read_eval_runs(spark: SparkSession, runs: dict[str, tuple[str, str]]) -> DataFrame:
-    """(run, train_size, prediction columns) of each run's summary and report files."""
+def read_eval_runs(spark: SparkSession, runs: dict[str, tuple[str, str]], lines: bool = False) -> DataFrame:
+    """(run, train_size, prediction columns) of each run's summary and report files.
+
+    A report is an object with a list of predictions; with lines it is any number of such objects, one a
+    line, so that a large run is read by many tasks."""
     out = None
     for name, (summary, report) in runs.items():
         s = spark.read.option("multiLine", True).json(summary).select(F.col("num_train").cast("long").alias("train_size"))
         s = s.agg(F.when(F.count(F.lit(1)) == 1, F.first("train_size")).otherwise(F.raise_error(F.lit("a summary is one object")).cast("long")).alias("train_size"))
-        p = spark.read.option("multiLine", True).json(report).select(F.explode("predictions").alias("p")).select("p.*")
+        p = spark.read.option("multiLine", not lines).json(report).select(F.explode("predictions").alias("p")).select("p.*")
         d = p.join(F.broadcast(s)).withColumn("run", F.lit(name))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out

@@ -39,7 +39,7 @@ def test_oracle(spark, sf, duck, name):
 
 
 #: Ids of a tokenizer; tests/test_training.py has plain Python versions.
-WITHOUT_SQL = {"pretraining_rows", "finetuning_rows", "finetuning_tool_rows", "preference_rows"}
+WITHOUT_SQL = {"pretraining_rows", "finetuning_rows", "finetuning_tool_rows", "preference_rows", "merge_counts", "piece_counts"}
 
 
 def test_every_query_has_an_oracle():

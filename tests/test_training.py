@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusmill.operators import training
+from corpusmill.operators import training, vocabulary
 from corpusmill.plans import registry
 
 THINK = "<think>\n\n</think>\n\n"
@@ -157,3 +158,44 @@ def test_rows_of_odd_texts(spark, tok):
         assert r["r"]["input_ids"] == fixed(ids, 12, 50256) and r["r"]["mask"] == fixed(plain_mask(tok, ids, 12), 12, 0)
     with pytest.raises(ValueError):
         training.pretraining_rows(spark.range(1).selectExpr("'x' AS text"), "text", tokens, 1)
+
+
+def plain_merge(symbols, left, right):
+    out = []
+    for x in symbols:
+        if out and out[-1] == left and x == right:
+            out[-1] = left + right
+        else:
+            out.append(x)
+    return out
+
+
+def test_merge_counts(spark, sf):
+    """Against a count of every pair in every word anew before each merge."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    words = Counter(w for x in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).to_pydict()["text"] if x for w, _ in t.pre_tokenizer.pre_tokenize_str(x))
+    symbols, want = {w: list(w) for w in words}, {}
+    for rank, (left, right) in enumerate(vocabulary.merges_of(path)[:200]):
+        pairs = sum(n * sum(a == left and b == right for a, b in zip(symbols[w], symbols[w][1:], strict=False)) for w, n in words.items())
+        before = sum(n * len(symbols[w]) for w, n in words.items())
+        symbols = {w: plain_merge(x, left, right) for w, x in symbols.items()}
+        if pairs:
+            want[rank] = (left, right, pairs, before - sum(n * len(symbols[w]) for w, n in words.items()))
+    got = {r["rank"]: (r["left"], r["right"], r["n_pairs"], r["n_merged"]) for r in registry.queries()["merge_counts"](spark, sf).collect()}
+    assert got == want and len(got) > 50
+
+
+def test_piece_counts(spark, sf, tok):
+    want = Counter(p for x in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).to_pydict()["text"] if x for p in tok.encode(x, add_special_tokens=False).tokens)
+    assert {r["piece"]: r["n"] for r in registry.queries()["piece_counts"](spark, sf).collect()} == want
+
+
+def test_overlapping_pairs_and_empty_texts(spark):
+    own = vocabulary.Words(iter([("aaaa", 2), ("aab", 3), ("x", 1)]))
+    assert own.merge("a", "a") == (9, 7) and own.symbols == [["aa", "aa"], ["aa", "b"], ["x"]]
+    assert own.merge("aa", "b") == (3, 3) and own.merge("a", "a") == (0, 0)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    none = spark.createDataFrame([(None,), ("",)], "text string")
+    words = vocabulary.word_counts(none, "text", path)
+    assert words.count() == 0 and vocabulary.merge_counts(words, path).count() == 0 and vocabulary.piece_counts(words, path).count() == 0
