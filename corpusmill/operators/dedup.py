@@ -30,9 +30,15 @@ def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     return won.dropDuplicates(["_digest", "_first"]).drop("_first_key", "_first", "_digest")
 
 
-def drop_contradictions(df: DataFrame, text_col: str, label: str) -> DataFrame:
-    """D3: no copy of a text that stands under more than one label."""
-    d = df.withColumn("_key", _digest(norm_space(text_col)))
+def text_key(text_col: str) -> Column:
+    """D3: by which copies of a text are known: a digest of it without white space."""
+    return _digest(norm_space(text_col))
+
+
+def drop_contradictions(df: DataFrame, text_col: str, label: str, keyed: bool = False) -> DataFrame:
+    """D3: no copy of a text that stands under more than one label.  keyed: text_col has text_key() of the texts, so
+    that a caller who needs no texts works them out once and moves none."""
+    d = df.withColumn("_key", F.col(text_col) if keyed else text_key(text_col))
     bad = d.groupBy("_key").agg(F.min(label).alias("_a"), F.max(label).alias("_b")).where("_a <> _b").select("_key")
     return d.join(bad, "_key", "left_anti").drop("_key")
 

@@ -9,6 +9,7 @@ from ..functions import chat as C
 from ..functions import rewards as R
 from ..functions import text as X
 from ..operators import windows
+from ..sources.io import pinned
 from . import questions
 from .curation import table
 
@@ -83,7 +84,7 @@ def rule_reward(s, d):
 
 
 def group_advantage(s, d):
-    return windows.group_advantage(rule_reward(s, d), "conv_id", "reward").select("conv_id", "turn", "reward", "advantage")
+    return windows.group_advantage(pinned(rule_reward(s, d)), "conv_id", "reward").select("conv_id", "turn", "reward", "advantage")
 
 
 def gae(s, d):

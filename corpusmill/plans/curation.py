@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dedup, filters, joins, sampling, sets, windows
+from ..sources.io import pinned, spread
 
 LANGS = ["en", "fr", "de", "es"]
+#: Tables of texts, on whose rows queries do much work.
+TEXTS = ("documents", "conversations")
 #: SQL of functions.text on DuckDB, whose patterns name code points in braces.
 SQL_WS = r"\s\p{Z}\x{85}\x{1c}-\x{1f}"
 SQL_NORM = rf"regexp_replace(coalesce(text, ''), '[{SQL_WS}]+', '', 'g')"
@@ -17,7 +20,8 @@ SQL_BIGRAMS = "list_transform(range(1, length({t})), lambda i: substring({t}, i,
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,13 +34,11 @@ def exact_dedup(s, d):
 
 
 def _reasons(frame: DataFrame) -> DataFrame:
-    first = dedup.keep_first(frame.withColumn("_k", X.norm_space("text")), "_k", "doc_id").select("doc_id", F.lit(True).alias("_first"))
-    reason = filters.first_reason([
-        ("too_short", ~filters.long_enough("text", 8)),
-        ("low_quality", ~filters.hard_quality("text", ratio=0.2)),
-        ("duplicate", F.col("_first").isNull()),
-    ])
-    return frame.join(first, "doc_id", "left").withColumn("reason", reason)
+    """(doc_id, reason): what a text shows by itself is told in one pass, and only flags and digests are joined."""
+    flags = pinned(frame.select("doc_id", filters.long_enough("text", 8).alias("_long"), filters.hard_quality("text", ratio=0.2).alias("_hard"), F.sha2(X.norm_space("text").cast("binary"), 256).alias("_key")))
+    first = flags.groupBy("_key").agg(F.min("doc_id").alias("_first"))
+    reason = filters.first_reason([("too_short", ~F.col("_long")), ("low_quality", ~F.col("_hard")), ("duplicate", F.col("doc_id") > F.col("_first"))])
+    return flags.join(first, "_key").select("doc_id", reason.alias("reason"))
 
 
 ORDER = ["too_short", "low_quality", "duplicate"]
@@ -83,7 +85,8 @@ def labelled(s, d):
 
 
 def contradiction_drop(s, d):
-    return dedup.drop_contradictions(labelled(s, d), "text", "quality").select("doc_id", "quality")
+    x = labelled(s, d).select("doc_id", "quality", dedup.text_key("text").alias("key"))
+    return dedup.drop_contradictions(pinned(x), "key", "quality", keyed=True).select("doc_id", "quality")
 
 
 def merged_groups(s, d):

@@ -227,6 +227,19 @@ def pinned(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Bytes of files up to which a table is dealt out anew before work on its rows.
+SMALL_TABLE = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan, with the rows of a small table dealt to all cores.
+
+    A row group is the least that a task reads, so a small file, which often is a single one, leaves all work on its
+    rows to one core.  Larger tables have row groups for all cores and are left where they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_TABLE else df
+
+
 def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
     """Stable 0-based numbers in the order of columns.
 
