@@ -60,6 +60,12 @@ def shingle_set(text: str) -> np.ndarray:
     return distinct(shingles(word_hashes(words_of(text))))
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray | None]:
+    """(sorted distinct shingle hashes, how often each occurs); no counts if all are equal."""
+    values, counts = np.unique(shingles(word_hashes(words_of(text))), return_counts=True)
+    return values, counts if len(counts) and counts.max() > counts.min() else None
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
@@ -72,3 +78,25 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = np.sort(np.concatenate((a, b)))
     common = int((both[1:] == both[:-1]).sum())
     return common / (len(a) + len(b) - common)
+
+
+def probability_jaccard(a: np.ndarray, wa: np.ndarray | None, b: np.ndarray, wb: np.ndarray | None) -> float:
+    """Of two sorted sets with weights (None: equal ones): the sum over common elements d of
+    1 / sum over e of max(wa[e] / wa[d], wb[e] / wb[d]).  It doesn't depend on the scale of either's
+    weights, and is the Jaccard similarity where both have equal ones.
+
+    The inner sum splits by the ratio wa / wb: elements whose ratio is at least that of d count by wa,
+    the others by wb, so that one sort by ratio gives all sums."""
+    if not len(a) or not len(b):
+        return 0.0
+    values, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = np.zeros(len(values)), np.zeros(len(values))
+    x[at[: len(a)]], y[at[len(a) :]] = 1.0 if wa is None else wa, 1.0 if wb is None else wb
+    ratio = np.divide(x, y, out=np.full(len(values), np.inf), where=y > 0)
+    order = np.argsort(ratio)
+    x, y, ratio = x[order], y[order], ratio[order]
+    lower = np.searchsorted(ratio, ratio)  # elements of lower ratio
+    from_x, until_y = x.sum() - np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(y)))
+    both = (x > 0) & (y > 0)
+    lower, ratio = lower[both], ratio[both]
+    return float((x[both] / (from_x[lower] + ratio * until_y[lower])).sum())

@@ -508,6 +508,102 @@ def test_signatures_estimate_the_similarity():
     assert (sig[0] == sig[2]).all() and not sig[3].any()
 
 
+def probability_jaccard(x, y):
+    """By its definition; x and y: counts by element."""
+    return sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in {*x, *y}) for d in {*x} & {*y}) if x and y else 0.0
+
+
+def as_arrays(c):
+    keys = sorted(c)
+    return np.array(keys, np.uint64), np.array([c[k] for k in keys])
+
+
+def test_probability_jaccard_is_that_of_the_definition():
+    from corpusmill.llm import shingles
+
+    r = random.Random(6)
+    for n in (1, 2, 9, 60):
+        for most in (1, 3, 50):
+            x, y = ({r.randrange(80): r.randint(1, most) for _ in range(n)} for _ in range(2))
+            assert abs(shingles.probability_jaccard(*as_arrays(x), *as_arrays(y)) - probability_jaccard(x, y)) < 1e-9
+    assert shingles.probability_jaccard(*as_arrays({1: 2, 5: 4}), np.array([1, 5], np.uint64), np.array([1, 2])) == pytest.approx(1)
+    assert shingles.probability_jaccard(np.zeros(0, np.uint64), None, np.zeros(0, np.uint64), None) == 0
+
+
+def test_signatures_weigh_repeats():
+    """Registers agree as often as the probability Jaccard similarity of the counts says, and weights' scale doesn't matter."""
+    from corpusmill.llm.shingles import mix
+
+    x = mix(np.arange(600, dtype=np.uint64))
+    r = np.random.default_rng(3)
+    a, b = np.repeat(np.arange(500), r.integers(1, 30, 500)), np.repeat(np.arange(100, 600), r.integers(1, 30, 500))
+    heavy = np.concatenate((np.arange(300), np.repeat(np.arange(40), 60)))
+    sig = near_dedup.signatures([x[a], x[b], np.tile(x[a], 3), x[heavy], x[np.unique(heavy)], x[a]], 2048)
+    want = probability_jaccard(Counter(a.tolist()), Counter(b.tolist()))
+    assert abs((sig[0] == sig[1]).mean() - want) < 0.04 and (sig[0] == sig[2]).all()
+    assert abs((sig[3] == sig[4]).mean() - probability_jaccard(Counter(heavy.tolist()), Counter(range(300)))) < 0.04
+    plain = near_dedup.signatures([x[a], x[np.unique(a)], x[a]], 512, 1)
+    assert (plain[0] == plain[1]).all() and not (plain[0] == plain[2]).all()
+
+
+def linked_by_weights(x, y):
+    a, b = ({tuple(w[i : i + 5]): 0 for i in range(max(1, len(w) - 4))} if w else {} for w in (x, y))
+    for w, c in ((x, a), (y, b)):
+        for i in range(max(1, len(w) - 4) if w else 0):
+            c[tuple(w[i : i + 5])] += 1
+    return 10 * len({*a} & {*b}) >= 8 * len({*a} | {*b}) > 0 or probability_jaccard(a, b) >= 0.8
+
+
+def weighted_texts(families=24, seed=9):
+    """Texts that repeat a passage, with other ends: alike by counts, by sets, by both or by neither."""
+    r, texts = random.Random(seed), {}
+    for f in range(families):
+        core, times = [f"{f}c{k}" for k in range(20)], r.choice((1, 2, 6, 20))
+        for _ in range(3):
+            tail = [f"{f}t{r.randrange(10**6)}" for _ in range(r.choice((4, 10, 40)))]
+            texts[len(texts)] = " ".join([*core * max(1, times + r.choice((0, 0, -1, 12))), *tail])
+    return texts
+
+
+def test_near_duplicates_by_counts_match_brute_force(spark):
+    texts = weighted_texts()
+    split = [t.split() for t in texts.values()]
+    label = list(range(len(split)))
+    by_counts = 0
+    for b in range(len(split)):
+        for a in range(b):
+            if split[a][0] == split[b][0] and linked_by_weights(split[a], split[b]):
+                x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (split[a], split[b]))
+                by_counts += 10 * len(x & y) < 8 * len(x | y)
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert by_counts >= 5 and len(set(label)) > 30 and got == dict(enumerate(label))
+
+
+def test_cell_links_weigh_counts():
+    r = random.Random(5)
+    core = [{k * 100 + i: r.choice((1, 1, 30)) for i in range(25)} for k in range(4)]
+    sets = []
+    for _ in range(80):
+        c = dict(r.choice(core))
+        for k in r.sample(sorted(c), 4):
+            c[k] = r.choice((1, 30))
+        for _ in range(r.choice((0, 3, 12))):
+            c[r.randrange(10**6, 10**7)] = 1
+        sets.append(c)
+    arrays = [as_arrays(c) for c in sets]
+    counts = [c if c.max() > c.min() else None for _, c in arrays]
+    links = near_dedup.cell_links([s for s, _ in arrays], [(a, np.arange(a + 1, 80)) for a in range(79)], 0.8, counts)
+    alike = lambda x, y: 10 * len({*x} & {*y}) >= 8 * len({*x} | {*y}) or probability_jaccard(x, y) >= 0.8
+    own, want = list(range(80)), list(range(80))
+    for label, pairs in ((own, links), (want, [(a, b) for b in range(80) for a in range(b) if alike(sets[a], sets[b])])):
+        for a, b in pairs:
+            low, high = sorted((label[a], label[b]))
+            label[:] = [low if x == high else x for x in label]
+    assert own == want and len(links) == 80 - len(set(want)) > 10
+
+
 def test_components_of_a_long_chain(spark):
     from corpusmill.llm.components import components
 
