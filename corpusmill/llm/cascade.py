@@ -30,6 +30,11 @@ RANGE = re.compile(r"^\(\s*(?:([\d.]+[a-z]*)\s*(<=?)\s*)?(width|height)\s*(?:(<=
 LENGTH = re.compile(r"^([\d.]+)(px|em|rem|)$", re.I)
 PART = re.compile(r"([.#])((?:[\w-]|[^\x00-\x7f])+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\]]+))\s*)?\]|(:root)", re.I)
 TAG = re.compile(r"(?:[a-z][\w-]*|\*)", re.I)
+#: A list of selectors is cut at commas outside brackets and strings.
+SELECTOR = re.compile(r"(?:[^,\[\](){}\"']|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|\[(?:[^\]\"']|\"[^\"]*+\"|'[^']*+')*+\]|\([^()]*+\)|[\[\](){}\"'])++", re.S)
+#: Values of display: single ones, and those that go together.  Others are no declaration.
+DISPLAYS = frozenset("none contents inline-block inline-table inline-flex inline-grid table-row-group table-header-group table-footer-group table-row table-cell table-column-group table-column table-caption ruby-base ruby-text initial inherit unset revert revert-layer -webkit-box -webkit-inline-box -webkit-flex -webkit-inline-flex -ms-flexbox -ms-inline-flexbox -ms-grid".split())
+TOGETHER = frozenset("block inline flow flow-root table flex grid ruby math list-item run-in".split())
 #: Values of visibility that are a state; others take the parent's.
 VISIBILITY = {"visible": True, "initial": True, "hidden": False, "collapse": False}
 
@@ -87,7 +92,8 @@ class Rule(NamedTuple):
 
 def declarations(text: str) -> list[tuple[str, str, bool]]:
     """(display or visibility, value, important) of a style attribute or a rule's parts."""
-    return [(m[1].lower(), m[2].lower(), bool(m[3])) for d in text.split(";") if (m := DECLARED.match(d))]
+    found = [(m[1].lower(), " ".join(m[2].lower().split()), bool(m[3])) for d in text.split(";") if (m := DECLARED.match(d))]
+    return [(prop, value, important) for prop, value, important in found if prop != "display" or value in DISPLAYS or TOGETHER.issuperset(value.split())]
 
 
 def screen_rules(css: str) -> list[Rule]:
@@ -193,7 +199,7 @@ class Cascade:
         self.by_key: dict[tuple[str, str], list[int]] = defaultdict(list)  # steps by id, class, tag or nothing
         numbers: dict[tuple[int, Compound], int] = {}
         for order, rule in enumerate(r for css in styles for r in screen_rules(css)):
-            for text in rule.selectors.split(","):
+            for text in SELECTOR.findall(rule.selectors):
                 compounds, at = parsed(text) or [], -1
                 for c in compounds:
                     if (at, c) not in numbers:

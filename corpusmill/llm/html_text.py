@@ -7,8 +7,10 @@ the page's styles as cascade.py reads them: display takes an element with all th
 visibility is inherited and may come back further down.  It emits all the rest, also the text of
 drawings, what objects have for want of their data, a select's options, and values (or else
 placeholders) of fields: blocks start on lines of their own, paragraphs, headings, lists and
-tables are set off by an empty line, list items have their bullet or number and
-indent by depth, ``pre`` keeps its spacing, and table cells are padded to their columns.
+tables are set off by an empty line, list items have their bullet or number (by the list's start, order
+and type and the item's value) and
+indent by depth, ``pre`` keeps its spacing, and table cells are padded to their columns.  What is a block, a
+list item or a part of a table is told by the display value that styles give an element, else by its name.
 
 Both walks use explicit stacks, so nesting depth is not limited, and the patterns
 are possessive, so damaged markup costs linear time.
@@ -58,17 +60,31 @@ IMPLIED = {
     "h1": ({"h1", "h2", "h3", "h4", "h5", "h6"}, None), "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
 IMPLIED |= {f"h{i}": IMPLIED["h1"] for i in range(2, 7)}
+#: Parts of tables that are laid out, and the values of display that make them.
+PARTS = frozenset("table thead tbody tfoot tr td colgroup".split())
+ROLES = {"table": "table", "inline-table": "table", "table-header-group": "thead", "table-row-group": "tbody", "table-footer-group": "tfoot", "table-row": "tr", "table-cell": "td", "table-column": "colgroup", "table-column-group": "colgroup"}
 SCOPE = frozenset("html body table td th caption button object template".split())
 
 
 class Node:
-    """An element; shown: it has a box, seen: its own text is visible (styled() sets both)."""
+    """An element; shown: it has a box, seen: its own text is visible, display: that of the page's styles
+    (styled() sets them); lines: of a table, once it is laid out."""
 
-    __slots__ = ("attrs", "kids", "name", "seen", "shown")
+    __slots__ = ("attrs", "display", "kids", "lines", "name", "seen", "shown")
 
     def __init__(self, name: str, attrs: dict | None = None):
         self.name, self.attrs, self.kids = name, attrs or {}, []
         self.shown = self.seen = True
+        self.display = self.lines = None
+
+    def role(self) -> str | None:
+        """The part of a table that it is, by the element that has it; None if it's none."""
+        if self.display is None:
+            return "td" if self.name == "th" else self.name if self.name in PARTS else None
+        return ROLES.get(self.display)
+
+    def is_item(self) -> bool:
+        return self.name == "li" if self.display is None else self.display == "list-item"
 
 
 def parse(text: str) -> tuple[Node, list[str]]:
@@ -198,6 +214,19 @@ def parse(text: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
+def _display(value: str | None) -> str | None:
+    """A value of display in one word: what is in the line is inline; None where the element's name tells."""
+    words = (value or "revert").replace("-webkit-", "").split()
+    if words[0] in ("revert", "revert-layer", "inherit"):
+        return None
+    for part in ("list-item", "table"):
+        if part in words:
+            return part
+    if words[0].startswith("table-") or words[0] == "inline-table":
+        return words[0]
+    return "inline" if words[0] in ("contents", "initial", "unset") or any(w.startswith(("inline", "ruby", "-ms-inline")) for w in words) else "block"
+
+
 def styled(root: Node, styles: list[str]) -> None:
     """Sets shown and seen of the elements from the root down; below what is not shown they are
     not set."""
@@ -209,6 +238,8 @@ def styled(root: Node, styles: list[str]) -> None:
         display, visibility = None, None
         if a or cascade.steps:
             display, visibility, above, parent = cascade.look(name, a, above, parent)
+        if display in ("revert", "revert-layer"):
+            display = None
         drawing = drawing and name != "foreignobject" or name == "svg"
         if name in HIDDEN or drawing and name in SVG_HIDDEN or name == "input" and a.get("type", "").strip().lower() == "hidden":
             node.shown = False
@@ -218,6 +249,7 @@ def styled(root: Node, styles: list[str]) -> None:
             node.shown = not ("hidden" in a or name == "dialog" and "open" not in a)
         if node.shown:
             visible = VISIBILITY.get(visibility, visible)
+            node.display = _display(display)
             node.seen = visible and (not drawing or name in SVG_TEXT)
             stack += [(k, visible, drawing, above, parent) for k in node.kids if not isinstance(k, str)]
 
@@ -284,40 +316,79 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def _table(node: Node, depth: int) -> list[str]:
+def _rows(kids: list, css: bool) -> list:
+    """A table's kids; cells outside rows get a row, and so does, in a table made by styles, all else."""
+    out: list = []
+    loose = None  # the row under way
+    for kid in kids:
+        blank = isinstance(kid, str) and not kid.strip(" \t\n\f\r")
+        if blank or not isinstance(kid, str) and not kid.shown:
+            continue
+        role = None if isinstance(kid, str) else kid.role()
+        if role == "td" or css and (role is None or role == "table") and getattr(kid, "display", None) != "table-caption":
+            if loose is None:
+                out.append(loose := Node("tr"))
+                loose.display = "table-row"
+            loose.kids.append(kid)
+        else:
+            out.append(kid)
+            loose = None
+    return out
+
+
+def _cell_groups(row: Node, seen: bool):
+    """(cell or None, kids, seen) of a row's cells; kids of no cell come with False for the cell.  What styles
+    make no cell of shares one with its neighbours; text outside the cells of a tr element is not in the row."""
+    shared: list = []
+    for kid in row.kids:
+        if isinstance(kid, str) and not kid.strip(" \t\n\f\r") or isinstance(kid, Node) and not kid.shown:
+            continue
+        if isinstance(kid, Node) and kid.role() == "td":
+            if shared:
+                yield None, shared, seen
+                shared = []
+            yield kid, kid.kids, kid.seen
+        elif row.display is not None or isinstance(kid, Node) and kid.name in ("td", "th"):
+            shared = [*shared, kid]
+        else:
+            yield False, [kid], seen
+    if shared:
+        yield None, shared, seen
+
+
+def _table(node: Node) -> list[str]:
     """Rows of cells, each column padded to its widest line; what is outside rows comes before."""
     out, grid, spans = [], [], {}
     rows = []
-    for kid in node.kids:
-        if isinstance(kid, str):
-            out += _lines([kid], depth + 1, node.seen)
-        elif not kid.shown or kid.name == "colgroup":
+    for kid in _rows(node.kids, node.name != "table"):
+        role = None if isinstance(kid, str) else kid.role()
+        if role == "colgroup":
             continue
-        elif kid.name in ("tbody", "thead", "tfoot"):
-            rows += [(kid.name, r) for r in kid.kids if isinstance(r, Node) and r.name == "tr" and r.shown]
-            if stray := [r for r in kid.kids if not (isinstance(r, Node) and r.name == "tr")]:
-                out += _lines(stray, depth + 1, kid.seen)
-        elif kid.name == "tr":
+        if role in ("tbody", "thead", "tfoot"):
+            inner = _rows(kid.kids, kid.display is not None)
+            rows += [(role, r) for r in inner if isinstance(r, Node) and r.role() == "tr"]
+            if stray := [r for r in inner if not (isinstance(r, Node) and r.role() == "tr")]:
+                out += _lines(stray, kid.seen)
+        elif role == "tr":
             rows.append(("tbody", kid))
         else:
-            out += _lines([kid], depth + 1, node.seen)
+            out += _lines([kid], node.seen)
     rows = [r for k in ("thead", "tbody", "tfoot") for s, r in rows if s == k]
     for y, row in enumerate(rows):
         cells, x = {}, 0
-        for cell in row.kids:
-            if isinstance(cell, Node) and cell.name in ("td", "th"):
-                if not cell.shown:
-                    continue
-                while spans.get(x, 0) > y:
-                    x += 1
-                cols, down = (min(1000, int(v)) if (v := cell.attrs.get(k, "1").strip()).isdigit() and int(v) else 1 for k in ("colspan", "rowspan"))
-                cells[x] = (_lines(cell.kids, depth + 1, cell.seen), cols)
-                for k in range(cols):
-                    if down > 1:
-                        spans[x + k] = y + down
-                x += cols
-            elif isinstance(cell, str) or cell.shown:
-                out += _lines([cell], depth + 1, row.seen)
+        for cell, kids, seen in _cell_groups(row, row.seen):
+            if cell is False:
+                out += _lines(kids, seen)
+                continue
+            while spans.get(x, 0) > y:
+                x += 1
+            attrs = cell.attrs if cell else {}
+            cols, down = (min(1000, int(v)) if (v := attrs.get(k, "1").strip()).isdigit() and int(v) else 1 for k in ("colspan", "rowspan"))
+            cells[x] = (_lines(kids, seen), cols)
+            for k in range(cols):
+                if down > 1:
+                    spans[x + k] = y + down
+            x += cols
         grid.append(cells)
     sizes: dict[int, int] = {}
     for cells in grid:
@@ -339,16 +410,63 @@ def _table(node: Node, depth: int) -> list[str]:
     return out
 
 
-def _lines(kids: list, depth: int, seen: bool) -> list[str]:
-    text = render_nodes(kids, depth, seen)
+def _lines(kids: list, seen: bool) -> list[str]:
+    text = render_nodes(kids, seen)
     return text.split("\n") if text else []
 
 
-#: Tables nested deeper are rendered as blocks; bounds the recursion of cells.
-TABLE_DEPTH = 20
+#: Elements that browsers keep open within each other at most, and so many tables with a section, a row
+#: and a cell each; tables deeper than that are rendered as blocks.
+OPEN_ELEMENTS = 512
+TABLE_DEPTH = OPEN_ELEMENTS // 4
+
+
+def lay_out_tables(root: Node) -> None:
+    """Sets the lines of the tables below root, inner ones first, so that no table waits for another."""
+    found, stack = [], [(root, 0)]
+    while stack:
+        node, depth = stack.pop()
+        if node.role() == "table":
+            depth += 1
+            if depth <= TABLE_DEPTH:
+                found.append(node)
+        stack += [(k, depth) for k in node.kids if isinstance(k, Node) and k.shown]
+    while found:
+        table = found.pop()
+        table.lines = _table(table)
+
+
+def _letters(n: int) -> str:
+    out = ""
+    while n:
+        n, k = divmod(n - 1, 26)
+        out = chr(97 + k) + out
+    return out
+
+
+def _roman(n: int) -> str:
+    out = ""
+    for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        out += sign * (n // value)
+        n %= value
+    return out
+
+
+def _number(n: int, kind: str) -> str:
+    """An item's number in the list's type; decimal where the type has no sign for it."""
+    if kind in ("a", "A") and n > 0:
+        return _letters(n) if kind == "a" else _letters(n).upper()
+    if kind in ("i", "I") and 0 < n < 4000:
+        return _roman(n) if kind == "i" else _roman(n).upper()
+    return str(n)
+
+
+def _integer(value: str | None, other: int) -> int:
+    m = re.match(r"[ \t\n\f\r]*([+-]?[0-9]{1,9})(?![0-9])", value or "")
+    return int(m[1]) if m else other
 
 
-def render_nodes(kids: list, depth: int = 0, seen: bool = True) -> str:
+def render_nodes(kids: list, seen: bool = True) -> str:
     """Text of nodes whose parent's own text is seen or not."""
     page = Page()
     stack: list[tuple] = [("kids", iter(kids), False, seen)]
@@ -383,16 +501,18 @@ def render_nodes(kids: list, depth: int = 0, seen: bool = True) -> str:
             inner = [kid.attrs["placeholder"]]
         if name == "details" and "open" not in kid.attrs:
             inner = [k for k in inner if isinstance(k, Node) and k.name == "summary"][:1]
-        if name == "table" and depth < TABLE_DEPTH:
+        if kid.lines is not None:
             page.block(2)
-            for line in _table(kid, depth):
+            for line in kid.lines:
                 if line:
                     page._open()
                     page.line.append(line)
                 page.newline()
             page.block(2)
             continue
-        block = name in BLOCK or name in ("td", "th", "text")
+        if kid.display == "table-cell" and seen:
+            page.text(" ")
+        block = name in BLOCK or name in ("td", "th", "text") if kid.display is None else kid.display not in ("inline", "table-cell")
         want = 0 if not block else 2 if name in SPACED and not (name in ("ul", "ol", "menu", "dir") and lists) else 1
         before = (page.prefix, page.first)
         if block:
@@ -400,27 +520,31 @@ def render_nodes(kids: list, depth: int = 0, seen: bool = True) -> str:
         if name in ("ul", "menu", "dir"):
             lists.append(["-", 0])
         elif name == "ol":
-            start = kid.attrs.get("start", "1").strip()
-            lists.append(["1", int(start) - 1 if start.lstrip("-").isdigit() and len(start) < 9 else 0])
-        elif name == "li":
-            if lists:
-                lists[-1][1] += 1
-            mark = f"{lists[-1][1]}. " if lists and lists[-1][0] == "1" else "- "
+            step = -1 if "reversed" in kid.attrs else 1
+            first = sum(isinstance(k, Node) and k.shown and k.is_item() for k in inner) if step < 0 else 1
+            lists.append([kid.attrs.get("type", "1").strip(), _integer(kid.attrs.get("start"), first) - step, step])
+        elif kid.is_item():
+            mark = "- "
+            if lists and lists[-1][0] != "-":
+                lists[-1][1] = _integer(kid.attrs.get("value"), lists[-1][1] + lists[-1][2])
+                mark = _number(lists[-1][1], kid.attrs.get("type", lists[-1][0]).strip()) + ". "
             page.first, page.prefix = page.prefix + mark if seen else None, page.prefix + " " * len(mark)
-        elif name == "dd":
+        elif name == "dd" and block:
             page.prefix += "    "
-        elif name == "blockquote":
+        elif name == "blockquote" and block:
             page.prefix += "> "
         elif name == "hr" and seen:
             page._open()
             page.line.append("---")
 
-        def after(name=name, block=block, want=want, before=before):
+        def after(name=name, block=block, want=want, before=before, indented=kid.is_item() or block and name in ("dd", "blockquote"), cell=kid.display == "table-cell" and seen):
+            if cell:
+                page.text(" ")
             if block:
                 page.block(want)
             if name in ("ul", "menu", "dir", "ol"):
                 lists.pop()
-            if name in ("li", "dd", "blockquote"):
+            if indented:
                 page.prefix, page.first = before[0], None
 
         stack.append(("after", after, pre, seen))
@@ -434,7 +558,10 @@ def html_text(source: str) -> str:
     """All visible text of a page; the empty string of an empty page."""
     root, styles = parse(source.replace("\x00", ""))
     styled(root, styles)
-    return render_nodes(root.kids, 0, root.seen) if root.shown else ""
+    if not root.shown:
+        return ""
+    lay_out_tables(root)
+    return render_nodes(root.kids, root.seen)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -7,7 +7,9 @@ import base64
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -749,6 +751,66 @@ def test_html_styles(css, body, text):
     assert html_text.html_text(f"<style media=print>{css}</style><i>{text.split()[-1]}</i>") == text.split()[-1]
 
 
+@pytest.mark.parametrize(("css", "body", "text"), [
+    ("span{display:block}", "<p>a<span>b</span>c", "a\nb\nc"), ("p{display:inline}", "a<p>b</p>c", "abc"), ("div{display:inline-block}", "<div>a</div> <div>b</div>", "a b"),
+    ("li{display:inline}", "<ul><li>a <li>b</ul>c", "a b\n\nc"), ("li{display:block}", "<ol><li>a<li style='display:list-item'>b</ol>", "a\n1. b"), ("b{display:list-item}", "<b>a</b><b>c</b>", "- a\n- c"),
+    ("b{display:nonsense}", "a<b>b</b>", "ab"), ("i{display:block flow}", "a<i>b</i>", "a\nb"), ("i{display:inline flex}", "a<i>b</i>", "ab"), ("div{display:initial}", "a<div>b</div>c", "abc"),
+    (".t{display:table}.r{display:table-row}.c{display:table-cell}", "<div class=t><div class=r><div class=c>a</div> <div class=c>b</div></div><div class=r><div class=c>ccc</div><div class=c>d</div></div></div>", "a    b\nccc  d"),
+    (".t{display:table}.c{display:table-cell}", "<div class=t><div class=c>a</div><div class=c>b</div></div>", "a  b"), (".c{display:table-cell}", "<div><span class=c>a</span><span class=c>b</span></div>", "a b"),
+    ("td{display:block}", "<table><tr><td>a<td>b</table>", "a\nb"), ("[title='a,b'],i{display:none}", "<b title='a,b'>x</b><i>y</i>z", "z"), ("b:not(i,u),p{display:none}", "<b>x</b><p>y", "x"),
+    ("blockquote{display:inline}", "<blockquote>a</blockquote>b", "ab"), ("q{display:block}p{display:revert}", "<p>x</p><p>y", "x\n\ny"),
+    ("", "<ol start=3><li>a<li value=7>b<li>c</ol>", "3. a\n7. b\n8. c"), ("", "<ol reversed><li>a<li>b<li value=9>c<li>d</ol>", "4. a\n3. b\n9. c\n8. d"), ("", "<ol type=a start=26><li>a<li>b</ol>", "z. a\naa. b"),
+    ("", "<ol type=I><li>a<li type=i>b<li value=1994>c<li value=0>d</ol>", "I. a\nii. b\nMCMXCIV. c\n0. d"), ("", "<ol start=x><li value=>a</ol>", "1. a"),
+])
+def test_html_display_and_numbers(css, body, text):
+    assert html_text.html_text(f"<style>{css}</style>{body}") == text
+
+
+@pytest.mark.parametrize("depth", [1, 21, 60, 120])
+def test_html_tables_in_tables_keep_their_columns(depth):
+    page = "<table><tr><td>a<td>" * depth + "x" + "</table>" * depth
+    assert html_text.html_text(page) == "a  " * depth + "x"
+
+
+class Plain(HTMLParser):
+    """The words of a page's text nodes in their order, but for those of elements that are never shown."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.closed = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title", "template", "noscript", "iframe", "head"):
+            self.closed.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.closed:
+            del self.closed[self.closed.index(tag) :]
+
+    def handle_data(self, data):
+        if not self.closed:
+            self.out += data.split()
+
+
+def test_html_whole_table_against_another_parser(spark, sf):
+    """Every word of every page that another parser gives is there as often, unless an element is hidden by its attributes or a style."""
+    rows = html_text.extract_text(spark.read.parquet(f"{sf}/pages.parquet")).collect()
+    got = {r["page_id"]: r["text"] for r in rows}
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    assert got.keys() == pages.keys()
+    compared = 0
+    for k, page in pages.items():
+        if re.search(r"hidden|display|visibility|<(?:input|textarea|select|ol|q|details|dialog|svg|math|object|audio|video)\b", page, re.I):
+            continue
+        parser = Plain()
+        parser.feed(page)
+        parser.close()
+        compared += 1
+        signs = {"-", ">", "---"}
+        assert Counter("".join(w for w in parser.out if w not in signs)) == Counter("".join(w for w in got[k].split() if w not in signs)), k
+    assert compared
+
+
 def test_html_damaged_pages_take_linear_time():
     nested = "<style>" + "".join(f".a .b{i}{{display:none}}" for i in range(300)) + "</style>" + "<div class='b a'>" * 20000
     for page in (nested, "<style>" + "/*" * 50000, "<style>" + "[x" * 50000, "<style>@media " + "(" * 50000 + "{", "<style>p{display:" + "a " * 50000 + "1}", "<style>p" + " > " * 20000 + "{display:none}",
