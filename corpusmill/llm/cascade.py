@@ -30,8 +30,8 @@ RANGE = re.compile(r"^\(\s*(?:([\d.]+[a-z]*)\s*(<=?)\s*)?(width|height)\s*(?:(<=
 LENGTH = re.compile(r"^([\d.]+)(px|em|rem|)$", re.I)
 PART = re.compile(r"([.#])((?:[\w-]|[^\x00-\x7f])+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\]]+))\s*)?\]|(:root)", re.I)
 TAG = re.compile(r"(?:[a-z][\w-]*|\*)", re.I)
-#: A list of selectors is cut at commas outside brackets and strings.
-SELECTOR = re.compile(r"(?:[^,\[\](){}\"']|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|\[(?:[^\]\"']|\"[^\"]*+\"|'[^']*+')*+\]|\([^()]*+\)|[\[\](){}\"'])++", re.S)
+#: What matters for cutting a list of selectors: strings, brackets and commas.
+CUTS = re.compile(r"\"(?:[^\"\\]|\\.)*+\"?|'(?:[^'\\]|\\.)*+'?|[\[\](),]", re.S)
 #: Values of display: single ones, and those that go together.  Others are no declaration.
 DISPLAYS = frozenset("none contents inline-block inline-table inline-flex inline-grid table-row-group table-header-group table-footer-group table-row table-cell table-column-group table-column table-caption ruby-base ruby-text initial inherit unset revert revert-layer -webkit-box -webkit-inline-box -webkit-flex -webkit-inline-flex -ms-flexbox -ms-inline-flexbox -ms-grid".split())
 TOGETHER = frozenset("block inline flow flow-root table flex grid ruby math list-item run-in".split())
@@ -132,6 +132,17 @@ def screen_rules(css: str) -> list[Rule]:
     return out
 
 
+def selectors_of(text: str) -> list[str]:
+    """A list of selectors cut at the commas outside brackets and strings."""
+    out, start, depth = [], 0, 0
+    for m in CUTS.finditer(text):
+        if m[0] == "," and not depth:
+            out.append(text[start : m.start()])
+            start = m.end()
+        depth = max(0, depth + (m[0] in "[(") - (m[0] in "])"))
+    return [*out, text[start:]]
+
+
 class Compound(NamedTuple):
     tag: str
     id: str
@@ -199,7 +210,7 @@ class Cascade:
         self.by_key: dict[tuple[str, str], list[int]] = defaultdict(list)  # steps by id, class, tag or nothing
         numbers: dict[tuple[int, Compound], int] = {}
         for order, rule in enumerate(r for css in styles for r in screen_rules(css)):
-            for text in SELECTOR.findall(rule.selectors):
+            for text in selectors_of(rule.selectors):
                 compounds, at = parsed(text) or [], -1
                 for c in compounds:
                     if (at, c) not in numbers:

@@ -396,21 +396,27 @@ def _table(node: Node) -> list[str]:
             if cols == 1:
                 sizes[x] = max([sizes.get(x, 0), *map(width, lines)])
     for cells in grid:
-        for k in range(max((len(c[0]) for c in cells.values()), default=0)):
-            line, at, want = "", 0, 0
-            for x in sorted(cells):
-                lines, cols = cells[x]
-                want += sum(sizes.get(i, 0) + 2 for i in range(at, x))
-                cell = lines[k] if k < len(lines) else ""
-                if cell:
-                    line += " " * max(2 * bool(line), want - width(line)) + cell
-                want += sum(sizes.get(i, 0) + 2 for i in range(x, x + cols))
-                at = x + cols
+        columns, at, want = [], 0, 0  # lines of the cells and where they start
+        for x in sorted(cells):
+            lines, cols = cells[x]
+            want += sum(sizes.get(i, 0) + 2 for i in range(at, x))
+            columns.append((lines, want))
+            want += sum(sizes.get(i, 0) + 2 for i in range(x, x + cols))
+            at = x + cols
+        for k in range(max((len(lines) for lines, _ in columns), default=0)):
+            line = ""
+            for lines, want in columns:
+                if k < len(lines) and lines[k]:
+                    line += " " * max(2 * bool(line), want - width(line)) + lines[k] if want else lines[k]
             out.append(line)
     return out
 
 
 def _lines(kids: list, seen: bool) -> list[str]:
+    """Lines of what is in a cell; those of a table that is alone in it as they are."""
+    alone = [k for k in kids if not isinstance(k, str) and k.shown or isinstance(k, str) and k.strip(" \t\n\f\r")]
+    if len(alone) == 1 and not isinstance(alone[0], str) and (lines := alone[0].lines) and lines[0] and lines[-1]:
+        return lines
     text = render_nodes(kids, seen)
     return text.split("\n") if text else []
 
