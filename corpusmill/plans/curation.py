@@ -134,12 +134,12 @@ def locked_content(s, d):
 
 
 def _grams(frame: DataFrame) -> DataFrame:
-    return frame.select("doc_id", "lang", X.bigram_set("text").alias("grams"))
+    return frame.select("doc_id", "lang", X.bigram_codes("text").alias("grams"))
 
 
 def bigram_counts(s, d):
-    g = docs(s, d)
-    return g.select("doc_id", *[F.size(X.bigram_set("text", v)).alias(f"n_{v}") for v in X.GRAM_VARIANTS])
+    g = docs(s, d).select("doc_id", X.bigram_sizes("text").alias("n"))
+    return g.select("doc_id", *[F.col(f"n.{v}").alias(f"n_{v}") for v in X.GRAM_VARIANTS])
 
 
 def neardup_pairs(s, d):
@@ -158,7 +158,7 @@ def neardup_in_label(s, d):
 
 
 def neardup_external(s, d):
-    b = table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), X.bigram_set("text").alias("grams"))
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), X.bigram_codes("text").alias("grams"))
     return dedup.drop_similar_to(_grams(docs(s, d)), "doc_id", "grams", b, 0.5).select("doc_id")
 
 
