@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import and_
+from functools import partial, reduce
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_space
 from ..sources.io import pinned
+from .similarity import set_pairs
 
 
 def _digest(c: Column | str) -> Column:
@@ -64,47 +65,56 @@ def gram_classes(df: DataFrame, row: str, grams: str, block: list[str] | None =
     return d.alias("d").join(first.alias("f"), same).select("row", "rep")
 
 
-def _prefixes(d: DataFrame, freq: DataFrame, threshold: float, block: list[str]) -> DataFrame:
-    """(row, block, size, gram) of the rarest size - ceil(threshold size) + 1 grams of each row (row, g)."""
-    x = d.select("row", *block, F.size("g").alias("size"), F.explode("g").alias("gram")).join(freq, "gram")
-    ordered = x.groupBy("row", *block, "size").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("o"))
-    keep = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9).cast("int") + 1
-    return ordered.select("row", *block, "size", F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select("row", *block, "size", F.col("p.gram").alias("gram"))
+def _hashed(frames: list[DataFrame]) -> list[DataFrame]:
+    """frames (row, g, ...) with the strings of g as 64-bit hashes, by a seed under which no two of them meet."""
+    every = reduce(DataFrame.union, [x.select(F.explode("g").alias("gram")) for x in frames])
+    words = pinned(every.distinct())
+    for seed in count():
+        code = partial(F.xxhash64, F.lit(seed))
+        if words.groupBy(code("gram").alias("code")).count().where("count > 1").isEmpty():
+            return [x.withColumn("g", F.transform("g", lambda w: code(w))) for x in frames]  # noqa: B023
+
+
+def _coded(frames: list[DataFrame], row: str, grams: str, block: list[str]) -> tuple[list[DataFrame], bool]:
+    """Each frame as (row, id long, g array<long>, label string), without rows that have no grams; whether id is the row."""
+    out = [x.where(F.col(row).isNotNull() & (F.size(grams) > 0)).select(F.col(row).alias("row"), F.col(grams).alias("g"), F.to_json(F.struct(*block)).alias("label") if block else F.lit("").alias("label")) for x in frames]
+    out = [pinned(x) for x in (_hashed(out) if dict(out[0].dtypes)["g"] == "array<string>" else [x.withColumn("g", F.col("g").cast("array<bigint>")) for x in out])]
+    whole = all(dict(x.dtypes)["row"] in ("tinyint", "smallint", "int", "bigint") for x in out)
+    plain = whole and all(x.groupBy("row").count().where("count > 1").isEmpty() for x in out)
+    return [x.withColumn("id", F.col("row").cast("long")) if plain else pinned(x.withColumn("id", F.monotonically_increasing_id())) for x in out], plain
+
+
+def _pairs(left: DataFrame, right: DataFrame | None, plain: bool, threshold: float) -> DataFrame:
+    """(a, b, similarity) by rows, of what _coded() returns."""
+    found = set_pairs(left, threshold, right)
+    if not plain:
+        a, b = (x.select(F.col("id").alias(c), F.col("row").alias(f"row_{c}")) for x, c in ((left, "a"), (left if right is None else right, "b")))
+        found = found.join(a, "a").join(b, "b")
+        if right is None:
+            found = found.where("row_a <> row_b").select(F.least("row_a", "row_b").alias("row_a"), F.greatest("row_a", "row_b").alias("row_b"), "similarity")
+        found = found.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "similarity").distinct()
+    kinds = [dict(x.dtypes)["row"] for x in (left, left if right is None else right)]
+    return found.select(*[F.col(c).cast(k).alias(c) for c, k in zip("ab", kinds, strict=True)], "similarity")
 
 
 def similar_pairs(df: DataFrame, row: str, grams: str, threshold: float, other: DataFrame | None = None, block: list[str] | None = None) -> DataFrame:
     """(a, b, similarity) of rows whose gram sets have at least the Jaccard similarity.
 
-    Exact prefix filter: grams are ordered rare first, and two sets that are similar enough
-    share one of the first size - ceil(threshold size) + 1 of each.  Candidates that their
-    sizes rule out never leave the join.  With other, pairs are between the two tables;
-    else a < b by the order of row.  block: columns that must agree, such as the label.
+    Exact, by similarity.set_pairs().  With other, pairs are between the two tables; else a < b by the order of row.
+    block: columns that must agree, such as the label.  Grams are strings, or whole numbers that stand for them.
     Empty sets are similar to nothing.  Rows with equal sets are paired one by one here;
     similar_classes() takes them together first."""
-    block = block or []
-    left = df.select(F.col(row).alias("row"), F.col(grams).alias("g"), *block)
-    right = left if other is None else other.select(F.col(row).alias("row"), F.col(grams).alias("g"), *block)
-    every = left if other is None else left.unionByName(right)
-    freq = every.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
-
-    p = _prefixes(left, freq, threshold, block)
-    q = (p if other is None else _prefixes(right, freq, threshold, block)).select(*[F.col(c).alias(f"_{c}") for c in ("row", "size", *block)], "gram")
-    lean = (F.least("size", "_size") >= F.greatest("size", "_size") * threshold - 1e-9) & (F.lit(True) if other is not None else F.col("row") < F.col("_row"))
-    for c in block:
-        lean = lean & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    candidates = p.join(q, "gram").where(lean).select(F.col("row").alias("a"), F.col("_row").alias("b")).distinct()
-    ga, gb = left.select(F.col("row").alias("a"), F.col("g").alias("ga")), right.select(F.col("row").alias("b"), F.col("g").alias("gb"))
-    full = candidates.join(ga, "a").join(gb, "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    return full.select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
+    frames, plain = _coded([df] if other is None else [df, other], row, grams, block or [])
+    return _pairs(frames[0], None if other is None else frames[1], plain, threshold)
 
 
 def similar_classes(df: DataFrame, row: str, grams: str, threshold: float, block: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): similar_pairs() between rows that represent their equals, and (row, rep) of all
     rows that have grams."""
+    df = pinned(df.select(row, grams, *(block or [])))
     members = pinned(gram_classes(df, row, grams, block))
     reps = df.join(members.where("row = rep").select(F.col("row").alias(row)), row, "left_semi")
-    return similar_pairs(pinned(reps.select(row, grams, *(block or []))), row, grams, threshold, block=block), members
+    return similar_pairs(reps, row, grams, threshold, block=block), members
 
 
 #: Edges of a component, or of all of them, that one task settles by itself.
@@ -184,56 +194,43 @@ def greedy_drop(df: DataFrame, row: str, pairs: DataFrame, small: int = SMALL_CO
     return df.join(gone.select(F.col("late").alias(row)), row, "left_anti")
 
 
-#: Rounds in which the first rows of their prefixes remove what is similar to them before pairs are made.
-LEADING_ROUNDS = 3
-
-
-def _led(df: DataFrame, row: str, grams: str, threshold: float, block: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(kept, open) rows of df (row, grams, block): those sure to be kept, and those not yet settled.
-
-    A row that is the first in all buckets of its prefix grams has no similar row before it, so it is kept, and every
-    row that is similar to it goes.  A family of k similar rows then costs k comparisons and not k * k / 2.  Where
-    buckets hold rows that are not similar, a round settles little, so there are a few and the rest is left open."""
-    rows = pinned(df.select(F.col(row).alias("row"), F.col(grams).alias("g"), *block))
-    freq = rows.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
-    p = pinned(_prefixes(rows, freq, threshold, block))
-    kept, left = rows.limit(0), rows
-    for _ in range(LEADING_ROUNDS):
-        here = p.join(left.select("row"), "row", "left_semi")
-        first = here.groupBy("gram", *block).agg(F.min("row").alias("first"))
-        same = reduce(and_, [F.col(f"h.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ["gram", *block]])
-        # a bucket with many rows that go meets only its first one
-        met = here.alias("h").join(first.alias("f"), same).select(F.col("h.row").alias("row"), "first")
-        leads = pinned(met.groupBy("row").agg(F.max(F.col("first") < F.col("row")).alias("waits")).where("NOT waits").select("row"))
-        seen = met.where("first < row").join(leads.withColumnRenamed("row", "first"), "first", "left_semi").distinct()
-        own = left.select("row", "g").join(seen, "row").join(left.select(F.col("row").alias("first"), F.col("g").alias("h")), "first")
-        common = F.size(F.array_intersect("g", "h"))
-        gone = pinned(own.where(common / (F.size("g") + F.size("h") - common) >= threshold).select("row").distinct())
-        kept = kept.union(left.join(leads, "row", "left_semi"))
-        left = pinned(left.join(leads.union(gone), "row", "left_anti"))
-        if gone.isEmpty():
-            break
-    return kept, left
+#: Rows of the first round of a greedy removal, and how much larger each next round is.
+FIRST_ROUND, GROWTH = 2048, 8
 
 
 def drop_near_duplicates(df: DataFrame, row: str, grams: str, threshold: float = 0.85, block: list[str] | None = None) -> DataFrame:
     """Greedy, in the order of row, within the block; rows without grams go.
 
     A later row with an earlier one's grams goes whatever becomes of the earlier one, and decides
-    over no other row, so only the first of equal rows is asked.  Of these, rows that lead their prefixes settle
-    what is similar to them; pairs are made of the rest alone, as nothing similar to a kept row is left."""
+    over no other row, so only the first of equal rows is asked.  Rows are settled in rounds, in their order: pairs are made
+    among the rows of a round, and those that are kept remove what is similar to them from all later ones.  A large family is gone
+    after the first round, so it costs a comparison a row."""
     block = block or []
-    members = pinned(gram_classes(df, row, grams, block))
-    reps = df.join(members.where("row = rep").select(F.col("row").alias(row)), row, "left_semi")
-    kept, left = _led(reps, row, grams, threshold, block)
-    rest = greedy_drop(left, "row", similar_pairs(left, "row", "g", threshold, block=block))
-    return df.join(kept.select("row").union(rest.select("row")).withColumnRenamed("row", row), row, "left_semi")
+    sets = pinned(df.select(row, grams, *block))
+    members = gram_classes(sets, row, grams, block)
+    reps = sets.join(members.where("row = rep").select(F.col("row").alias(row)), row, "left_semi")
+    (left,), plain = _coded([reps], row, grams, block)
+    todo, kept, size = left.count(), [], FIRST_ROUND
+    while todo:
+        now = left
+        if todo > 2 * size:
+            bound = left.select("row").orderBy("row").limit(size).agg(F.max("row").alias("bound"))
+            now = pinned(left.join(F.broadcast(bound), F.col("row") <= F.col("bound"), "left_semi"))
+        stay = pinned(greedy_drop(now, "row", _pairs(now, None, plain, threshold)))
+        kept.append(stay.select("row"))
+        if now is left:
+            break
+        later = left.join(F.broadcast(bound), F.col("row") > F.col("bound"), "left_semi")
+        gone = _pairs(later, stay, plain, threshold).select(F.col("a").alias("row")).distinct()
+        left = pinned(later.join(gone, "row", "left_anti"))
+        todo, size = left.count(), size * GROWTH
+    if not kept:
+        return df.limit(0)
+    return df.join(reduce(DataFrame.union, kept).withColumnRenamed("row", row), row, "left_semi")
 
 
 def drop_similar_to(df: DataFrame, row: str, grams: str, external: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Rows similar to no external one.  Equal rows are compared once, on either side."""
-    members = pinned(gram_classes(df, row, grams))
-    mine = df.join(members.where("row = rep").select(F.col("row").alias(row)), row, "left_semi")
+    """Rows similar to no external one.  Equal external rows are compared once."""
     theirs = gram_classes(external, row, grams).where("row = rep").select(F.col("row").alias(row))
-    hit = similar_pairs(mine, row, grams, threshold, other=external.join(theirs, row, "left_semi")).select(F.col("a").alias("rep")).distinct()
-    return df.join(members.join(hit, "rep", "left_semi").select(F.col("row").alias(row)), row, "left_anti")
+    hit = similar_pairs(df, row, grams, threshold, other=external.join(theirs, row, "left_semi")).select(F.col("a").alias(row)).distinct()
+    return df.join(hit, row, "left_anti")
