@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_grams
+from ..functions.text import gram_minima
 from ..sources.io import with_row_id
 
 
@@ -77,22 +77,30 @@ def overlap(df: DataFrame, key: str, split: str) -> DataFrame:
     return df.groupBy(key).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
 
 
+#: Hashes of which each item's least one is among those that documents give.
+WINDOW = 64
+
+
 def contained(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, gram: int = 12) -> DataFrame:
     """Extension of J2: (doc, item) where a normalised document contains a normalised item.
 
-    An item's gram that is rarest among the items is its anchor; documents meet items at
-    anchors by an equi-join, and contains() settles each candidate.  Both texts are as
-    given by the columns; items under gram characters are their own anchor."""
+    Both give the least gram hashes of their windows; what a document contains gives none that the document lacks.
+    An item's hash that is rarest among the items is its anchor; documents meet items at anchors by an equi-join, and contains()
+    settles each candidate.  Both texts are as given by the columns.  Items are taken by the widest window, up to WINDOW, that
+    they fill; those under gram characters are their own gram."""
     i = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("it")).where("it <> ''")
-    sizes = [r[0] for r in i.select(F.least(F.length("it"), F.lit(gram))).distinct().collect()]  # at most gram values
+    n = F.least(F.length("it"), F.lit(gram))
+    room = F.least(F.length("it") - n + 1, F.lit(WINDOW))
+    i = i.withColumns({"n": n, "window": F.pow(F.lit(2), F.floor(F.log2(room + 0.5))).cast("int")})
+    kinds = sorted(tuple(r) for r in i.select("n", "window").distinct().collect())  # at most gram + log2(WINDOW) rows
     out = None
     d = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("dt"))
-    for n in sorted(sizes):
-        part = i.where(F.least(F.length("it"), F.lit(gram)) == n)
-        each = part.select("item", F.explode(F.array_distinct(char_grams("it", n))).alias("gram"))
+    for n, window in kinds:
+        part = i.where((F.col("n") == n) & (F.col("window") == window)).select("item", "it")
+        each = part.select("item", F.explode(gram_minima("it", n, window)).alias("gram"))
         rare = each.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
         anchor = each.join(rare, "gram").groupBy("item").agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"))
-        seen = d.where(F.length("dt") >= n).select("doc", F.explode(F.array_distinct(char_grams("dt", n))).alias("gram"))
+        seen = d.select("doc", F.explode(gram_minima("dt", n, window)).alias("gram"))
         pairs = seen.join(anchor, "gram").select("doc", "item").distinct()
         hit = pairs.join(d, "doc").join(part, "item").where(F.contains("dt", "it")).select("doc", "item")
         out = hit if out is None else out.union(hit)
