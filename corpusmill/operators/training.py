@@ -11,7 +11,7 @@ are added to it as special tokens, with the ids after its last.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,6 +71,24 @@ def _frame(columns: dict[str, list]) -> pd.DataFrame:
     return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
 
 
+#: Texts, and characters of them beyond the first text, that are encoded at a time: a token takes some 100 bytes before it is an id.
+ENCODED_ROWS, ENCODED_CHARS = 64, 200_000
+
+
+def few_at_a_time(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Texts in order, in lists of bounded size; null is empty."""
+    out, chars = [], 0
+    for x in texts:
+        x = x or ""
+        if out and (len(out) == ENCODED_ROWS or chars + len(x) > ENCODED_CHARS):
+            yield out
+            out, chars = [], 0
+        out.append(x)
+        chars += len(x)
+    if out:
+        yield out
+
+
 def chat_rows(rendered: Column, tokens: Tokens, length: int) -> Column:
     """B1: struct(input_ids, mask) of a rendered conversation: cut and padded to length; mask is 1 on answers."""
 
@@ -78,8 +96,8 @@ def chat_rows(rendered: Column, tokens: Tokens, length: int) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = tokens.load()
         pad, opening, closing = t.token_to_id(tokens.pad), tokens.start + "assistant\n", tokens.end + "\n"
-        for s in batches:
-            texts, out = [x or "" for x in s], {"input_ids": [], "mask": []}
+        for texts in (t for s in batches for t in few_at_a_time(s)):
+            out = {"input_ids": [], "mask": []}
             for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
                 mask = supervised(np.array(e.offsets, np.int64).reshape(-1, 2), answer_spans(x, opening, closing))
                 out["input_ids"].append(_fixed(np.array(e.ids, np.int32), length, pad))
@@ -99,9 +117,9 @@ def pretraining_rows(df: DataFrame, text_col: str, tokens: Tokens, length: int =
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = tokens.load()
         pad, first, last = (t.token_to_id(x) for x in (tokens.pad, tokens.start, tokens.end))
-        for s in batches:
+        for texts in (t for s in batches for t in few_at_a_time(s)):
             out = {"input_ids": [], "labels": []}
-            for e in t.encode_batch([x or "" for x in s], add_special_tokens=False):
+            for e in t.encode_batch(texts, add_special_tokens=False):
                 ids = _fixed(np.array([first, *e.ids[: length - 2], last], np.int32), length, pad)
                 out["input_ids"].append(ids)
                 out["labels"].append(np.where(ids == pad, chat.IGNORE, ids).astype(np.int32))
