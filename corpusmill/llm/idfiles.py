@@ -42,26 +42,31 @@ def write_id_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         table, part = word_table(tokenizer), TaskContext.get().partitionId()
         ids, lengths, data, held, base, number = [], [], [], 0, 0, 0
 
-        def flush():
+        def flush(docs: int):
             nonlocal ids, lengths, data, held, base, number
             path = f"{root}/part-{part:06d}-{number:04d}.cmx"
-            raw = mixcoder.pack_file(np.array(ids, np.int64), np.array(lengths), np.frombuffer(b"".join(data), "<u4"))
+            size = sum(lengths[:docs])
+            raw = mixcoder.pack_file(np.array(ids[:docs], np.int64), np.array(lengths[:docs]), np.frombuffer(b"".join(data[:docs]), "<u4"))
             with atomic_output(store, path) as out:
                 out.write(raw)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), *(pa.array([x], pa.int64()) for x in (base, len(ids), held, len(raw)))], names=["part", "path", "base", "n_docs", "n_ids", "n_bytes"])
-            ids, lengths, data, base, held, number = [], [], [], base + held, 0, number + 1
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), *(pa.array([x], pa.int64()) for x in (base, docs, size, len(raw)))], names=["part", "path", "base", "n_docs", "n_ids", "n_bytes"])
+            ids, lengths, data, held, base, number = ids[docs:], lengths[docs:], data[docs:], held - size, base + size, number + 1
             return row
 
+        full = 0  # documents of the next file, once there are enough
         for b in batches:
             for doc, x in zip(b.column(0).to_pylist(), table.encode_batch(b.column(1).to_pylist()), strict=True):
                 ids.append(doc)
                 data.append(x + end)
                 lengths.append(len(x) // 4 + 1)
                 held += lengths[-1]
-                if held >= file_ids:
-                    yield flush()
+                if held >= file_ids and not full:
+                    full = len(ids)
+                if held >= file_ids * 5 // 4:  # a shorter rest goes into the last file, as a small one costs more an id
+                    yield flush(full)
+                    full = len(ids) if held >= file_ids else 0
         if ids:
-            yield flush()
+            yield flush(len(ids))
 
     rows = id_text(docs, id_col, text_col).repartitionByRange(tasks(spark), "id").sortWithinPartitions("id")
     manifest = stored(rows.mapInArrow(run, MANIFEST), "idfiles-manifest", False, folder)

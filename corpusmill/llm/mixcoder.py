@@ -4,17 +4,20 @@ A file's ids are cut into blocks that are coded independently: tables, weights a
 afresh in each, and nothing but a block's words, its length and the
 largest id is needed to decode it.  The probability of an id is the mixture of three predictions,
 
-    P(id) = a [id = order-2 guess] + (1 - a) b [id = order-1 guess] + (1 - a)(1 - b) P0(id),
-
-where the guesses come from tables hashed by the last two ids and the last id,
-with a confidence from 0 to 3 each, and a and b are learned per pair of
-confidences.  P0, the order-0 prediction, writes an id as digits of 6, 5 and 5 bits (5 more for
-ids beyond): each digit has a distribution of its own under the digits before it, which moves
-towards what it sees, fast at first.  It learns from the ids that the guesses missed.  The interval
-of each step drives a range coder (48-bit window, 16-bit words, exact carries).
-
-The blocks of a file are coded in lockstep, one lane of a numpy vector each, so
-that no Python code runs per id.  Every block has its own CRC-32, which decoding
+    P(id) = a [id = order-2 guess] + b [id = order-1 guess] + (1 - a - b) P0(id),
+
+where the guesses are what last followed the last two ids and the last id, from tables hashed by them,
+with how often each held in a row, up to 7, and a and b are learned for every pair of these,
+whether the guesses agree, and whether the order-2 guess held the last two times.  P0, the order-0 prediction, has
+the frequencies of the ids that the guesses missed; one that it doesn't know yet, or that is rarer than
+its steps, follows an escape in plain digits.  The interval of each id drives a range coder (48-bit window,
+24-bit words, exact carries).
+
+A block is cut into lanes that are coded in lockstep, one element of a numpy vector each, so
+that no Python code runs per id.  All lanes share the block's model: guess tables learn from every id at once,
+weights and P0 from all ids since they were last renewed, at first after every
+step and later after an eighth more of them, or REFRESH.  The coder's numbers are whole doubles under 2 ** 53, so
+its arithmetic is exact.  Every block has its own CRC-32, which decoding
 checks; a damaged block raises ValueError with its number.
 """
 
@@ -25,254 +28,291 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMIXRC2\n"
-WINDOW, BLOCK = 48, 6144  # coder window; ids a block
-SLOTS = 4096  # of each guess table of a block
-U = np.uint64
-LIMIT, MASK = U(1 << 32), U((1 << WINDOW) - 1)
-LEAST, MOST, RATE = 64, 65536 - 4096, 5  # bounds and adaption of a and b
-TOTAL = 1 << 15  # of a digit's distribution
-SHARED = 2048  # distributions of a block's third digit; a later digit has as many, found by hash
-#: How slowly a distribution moves, by how often it has been used: a share of 2 ** -rate each time.
-RATES = np.array([1, 2, 2, 3, 3, 3, *[4] * 10, 5], np.int16)
-#: Where a distribution moves to has this least share for each digit, which is over what rounding down takes away.
-GAP = 34
+MAGIC = b"CMIXRC3\n"
+BLOCK = 3 << 21  # ids
+LANES, STEPS = 4096, 512  # most lanes of a block; ids that a lane should have at least
+SLOTS1, SLOTS2 = 1 << 16, 1 << 20  # of the guess tables
+ONE, IDS = np.uint32(1 << 24), np.uint32((1 << 24) - 1)  # how often a guess held is above its id
+MEMORY = 1 << 16  # ids that a context's weights go by at most
+REFRESH = 32  # steps after which weights and P0 are renewed at the latest
+WORD, LEAST = 2.0**24, 2.0**24  # of the coder; its range is between LEAST and WORD ** 2
+TOTAL, TOTAL0 = 2.0**22, 1 << 16  # of an id's interval, and of P0's
+DIRECT = 1 << 20  # ids below it are found by an array, others by a search
 
 
 def widths_of(top: int) -> list[int]:
     """Bits of the digits of ids up to top, the first digit first; 16 bits at least."""
-    return [6, 5, 5] + [5] * max(0, -(-(int(top).bit_length() - 16) // 5))
-
-
-class _Digits:
-    """The order-0 prediction, digit by digit, for all lanes.  A distribution is the lower bounds of its
-    digits' intervals; the first is always 0, and the uses are counted in its place."""
-
-    def __init__(self, lanes: int, widths: list[int]):
-        self.widths, self.nodes, self.tables, self.towards = widths, [], [], []
-        for place, bits in enumerate(widths):
-            size, nodes = 1 << bits, (1, 64)[place] if place < 2 else SHARED
-            even = np.arange(size, dtype=np.int16) * np.int16(TOTAL // size)
-            self.nodes.append(nodes)
-            self.tables.append(np.tile(even, (lanes * nodes, 1)))
-            towards = np.arange(size)[None, :] * GAP + (TOTAL - size * GAP) * (np.arange(size)[None, :] > np.arange(size)[:, None])
-            self.towards.append(towards.astype(np.int16))
-
-    def begin(self, lane: np.ndarray) -> None:
-        self.lane, self.prefix, self.place, self.order = lane, np.zeros(len(lane), np.int64), 0, np.arange(len(lane))
-
-    def predict(self) -> np.ndarray:
-        """Lower bounds of the next digit's intervals, a row for each lane; uses come first."""
-        k = self.place
-        if k == 0:
-            self.node = self.lane
-        else:
-            own = self.prefix if k < 3 else self.prefix * 2654435761 + k >> 9 & (SHARED - 1)
-            self.node = self.lane * self.nodes[k] + own
-        self.row = self.tables[k][self.node]
-        return self.row
-
-    def learn(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower bound and width of the digit's interval, before its distribution moves."""
-        k, row = self.place, self.row
-        size = 1 << self.widths[k]
-        flat, at = row.ravel(), self.order * size + digit
-        lo, hi = flat[at].astype(np.uint64), flat[np.minimum(at + 1, len(flat) - 1)].astype(np.uint64)
-        lo[digit == 0] = 0
-        hi[digit == size - 1] = TOTAL
-        used = row[:, 0]
-        moved = row + ((self.towards[k][digit] - row) >> RATES[used][:, None])
-        moved[:, 0] = np.minimum(used + np.int16(1), np.int16(len(RATES) - 1))
-        self.tables[k][self.node] = moved
-        self.prefix = (self.prefix << self.widths[k]) + digit
-        self.place += 1
-        return lo, hi - lo
+    return [16] if top < 1 << 16 else [int(top).bit_length() - 16, 16]
 
 
-class _Model:
-    """Guess tables and weights of all lanes."""
-
-    def __init__(self, lanes: int):
-        self.t1 = np.zeros(lanes * SLOTS, np.uint32)
-        self.t2 = np.zeros(lanes * SLOTS, np.uint32)
-        self.a = np.full(lanes * 32, 16384, np.int64)
-        self.b = np.full(lanes * 32, 16384, np.int64)
-        self.p1 = np.zeros(lanes, np.uint32)
-        self.p2 = np.zeros(lanes, np.uint32)
-        self.base, self.wbase = np.arange(lanes, dtype=np.int64) * SLOTS, np.arange(lanes, dtype=np.int64) * 32
-
-    def predict(self, n: int):
-        shift = np.uint32(33 - SLOTS.bit_length())
-        p1 = self.p1[:n] * np.uint32(2654435761)
-        self.h1 = self.base[:n] + (p1 >> shift)
-        self.h2 = self.base[:n] + ((p1 ^ (self.p2[:n] * np.uint32(2246822519))) * np.uint32(3266489917) >> shift)
-        self.e1, self.e2 = self.t1[self.h1], self.t2[self.h2]
-        self.g1, self.g2 = self.e1 & np.uint32(0xFFFFFF), self.e2 & np.uint32(0xFFFFFF)
-        self.w = self.wbase[:n] + ((self.e2 >> np.uint32(24) << np.uint32(3)) | (self.e1 >> np.uint32(24) << np.uint32(1)) | (self.g1 == self.g2))
-        self.wa, self.wb = self.a[self.w], self.b[self.w]
-        return self.wa.view(np.uint64), (self.wa + (((65536 - self.wa) * self.wb) >> 16)).view(np.uint64)
-
-    def update(self, n: int, sym: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """hit1: the order-1 guess held where the order-2 guess did not."""
-        # towards 65536 on a hit and 0 on a miss; both weights stay within their bounds
-        wa, wb = self.wa, self.wb
-        self.a[self.w] = np.minimum(np.maximum(wa + (((hit2.view(np.uint8).astype(np.int64) << 16) - wa) >> RATE), LEAST), MOST)
-        b = np.minimum(np.maximum(wb + (((hit1.view(np.uint8).astype(np.int64) << 16) - wb) >> RATE), LEAST), MOST)
-        self.b[self.w] = np.where(hit2, wb, b)
-        one, short = np.uint32(1 << 24), sym & np.uint32(0xFFFFFF)  # ids beyond 24 bits are never guessed
-        for t, h, e, hit in ((self.t1, self.h1, self.e1, self.g1 == sym), (self.t2, self.h2, self.e2, hit2)):
-            t[h] = np.where(hit, np.minimum(e + one, short | np.uint32(3 << 24)), np.where(e >= one, e - one, short))
-        self.p2[:n] = self.p1[:n]
-        self.p1[:n] = sym
+class _Order0:
+    """Frequencies of ids, in steps of 1 / TOTAL0; the last place is the escape's."""
 
+    def __init__(self, bits: int):
+        self.direct = bits <= DIRECT.bit_length() - 1
+        self.seen = np.zeros(1 << bits if self.direct else 0, np.int64)  # counts, of ids or of self.names
+        self.names = np.zeros(0, np.uint32)
+        self.place = np.zeros(1 << bits if self.direct else 0, np.int64)
+        self.escaped, self.total = 0, 0
+        self._lay_out(np.zeros(0, np.uint32), np.zeros(0, np.int64), TOTAL0)
 
-def _lanes(count: int, block: int) -> tuple[int, int]:
-    return -(-count // block), count - (count - 1) // block * block
+    def learn(self, ids: np.ndarray, escaped: int) -> None:
+        if self.direct:
+            self.seen += np.bincount(ids, minlength=len(self.seen))
+            known = np.flatnonzero(self.seen)
+            counts = self.seen[known]
+        else:
+            self.names, back = np.unique(np.concatenate((self.names, ids)), return_inverse=True)
+            self.seen = np.bincount(back, np.concatenate((self.seen, np.ones(len(ids)))), len(self.names)).astype(np.int64)
+            known, counts = self.names, self.seen
+        self.escaped = self.escaped / 2 + escaped  # of the last rounds most
+        self.total = self.total / 2 + len(ids)
+        share = min(max(int(TOTAL0 * (self.escaped + 1) / (self.total + 2)), 1), TOTAL0 // 2)
+        often = counts * (TOTAL0 - share) >= counts.sum()
+        self._lay_out(known[often], counts[often], share)
+
+    def _lay_out(self, known: np.ndarray, counts: np.ndarray, escape: int) -> None:
+        n = len(known)
+        bounds = np.cumsum(counts) * (TOTAL0 - escape) // max(int(counts.sum()), 1)
+        ends = np.concatenate((bounds, [TOTAL0]))
+        self.known, self.n = np.concatenate((known, [0])).astype(np.uint32), n
+        freq = np.diff(ends, prepend=0)
+        self.start, self.freq = (ends - freq).astype(np.float64), freq.astype(np.float64)
+        self.look = np.repeat(np.arange(n + 1), freq)
+        if self.direct:
+            self.place.fill(n)
+            self.place[known] = np.arange(n)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        if self.direct:
+            return self.place.take(ids.astype(np.int64), mode="clip")
+        at = np.searchsorted(self.known[: self.n], ids)
+        return np.where(self.known[at] == ids, at, self.n) if self.n else at
 
 
-def encode(ids: np.ndarray, block: int, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(16-bit words of all blocks one after the other, words of each block)."""
-    lanes, last = _lanes(len(ids), block)
-    grid = np.zeros(lanes * block, np.uint32)
+class _Model:
+    """What all lanes of a block share, and the last ids of each.  Steps over all lanes multiply by hits where they
+    could choose by them, which numpy is slow at."""
+
+    def __init__(self, lanes: int, bits: int):
+        self.t1, self.t2 = np.zeros(SLOTS1, np.uint32), np.zeros(SLOTS2, np.uint32)
+        self.p1, self.p2, self.past = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint8)
+        self.order0 = _Order0(bits)
+        self.outcomes = np.tile([1.6, 0.2, 0.2], (512, 1))  # of each context: no guess held, the order-2 one, the order-1 one
+        self.rows, self.missed, self.escaped, self.steps, self.due = [], [], 0, 0, 1
+        self._weigh()
+
+    def _seen(self) -> np.ndarray:
+        return self.outcomes[:, :1] + self.outcomes[:, 1:2] + self.outcomes[:, 2:]  # in this order on every machine
+
+    def _weigh(self) -> None:
+        """Tables of a context's bounds, and of start and width by context and outcome; without a
+        guess that held, the width is that of one of P0's steps."""
+        share = self.outcomes / self._seen()
+        most = TOTAL / TOTAL0
+        unit = np.clip(np.rint(share[:, 0] * most), 1, most - 1)
+        self.both = TOTAL - unit * TOTAL0
+        self.first = np.clip(np.rint(self.both * (share[:, 1] / (share[:, 1] + share[:, 2]))), 64, self.both - 64)
+        self.start = np.stack((self.both, 0 * unit, self.first, 0 * unit), axis=1).ravel()
+        self.width = np.stack((unit, self.first, self.both - self.first, unit), axis=1).ravel()
+
+    def predict(self, n: int) -> None:
+        """Guesses and contexts of the first n lanes' next ids."""
+        m = self.p1[:n] * np.uint32(2654435761)
+        self.h1 = (m >> np.uint32(33 - SLOTS1.bit_length())).astype(np.int64)
+        m = (m ^ self.p2[:n] * np.uint32(2246822519)) * np.uint32(3266489917)
+        self.h2 = (m >> np.uint32(33 - SLOTS2.bit_length())).astype(np.int64)
+        self.e1, self.e2 = self.t1[self.h1], self.t2[self.h2]
+        self.g1, self.g2 = self.e1 & IDS, self.e2 & IDS
+        self.s1, self.s2 = (self.e1 >> np.uint32(24)).astype(np.uint8), (self.e2 >> np.uint32(24)).astype(np.uint8)
+        low = self.s1 << np.uint8(3) | self.past[:n] << np.uint8(1) | (self.g1 == self.g2).view(np.uint8)
+        self.w = self.s2.astype(np.uint16) << np.uint16(6) | low.astype(np.uint16)
+
+    def intervals(self, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width by outcome; hit1: the order-1 guess held where the order-2 guess did not."""
+        outcome = hit2.view(np.uint8) | hit1.view(np.uint8) << np.uint8(1)
+        self.row = (self.w << np.uint16(2) | outcome.astype(np.uint16)).astype(np.int64)
+        return self.start.take(self.row, mode="clip"), self.width.take(self.row, mode="clip")
+
+    def within0(self, miss: np.ndarray, k: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        """Starts and widths of the lanes miss become those of P0's places k."""
+        unit = width.take(miss, mode="clip")
+        start[miss] += self.order0.start.take(k, mode="clip") * unit
+        width[miss] = self.order0.freq.take(k, mode="clip") * unit
+
+    def update(self, n: int, s: np.ndarray, hit2: np.ndarray, missed: np.ndarray, escaped: int) -> None:
+        """missed: ids of the lanes where neither guess held."""
+        short = s & IDS  # ids beyond 24 bits are never guessed
+        hit = hit2.view(np.uint8)
+        for t, h, sure, held in ((self.t1, self.h1, self.s1, (self.g1 == s).view(np.uint8)), (self.t2, self.h2, self.s2, hit)):
+            t[h] = (np.minimum(sure + np.uint8(1), np.uint8(7)) * held).astype(np.uint32) << np.uint32(24) | short
+        past = self.past[:n]
+        past <<= np.uint8(1)
+        past &= np.uint8(2)
+        past |= hit
+        self.p2[:n] = self.p1[:n]
+        self.p1[:n] = s
+        self.rows.append(self.row)
+        self.missed.append(missed)
+        self.escaped += escaped
+        self.steps += 1
+        if self.steps >= self.due:
+            self.outcomes += np.bincount(np.concatenate(self.rows), minlength=2048).reshape(512, 4)[:, :3]
+            self.outcomes *= np.minimum(1, MEMORY / self._seen())
+            self._weigh()
+            self.order0.learn(np.concatenate(self.missed), self.escaped)
+            self.rows, self.missed, self.escaped = [], [], 0
+            self.due = self.steps + max(1, min(self.steps // 8, REFRESH))
+
+
+def _shape(count: int) -> tuple[int, int, int]:
+    """Lanes of a block of count ids, ids of each but the last, and of the last."""
+    steps = -(-count // max(1, min(LANES, count // STEPS)))
+    lanes = -(-count // steps)
+    return lanes, steps, count - (lanes - 1) * steps
+
+
+def _encode_block(ids: np.ndarray, widths: list[int]) -> np.ndarray:
+    lanes, steps, last = _shape(len(ids))
+    grid = np.zeros(lanes * steps, np.uint32)
     grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    model, order0 = _Model(lanes), _Digits(lanes, widths)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, MASK, np.uint64)
-    size = len(ids) + 8 * lanes  # words; grows where ids are hard to tell
-    log, owner, end = np.zeros(size, np.uint32), np.zeros(size, np.uint16 if lanes < 1 << 16 else np.uint32), 0
-    at = np.full(lanes, -1, np.int64)
-
-    def emit(which: np.ndarray, words: np.ndarray) -> None:
-        nonlocal log, owner, end
-        k = len(which)
-        if end + k > len(log):
-            log, owner = np.concatenate((log, np.zeros_like(log))), np.concatenate((owner, np.zeros_like(owner)))
-        log[end : end + k], owner[end : end + k] = words, which
-        at[which] = np.arange(end, end + k)
-        end += k
-
-    def carry(which: np.ndarray) -> None:
-        """A carry waits in a lane's low until the lane puts a word out; there is never a second one."""
-        over = which[low[which] > MASK]
-        if len(over):
-            log[at[over]] += 1
-            low[over] &= MASK
-
-    def settle(which: np.ndarray, lo: np.ndarray, r: np.ndarray) -> None:
-        """Words that are certain leave; lo and r are the lanes' low and range, and are changed."""
-        small = np.flatnonzero(r < LIMIT)
-        low[which] = lo
-        rng[which] = r
-        small = which[small]
-        while len(small):
-            carry(small)
-            x = low[small]
-            emit(small, x >> U(32))
-            low[small] = (x << U(16)) & MASK
-            y = rng[small] << U(16)
-            rng[small] = y
-            small = small[y < LIMIT]
-
-    all_lanes = np.arange(lanes)
-    for step in range(block):
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    model = _Model(lanes, sum(widths))
+    low, rng = np.zeros(lanes), np.full(lanes, WORD * WORD)
+    words, owners = [], []
+
+    def settle(small: np.ndarray) -> None:
+        """A word of each of these lanes leaves; a carry leaves with it, as its 25th bit."""
+        x = low.take(small, mode="clip")
+        word = np.floor(x * (1 / WORD))
+        words.append(word.astype(np.uint32))
+        owners.append(small.astype(np.uint16))
+        low[small] = (x - word * WORD) * WORD
+        rng[small] *= WORD
+
+    for step in range(steps):
         n = lanes if step < last else lanes - 1
-        if not n:
-            break
         s = grid[step, :n]
-        c1, c2 = model.predict(n)
+        model.predict(n)
         hit2 = model.g2 == s
-        hit1 = ~hit2 & (model.g1 == s)
-        start = np.where(hit2, U(0), np.where(hit1, c1, c2))
-        width = np.where(hit2, c1, np.where(hit1, c2 - c1, U(65536) - c2))
-        r = rng[:n] >> U(16)
-        lo, r = low[:n] + r * start, r * width
-        missed = ~(hit2 | hit1)
-        settle(all_lanes[:n], lo, r)
-        miss = np.flatnonzero(missed)
-        if len(miss):
-            ms, left = s[miss].astype(np.int64), sum(widths)
-            order0.begin(miss)
-            lo, r = low[miss], rng[miss]
-            for place, bits in enumerate(widths):
+        hit1 = (model.g1 == s) & ~hit2
+        start, width = model.intervals(hit2, hit1)
+        miss = np.flatnonzero(~(hit2 | hit1))
+        ms = s.take(miss, mode="clip")
+        k = model.order0.places(ms)
+        model.within0(miss, k, start, width)
+        r = np.floor(rng[:n] * (1 / TOTAL))
+        low[:n] += r * start
+        rng[:n] = r = r * width
+        settle(np.flatnonzero(r < LEAST))
+        escaped = k == model.order0.n
+        if escaped.any():
+            which, left = miss[escaped], sum(widths)
+            for bits in widths:
                 left -= bits
-                order0.predict()
-                first, wide = order0.learn((ms >> left) & ((1 << bits) - 1))
-                r >>= U(15)
-                lo += r * first
-                r *= wide
-                if place % 2 or not left:  # the range has room for two digits
-                    settle(miss, lo, r)
-                    if left:
-                        lo, r = low[miss], rng[miss]
-        model.update(n, s, hit2, hit1)
-    every = np.arange(lanes)
-    carry(every)
-    for shift in (32, 16, 0):
-        emit(every, (low >> U(shift)) & U(0xFFFF))
-    log, owner = log[:end], owner[:end]
+                r = np.floor(rng[which] * 2.0**-bits)
+                low[which] += r * (ms[escaped] >> np.uint32(left) & np.uint32((1 << bits) - 1))
+                rng[which] = r
+                settle(which[r < LEAST])
+        model.update(n, s, hit2, ms, np.count_nonzero(escaped))
+    return _in_reading_order(low, words, owners)
+
+
+def _in_reading_order(low: np.ndarray, words: list[np.ndarray], owners: list[np.ndarray]) -> np.ndarray:
+    """24-bit words in the order in which the decoder reads them: two of each lane, and then one
+    wherever a lane put one out, which is the lane's next but one."""
+    lanes = len(low)
+    top = np.floor(low * (1 / WORD))
+    every, events = np.arange(lanes, dtype=np.uint16), sum(map(len, words))
+    words = np.concatenate([*words, top.astype(np.uint32), (low - top * WORD).astype(np.uint32)])
+    owner = np.concatenate([*owners, every, every])
     order = np.argsort(owner, kind="stable")
-    words = log[order]
-    while len(big := np.flatnonzero(words > 0xFFFF)):
-        words[big] -= 0x10000
-        words[big - 1] += 1
-    return words.astype("<u2"), np.bincount(owner, minlength=lanes).astype(np.uint32)
+    words = words[order]
+    while len(big := np.flatnonzero(words >> np.uint32(24))):
+        words[big] -= np.uint32(1 << 24)
+        words[big - 1] += np.uint32(1)
+    begin = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=lanes))))[:-1]
+    out = np.empty(len(words), np.uint32)
+    out[:lanes], out[lanes : 2 * lanes] = words[begin], words[begin + 1]
+    at = np.flatnonzero(order < events)
+    out[2 * lanes + order[at]] = words[at + 2]
+    return out
 
 
-def decode(words: np.ndarray, sizes: np.ndarray, count: int, block: int, widths: list[int]) -> np.ndarray:
-    lanes, last = _lanes(count, block)
-    words = np.concatenate((words, np.zeros(8, words.dtype))).astype(np.uint64)
-    at = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))[:-1]
-    code = (words[at] << U(32)) | (words[at + 1] << U(16)) | words[at + 2]
-    at = at + 3
-    rng = np.full(lanes, MASK, np.uint64)
-    model, order0 = _Model(lanes), _Digits(lanes, widths)
-    grid = np.zeros((block, lanes), np.uint32)
-
-    def settle(which: np.ndarray, co: np.ndarray, r: np.ndarray) -> None:
-        code[which] = co
-        rng[which] = r
-        small = which[np.flatnonzero(r < LIMIT)]
-        while len(small):
-            p = at[small]
-            code[small] = (code[small] << U(16)) | words[np.minimum(p, len(words) - 1)]
-            at[small] = p + 1
-            y = rng[small] << U(16)
-            rng[small] = y
-            small = small[y < LIMIT]
-
-    all_lanes = np.arange(lanes)
-    for step in range(block):
+def encode(ids: np.ndarray, block: int, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(16-bit words of all blocks one after the other, words of each block)."""
+    parts = []
+    for at in range(0, len(ids), block):
+        raw = _encode_block(ids[at : at + block], widths).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        parts.append(np.frombuffer(raw + b"\0" * (len(raw) % 2), "<u2"))
+    return np.concatenate(parts), np.array([len(p) for p in parts], np.uint32)
+
+
+def _decode_block(data: bytes, count: int, widths: list[int]) -> np.ndarray:
+    lanes, steps, last = _shape(count)
+    planes = np.frombuffer(data, np.uint8, len(data) // 3 * 3).reshape(-1, 3).astype(np.float64)
+    words = planes[:, 0] + planes[:, 1] * 2.0**8 + planes[:, 2] * 2.0**16
+    at = 2 * lanes
+    if len(words) < at:
+        raise ValueError("too short")
+    code, rng = words[:lanes] * WORD + words[lanes:at], np.full(lanes, WORD * WORD)
+    model = _Model(lanes, sum(widths))
+    grid = np.zeros((steps, lanes), np.uint32)
+
+    def settle(small: np.ndarray) -> None:
+        nonlocal at
+        if at + len(small) > len(words):
+            raise ValueError("too short")
+        code[small] = code.take(small, mode="clip") * WORD + words[at : at + len(small)]
+        rng[small] *= WORD
+        at += len(small)
+
+    for step in range(steps):
         n = lanes if step < last else lanes - 1
-        if not n:
-            break
-        c1, c2 = model.predict(n)
-        co, r = code[:n], rng[:n] >> U(16)
-        hit2 = co < r * c1
-        miss_all = co >= r * c2
-        hit1 = ~(hit2 | miss_all)
-        s = np.where(hit2, model.g2, model.g1)
-        settle(all_lanes[:n], co - r * np.where(hit2, U(0), np.where(hit1, c1, c2)), r * np.where(hit2, c1, np.where(hit1, c2 - c1, U(65536) - c2)))
-        miss = np.flatnonzero(miss_all)
-        if len(miss):
-            order0.begin(miss)
-            co, r = code[miss], rng[miss]
-            for place in range(len(widths)):
-                row = order0.predict()
-                r >>= U(15)
-                target = np.minimum(co // r, U(TOTAL - 1)).astype(np.int16)
-                first, wide = order0.learn((row[:, 1:] <= target[:, None]).sum(axis=1))
-                co -= r * first
-                r *= wide
-                if place % 2 or place + 1 == len(widths):
-                    settle(miss, co, r)
-                    if place + 1 < len(widths):
-                        co, r = code[miss], rng[miss]
-            s[miss] = order0.prefix
+        model.predict(n)
+        r = np.floor(rng[:n] * (1 / TOTAL))
+        t = np.minimum(np.floor(code[:n] / r), TOTAL - 1)
+        w = model.w.astype(np.int64)
+        hit2, missed = t < model.first.take(w, mode="clip"), t >= model.both.take(w, mode="clip")
+        s = model.g1 + (model.g2 - model.g1) * hit2.astype(np.uint32)
+        start, width = model.intervals(hit2, ~(hit2 | missed))
+        miss = np.flatnonzero(missed)
+        slot = (t.take(miss, mode="clip") - start.take(miss, mode="clip")) / width.take(miss, mode="clip")
+        k = model.order0.look.take(slot.astype(np.int64), mode="clip")
+        ms = model.order0.known.take(k, mode="clip")
+        model.within0(miss, k, start, width)
+        code[:n] -= r * start
+        rng[:n] = r = r * width
+        settle(np.flatnonzero(r < LEAST))
+        escaped = k == model.order0.n
+        if escaped.any():
+            which = miss[escaped]
+            found = np.zeros(len(which), np.uint32)
+            for bits in widths:
+                r = np.floor(rng[which] * 2.0**-bits)
+                digit = np.minimum(np.floor(code[which] / r), 2.0**bits - 1)
+                code[which] -= r * digit
+                rng[which] = r
+                found = found << np.uint32(bits) | digit.astype(np.uint32)
+                settle(which[r < LEAST])
+            ms[escaped] = found
+        s[miss] = ms
         grid[step, :n] = s
-        model.update(n, s, hit2, hit1)
+        model.update(n, s, hit2, ms, np.count_nonzero(escaped))
     return np.ascontiguousarray(grid.T).reshape(-1)[:count]
 
 
+def decode(words: np.ndarray, sizes: np.ndarray, count: int, block: int, widths: list[int]) -> np.ndarray:
+    out, at = [], 0
+    for k, size in enumerate(sizes.tolist()):
+        try:
+            out.append(_decode_block(words[at : at + size].astype("<u2").tobytes(), min(block, count - k * block), widths))
+        except ValueError as e:
+            raise ValueError(f"damaged block {k}") from e
+        at += size
+    return np.concatenate(out)
+
+
 def pack_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A whole file: documents (ids and token counts), their token ids one after the other."""
     n, top = len(ids), int(ids.max()) if len(ids) else 0

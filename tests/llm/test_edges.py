@@ -685,6 +685,58 @@ def test_words_are_encoded_as_the_library_does():
         assert [i for x in b.encode(b.split(t)) for i in np.frombuffer(x, "<u4").tolist()] == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_a_short_rest_has_no_file_of_its_own(spark):
+    docs = spark.createDataFrame([(k, "a " * 99) for k in range(42)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        manifest = idfiles.write_id_files(docs, WORD, file_ids=1000)
+        assert [(r["base"], r["n_ids"]) for r in manifest.orderBy("base").collect()] == [(0, 1000), (1000, 1000), (2000, 1000), (3000, 1200)]
+        rows = sorted(idfiles.read_id_files(manifest).collect(), key=lambda r: r["doc_id"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in rows] == [(k, 100 * k, 100) for k in range(42)]
+
+
+def test_passages_far_apart_are_guessed():
+    from corpusmill.llm import mixcoder as m
+
+    rng = np.random.default_rng(3)
+    passages = rng.integers(0, 3000, (4000, 20))
+    ids = passages[rng.integers(0, 4000, 20_000)].ravel().astype(np.uint32)
+    data = m.pack_file(np.array([1]), np.array([len(ids)]), ids)
+    assert (m.unpack_file(data)[2] == ids).all()
+    assert 8 * len(data) < 0.7 * len(ids) * np.log2(3000)
+
+
+@pytest.mark.parametrize("top", [60, 70_000, 1 << 21, (1 << 32) - 1])
+def test_blocks_of_several_lanes_and_ids_of_any_size(top):
+    from corpusmill.llm import mixcoder as m
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 1023, 2049, 3 * 1024 + 1, 9000):
+        ids = (rng.zipf(1.3, n) * 2654435761 % (top + 1)).astype(np.uint32)
+        words, sizes = m.encode(ids, 4000, m.widths_of(top))
+        assert (m.decode(words, sizes, n, 4000, m.widths_of(top)) == ids).all()
+        assert len(sizes) == -(-n // 4000)
+
+
+def test_a_word_is_encoded_once_while_the_table_has_it(monkeypatch):
+    from corpusmill.llm.words import WordTable
+
+    w, asked, r = WordTable(WORD, limit=60), [], random.Random(5)
+    learn = w._ids_of
+    monkeypatch.setattr(w, "_ids_of", lambda words: (asked.extend(words), learn(words))[1])
+    assert w.encode_batch(["a b a, b.", "", "  b\n"]) == [w.direct(t) for t in ("a b a, b.", "", "  b\n")]
+    assert w.encode_batch(["b a,", "a b."], group=1) == [w.direct(t) for t in ("b a,", "a b.")]
+    assert len(asked) == len(set(asked))
+    for _ in range(60):  # words beyond the limit leave; those met again stay
+        texts = [" ".join(["a", *(r.choice("xyzü") + str(r.randint(0, 300)) for _ in range(9))]) for _ in range(4)]
+        assert w.encode_batch(texts) == [w.direct(t) for t in texts]
+        assert len(w.words) <= 60 + 37
+    assert asked.count("a") == 1
+
+
 # --------------------------------------------------------------- exact copies
 
 
